@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..operators import progress as ops
+from ..session import materialize
 from ..sources.adapters import sql_fixed, sql_over, table, view
 from . import register
 
@@ -142,7 +143,7 @@ fold AS (
   SELECT job_id, i, sequence, status, lp, lt, r, s,
     CASE WHEN status = 'completed' THEN 0
          WHEN NOT valid THEN shown
-         WHEN NOT counts THEN coalesce(CAST(greatest(0, floor(s + 0.5e0)) AS BIGINT), shown)
+         WHEN NOT counts THEN coalesce(CASE WHEN s IS NOT NULL THEN CAST(greatest(0, floor(s + 0.5e0)) AS BIGINT) END, shown)
          WHEN ready THEN CAST(greatest(0, floor(s + 0.5e0)) AS BIGINT)
          ELSE shown END
   FROM (
@@ -164,7 +165,7 @@ SELECT job_id, sequence, shown AS remaining_s FROM fold WHERE i > 0""",
     ),
 )
 def remaining_time(spark, sf_dir):
-    normal = ops.normalize_progress(events(spark, sf_dir))
+    normal = materialize(ops.normalize_progress(events(spark, sf_dir)), "normal-progress")
     return ops.remaining_time(normal).select("job_id", "sequence", "remaining_s")
 
 

@@ -334,37 +334,43 @@ def remaining_time(events: DataFrame) -> DataFrame:
     aggregation or an equi-join on (job, level); no job is collected.
     """
     level, clock, order = F.col("progress"), F.col("elapsed_cs"), F.col("sequence")
-    valid = events.filter((level > 0) & (level < 1000) & (clock > 0)).select(
-        "job_id", "sequence", "progress", "elapsed_cs"
-    )
+    valid = (level > 0) & (level < 1000) & (clock > 0)
     below = Window.partitionBy("job_id").orderBy("progress").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    bounds = (
-        valid.groupBy("job_id", "progress")
-        .agg(F.max("elapsed_cs").alias("__top"))
-        .select("job_id", "progress", F.max("__top").over(below).alias("__bound"))
-    )
-    bounded = valid.join(bounds, ["job_id", "progress"])
-    past = F.col("__bound").isNull() | (clock > F.col("__bound"))
-    beyond = (
-        bounded.filter(past)
-        .groupBy("job_id", "progress")
-        .agg(F.min(F.struct("sequence", "elapsed_cs")).alias("s"))
-        .select("job_id", "progress", "s.sequence", "s.elapsed_cs")
-    )
-    within = (
-        bounded.filter(~past)
-        .groupBy("job_id", "progress", "elapsed_cs")
-        .agg(F.min("sequence").alias("sequence"))
-        .select("job_id", "progress", "sequence", "elapsed_cs")
-    )
-    samples = beyond.unionByName(within)
+    levels = (
+        events.groupBy("job_id", "progress")
+        .agg(
+            F.min(F.when(valid, order)).alias("__first"),
+            F.min_by(F.when(valid, clock), F.when(valid, order)).alias("__first_clock"),
+            F.max(F.when(valid, clock)).alias("__top"),
+        )
+        .withColumn("__bound", F.max("__top").over(below))
+    )
+    first, bound = F.col("__first"), F.col("__bound")
+    moved_on = bound.isNull() | (F.col("__first_clock") > bound)
+    clean = levels.filter(first.isNotNull() & moved_on).select(
+        "job_id", "progress", first.alias("sequence"), F.col("__first_clock").alias("elapsed_cs")
+    )
+    # Levels that begin with a clock already reached lower down: look at their rows again.
+    unclear = levels.filter(first.isNotNull() & ~moved_on).select("job_id", "progress", "__bound")
+    reopened = (
+        events.filter(valid)
+        .join(unclear, ["job_id", "progress"])
+        .groupBy("job_id", "progress", F.when(clock <= bound, clock).alias("__reached"))
+        .agg(
+            F.min("sequence").alias("sequence"),
+            F.min_by("elapsed_cs", "sequence").alias("elapsed_cs"),
+        )
+        .drop("__reached")
+    )
+    samples = clean.unionByName(reopened)
     folded = samples.groupBy("job_id").agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
                     order.alias("sequence"),
+                    level.alias("progress"),
                     (level / F.lit(10.0)).alias("p"),
                     (clock / F.lit(100.0)).alias("t"),
                 )
@@ -375,7 +381,7 @@ def remaining_time(events: DataFrame) -> DataFrame:
     start = F.expr(
         "named_struct('p', CAST(NULL AS DOUBLE), 't', CAST(NULL AS DOUBLE),"
         " 'recent', CAST(array() AS ARRAY<DOUBLE>), 'smooth', CAST(NULL AS DOUBLE),"
-        " 'steps', CAST(array() AS ARRAY<STRUCT<sequence: BIGINT, value: BIGINT>>))"
+        " 'steps', CAST(array() AS ARRAY<STRUCT<progress: BIGINT, at: BIGINT, value: BIGINT>>))"
     )
 
     def step(state: Column, x: Column) -> Column:
@@ -394,7 +400,12 @@ def remaining_time(events: DataFrame) -> DataFrame:
             ready,
             F.concat(
                 state["steps"],
-                F.array(F.struct(x["sequence"].alias("sequence"), shown.alias("value"))),
+                F.array(
+                    F.struct(
+                        x["progress"].alias("progress"), x["sequence"].alias("at"),
+                        shown.alias("value"),
+                    )
+                ),
             ),
         ).otherwise(state["steps"])
         return F.struct(
@@ -416,18 +427,13 @@ def remaining_time(events: DataFrame) -> DataFrame:
     steps = folded.select(
         "job_id", F.inline(F.aggregate("__samples", start, step, lambda s: s["steps"]))
     )
-    # A step holds from its event until the next one. Levels place the events: within the
-    # level of a step the step's own row splits before and after.
-    placed = steps.join(
-        samples.select("job_id", "sequence", "progress"), ["job_id", "sequence"]
-    ).select("job_id", "progress", F.col("sequence").alias("__at"), F.col("value").alias("__value"))
-    levels = events.select("job_id", "progress").distinct().join(
-        placed, ["job_id", "progress"], "left"
-    )
-    upto = Window.partitionBy("job_id").orderBy("progress").rowsBetween(
-        Window.unboundedPreceding, -1
+    # A step holds from its event until the next one; on the level of a step, the step's
+    # own row splits before and after.
+    placed = steps.select(
+        "job_id", "progress", F.col("at").alias("__at"), F.col("value").alias("__value")
     )
-    levels = levels.withColumn("__before", F.last("__value", ignorenulls=True).over(upto))
+    levels = levels.select("job_id", "progress").join(placed, ["job_id", "progress"], "left")
+    levels = levels.withColumn("__before", F.last("__value", ignorenulls=True).over(below))
     shown = F.when(
         F.col("__at").isNotNull() & (order >= F.col("__at")), F.col("__value")
     ).otherwise(F.col("__before"))

@@ -7,7 +7,7 @@ smaller ordinal; the remaining columns make the order total.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -119,14 +119,14 @@ def candidate_tally(
 
 def decision_tally(decisions: DataFrame) -> DataFrame:
     """Decisions by reason with the share of files that kept their original."""
-    total = decisions.groupBy().agg(F.count(F.lit(1)).alias("all_files"))
     counts = decisions.groupBy("decision").agg(
         F.count(F.lit(1)).alias("files"), F.count_if("kept_original").alias("kept_files")
     )
-    # one-row side: the grand total
-    return counts.join(F.broadcast(total)).select(
+    # one row per decision reason, three at most
+    everything = F.sum("files").over(Window.partitionBy())
+    return counts.select(
         "decision", "files", "kept_files",
-        fixed(share(F.col("kept_files"), F.col("all_files")) * 100, 1).alias("kept_percent"),
+        fixed(share(F.col("kept_files"), everything) * 100, 1).alias("kept_percent"),
     )
 
 
