@@ -77,12 +77,9 @@ def duplicate_content(files: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("copies"),
             F.sum("size_bytes").alias("total_bytes"),
             F.min("id").alias("first_id"),
+            (F.sum("size_bytes") - F.min("size_bytes")).alias("duplicate_bytes"),
         )
         .filter(F.col("copies") > 1)
-        .withColumn(
-            "duplicate_bytes",
-            F.floor(F.col("total_bytes") * (F.col("copies") - 1) / F.col("copies")),
-        )
     )
 
 
@@ -126,7 +123,7 @@ def triage_intake(files: DataFrame) -> DataFrame:
 def triage_counts(triaged: DataFrame) -> DataFrame:
     return triaged.groupBy("kind", "code").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes")
-    ).withColumn("http_status", dims.lookup(F.col("code"), dims.TRIAGE_STATUS))
+    ).withColumn("http_status", dims.lookup(F.col("code"), TRIAGE_STATUS))
 
 
 def kind_of(mime: Column, name: Column) -> Column:

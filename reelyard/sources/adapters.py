@@ -185,3 +185,25 @@ def sql_fixed(x: str, digits: int) -> str:
     """SQL text of ``numbers.fixed``."""
     scale = f"1{'0' * digits}.0e0"
     return f"(sign({x}) * floor(abs({x}) * {scale} + 0.5e0) / {scale} + 0.0e0)"
+
+
+class Derived:
+    """A select over views that both engines understand, for inputs the tables lack.
+
+    The text names its inputs as ``{name}``: Spark binds DataFrames, the check reads the
+    common table expressions of the same names.
+    """
+
+    def __init__(self, inputs: list[str], select: str):
+        self.inputs, self.select = inputs, select.strip()
+
+    def sql(self) -> str:
+        return self.select.format(**{name: name for name in self.inputs})
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        known = set(_SELECTS) | {"progress_events", "frame_scores"}
+        bound = {
+            name: view(spark, sf_dir, name) if name in known else table(spark, sf_dir, name)
+            for name in self.inputs
+        }
+        return spark.sql(self.select, **bound)
