@@ -59,22 +59,33 @@ def expired_jobs(spark, sf_dir):
     return retention.expired_jobs(jobs, now(), active).select("job_id", "ttl_min")
 
 
+FINISHED = Derived(
+    ["events"],
+    """SELECT event_id, user_id AS job_id, ts AS created_at, event_id * 17 AS size_bytes, CASE event_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 30 WHEN 2 THEN 45 ELSE 60 END AS minutes,
+  'clip ' || CAST(event_id AS STRING) || '_comp.mp4' AS download_name FROM {events}""",
+)
+
+
 @register(
     "k1_write_results",
     sql_over(
-        ["media_files"],
-        f"""WITH {RESULTS_SQL.strip()}
-SELECT CAST(made AS DATE) AS created_date, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(ttl) AS BIGINT) AS ttl_minutes FROM e GROUP BY ALL""",
+        [],
+        f"""WITH r AS ({FINISHED.sql()})
+SELECT CAST(created_at AS DATE) AS created_date, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes,
+  CAST(sum(CASE WHEN minutes IN (10, 30, 60) THEN minutes ELSE 30 END) AS BIGINT) AS ttl_minutes,
+  count(*) FILTER (content_disposition_ok) AS headers FROM (SELECT *, true AS content_disposition_ok FROM r) GROUP BY ALL""",
     ),
 )
 def write_results(spark, sf_dir):
     path = shared_dir(spark, "results")
-    sinks.write_results(results(spark, sf_dir), path, F.col("minutes"))
+    finished = FINISHED.frame(spark, sf_dir)
+    sinks.write_results(finished, path, F.col("minutes"))
     written = spark.read.parquet(path)
     ttl = F.timestamp_diff("MINUTE", F.col("created_at"), F.col("expires_at"))
     return written.groupBy("created_date").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"),
         F.sum(ttl).alias("ttl_minutes"),
+        F.count_if(F.startswith(F.col("content_disposition"), F.lit("attachment; filename=\"clip"))).alias("headers"),
     )
 
 

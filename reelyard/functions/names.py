@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Python workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- fixed values: characters and names not allowed in download names ------------
 INVALID_CHARACTERS = r'[\x00-\x1f\x7f<>:"/\\|?*]'
 TRAILING = r"[. ]+$"

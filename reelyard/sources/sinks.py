@@ -13,15 +13,13 @@ from ..operators.retention import with_expiry
 def write_results(results: DataFrame, path: str, minutes: Column, mode: str = "append") -> None:
     """Write results by creation date with expiry and a header-safe download name.
 
-    Rows are gathered per date before the write; a busy date is split by ``file_id`` so
-    that it is not one writer's work, and AQE joins the small pieces again.
+    ``rebalance`` gathers each date for few, large files; AQE splits a busy date over many
+    writers and packs quiet dates together.
     """
     rows = with_expiry(results, minutes)
     if "download_name" in results.columns:
         rows = rows.withColumn("content_disposition", attachment_header(F.col("download_name")))
-    rows.withColumn("__part", F.pmod(F.xxhash64(*results.columns[:1]), F.lit(64))).repartition(
-        "created_date", "__part"
-    ).drop("__part").write.mode(mode).partitionBy("created_date").parquet(path)
+    rows.hint("rebalance", "created_date").write.mode(mode).partitionBy("created_date").parquet(path)
 
 
 def write_logs(raw: DataFrame, path: str, mode: str = "append") -> None:
