@@ -252,9 +252,9 @@ e AS (SELECT *, CAST(least(8, floor(least(99.0e0, CAST(progress AS DOUBLE) / 10)
 l AS (SELECT CAST(unnest(generate_series(0, 8)) AS INTEGER) AS i),
 m AS (SELECT job_id, i, max(CASE WHEN a < i AND status <> 'completed' THEN sequence END) AS reset,
     max(CASE WHEN a <= i AND status <> 'completed' AND NOT (a = i AND status IN ('failed', 'cancelled')) THEN sequence END) AS open,
-    arg_max(a, sequence) AS fa, arg_max(status, sequence) AS fs
+    arg_max(a, sequence) AS fa, arg_max(status, sequence) AS fs, arg_max(ts, sequence) AS ft
   FROM e, l GROUP BY job_id, i),
-s AS (SELECT m.job_id, m.i, any_value(fa) AS fa, any_value(fs) AS fs,
+s AS (SELECT m.job_id, m.i, any_value(fa) AS fa, any_value(fs) AS fs, any_value(ft) AS ft,
     arg_min(CASE WHEN (a > m.i OR status = 'completed' OR (a = m.i AND status NOT IN ('pending', 'queued'))) AND (reset IS NULL OR sequence > reset) THEN ts END,
             CASE WHEN (a > m.i OR status = 'completed' OR (a = m.i AND status NOT IN ('pending', 'queued'))) AND (reset IS NULL OR sequence > reset) THEN sequence END) AS started,
     arg_min(CASE WHEN (a > m.i OR status = 'completed' OR (a = m.i AND status IN ('failed', 'cancelled'))) AND (open IS NULL OR sequence > open) THEN ts END,
@@ -264,7 +264,7 @@ r AS (SELECT *, CASE WHEN fs = 'completed' OR fa > i THEN 'completed' WHEN fa <
     WHEN fs IN ('pending', 'queued') THEN 'pending' ELSE 'processing' END AS stage_status FROM s)
 SELECT job_id, i AS stage_index, stage_status,
   strftime(CASE WHEN fa < i AND fs <> 'completed' THEN NULL ELSE started END, '%Y-%m-%d %H:%M:%S') AS started_at,
-  strftime(CASE WHEN stage_status IN ('completed', 'failed', 'cancelled') THEN done END, '%Y-%m-%d %H:%M:%S') AS completed_at
+  strftime(CASE WHEN stage_status = 'completed' THEN done WHEN stage_status IN ('failed', 'cancelled') THEN ft END, '%Y-%m-%d %H:%M:%S') AS completed_at
 FROM r""",
     ),
 )

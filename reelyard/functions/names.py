@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Python workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -21,7 +22,7 @@ FALLBACK = "compressed_file"
 NON_ASCII = r"[^\x00-\x7f]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(names: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no such function."""
     return names.map(lambda n: None if n is None else unicodedata.normalize("NFC", n))

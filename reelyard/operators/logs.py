@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.numbers import clamp, exact_mean, exact_sum, fixed, half_up, share
 from ..functions.parsing import clock_seconds, number, with_suffix
+from ..functions.staging import settle
 from .running import CHUNK_ROWS, running
 
 PROGRESS_KEYS = (
@@ -163,7 +164,7 @@ def allowlist_logs(raw: DataFrame) -> DataFrame:
 
     ``raw``: level?, raw. Unknown keys have no column to go to.
     """
-    parsed = raw.withColumn("__log", F.from_json("raw", LOG_SCHEMA))
+    parsed = settle(raw, {"__log": F.from_json("raw", LOG_SCHEMA)})
 
     def matching(field: str, pattern: str) -> Column:
         value = F.col(f"__log.{field}")

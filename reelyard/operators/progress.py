@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.numbers import exact_mean, fixed, half_up, saved_percent, share
+from ..functions.numbers import fixed, half_up, saved_percent
 from ..functions.parsing import trailing_sequence
-from .running import CHUNK_ROWS, chunk_of, numbered, previous, running
+from ..functions.staging import settle
+from .running import CHUNK_ROWS, previous, running
 
 
 def is_terminal(status: Column) -> Column:
@@ -105,7 +106,9 @@ def explode_job_state(documents: DataFrame, limit: int = dims.MAX_EVENT_HISTORY)
         " sequence:string, status:string, progress:double, elapsedSeconds:double,"
         " steps:array<struct<id:string>>>>>"
     )
-    parsed = documents.select("job_id", F.from_json("document", schema).alias("doc")).filter(
+    parsed = settle(
+        documents.select("job_id", "document"), {"doc": F.from_json("document", schema)}
+    ).filter(
         (F.col("doc.version") == 1) & (F.col("doc.state.jobId") == F.col("job_id"))
     )
     events = parsed.select("job_id", F.explode("doc.events").alias("e")).select(
@@ -264,7 +267,8 @@ def stage_timeline(events: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     ``events`` carry ``stage_index``. For stage i an event *opens* it when the job is at
     or past i, *passes* it when the job is past i or complete, and *resets* it when the
     job is before i. Start is the first opening after the last reset; completion the
-    first pass after the last event that was still at or before i. Two aggregations per
+    first pass after the last event that was still at or before i; a stage that stopped
+    completes with the stopping event. Two aggregations per
     job with one column per stage; events are never multiplied by stages.
     """
     stages = range(len(labels))
@@ -278,7 +282,7 @@ def stage_timeline(events: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     passes = [(at > i) | complete | ((at == i) & stopped) for i in stages]
 
     marks = events.groupBy("job_id").agg(
-        F.max_by(F.struct("stage_index", "status"), order).alias("__last"),
+        F.max_by(F.struct("stage_index", "status", "ts"), order).alias("__last"),
         *[F.max(F.when(reset[i], order)).alias(f"__reset_{i}") for i in stages],
         *[F.max(F.when(unfinished[i], order)).alias(f"__open_{i}") for i in stages],
     )
@@ -310,9 +314,9 @@ def stage_timeline(events: DataFrame, labels: tuple[str, ...]) -> DataFrame:
             F.lit(labels[i]).alias("label"),
             state.alias("stage_status"),
             started.alias("started_at"),
-            F.when(state.isin("completed", "failed", "cancelled"), F.col(f"__done_{i}.ts")).alias(
-                "completed_at"
-            ),
+            F.when(state == "completed", F.col(f"__done_{i}.ts"))
+            .when(state.isin("failed", "cancelled"), F.col("__last.ts"))
+            .alias("completed_at"),
         )
 
     return times.select("job_id", F.inline(F.array(*[stage_row(i) for i in stages])))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import valid_job_id
+from ..functions.staging import settle
 from ..operators.intake import classify_headers
 
 BENCHMARK_SCHEMA = (
@@ -47,8 +48,7 @@ def read_document_texts(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """``path, document`` of every job directory's document of a kind."""
     file_name, _ = DOCUMENT_KINDS[kind]
     return (
-        spark.read.option("wholetext", True)
-        .text(f"{root.rstrip('/')}/*/{file_name}")
+        spark.read.text(f"{root.rstrip('/')}/*/{file_name}", wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
     )
 
@@ -57,18 +57,21 @@ def job_documents(texts: DataFrame, kind: str) -> DataFrame:
     """Documents whose id matches their directory and whose file names are bare names."""
     file_name, id_field = DOCUMENT_KINDS[kind]
     pattern = r"([^/]+)/" + file_name.replace(".", r"\.") + "$"
-    rows = texts.withColumns(
+    fields = [f"{name} STRING" for name in NAME_FIELDS]
+    fields += ["jobId STRING", "uploadId STRING", "state STRUCT<jobId: STRING>"]
+    rows = settle(
+        texts,
         {
             "job_id": F.regexp_extract("path", pattern, 1),
-            "__owner": F.get_json_object("document", f"$.{id_field}"),
-        }
+            "__doc": F.from_json("document", ", ".join(fields)),
+        },
     )
     bare = F.lit(True)
-    for field in NAME_FIELDS:
-        name = F.get_json_object("document", f"$.{field}")
-        bare = bare & (name.isNull() | ~name.rlike(r"[/\\]"))
+    for name in NAME_FIELDS:
+        value = F.col(f"__doc.{name}")
+        bare = bare & (value.isNull() | ~value.rlike(r"[/\\]"))
     return rows.filter(
-        valid_job_id(F.col("job_id")) & (F.col("job_id") == F.col("__owner")) & bare
+        valid_job_id(F.col("job_id")) & (F.col("job_id") == F.col(f"__doc.{id_field}")) & bare
     ).select("job_id", "document")
 
 
@@ -94,7 +97,10 @@ def read_progress_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_intake(spark: SparkSession, path: str) -> DataFrame:
-    """Raw files as ``path, size_bytes, executable``."""
+    """Raw files as ``path, size_bytes, executable``.
+
+    Spark's file sources skip empty files; the upload table has to name those.
+    """
     return classify_headers(spark.read.format("binaryFile").load(path))
 
 

@@ -50,7 +50,7 @@ def parse_probes(raw: DataFrame) -> DataFrame:
     describe the file. ``reject_reason`` is set when the document is not JSON, or has no
     duration, or has neither stream.
     """
-    parsed = raw.select("file_id", F.from_json("raw", PROBE_SCHEMA).alias("doc"), "raw")
+    parsed = settle(raw.select("file_id", "raw"), {"doc": F.from_json("raw", PROBE_SCHEMA)})
     picked = settle(
         parsed,
         {
@@ -141,7 +141,7 @@ def _kbps(bits: Column) -> Column:
 
 def parse_target_probes(raw: DataFrame) -> DataFrame:
     """Planning rows from probe documents ``file_id, raw``: summed audio rate, codec list."""
-    parsed = raw.select("file_id", F.from_json("raw", PROBE_SCHEMA).alias("doc"))
+    parsed = settle(raw.select("file_id", "raw"), {"doc": F.from_json("raw", PROBE_SCHEMA)})
     picked = settle(
         parsed,
         {
