@@ -126,7 +126,7 @@ def explode_job_state(documents: DataFrame, limit: int = dims.MAX_EVENT_HISTORY)
     return cap_events(own, limit)
 
 
-def replay(events: DataFrame, cursors: DataFrame) -> DataFrame:
+def replay(events: DataFrame, cursors: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     """Events after each cursor, up to and including the first terminal one.
 
     ``cursors``: job_id, last_event_id. The cursor is the number at the end of the id.
@@ -135,52 +135,44 @@ def replay(events: DataFrame, cursors: DataFrame) -> DataFrame:
         "job_id", trailing_sequence(F.col("last_event_id")).alias("__after")
     )
     pending = events.join(after, "job_id").filter(F.col("sequence") > F.col("__after"))
-    stops = (
-        pending.filter(is_terminal(F.col("status")))
-        .groupBy("job_id")
-        .agg(F.min("sequence").alias("__stop"))
-    )
-    return (
-        pending.join(stops, "job_id", "left")
-        .filter(F.col("__stop").isNull() | (F.col("sequence") <= F.col("__stop")))
-        .drop("__after", "__stop")
+    return before_end(pending.drop("__after"), size)
+
+
+def _with_ended(events: DataFrame, scans: dict, size: int) -> DataFrame:
+    """Add ``__ended``: whether a terminal event precedes the row, with other scans."""
+    flag = F.when(is_terminal(F.col("status")), F.lit(1))
+    return running(
+        events, ["job_id"], ["sequence"], {"__ended": ("max", flag, False), **scans}, size=size
     )
 
 
+def before_end(events: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
+    """Each job's events up to and including its first terminal one."""
+    return _with_ended(events, {}, size).filter(F.col("__ended").isNull()).drop("__ended")
+
+
 def normalize_progress(events: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     """Monotone progress, frozen at the first terminal event.
 
     Adds ``progress`` (tenths of a percent): the running maximum capped at 990; 1000 only
     on the completing event; nothing after a job's first terminal event.
     """
-    ends = (
-        events.filter(is_terminal(F.col("status")))
-        .groupBy("job_id")
-        .agg(F.min("sequence").alias("__end"))
-    )
-    live = (
-        events.join(ends, "job_id", "left")
-        .filter(F.col("__end").isNull() | (F.col("sequence") <= F.col("__end")))
-        .drop("__end")
-    )
     requested = F.least(F.lit(990), F.greatest(F.lit(0), F.col("progress_tenths")))
-    rising = running(
-        live, ["job_id"], ["sequence"], {"__peak": ("max", requested, True)}, size=size
-    )
+    # Dropped rows all follow the kept ones, so the peak may be taken over every row.
+    rising = _with_ended(events, {"__peak": ("max", requested, True)}, size)
     done = F.col("status") == "completed"
-    return rising.withColumn(
-        "progress", F.when(done, F.lit(1000)).otherwise(F.col("__peak")).cast("bigint")
-    ).drop("__peak")
+    return (
+        rising.filter(F.col("__ended").isNull())
+        .withColumn(
+            "progress", F.when(done, F.lit(1000)).otherwise(F.col("__peak")).cast("bigint")
+        )
+        .drop("__peak", "__ended")
+    )
 
 
-def late_events(events: DataFrame) -> DataFrame:
+def late_events(events: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     """Events after their job's first terminal event, the ones ``normalize_progress`` drops."""
-    ends = (
-        events.filter(is_terminal(F.col("status")))
-        .groupBy("job_id")
-        .agg(F.min("sequence").alias("__end"))
-    )
-    return events.join(ends, "job_id").filter(F.col("sequence") > F.col("__end")).drop("__end")
+    return _with_ended(events, {}, size).filter(F.col("__ended").isNotNull()).drop("__ended")
 
 
 def illegal_transitions(events: DataFrame, edges: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:

@@ -18,8 +18,8 @@ _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
 def chunk_of(order: Column, size: int = CHUNK_ROWS) -> Column:
-    """Chunk number of an integer order column."""
-    return F.floor(order / F.lit(size))
+    """First order value of the chunk an integer order value falls into."""
+    return order - F.pmod(order, F.lit(size))
 
 
 def _combine(kind: str, carried: Column, local: Column) -> Column:
@@ -42,7 +42,7 @@ def running(
 
     ``scans`` maps a new column to (sum|max|min|count, expression, include current row).
     ``order`` must be a total order within a key; ``chunk`` must not decrease along it
-    and defaults to the first order column divided by ``size``.
+    and defaults to ranges of ``size`` values of the first order column.
     """
     chunk = chunk if chunk is not None else chunk_of(F.col(order[0]), size)
     inputs = {name: f"__in_{i}" for i, name in enumerate(scans)}
@@ -82,7 +82,7 @@ def previous(
     """Add the preceding row's value of each column (new name -> column)."""
     chunk = chunk if chunk is not None else chunk_of(F.col(order[0]), size)
     rows = df.withColumn(CHUNK, chunk)
-    position = F.struct(*order)
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     last = rows.groupBy(*keys, CHUNK).agg(
         F.max_by(F.struct(*columns.values()), position).alias("__last")
     )

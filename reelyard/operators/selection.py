@@ -148,18 +148,20 @@ def select_for_target(
             F.count(F.lit(1)).alias("measured"),
         )
     )
+    # Files keep their row without attempts; one join, then a fold on the same key.
     sizes = files.select("file_id", "size_bytes", "requested_bytes")
-    joined = ladder.join(sizes, "file_id")
+    joined = sizes.join(ladder, "file_id", "left")
     size = F.col("a.output_bytes")
     fits = (size <= F.col("requested_bytes")) & (size < F.col("size_bytes"))
     pick = F.struct("quality", "a")
-    chosen = joined.groupBy("file_id").agg(
+    rows = joined.groupBy("file_id").agg(
+        F.max("size_bytes").alias("size_bytes"),
+        F.max("requested_bytes").alias("requested_bytes"),
         F.max_by(F.when(fits, pick), F.when(fits, F.col("quality"))).alias("best"),
-        F.min_by(pick, F.col("quality")).alias("lowest"),
+        F.min_by(F.when(size.isNotNull(), pick), F.col("quality")).alias("lowest"),
         F.min(F.when(size < F.col("size_bytes"), size)).alias("smallest_bytes"),
         F.sum("measured").alias("attempts"),
     )
-    rows = sizes.join(chosen, "file_id", "left")
     original, target = F.col("size_bytes"), F.col("requested_bytes")
     no_work = target >= original
     floor_kept = F.coalesce(F.col("lowest.a.output_bytes") < original, F.lit(False))
@@ -205,15 +207,16 @@ def select_png(attempts: DataFrame, files: DataFrame, allow_lossy: bool = False)
         .agg(F.min("output_bytes").alias("output_bytes"))
     )
     sizes = files.select("file_id", "size_bytes", "requested_bytes")
-    joined = formats.join(sizes, "file_id")
+    joined = sizes.join(formats, "file_id", "left")
     size = F.col("output_bytes")
     smaller = size < F.col("size_bytes")
     fits = smaller & (size <= F.col("requested_bytes"))
-    chosen = joined.groupBy("file_id").agg(
+    rows = joined.groupBy("file_id").agg(
+        F.max("size_bytes").alias("size_bytes"),
+        F.max("requested_bytes").alias("requested_bytes"),
         F.min(F.when(fits, F.struct("format_rank", "output_bytes"))).alias("first_fit"),
         F.min(F.when(smaller, F.struct("output_bytes", "format_rank"))).alias("smallest"),
     )
-    rows = sizes.join(chosen, "file_id", "left")
     original, target = F.col("size_bytes"), F.col("requested_bytes")
     no_work = target >= original
     outcome = (
