@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import progress as progress_ops
 from ..session import shared_dir
 from ..sources.adapters import sql_over, view
 from ..streaming import blocks, events, tables
@@ -50,18 +51,25 @@ def event_rows(spark, sf_dir) -> DataFrame:
     )
 
 
-def tracked(stream: DataFrame) -> DataFrame:
-    """Retention, stall and run limits longer than the data, which spans a month."""
-    quarter = 90 * 24 * 3600 * 1000
-    return events.track_jobs(stream, stall_ms=quarter, run_ms=quarter, retention_ms=quarter)
+# Longer than the data, which spans a month.
+QUARTER_MS = 90 * 24 * 3600 * 1000
+SILENCE_MS = 6 * 3600 * 1000
 
 
-def run_tracker(spark, sf_dir) -> DataFrame:
+def tracked(stream: DataFrame, stall_ms: int = QUARTER_MS) -> DataFrame:
+    return events.track_jobs(
+        stream, stall_ms=stall_ms, run_ms=QUARTER_MS, retention_ms=QUARTER_MS
+    )
+
+
+def run_tracker(spark, sf_dir, stall_ms: int = QUARTER_MS) -> DataFrame:
     """Tracker output over the whole event table."""
     home = shared_dir(spark, "track")
     feed(
         _slices(event_rows(spark, sf_dir)), f"{home}/in",
-        lambda stream: tables.append_table(tracked(stream), f"{home}/out", f"{home}/checkpoint"),
+        lambda stream: tables.append_table(
+            tracked(stream, stall_ms), f"{home}/out", f"{home}/checkpoint"
+        ),
     )
     return spark.read.schema(events.TRACK_SCHEMA).parquet(f"{home}/out")
 
@@ -119,6 +127,34 @@ def stream_late_events(spark, sf_dir):
     return late.groupBy("job_id").agg(F.count(F.lit(1)).alias("late_events"))
 
 
+STALLED_SQL = f"""
+j AS (SELECT job_id, epoch_us(max(ts)) // 1000 AS last_ms, max(sequence) AS sequence, bool_or(status IN ('completed', 'failed', 'cancelled')) AS finished FROM progress_events GROUP BY job_id),
+n AS (SELECT epoch_us(max(ts)) // 1000 - 3600000 AS now_ms FROM progress_events)
+SELECT job_id, sequence, now_ms - last_ms AS silent_ms FROM j, n WHERE NOT finished AND last_ms + {SILENCE_MS} <= now_ms"""
+
+
+@register("x4_stalled_jobs", sql_over(["progress_events"], f"WITH {STALLED_SQL.strip()}"))
+def stalled_jobs(spark, sf_dir):
+    """Jobs silent for six hours, one hour before the newest event."""
+    rows = view(spark, sf_dir, "progress_events")
+    newest = rows.agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("m")).scalar()
+    return progress_ops.stalled_jobs(rows, newest - 3_600_000, SILENCE_MS, QUARTER_MS)
+
+
+@register(
+    "x4_stream_stalled_jobs",
+    sql_over(["progress_events"], f"WITH {STALLED_SQL.strip()}").replace(
+        "SELECT job_id, sequence, now_ms - last_ms AS silent_ms FROM j", "SELECT job_id, sequence FROM j"
+    ),
+)
+def stream_stalled_jobs(spark, sf_dir):
+    """The same jobs, reported by the tracker's timers once the watermark has passed."""
+    rows = run_tracker(spark, sf_dir, SILENCE_MS)
+    last = rows.filter("kind = 'event'").groupBy("job_id").agg(F.max("sequence").alias("sequence"))
+    stalled = rows.filter("kind = 'stalled'").select("job_id", "sequence").distinct()
+    return stalled.join(last, ["job_id", "sequence"], "left_semi")
+
+
 @register("k2_upsert_latest", _sql_of("w1_latest_events"))
 def upsert_latest(spark, sf_dir):
     home = shared_dir(spark, "latest")

@@ -451,6 +451,26 @@ def simple_remaining(progress: Column, elapsed_s: Column) -> Column:
     )
 
 
+def stalled_jobs(events: DataFrame, now_ms: Column, stall_ms: int, run_ms: int) -> DataFrame:
+    """Unfinished jobs that are silent or running for too long at ``now_ms``.
+
+    The batch form of the stream tracker's timer.
+    """
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    jobs = events.groupBy("job_id").agg(
+        F.min(ms).alias("__first"),
+        F.max(ms).alias("__last"),
+        F.max("sequence").alias("sequence"),
+        F.bool_or(is_terminal(F.col("status"))).alias("__finished"),
+    )
+    limit = F.greatest(
+        F.least(F.col("__last") + stall_ms, F.col("__first") + run_ms), F.col("__last") + 1
+    )
+    return jobs.filter(~F.col("__finished") & (limit <= now_ms)).select(
+        "job_id", "sequence", (now_ms - F.col("__last")).alias("silent_ms")
+    )
+
+
 def recover_jobs(active: DataFrame, latest: DataFrame) -> DataFrame:
     """Stored active jobs against the latest state.
 
