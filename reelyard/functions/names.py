@@ -11,15 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .staging import settle
+
 # Python workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # --- fixed values: characters and names not allowed in download names ------------
-INVALID_CHARACTERS = r'[\x00-\x1f\x7f<>:"/\\|?*]'
-TRAILING = r"[. ]+$"
+INVALID_CHARACTERS = "".join(map(chr, range(0x20))) + '\x7f<>:"/\\|?*'
+TRAILING = ". "
 RESERVED = r"(?i)^(?:con|prn|aux|nul|com[1-9]|lpt[1-9])(?:\..*)?$"
 FALLBACK = "compressed_file"
-NON_ASCII = r"[^\x00-\x7f]"
 
 
 @F.pandas_udf(StringType())
@@ -30,19 +31,32 @@ def _compose(names: pd.Series) -> pd.Series:
 
 def normalize_names(df: DataFrame, column: str) -> DataFrame:
     """NFC form of a name column. Only non-ASCII names leave the JVM."""
-    foreign = F.coalesce(F.col(column).rlike(NON_ASCII), F.lit(False))
+    # more bytes than characters
+    foreign = F.coalesce(F.octet_length(column) != F.length(column), F.lit(False))
     plain = df.filter(~foreign)
     composed = df.filter(foreign).withColumn(column, _compose(F.col(column)))
     return plain.unionByName(composed)
 
 
-def sanitize(name: Column, fallback: str = FALLBACK) -> Column:
-    """Replace invalid characters, strip trailing dots and spaces, guard reserved names."""
-    clean = F.regexp_replace(
-        F.regexp_replace(F.coalesce(name, F.lit("")), INVALID_CHARACTERS, "_"), TRAILING, ""
+def clean(name: Column) -> Column:
+    """Replace invalid characters, strip trailing dots and spaces."""
+    replaced = F.translate(
+        F.coalesce(name, F.lit("")), INVALID_CHARACTERS, "_" * len(INVALID_CHARACTERS)
+    )
+    return F.rtrim(replaced, F.lit(TRAILING))
+
+
+def guard(name: Column, fallback: str = FALLBACK) -> Column:
+    """Stand-in for an empty name, underscore before a reserved device name."""
+    return (
+        F.when(name == "", F.lit(fallback))
+        .when(name.rlike(RESERVED), F.concat(F.lit("_"), name))
+        .otherwise(name)
     )
-    safe = F.when(clean == "", F.lit(fallback)).otherwise(clean)
-    return F.when(safe.rlike(RESERVED), F.concat(F.lit("_"), safe)).otherwise(safe)
+
+
+def sanitize(name: Column, fallback: str = FALLBACK) -> Column:
+    return guard(clean(name), fallback)
 
 
 def extension(ext: Column) -> Column:
@@ -53,7 +67,10 @@ def extension(ext: Column) -> Column:
 
 
 def without_extension(name: Column) -> Column:
-    return F.when(F.instr(name, ".") > 0, F.regexp_replace(name, r"(?s)\.[^.]*$", "")).otherwise(name)
+    tail = F.length(F.substring_index(name, ".", -1)) + 1
+    return F.when(
+        F.instr(name, ".") > 0, F.substring(name, F.lit(1), F.length(name) - tail)
+    ).otherwise(name)
 
 
 def compressed_name(original: Column, ext: Column) -> Column:
@@ -62,6 +79,19 @@ def compressed_name(original: Column, ext: Column) -> Column:
     return F.concat(base, F.lit("_comp."), extension(ext))
 
 
+def with_compressed_stem(df: DataFrame, original: str, stem: str) -> DataFrame:
+    """``compressed_name`` without its extension as a column, for whole tables.
+
+    Each step reads the one before several times, so each is settled.
+    """
+    rows = settle(df, {"__clean": clean(F.col(original))})
+    rows = settle(rows, {"__safe": guard(F.col("__clean"), "")})
+    rows = settle(rows, {"__base": clean(without_extension(F.col("__safe")))})
+    return rows.withColumn(stem, F.concat(guard(F.col("__base")), F.lit("_comp"))).drop(
+        "__clean", "__safe", "__base"
+    )
+
+
 def attachment_header(name: Column) -> Column:
     """Header-safe attachment name: ASCII fallback and percent-encoded form."""
     safe = sanitize(name)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import compressed_name, normalize_names
+from ..functions.names import extension, normalize_names, with_compressed_stem
 from .running import CHUNK_ROWS, numbered
 
 
@@ -18,14 +18,11 @@ def unique_names(files: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     within (batch, name) is the whole rule. The rank is a chunked running count: a batch
     of one repeated name is ranked by many tasks.
     """
-    named = normalize_names(files, "original_name").withColumn(
-        "__name", compressed_name(F.col("original_name"), F.col("output_ext"))
-    )
-    keyed = named.withColumn("__key", F.lower("__name"))
+    named = with_compressed_stem(
+        normalize_names(files, "original_name"), "original_name", "__stem"
+    ).withColumn("__ext", F.concat(F.lit("."), extension(F.col("output_ext"))))
+    keyed = named.withColumn("__key", F.lower(F.concat("__stem", "__ext")))
     ranked = numbered(keyed, ["batch_id", "__key"], ["ord"], "__rank", size=size)
-    stem = F.regexp_extract("__name", r"(?s)^(.*)(\.[^.]*)$", 1)
-    dot_ext = F.regexp_extract("__name", r"(?s)^(.*)(\.[^.]*)$", 2)
-    name = F.when(F.col("__rank") == 1, F.col("__name")).otherwise(
-        F.concat(stem, F.lit("_"), F.col("__rank").cast("string"), dot_ext)
-    )
-    return ranked.withColumn("download_name", name).drop("__name", "__key", "__rank")
+    number = F.when(F.col("__rank") > 1, F.concat(F.lit("_"), F.col("__rank").cast("string")))
+    name = F.concat("__stem", F.coalesce(number, F.lit("")), "__ext")
+    return ranked.withColumn("download_name", name).drop("__stem", "__ext", "__key", "__rank")

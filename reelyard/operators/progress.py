@@ -273,41 +273,49 @@ def stage_timeline(events: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     opens = [(at > i) | complete | ((at == i) & ~waiting) for i in stages]
     passes = [(at > i) | complete | ((at == i) & stopped) for i in stages]
 
+    # Only fixed-width buffers (no text, no structs): both aggregations hash, none sorts.
+    outcome = (
+        F.when(complete, 1)
+        .when(status == "failed", 2)
+        .when(status == "cancelled", 3)
+        .when(waiting, 4)
+        .otherwise(0)
+    )
     marks = events.groupBy("job_id").agg(
-        F.max_by(F.struct("stage_index", "status", "ts"), order).alias("__last"),
+        F.max_by(at, order).alias("__at"),
+        F.max_by(outcome, order).alias("__outcome"),
+        F.max_by("ts", order).alias("__ts"),
         *[F.max(F.when(reset[i], order)).alias(f"__reset_{i}") for i in stages],
         *[F.max(F.when(unfinished[i], order)).alias(f"__open_{i}") for i in stages],
     )
     marked = events.join(marks, "job_id")
 
     def first_time(hit: Column, after: Column) -> Column:
-        return F.min(F.when(hit & (after.isNull() | (order > after)), F.struct("sequence", "ts")))
+        return F.min_by("ts", F.when(hit & (after.isNull() | (order > after)), order))
 
     times = marked.groupBy("job_id").agg(
-        F.any_value("__last").alias("__last"),
+        *[F.max(c).alias(c) for c in ("__at", "__outcome", "__ts")],
         *[first_time(opens[i], F.col(f"__reset_{i}")).alias(f"__start_{i}") for i in stages],
         *[first_time(passes[i], F.col(f"__open_{i}")).alias(f"__done_{i}") for i in stages],
     )
-    final_at, final = F.col("__last.stage_index"), F.col("__last.status")
+    final_at, final = F.col("__at"), F.col("__outcome")
 
     def stage_row(i: int) -> Column:
         state = (
-            F.when((final == "completed") | (final_at > i), "completed")
+            F.when((final == 1) | (final_at > i), "completed")
             .when(final_at < i, "pending")
-            .when(final.isin("failed", "cancelled"), final)
-            .when(final.isin(*dims.WAITING_STATUSES), "pending")
+            .when(final == 2, "failed")
+            .when(final == 3, "cancelled")
+            .when(final == 4, "pending")
             .otherwise("processing")
         )
-        started = F.when(final_at < i, F.when(final == "completed", F.col(f"__start_{i}.ts"))).otherwise(
-            F.col(f"__start_{i}.ts")
-        )
         return F.struct(
             F.lit(i).alias("stage_index"),
             F.lit(labels[i]).alias("label"),
             state.alias("stage_status"),
-            started.alias("started_at"),
-            F.when(state == "completed", F.col(f"__done_{i}.ts"))
-            .when(state.isin("failed", "cancelled"), F.col("__last.ts"))
+            F.when((final == 1) | (final_at >= i), F.col(f"__start_{i}")).alias("started_at"),
+            F.when(state == "completed", F.col(f"__done_{i}"))
+            .when(state.isin("failed", "cancelled"), F.col("__ts"))
             .alias("completed_at"),
         )
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 1 << 16
+# Large enough that ordinary keys fit one chunk, small enough for one window task.
+CHUNK_ROWS = 1 << 20
 CHUNK = "__chunk"
 
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
