@@ -17,6 +17,11 @@ def events(spark, sf_dir):
     return view(spark, sf_dir, "progress_events")
 
 
+def stored_events(spark, sf_dir):
+    """The event table written once, for operators that scan their input more than once."""
+    return materialize(events(spark, sf_dir), "progress-events")
+
+
 @register(
     "a1_overall_progress",
     sql_over(
@@ -70,7 +75,7 @@ SELECT p.job_id, p.sequence, p.status FROM p LEFT JOIN s USING (job_id) WHERE s.
     ),
 )
 def replay(spark, sf_dir):
-    rows = events(spark, sf_dir)
+    rows = stored_events(spark, sf_dir)
     job = F.col("job_id")
     cursor = F.when(job % 3 == 0, F.concat_ws(":", job, job % 17)).when(
         job % 3 == 1, F.concat(F.lit(" "), job, F.lit(":"), job % 17, F.lit(" "))
@@ -110,7 +115,7 @@ normal AS (
     ),
 )
 def normalize_progress(spark, sf_dir):
-    return ops.normalize_progress(events(spark, sf_dir)).select(
+    return ops.normalize_progress(stored_events(spark, sf_dir)).select(
         "job_id", "sequence", "status", "progress"
     )
 
@@ -124,7 +129,7 @@ SELECT job_id, count(*) AS late_events FROM progress_events JOIN t USING (job_id
     ),
 )
 def late_event_tally(spark, sf_dir):
-    late = ops.late_events(events(spark, sf_dir))
+    late = ops.late_events(stored_events(spark, sf_dir))
     return late.groupBy("job_id").agg(F.count(F.lit(1)).alias("late_events"))
 
 
@@ -165,7 +170,7 @@ SELECT job_id, sequence, shown AS remaining_s FROM fold WHERE i > 0""",
     ),
 )
 def remaining_time(spark, sf_dir):
-    normal = materialize(ops.normalize_progress(events(spark, sf_dir)), "normal-progress")
+    normal = materialize(ops.normalize_progress(stored_events(spark, sf_dir)), "normal-progress")
     return ops.remaining_time(normal).select("job_id", "sequence", "remaining_s")
 
 
@@ -209,7 +214,7 @@ WHERE from_status <> to_status AND NOT EXISTS (SELECT 1 FROM edges WHERE f = fro
     ),
 )
 def illegal_transitions(spark, sf_dir):
-    return ops.illegal_transitions(events(spark, sf_dir), dims.transition_edges(spark)).select(
+    return ops.illegal_transitions(stored_events(spark, sf_dir), dims.transition_edges(spark)).select(
         "job_id", "sequence", "from_status", "to_status"
     )
 
@@ -227,7 +232,7 @@ FROM m WHERE seen IS NULL OR sequence > seen""",
 def log_feed(spark, sf_dir):
     # Arrivals out of order: events are held back by up to 1600 places.
     event = F.col("event_id")
-    arrived = events(spark, sf_dir).select(
+    arrived = stored_events(spark, sf_dir).select(
         "job_id", "event_id", "sequence", "status",
         (event * 8 + (event * 7919) % 5 * 400 ).alias("arrival"),
     )
@@ -236,7 +241,7 @@ def log_feed(spark, sf_dir):
 
 def staged_events(spark, sf_dir):
     """Normalised events with a stage index implied by progress."""
-    normal = ops.normalize_progress(events(spark, sf_dir))
+    normal = ops.normalize_progress(stored_events(spark, sf_dir))
     return normal.withColumn("stage_index", ops.stage_index_of(F.col("progress") / 10, 9))
 
 
@@ -319,7 +324,7 @@ SELECT job_id, sequence, CAST(idx AS INTEGER) AS stage_index FROM f WHERE sequen
 def infer_stage(spark, sf_dir):
     texts = F.array(*[F.lit(t) for t in STAGE_TEXTS])
     pick = ((F.col("event_id") * 31 + F.col("sequence")) % 10 + 1).cast("int")
-    rows = events(spark, sf_dir).select(
+    rows = stored_events(spark, sf_dir).select(
         "job_id", "sequence", (F.col("progress_tenths") / 10).alias("progress"),
         F.element_at(texts, pick).alias("stage"),
     )

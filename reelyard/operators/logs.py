@@ -29,6 +29,17 @@ def progress_pairs(lines: DataFrame) -> DataFrame:
     ).filter(F.col("key") != "").drop("line")
 
 
+def _typed(key: Column, value: Column) -> Column:
+    """A line's value as a number; the block states continue and end are 1 and 2."""
+    return (
+        F.when(key == "bitrate", with_suffix(value, "kbits/s"))
+        .when(key == "speed", with_suffix(value, "x"))
+        .when(key == "out_time", clock_seconds(value))
+        .when(key == "progress", F.when(value == "continue", 1.0).when(value == "end", 2.0))
+        .otherwise(number(value))
+    )
+
+
 def metrics_of(values: Column) -> dict[str, Column]:
     """Typed metrics out of one block's key/value struct."""
     raw = {k: values.getField(k) for k in PROGRESS_KEYS}
@@ -54,20 +65,31 @@ def assemble_blocks(
     The block number is a chunked running count of terminators; the last value of a key
     wins; an open block at the end of the log is kept.
     """
-    pairs = progress_pairs(lines)
+    pairs = progress_pairs(lines).withColumn("number", _typed(F.col("key"), F.col("value")))
     ends = F.when(F.col("key") == "progress", F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     numbered = running(
-        pairs, ["job_id"], [order], {"__closed": ("sum", ends, False)}, chunk=chunk, size=size
+        pairs.drop("value"), ["job_id"], [order], {"__closed": ("sum", ends, False)},
+        chunk=chunk, size=size,
     )
     block = numbered.withColumn("block", F.coalesce("__closed", F.lit(0).cast("bigint")))
+    # Numbers instead of texts: the aggregation hashes and never sorts the lines.
     last = {
-        k: F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col(order)))
-        for k in PROGRESS_KEYS
+        k: F.max_by("number", F.when(F.col("key") == k, F.col(order))) for k in PROGRESS_KEYS
     }
-    grouped = block.groupBy("job_id", "block").agg(*[v.alias(k) for k, v in last.items()])
-    values = grouped.select("job_id", "block", F.struct(*PROGRESS_KEYS).alias("v"))
+    values = block.groupBy("job_id", "block").agg(
+        *[v.alias(k) for k, v in last.items()],
+        F.max(F.when(F.col("key") == "out_time_us", 1)).alias("__has_us"),
+    )
+    micros = F.when(F.col("__has_us") == 1, F.col("out_time_us")).otherwise(F.col("out_time_ms"))
     return values.select(
-        "job_id", "block", *[c.alias(n) for n, c in metrics_of(F.col("v")).items()]
+        "job_id", "block", "frame", "fps",
+        F.col("bitrate").alias("bitrate_kbps"),
+        "total_size",
+        F.coalesce(micros / 1_000_000, F.col("out_time")).alias("out_time_s"),
+        F.col("dup_frames").alias("duplicate_frames"),
+        F.col("drop_frames").alias("dropped_frames"),
+        "speed",
+        F.when(F.col("progress") == 1, "continue").when(F.col("progress") == 2, "end").alias("state"),
     )
 
 
