@@ -202,7 +202,7 @@ def test_structured_logs(spark, tmp_path):
 
 
 def test_redaction(spark):
-    df = spark.createDataFrame([(1, "s", "failed at /tmp/compression-files/job/source.bin now"), (1, "s", r"C:\a\b.mp4 and \\host\x"), (1, "s", "fine")], "job_id int, stage string, message string")
+    df = spark.createDataFrame([(1, "s", "failed at /tmp/work/job/source.bin now"), (1, "s", r"C:\a\b.mp4 and \\host\x"), (1, "s", "fine")], "job_id int, stage string, message string")
     rows = logs.redact_messages(df).collect()
     assert [r.redactions for r in rows] == [1, 2, 0]
     assert rows[0].message == "failed at [一時ファイル] now" and rows[1].message == "[内部パス] and [内部パス]"
