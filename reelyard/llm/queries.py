@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import line_dedup, mixing
+from . import bpe, embedding_dedup, fingerprints, jaccard_join, line_dedup, lm_score, mixing, quality, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,12 @@ def over(table: str, run: Callable[[SparkSession, DataFrame], DataFrame]) -> Que
     return lambda spark, sf_dir: run(tune(spark), spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def op2_quality_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.digest(spark, docs, labels)
+
+
 OP1_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -58,7 +64,14 @@ FROM rows
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": over("documents", line_dedup.digest),
+        "op2_quality_sample": op2_quality_sample,
+        "op3_embedding_dedup": over("embeddings", embedding_dedup.digest),
+        "op4_jaccard_join": over("documents", jaccard_join.digest),
+        "op5_fingerprints": over("documents", fingerprints.digest),
+        "op6_bpe": over("documents", bpe.digest),
         "op8_mix_sources": over("documents", mixing.digest),
+        "op9_lm_score": over("documents", lm_score.digest),
+        "op10_suffix_dedup": over("documents", suffix_dedup.digest),
     }
 
 

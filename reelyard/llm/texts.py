@@ -51,6 +51,12 @@ class RollingHash:
         total = np.cumsum((data.astype(U) + U(1 + salt)) * up[:-1], dtype=U)
         self._total = np.concatenate([np.zeros(1, U), total])
 
+    def windows(self, size: int) -> np.ndarray:
+        """Hashes of all runs of ``size`` bytes."""
+        if len(self._total) <= size:
+            return np.zeros(0, U)
+        return mix((self._total[size:] - self._total[:-size]) * self._down[: len(self._total) - size])
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self._total[ends] - self._total[starts]) * self._down[starts]
         return mix(raw + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93) + self._salt)
