@@ -12,7 +12,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +46,19 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def unassigned() -> str:
+    """Ranges of the characters without a category in this Python, for a character class."""
+    ranges, start = [], None
+    for code in range(0x80, 0x110001):
+        free = code < 0x110000 and not 0xD800 <= code < 0xE000 and unicodedata.category(chr(code)) == "Cn"
+        if free and start is None:
+            start = code
+        elif not free and start is not None:
+            ranges.append(f"\\U{start:08x}-\\U{code - 1:08x}")
+            start = None
+    return "".join(ranges)
+
+
 class WordBpe:
     """A vocabulary file and the encoding that it defines.
 
@@ -82,6 +94,10 @@ class WordBpe:
         )
         suffix = model["end_of_word_suffix"]
         chars = byte_characters()
+        self._byte = {c: b for b, c in enumerate(chars)}
+        self._unknown = regex.compile(f"[{unassigned()}]")
+        # the same file without its tokens
+        self._frame = json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}})
         self._inner = np.array([vocab[c] for c in chars], np.int64)
         self._last = np.array([vocab[c + suffix] for c in chars], np.int64)
 
@@ -113,9 +129,22 @@ class WordBpe:
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
             return self._ascii.findall(text.lower())
+        if self._unknown.search(text):
+            return self._library_split(text)
         # lower case by character: a final sigma has no form of its own here
         return self._pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
+    def _library_split(self, text: str) -> list[str]:
+        """Words of a text with characters newer than this Python's Unicode tables.
+
+        Which of them are letters depends on the tables of the library, so it is asked.
+        """
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_str(self._frame)
+        pieces = tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(text))
+        return [bytes(self._byte[c] for c in piece).decode() for piece, _ in pieces]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of many words in one array, and the number of tokens of each."""
         sizes = np.array([len(w) for w in words], np.int64)
@@ -211,11 +240,6 @@ class Encoder:
         self._size = np.concatenate([self._size, sizes])
 
 
-@lru_cache(maxsize=4)
-def load(path: str) -> WordBpe:
-    return WordBpe(path)
-
-
 def _with_columns(docs: DataFrame, names: list[str]) -> T.StructType:
     kept = [f for f in docs.schema.fields if f.name not in names]
     kinds = {"token_ids": T.BinaryType(), "decoded": T.StringType()}
@@ -234,8 +258,10 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
     schema = _with_columns(docs, names)
     kept = [f.name for f in schema.fields if f.name not in names]
 
+    shared = docs.sparkSession.sparkContext.broadcast(WordBpe(path))  # the size of the file
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = shared.value
         encoder = Encoder(bpe)
         for batch in batches:
             for piece in pieces(batch, "text"):
@@ -254,8 +280,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     schema = _with_columns(encoded, ["decoded"])
     kept = [f.name for f in schema.fields if f.name != "decoded"]
 
+    shared = encoded.sparkSession.sparkContext.broadcast(WordBpe(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = shared.value
         for batch in batches:
             for piece in pieces(batch, "token_ids"):
                 texts = [bpe.decode(np.frombuffer(x or b"", "<u4")) for x in piece.column("token_ids").to_pylist()]
