@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .mixing import uniform
-from .tables import stored, text_of
+from .tables import packed, stored, text_of, unpacked
 from .texts import U, Words, mix, pieces
 
 #: Hash buckets of the models, as a power of two; the models' size doesn't grow.
@@ -65,15 +65,20 @@ def n_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found) >> U(64 - BITS)).view(np.int64), np.concatenate(owner)
 
 
+def held_out() -> F.Column:
+    """Every other labelled document, by a hash of its id."""
+    return F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(2)) == 0
+
+
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, shrink: float = SHRINK) -> np.ndarray:
     """``log(p_target / p_raw)`` of every bucket.
 
     ``labels(doc_id, quality, toxic)``: good are rows of quality 1 that are not toxic. The
-    ``labelled`` of them with the smallest hash of the id make the target sample. Without any
-    good document all ratios are 0.
+    ``labelled`` of them with the smallest hash of the id make the target sample; those that
+    ``held_out`` names are left to find the cut. Without any good document all ratios are 0.
     """
     good = labels.where("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    good = good.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     target = F.broadcast(good.select(F.col("doc_id").alias("_good")))  # at most ``labelled`` ids
     flagged = docs.select("doc_id", text_of().alias("text")).join(target, F.col("doc_id") == F.col("_good"), "left")
     flagged = flagged.select("text", F.col("_good").isNotNull().alias("good"))
@@ -152,9 +157,9 @@ def share_of_good(keys: DataFrame, labels: DataFrame, labelled: int = LABELLED)
     """Log weight that parts good from bad best: the lowest one with the fewest errors.
 
     Errors are the shares of good and of bad documents on the wrong side, over ``labelled``
-    rows of each kind at most. Without bad rows nothing is rejected.
+    held-out rows of each kind at most. Without bad rows nothing is rejected.
     """
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
+    marks = labels.where("doc_id is not null and quality is not null").where(held_out()).groupBy("doc_id").agg(F.min("quality").alias("good"))
     order = F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id"))
     marks = marks.where("good in (0, 1)").withColumn("place", order).where(F.col("place") <= labelled)
     rows = keys.join(F.broadcast(marks), "doc_id").select("log_ratio", "good").toArrow()  # bounded by ``labelled``
@@ -199,9 +204,8 @@ def selected(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: str
     """The drawn rows of ``docs`` with all their columns; texts are scored again, not moved."""
     ratios = fit(docs, labels, labelled)
     _, cut = cut_of(docs, labels, ratios, k, seed, labelled)
-    names = docs.columns
-    plain = docs.withColumn("_text", F.col("text")).withColumn("text", text_of())
-    return scored(plain, ratios).where(gumbel_key(seed) >= cut).withColumn("text", F.col("_text")).select(*names)
+    rows = packed(docs, F.col("doc_id"), text_of().alias("text"))
+    return scored(rows, ratios).where(gumbel_key(seed) >= cut).select(*unpacked(docs.columns))
 
 
 def digest(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
