@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .tables import on_row, stored, text_key, text_of, wide_hash
+from .tables import packed, stored, text_key, text_of, unpacked, wide_hash
 
 SPACES = "\t\n\x0b\x0c\r "
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -124,7 +124,7 @@ def dropped_lines(
         new = stored(runs.unseen(keys).select(*KEY), "line-new")
         old = keys.join(new, KEY, "left_anti").select(*KEY, F.lit(None).cast("bigint").alias("first"))
         first = keys.where("shared or (unnamed and first is not null)").join(new, KEY, "left_semi")
-        owner = old.unionByName(first.select(*KEY, F.col("first").cast("bigint")))
+        owner = stored(old.unionByName(first.select(*KEY, F.col("first").cast("bigint"))), "line-owners")
         hit = part.join(owner, KEY).where(F.col("first").isNull() | ~F.col("doc_id").eqNullSafe(F.col("first")))
         # identical rows repeat their lines; a set keeps a number once
         drops = hit.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("drop"))
@@ -146,18 +146,17 @@ def dedup_lines(
     that ``n_lines``, ``n_dropped`` and ``kept_text`` are replaced.
     """
     drops = dropped_lines(docs.select("doc_id", "text"), min_chars, batches, fanout)
-    drops = drops.select(F.struct("doc_id", "text_key").alias("_row"), F.col("drop").alias("_drop"))
-    base = docs.drop("n_lines", "n_dropped", "kept_text")
-    row = F.struct(F.col("doc_id"), text_key().alias("text_key"))
-    joined = base.withColumn("_row", row).join(drops, "_row", "left")
-    lines = F.split(text_of(), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("_drop"))
+    drops = drops.select(F.struct("doc_id", "text_key").alias("key"), "drop")
+    own = F.struct(F.col("doc_id"), text_key().alias("text_key"))
+    joined = packed(docs, own.alias("key"), text_of().alias("text")).join(drops, "key", "left")
+    lines = F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("drop"))
     kept = F.array_join(F.transform(left, lambda i: F.element_at(lines, i)), "\n")
     return joined.select(
-        *[F.col(c) for c in base.columns],
+        *unpacked([c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]),
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("_drop").isNull(), text_of()).otherwise(kept).alias("kept_text"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
     )
 
 

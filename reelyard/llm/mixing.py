@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import text_of
+from .tables import packed, text_of, unpacked
 
 SEED = "mix-1"
 #: A source's documents are spread over so many parts of the join with the source table.
@@ -87,15 +87,11 @@ def copies(
     a source that holds a third of all rows is spread over ``SPREAD`` keys.
     """
     means = source_means(docs.select("source", "text"), weights, size).select(
-        F.col("source").alias("_source"), "mean",
-        F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part"),
-    )
-    base = docs.drop("mean", "copies").withColumn(
-        "_part", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")
-    )
-    joined = base.join(
-        means, (base["_part"] == means["_part"]) & base["source"].eqNullSafe(means["_source"]), "left"
+        F.col("source").alias("of"), "mean", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("in_part"),
     )
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")
+    base = packed(docs, F.col("source"), F.col("doc_id"), part.alias("part"))
+    joined = base.join(means, (base["part"] == means["in_part"]) & base["source"].eqNullSafe(means["of"]), "left")
     mean = F.coalesce(F.col("mean"), F.lit(0.0))
     # a sum of independent Poisson variables is one: means beyond MOST_MEAN are drawn in parts
     parts = F.greatest(F.ceil(mean / MOST_MEAN), F.lit(1)).cast("int")
@@ -104,7 +100,8 @@ def copies(
         lambda i: poisson_count(mean / parts, uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), i.cast("string"))),
     )
     count = F.aggregate(draws, F.lit(0), lambda a, x: a + x)
-    return joined.select(*[base[c] for c in base.columns if c != "_part"], mean.alias("mean"), count.alias("copies"))
+    kept = [c for c in docs.columns if c not in ("mean", "copies")]
+    return joined.select(*unpacked(kept), mean.alias("mean"), count.alias("copies"))
 
 
 def mix(

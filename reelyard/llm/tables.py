@@ -35,3 +35,15 @@ def on_row(left: DataFrame, right: DataFrame) -> Column:
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder of the session and read it back."""
     return materialize(df, f"llm-{purpose}")
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns of ``docs`` as one struct ``row``, and the columns ``more``.
+
+    What an operator adds can then have any name without clashing with the caller's columns.
+    """
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in columns]
