@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bpe, embedding_dedup, fingerprints, jaccard_join, line_dedup, lm_score, mixing, quality, suffix_dedup
+from . import bpe, embedding_dedup, fingerprints, jaccard_join, line_dedup, lm_score, mixing, quality, secrets, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op4_jaccard_join": over("documents", jaccard_join.digest),
         "op5_fingerprints": over("documents", fingerprints.digest),
         "op6_bpe": over("documents", bpe.digest),
+        "op7_secret_scan": over("documents", secrets.digest),
         "op8_mix_sources": over("documents", mixing.digest),
         "op9_lm_score": over("documents", lm_score.digest),
         "op10_suffix_dedup": over("documents", suffix_dedup.digest),
