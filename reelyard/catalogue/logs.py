@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..operators import benchlog, logs
 from ..operators.progress import simple_remaining
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 from ..sources import files as file_sources
 from ..sources import sinks
 from ..sources.adapters import Derived, sql_fixed, sql_over, table, view
@@ -16,12 +16,14 @@ from . import register
 BLOCKS = Derived(
     ["progress_events"],
     """SELECT job_id, sequence, sequence * 7 AS frame, elapsed_cs * 10000 AS out_us, CAST(progress_tenths AS DOUBLE) / 10 AS fps, progress_tenths * 1000 AS total_size,
-  event_id % 9 = 0 AS no_time, event_id % 7 = 0 AS clock_time, event_id % 5 = 0 AS repeats, event_id % 11 = 0 AS no_speed FROM {progress_events}""",
+  event_id % 9 = 0 AS no_time, event_id % 7 = 0 AS clock_time, event_id % 5 = 0 AS repeats, event_id % 11 = 0 AS no_speed,
+  job_id % 3 = 0 AND sequence = top AS tail FROM {progress_events}
+  JOIN (SELECT job_id AS top_job, max(sequence) AS top FROM {progress_events} GROUP BY job_id) AS tops ON job_id = top_job""",
 )
 
 
 def log_lines(spark, sf_dir):
-    """Progress logs as a tool prints them: one block of lines per event, the last one open."""
+    """Progress logs as a tool prints them: one block of lines per event, the last one of every third job open."""
     b = BLOCKS.frame(spark, sf_dir)
     c = F.col
     text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
@@ -42,23 +44,28 @@ def log_lines(spark, sf_dir):
             text("total_size=", c("total_size").cast("string")),
             F.when(c("no_speed"), F.lit("speed=N/A")).otherwise(F.lit("speed=1.25x")),
             F.lit("bitrate= 812.5kbits/s"),
-            F.when(c("sequence") % 50 != 0, F.lit("progress=continue")).otherwise(F.lit("progress=end")),
+            F.when(c("tail"), F.lit(None)).when(c("sequence") % 50 != 0, F.lit("progress=continue")).otherwise(F.lit("progress=end")),
         )
     )
     rows = b.select("job_id", "sequence", F.posexplode(lines).alias("pos", "line"))
     return rows.select("job_id", (c("sequence") * 16 + c("pos")).alias("line_no"), "line")
 
 
+def stored_lines(spark, sf_dir):
+    """The same lines as a table: block assembly reads its input twice."""
+    return materialize(log_lines(spark, sf_dir), "log-lines")
+
+
 BLOCK_SQL = f"""
 b AS ({BLOCKS.sql()}),
 k AS (SELECT job_id, sequence - 1 AS block, CAST(frame + CASE WHEN repeats THEN 1 ELSE 0 END AS DOUBLE) AS frame, fps, 812.5e0 AS bitrate_kbps, CAST(total_size AS DOUBLE) AS total_size,
   CASE WHEN no_time THEN NULL WHEN clock_time THEN CASE WHEN floor(CAST(out_us AS DOUBLE) / 1000000) < 360000 THEN floor(CAST(out_us AS DOUBLE) / 1000000) + 0.5e0 END ELSE CAST(out_us AS DOUBLE) / 1000000 END AS out_time_s,
-  CASE WHEN no_speed THEN NULL ELSE 1.25e0 END AS speed, CASE WHEN sequence % 50 <> 0 THEN 'continue' ELSE 'end' END AS state FROM b)"""
+  CASE WHEN no_speed THEN NULL ELSE 1.25e0 END AS speed, CASE WHEN tail THEN NULL WHEN sequence % 50 <> 0 THEN 'continue' ELSE 'end' END AS state FROM b)"""
 
 
 @register("w6_assemble_blocks", sql_over(["progress_events"], f"WITH {BLOCK_SQL.strip()} SELECT * FROM k"))
 def assemble_blocks(spark, sf_dir):
-    return logs.assemble_blocks(log_lines(spark, sf_dir)).drop("duplicate_frames", "dropped_frames")
+    return logs.assemble_blocks(stored_lines(spark, sf_dir)).drop("duplicate_frames", "dropped_frames")
 
 
 @register(
@@ -66,7 +73,8 @@ def assemble_blocks(spark, sf_dir):
     sql_over(
         ["progress_events"],
         f"""WITH b AS ({BLOCKS.sql()}),
-p AS (SELECT job_id, unnest(['frame', 'fps', 'total_size', 'speed', 'bitrate', 'progress']) AS key FROM b
+p AS (SELECT job_id, unnest(['frame', 'fps', 'total_size', 'speed', 'bitrate']) AS key FROM b
+  UNION ALL SELECT job_id, 'progress' FROM b WHERE NOT tail
   UNION ALL SELECT job_id, 'frame' FROM b WHERE repeats UNION ALL SELECT job_id, CASE WHEN no_time OR clock_time THEN 'out_time' ELSE 'out_time_us' END FROM b)
 SELECT job_id, key, count(*) AS lines FROM p GROUP BY ALL""",
     ),
@@ -88,7 +96,7 @@ SELECT job_id, block, progress, CASE WHEN progress > 0 THEN CAST(greatest(total_
     ),
 )
 def progress_from_metrics(spark, sf_dir):
-    blocks = logs.assemble_blocks(log_lines(spark, sf_dir))
+    blocks = logs.assemble_blocks(stored_lines(spark, sf_dir))
     jobs = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id")).distinct().select(
         "job_id",
         F.when(F.col("job_id") % 3 == 0, F.lit(None)).otherwise(F.lit(400.0)).alias("total_duration_s"),

@@ -133,11 +133,7 @@ def late_event_tally(spark, sf_dir):
     return late.groupBy("job_id").agg(F.count(F.lit(1)).alias("late_events"))
 
 
-@register(
-    "w4_remaining_time",
-    sql_over(
-        ["progress_events"],
-        f"""WITH {NORMAL_SQL.strip()},
+REMAINING_SQL = f"""WITH {NORMAL_SQL.strip()},
 n AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY sequence) AS i, sequence, status,
         CAST(progress AS DOUBLE) / 10 AS p, CAST(elapsed_cs AS DOUBLE) / 100 AS t FROM normal),
 fold AS (
@@ -166,9 +162,10 @@ fold AS (
                THEN list_slice(list_append(f.r, n.t / n.p * (100.0e0 - n.p)), CASE WHEN len(f.r) = 8 THEN 2 ELSE 1 END, 9) ELSE f.r END AS r
         FROM fold f JOIN (SELECT *, p > 0 AND p < 100 AND t > 0 AS valid FROM n) v ON v.job_id = f.job_id AND v.i = f.i + 1
         JOIN n ON n.job_id = v.job_id AND n.i = v.i))))
-SELECT job_id, sequence, shown AS remaining_s FROM fold WHERE i > 0""",
-    ),
-)
+SELECT job_id, sequence, shown AS remaining_s FROM fold WHERE i > 0"""
+
+
+@register("w4_remaining_time", sql_over(["progress_events"], REMAINING_SQL))
 def remaining_time(spark, sf_dir):
     normal = materialize(ops.normalize_progress(stored_events(spark, sf_dir)), "normal-progress")
     return ops.remaining_time(normal).select("job_id", "sequence", "remaining_s")
@@ -179,11 +176,11 @@ def remaining_time(spark, sf_dir):
     sql_over(
         ["progress_events"],
         """SELECT job_id, event_id, sequence FROM (
-  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sequence DESC) AS rn FROM progress_events) WHERE rn <= 40""",
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sequence DESC) AS rn FROM progress_events) WHERE rn <= 400""",
     ),
 )
 def cap_events(spark, sf_dir):
-    return ops.cap_events(events(spark, sf_dir), 40).select("job_id", "event_id", "sequence")
+    return ops.cap_events(events(spark, sf_dir)).select("job_id", "event_id", "sequence")
 
 
 @register(
@@ -340,7 +337,7 @@ def infer_stage(spark, sf_dir):
         """WITH c AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sequence DESC) AS rn FROM progress_events),
 k AS (SELECT * FROM c WHERE rn <= 400 AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND job_id % 10 <> 9)
 SELECT job_id, sequence, status, CAST(progress_tenths AS DOUBLE) / 10 AS progress FROM (
-  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sequence DESC) AS r2 FROM k) WHERE r2 <= 40""",
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sequence DESC) AS r2 FROM k) WHERE r2 <= 400""",
     ),
 )
 def explode_job_state(spark, sf_dir):
@@ -367,7 +364,7 @@ def explode_job_state(spark, sf_dir):
         .agg(F.collect_list(entry).alias("events"))
         .select(F.col("job_id").cast("string").alias("job_id"), document.alias("document"))
     )
-    return ops.explode_job_state(documents, 40).select(
+    return ops.explode_job_state(documents).select(
         F.col("job_id").cast("bigint").alias("job_id"), "sequence", "status", "progress"
     )
 
@@ -404,13 +401,15 @@ def recover_jobs(spark, sf_dir):
         ["media_files", "encode_attempts", "progress_events"],
         f"""WITH b AS (SELECT file_id, min(output_bytes) AS output_size FROM encode_attempts GROUP BY file_id),
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sequence DESC) AS rn FROM progress_events) WHERE rn = 1),
-m AS (SELECT m.file_id AS job_id, m.kind, m.size_bytes, b.output_size, 'out-' || CAST(m.file_id AS VARCHAR) || '.MP4' AS output_name,
-    CASE WHEN m.file_id % 4 <> 0 THEN 'clip.' || CAST(m.file_id AS VARCHAR) || '.mov' END AS original_name
+m AS (SELECT m.file_id AS job_id, m.kind, m.size_bytes, b.output_size, 'out-' || CAST(m.file_id AS VARCHAR) || CASE WHEN m.file_id % 9 = 0 THEN '' ELSE '.M-P4' END AS output_name,
+    CASE m.file_id % 4 WHEN 1 THEN 'clip.' || CAST(m.file_id AS VARCHAR) || '.mov' WHEN 2 THEN 'con.jpg' WHEN 3 THEN 'a<' || CAST(m.file_id AS VARCHAR) || '>. .jpg' END AS original_name
   FROM media_files m JOIN b USING (file_id)),
 j AS (SELECT m.*, l.job_id IS NOT NULL AS live, l.elapsed_cs FROM m LEFT JOIN l ON l.job_id = m.job_id),
 k AS (SELECT *, coalesce(original_name, output_name) AS file_name, CASE WHEN live THEN size_bytes ELSE output_size END AS o FROM j)
 SELECT job_id, CASE WHEN live THEN kind ELSE 'image' END AS kind, file_name,
-  regexp_replace(file_name, '\\.[^.]*$', '') || '_comp.mp4' AS download_name, CASE WHEN live AND job_id % 2 = 0 THEN 'webm' ELSE 'mp4' END AS output_format,
+  CASE job_id % 4 WHEN 1 THEN 'clip.' || CAST(job_id AS VARCHAR) WHEN 2 THEN '_con' WHEN 3 THEN 'a_' || CAST(job_id AS VARCHAR) || '_' ELSE 'out-' || CAST(job_id AS VARCHAR) END
+    || CASE WHEN job_id % 9 = 0 THEN '_comp.bin' ELSE '_comp.mp4' END AS download_name,
+  CASE WHEN live AND job_id % 2 = 0 THEN 'webm' WHEN job_id % 9 = 0 THEN '' ELSE 'm-p4' END AS output_format,
   o AS original_size, output_size, o - output_size AS saved_bytes,
   CASE WHEN o > 0 THEN {sql_fixed('(CAST(o - output_size AS DOUBLE) / CAST(o AS DOUBLE) * 100)', 1)} END AS reduction_percent,
   CASE WHEN live THEN CAST(elapsed_cs AS DOUBLE) / 100 END AS elapsed_s
@@ -425,8 +424,9 @@ def assemble_results(spark, sf_dir):
     files = view(spark, sf_dir, "media_files")
     manifests = files.join(best, "file_id").select(
         file_id.alias("job_id"),
-        F.concat(F.lit("out-"), file_id, F.lit(".MP4")).alias("output_name"),
-        F.when(file_id % 4 != 0, F.concat(F.lit("clip."), file_id, F.lit(".mov"))).alias("original_name"),
+        F.concat(F.lit("out-"), file_id, F.when(file_id % 9 == 0, "").otherwise(".M-P4")).alias("output_name"),
+        F.when(file_id % 4 == 1, F.concat(F.lit("clip."), file_id, F.lit(".mov"))).when(file_id % 4 == 2, "con.jpg")
+        .when(file_id % 4 == 3, F.concat(F.lit("a<"), file_id, F.lit(">. .jpg"))).alias("original_name"),
         F.lit(None).cast("string").alias("download_name"),
         "output_size",
     )

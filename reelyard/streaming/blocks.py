@@ -20,21 +20,51 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _BLOCK_SCHEMA = "job_id BIGINT, block BIGINT, " + ", ".join(f"`{k}` STRING" for k in PROGRESS_KEYS)
 _KEYS = tuple(PROGRESS_KEYS)
 
+#: Silence after which an open block counts as the tail of its log.
+TAIL_MS = 60 * 1000
+#: Silence after which the block number of a log is forgotten.
+MEMORY_MS = 30 * 24 * 60 * 60 * 1000
+
 
 class BlockAssembler(StatefulProcessor):
-    """Holds the open block of a job: its number and the last value of each key."""
+    """Holds the open block of a job: the last value of each key, and the block's number.
+
+    A closed block leaves no values behind. An open one is emitted as the tail of the log
+    when the job has been silent for ``tail_ms`` of processing time.
+    """
+
+    def __init__(self, tail_ms: int, memory_ms: int):
+        self.tail_ms, self.memory_ms = tail_ms, memory_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = ", ".join(f"`{k}` STRING" for k in _KEYS)
-        self.open = handle.getValueState("open", f"block BIGINT, {fields}")
+        self.handle = handle
+        self.open = handle.getValueState("open", fields)
+        self.count = handle.getValueState("count", "block BIGINT", self.memory_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            block, *held = self.open.get()
-            values = {k: v for k, v in zip(_KEYS, held) if v is not None}
+    def _load(self) -> tuple[int, dict]:
+        block = self.count.get()[0] if self.count.exists() else 0
+        held = self.open.get() if self.open.exists() else ()
+        return block, {k: v for k, v in zip(_KEYS, held) if v is not None}
+
+    def _store(self, block: int, values: dict) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.count.update((block,))
+        if values:
+            self.open.update(tuple(values.get(k) for k in _KEYS))
         else:
-            block, values = 0, {}
-        # One micro-batch of one job, bounded by the source's trigger limit.
+            self.open.clear()
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["job_id", "block", *_KEYS]).astype(
+            {"job_id": "Int64", "block": "int64", **{k: "object" for k in _KEYS}}
+        )
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        block, values = self._load()
+        # One micro-batch of one job, bounded by the source's byte limit.
         batch = pd.concat(list(rows)).sort_values("line_no", kind="stable")
         done = []
         for line in batch.itertuples(index=False):
@@ -43,17 +73,23 @@ class BlockAssembler(StatefulProcessor):
             if line.key == "progress":
                 done.append((key[0], block, *(values.get(k) for k in _KEYS)))
                 block, values = block + 1, {}
-        self.open.update((block, *(values.get(k) for k in _KEYS)))
-        yield pd.DataFrame(done, columns=["job_id", "block", *_KEYS]).astype(
-            {"job_id": "int64", "block": "int64", **{k: "object" for k in _KEYS}}
-        )
+        self._store(block, values)
+        if values:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.tail_ms)
+        yield self._frame(done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        block, values = self._load()
+        done = [(key[0], block, *(values.get(k) for k in _KEYS))] if values else []
+        self._store(block + len(done), {})
+        yield self._frame(done)
 
     def close(self) -> None:
         pass
 
 
-def stream_blocks(lines: DataFrame) -> DataFrame:
-    """Typed metrics of each closed block: ``job_id, line_no, line`` lines in, any chunking.
+def stream_blocks(lines: DataFrame, tail_ms: int = TAIL_MS, memory_ms: int = MEMORY_MS) -> DataFrame:
+    """Typed metrics of each block: ``job_id, line_no, line`` lines in, any chunking.
 
     Splitting lines and typing values stay in the JVM; Python only holds the open block.
     """
@@ -62,10 +98,10 @@ def stream_blocks(lines: DataFrame) -> DataFrame:
         progress_pairs(lines)
         .groupBy("job_id")
         .transformWithStateInPandas(
-            statefulProcessor=BlockAssembler(),
+            statefulProcessor=BlockAssembler(tail_ms, memory_ms),
             outputStructType=_BLOCK_SCHEMA,
             outputMode="Append",
-            timeMode="None",
+            timeMode="ProcessingTime",
         )
     )
     values = blocks.select("job_id", "block", F.struct(*PROGRESS_KEYS).alias("v"))

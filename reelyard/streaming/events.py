@@ -27,27 +27,97 @@ STALL_MS = 10 * 60 * 1000
 MAX_RUN_MS = 2 * 60 * 60 * 1000
 ETA_SAMPLES, ETA_MINIMUM = 8, 3
 
+#: How long the last sequence of a job outlives its state, so that no late event revives it.
+MEMORY_MS = 30 * 24 * 60 * 60 * 1000
+#: Bytes of input files in a micro-batch; bounds what one busy job brings at once.
+BATCH_BYTES = 64 << 20
+
 
 def use_rocksdb(spark: SparkSession) -> None:
     """Keyed Python state needs the RocksDB state store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def stream_progress(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Events from newline-delimited JSON files; blank lines are dropped.
+def _parsed_lines(spark: SparkSession, path: str, batch_bytes: int) -> DataFrame:
+    lines = spark.readStream.option("maxBytesPerTrigger", batch_bytes).text(path)
+    lines = lines.filter(F.trim("value") != "")
+    return lines.select("value", F.from_json("value", EVENT_SCHEMA).alias("e"))
 
-    The trigger limit bounds a micro-batch, and with it what one busy job brings at once.
-    """
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    parsed = lines.filter(F.trim("value") != "").select(
-        F.from_json("value", EVENT_SCHEMA).alias("e")
+
+def _usable(e: str) -> F.Column:
+    return F.coalesce(
+        F.col(f"{e}job_id").isNotNull() & F.col(f"{e}sequence").isNotNull() & F.col(f"{e}status").isNotNull(),
+        F.lit(False),
     )
-    return parsed.filter(F.col("e.job_id").isNotNull()).select("e.*")
 
 
-def ingest(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop events whose id was already seen within the watermark."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+def stream_progress(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Usable events from newline-delimited JSON files; blank lines are dropped.
+
+    An event needs a job, a sequence and a status; see ``stream_rejects`` for the others.
+    """
+    return _parsed_lines(spark, path, batch_bytes).filter(_usable("e.")).select("e.*")
+
+
+def stream_rejects(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """The lines that ``stream_progress`` can't use, as they are."""
+    return _parsed_lines(spark, path, batch_bytes).filter(~_usable("e.")).select("value")
+
+
+INGEST_SCHEMA = (
+    "job_id BIGINT, kind STRING, event_id BIGINT, sequence BIGINT, ts TIMESTAMP, status STRING,"
+    " progress_tenths BIGINT, elapsed_cs BIGINT, output_size BIGINT"
+)
+_INGEST = [c.split()[0] for c in INGEST_SCHEMA.split(",")]
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """What one micro-batch brings for one job, bounded by the source's byte limit."""
+    return pd.concat(list(rows)).sort_values(["sequence", "event_id"], kind="stable", na_position="first")
+
+
+class SequenceFilter(StatefulProcessor):
+    """Marks the events of a job whose sequence is above all before it; state: one number."""
+
+    def __init__(self, memory_ms: int):
+        self.memory_ms = memory_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "sequence BIGINT", self.memory_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        batch = _in_order(rows)
+        usable = batch["sequence"].notna() & batch["status"].notna() & (not pd.isna(key[0]))
+        sequence = batch["sequence"].where(usable)
+        before = sequence.cummax().shift()
+        if last is not None:
+            before = before.fillna(last).clip(lower=last)
+        new = usable & ~(sequence <= before.ffill())
+        batch["kind"] = "late"
+        batch.loc[new, "kind"] = "event"
+        batch.loc[~usable, "kind"] = "rejected"
+        if usable.any():
+            top = int(sequence.max())
+            self.last.update((top if last is None else max(last, top),))
+        yield batch[_INGEST]
+
+    def close(self) -> None:
+        pass
+
+
+def ingest(events: DataFrame, memory_ms: int = MEMORY_MS) -> DataFrame:
+    """Every delivered event once, marked ``event``, ``late`` (its sequence is not above the
+    job's last one, so repeats too) or ``rejected`` (no job, sequence or status).
+
+    There is no watermark: nothing is dropped however late it comes. A job that is silent for
+    ``memory_ms`` is forgotten.
+    """
+    use_rocksdb(events.sparkSession)
+    return events.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=SequenceFilter(memory_ms), outputStructType=INGEST_SCHEMA,
+        outputMode="Append", timeMode="ProcessingTime",
+    )
 
 
 TRACK_SCHEMA = (
@@ -59,13 +129,13 @@ _COLUMNS = [
     "estimated_output_size",
 ]
 _STATE_SCHEMA = (
-    "sequence BIGINT, progress BIGINT, status STRING, first_ms BIGINT, last_ms BIGINT,"
-    " remaining BIGINT, output_size BIGINT, estimated BIGINT, eta_p DOUBLE, eta_t DOUBLE,"
-    " smooth DOUBLE, recent ARRAY<DOUBLE>"
+    "sequence BIGINT, progress BIGINT, status STRING, ts_ms BIGINT, first_ms BIGINT, seen_ms BIGINT,"
+    " told BOOLEAN, remaining BIGINT, output_size BIGINT, estimated BIGINT, eta_p DOUBLE,"
+    " eta_t DOUBLE, smooth DOUBLE, recent ARRAY<DOUBLE>"
 )
 _FIELDS = [
-    "sequence", "progress", "status", "first_ms", "last_ms", "remaining", "output_size",
-    "estimated", "eta_p", "eta_t", "smooth", "recent",
+    "sequence", "progress", "status", "ts_ms", "first_ms", "seen_ms", "told", "remaining",
+    "output_size", "estimated", "eta_p", "eta_t", "smooth", "recent",
 ]
 _TERMINAL = ("completed", "failed", "cancelled")
 
@@ -95,18 +165,21 @@ def _remaining(state: dict, tenths: int, elapsed_cs: int) -> int | None:
 class JobTracker(StatefulProcessor):
     """State of one job: last sequence, progress, estimate, sizes, timers.
 
-    An event whose sequence is not above the last one, or that follows a terminal event,
-    is reported as ``late`` and changes nothing. A timer reports a job as ``stalled`` when
-    it has been silent or running for too long, and drops a finished job's state once its
-    retention has passed.
+    Every input row gives one output row. An event whose sequence is not above the last one,
+    or that follows a terminal event, is ``late`` and changes nothing; one without job,
+    sequence or status is ``rejected``. Timers run on processing time: a job that is silent
+    or runs for too long is ``stalled`` once; a finished or stalled job leaves only its last
+    sequence and status when its retention has passed, and that for ``memory_ms``.
     """
 
-    def __init__(self, stall_ms: int, run_ms: int, retention_ms: int):
-        self.stall_ms, self.run_ms, self.retention_ms = stall_ms, run_ms, retention_ms
+    def __init__(self, stall_ms: int, run_ms: int, retention_ms: int, memory_ms: int):
+        self.stall_ms, self.run_ms = stall_ms, run_ms
+        self.retention_ms, self.memory_ms = retention_ms, memory_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("job", _STATE_SCHEMA)
+        self.gone = handle.getValueState("gone", "sequence BIGINT, status STRING", self.memory_ms)
 
     def _load(self) -> dict | None:
         if not self.state.exists():
@@ -115,35 +188,54 @@ class JobTracker(StatefulProcessor):
         state["recent"] = list(state["recent"] or [])
         return state
 
+    def _fresh(self, now: int) -> dict:
+        state = dict.fromkeys(_FIELDS)
+        state.update(progress=0, first_ms=now, recent=[])
+        if self.gone.exists():
+            state["sequence"], state["status"] = self.gone.get()
+        return state
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
         state = self._load()
-        # One micro-batch of one job, bounded by the source's trigger limit.
-        batch = pd.concat(list(rows)).sort_values(["sequence", "event_id"], kind="stable")
+        changed = False
         out = []
-        for event in batch.itertuples(index=False):
-            ms = int(event.ts.timestamp() * 1000)
+        for event in _in_order(rows).itertuples(index=False):
+            ts = None if pd.isna(event.ts) else event.ts
+            if pd.isna(key[0]) or pd.isna(event.sequence) or pd.isna(event.status):
+                sequence = None if pd.isna(event.sequence) else int(event.sequence)
+                status = None if pd.isna(event.status) else event.status
+                out.append((key[0], "rejected", sequence, ts, status, None, None, None, None))
+                continue
             if state is None:
-                state = dict.fromkeys(_FIELDS)
-                state.update(sequence=0, progress=0, first_ms=ms, recent=[])
-            if event.sequence <= state["sequence"] or state["status"] in _TERMINAL:
-                out.append((key[0], "late", event.sequence, event.ts, event.status, None, None, None, None))
+                state = self._fresh(now)
+            last = state["sequence"]
+            if (last is not None and event.sequence <= last) or state["status"] in _TERMINAL:
+                out.append((key[0], "late", int(event.sequence), ts, event.status, None, None, None, None))
                 continue
-            self._advance(state, event, ms)
+            self._advance(state, event, ts)
+            changed = True
             out.append(
-                (key[0], "event", state["sequence"], event.ts, state["status"], state["progress"],
+                (key[0], "event", state["sequence"], ts, state["status"], state["progress"],
                  state["remaining"], state["output_size"], state["estimated"])
             )
-        self.state.update(tuple(state[f] for f in _FIELDS))
-        self._schedule(state)
+        if changed:
+            state["seen_ms"], state["told"] = now, False
+            self.state.update(tuple(state[f] for f in _FIELDS))
+            self.gone.clear()
+            limit = min(now + self.stall_ms, max(state["first_ms"] + self.run_ms, now + 1))
+            self._alarm(now + self.retention_ms if state["status"] in _TERMINAL else limit)
         yield self._frame(out)
 
-    def _advance(self, state: dict, event, ms: int) -> None:
+    def _advance(self, state: dict, event, ts) -> None:
         done = event.status == "completed"
-        wanted = max(state["progress"], min(990, max(0, int(event.progress_tenths))))
+        told = 0 if pd.isna(event.progress_tenths) else int(event.progress_tenths)
+        wanted = max(state["progress"], min(990, max(0, told)))
         state["progress"] = 1000 if done else wanted
         state["sequence"], state["status"] = int(event.sequence), event.status
-        state["last_ms"] = ms
-        shown = _remaining(state, state["progress"], int(event.elapsed_cs))
+        if ts is not None:
+            state["ts_ms"] = int(ts.timestamp() * 1000)
+        shown = None if pd.isna(event.elapsed_cs) else _remaining(state, state["progress"], int(event.elapsed_cs))
         if done:
             state["remaining"] = 0
         elif shown is not None:
@@ -154,28 +246,27 @@ class JobTracker(StatefulProcessor):
             whole = state["output_size"] / (state["progress"] / 1000)
             state["estimated"] = max(state["output_size"], math.floor(whole + 0.5))
 
-    def _schedule(self, state: dict) -> None:
+    def _alarm(self, at_ms: int) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if state["status"] in _TERMINAL:
-            self.handle.registerTimer(state["last_ms"] + self.retention_ms)
-        else:
-            limit = min(state["last_ms"] + self.stall_ms, state["first_ms"] + self.run_ms)
-            self.handle.registerTimer(max(limit, state["last_ms"] + 1))
+        self.handle.registerTimer(at_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self._load()
-        if state is None:
-            return
-        if state["status"] in _TERMINAL:
+        out = []
+        if state is not None and (state["status"] in _TERMINAL or state["told"]):
+            self.gone.update((state["sequence"], state["status"]))
             self.state.clear()
-            yield self._frame([])
-            return
-        ts = pd.Timestamp(state["last_ms"], unit="ms")
-        yield self._frame(
-            [(key[0], "stalled", state["sequence"], ts, state["status"], state["progress"],
-              state["remaining"], state["output_size"], state["estimated"])]
-        )
+        elif state is not None:
+            ts = None if state["ts_ms"] is None else pd.Timestamp(state["ts_ms"], unit="ms")
+            out.append(
+                (key[0], "stalled", state["sequence"], ts, state["status"], state["progress"],
+                 state["remaining"], state["output_size"], state["estimated"])
+            )
+            state["told"] = True
+            self.state.update(tuple(state[f] for f in _FIELDS))
+            self._alarm(timerValues.getCurrentProcessingTimeInMs() + self.retention_ms)
+        yield self._frame(out)
 
     @staticmethod
     def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -191,20 +282,20 @@ class JobTracker(StatefulProcessor):
 
 def track_jobs(
     events: DataFrame,
-    delay: str = "1 hour",
     stall_ms: int = STALL_MS,
     run_ms: int = MAX_RUN_MS,
     retention_ms: int = RETENTION_MS,
+    memory_ms: int = MEMORY_MS,
 ) -> DataFrame:
-    """Track every job of an event stream; see ``JobTracker`` for the rows it emits."""
+    """Track every job of an event stream; see ``JobTracker`` for the rows it emits.
+
+    Events are judged by their sequence alone, however late they come: no watermark drops
+    any. Limits are in milliseconds of processing time.
+    """
     use_rocksdb(events.sparkSession)
-    return (
-        events.withWatermark("ts", delay)
-        .groupBy("job_id")
-        .transformWithStateInPandas(
-            statefulProcessor=JobTracker(stall_ms, run_ms, retention_ms),
-            outputStructType=TRACK_SCHEMA,
-            outputMode="Append",
-            timeMode="EventTime",
-        )
+    return events.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=JobTracker(stall_ms, run_ms, retention_ms, memory_ms),
+        outputStructType=TRACK_SCHEMA,
+        outputMode="Append",
+        timeMode="ProcessingTime",
     )

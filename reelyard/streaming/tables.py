@@ -4,10 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.progress import latest_events, overall_progress
 
+ALL_THERE = {"availableNow": True}
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def _start(writer: DataStreamWriter, spark: SparkSession, trigger: dict | None) -> StreamingQuery:
+    """Start a stream; without a trigger, over all that is there.
+
+    Timers on processing time ask for one more batch for ever, so a stream that is to end
+    with its input runs no batch without data. A stream with an interval does.
+    """
+    if trigger:
+        return writer.trigger(**trigger).start()
+    before = spark.conf.get(NO_DATA_BATCHES, "true")
+    spark.conf.set(NO_DATA_BATCHES, "false")
+    try:
+        return writer.trigger(**ALL_THERE).start()
+    finally:
+        spark.conf.set(NO_DATA_BATCHES, before)
+
 
 def _newest_snapshot(spark: SparkSession, path: str) -> int | None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshots")
@@ -53,53 +72,54 @@ def write_batch(batch: DataFrame, batch_id: int, path: str, schema: str, compact
 
 
 def upsert_latest(
-    stream: DataFrame, path: str, checkpoint: str, schema: str, compact_every: int = 50
+    stream: DataFrame, path: str, checkpoint: str, schema: str, compact_every: int = 50,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Keep the latest row of each job in a table; read it with ``latest_state``."""
-    return (
-        stream.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda df, i: write_batch(df, i, path, schema, compact_every))
-        .trigger(availableNow=True)
-        .start()
+    """Keep the latest row of each job in a table; read it with ``latest_state``.
+
+    ``trigger``: arguments of the stream's trigger; all that is there by default.
+    """
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda df, i: write_batch(df, i, path, schema, compact_every)
     )
+    return _start(writer, stream.sparkSession, trigger)
 
 
-LIVE_SCHEMA = "job_id BIGINT, sequence BIGINT, status STRING, progress BIGINT, batch_id BIGINT"
+LIVE_SCHEMA = (
+    "job_id BIGINT, sequence BIGINT, status STRING, progress BIGINT, batch_id BIGINT,"
+    " original_size BIGINT, output_size BIGINT"
+)
 
 
-def stream_overall(tracked: DataFrame, path: str, checkpoint: str, compact_every: int = 50) -> StreamingQuery:
+def stream_overall(
+    tracked: DataFrame, path: str, checkpoint: str, compact_every: int = 50, trigger: dict | None = None
+) -> StreamingQuery:
     """Live progress per batch: after each micro-batch, over the latest state of all jobs.
 
-    ``tracked``: tracker rows with a ``batch_id``. Each result is in ``overall/run=<id>``.
+    ``tracked``: tracker rows with a ``batch_id`` and the job's ``original_size``. Each result
+    is in ``overall/run=<id>``.
     """
 
     def publish(df: DataFrame, run: int) -> None:
         events = df.filter("kind = 'event'")
         write_batch(events, run, path, LIVE_SCHEMA, compact_every)
         files = latest_state(df.sparkSession, path, LIVE_SCHEMA).select(
-            "batch_id",
-            (F.col("progress") / 10).alias("progress"),
-            "status",
-            F.lit(None).cast("bigint").alias("original_size"),
-            F.lit(None).cast("bigint").alias("output_size"),
+            "batch_id", (F.col("progress") / 10).alias("progress"), "status", "original_size", "output_size",
         )
         overall_progress(files).write.mode("overwrite").parquet(f"{path}/overall/run={run}")
 
-    return (
-        tracked.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(publish)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = tracked.writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish)
+    return _start(writer, tracked.sparkSession, trigger)
 
 
-def append_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def append_table(
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Append a stream to a parquet table."""
-    return (
+    writer = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .option("path", path)
         .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
     )
+    return _start(writer, stream.sparkSession, trigger)
