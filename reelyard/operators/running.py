@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 # Large enough that ordinary keys fit one chunk, small enough for one window task.
 CHUNK_ROWS = 1 << 20
 CHUNK = "__chunk"
-
-_AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
+HEAD = "__head"
 
 
 def chunk_of(order: Column, size: int = CHUNK_ROWS) -> Column:
@@ -23,12 +22,23 @@ def chunk_of(order: Column, size: int = CHUNK_ROWS) -> Column:
     return order - F.pmod(order, F.lit(size))
 
 
-def _combine(kind: str, carried: Column, local: Column) -> Column:
-    if kind in ("sum", "count"):
-        zero = F.lit(0)
-        both = F.coalesce(carried, zero) + F.coalesce(local, zero)
-        return F.when(carried.isNotNull() | local.isNotNull(), both)
-    return (F.greatest if kind == "max" else F.least)(carried, local)
+def _with_heads(rows: DataFrame, heads: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` and, in front of each chunk, a head row with what the chunks before left.
+
+    Heads take part in the same window as the rows, so keys and order values may be null:
+    nothing is joined, and a window keeps null keys together.
+    """
+    kinds = {f.name: f.dataType for f in heads.schema.fields}
+    filled = [
+        F.col(f.name) if f.name in kinds else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in rows.schema.fields
+    ]
+    lead = heads.select(*filled, F.lit(0).alias(HEAD))
+    own = rows.select(
+        *[F.col(f.name).cast(kinds[f.name]).alias(f.name) if f.name in names else F.col(f.name) for f in rows.schema.fields],
+        F.lit(1).alias(HEAD),
+    )
+    return own.unionByName(lead)
 
 
 def running(
@@ -39,37 +49,38 @@ def running(
     chunk: Column | None = None,
     size: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add running aggregates per key.
+    """Add running aggregates per key; no row is lost, null keys form a key of their own.
 
     ``scans`` maps a new column to (sum|max|min|count, expression, include current row).
     ``order`` must be a total order within a key; ``chunk`` must not decrease along it
-    and defaults to ranges of ``size`` values of the first order column.
+    and defaults to ranges of ``size`` values of the first order column. Null order values
+    come first, as in a window.
     """
     chunk = chunk if chunk is not None else chunk_of(F.col(order[0]), size)
     inputs = {name: f"__in_{i}" for i, name in enumerate(scans)}
     rows = df.select(
-        "*", chunk.alias(CHUNK), *[expr.alias(inputs[n]) for n, (_, expr, _) in scans.items()]
+        "*", chunk.alias(CHUNK),
+        *[(F.when(expr.isNotNull(), F.lit(1)).cast("bigint") if kind == "count" else expr).alias(inputs[n])
+          for n, (kind, expr, _) in scans.items()],
     )
+    merge = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
     totals = rows.groupBy(*keys, CHUNK).agg(
-        *[_AGGREGATES[kind](inputs[n]).alias(f"__total_{i}")
-          for i, (n, (kind, _, _)) in enumerate(scans.items())]
+        *[merge[kind](inputs[n]).alias(f"__total_{i}") for i, (n, (kind, _, _)) in enumerate(scans.items())]
     )
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    merge = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
-    carried = totals.select(
-        *keys,
-        CHUNK,
-        *[merge[kind](f"__total_{i}").over(earlier).alias(f"__carried_{i}")
-          for i, (kind, _, _) in enumerate(scans.values())],
+    heads = totals.select(
+        *keys, CHUNK,
+        *[merge[kind](f"__total_{i}").over(earlier).alias(inputs[n])
+          for i, (n, (kind, _, _)) in enumerate(scans.items())],
     )
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    out = rows.join(carried, [*keys, CHUNK])
+    both = _with_heads(rows, heads, list(inputs.values()))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(HEAD, *order)
     result = []
-    for i, (name, (kind, _, inclusive)) in enumerate(scans.items()):
+    for name, (kind, _, inclusive) in scans.items():
         frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        local = _AGGREGATES[kind](inputs[name]).over(frame)
-        result.append(_combine(kind, F.col(f"__carried_{i}"), local).alias(name))
-    return out.select(*df.columns, *result)
+        value = merge[kind](inputs[name]).over(frame)
+        result.append((F.coalesce(value, F.lit(0)) if kind == "count" else value).alias(name))
+    return both.select(*df.columns, HEAD, *result).where(F.col(HEAD) == 1).drop(HEAD)
 
 
 def previous(
@@ -80,23 +91,23 @@ def previous(
     chunk: Column | None = None,
     size: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add the preceding row's value of each column (new name -> column)."""
+    """Add the preceding row's value of each column (new name -> column); see ``running``."""
     chunk = chunk if chunk is not None else chunk_of(F.col(order[0]), size)
-    rows = df.withColumn(CHUNK, chunk)
-    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    sources = list(dict.fromkeys(columns.values()))
+    inputs = {source: f"__in_{i}" for i, source in enumerate(sources)}
+    rows = df.select("*", chunk.alias(CHUNK), *[F.col(s).alias(i) for s, i in inputs.items()])
     last = rows.groupBy(*keys, CHUNK).agg(
-        F.max_by(F.struct(*columns.values()), position).alias("__last")
+        F.max_by(F.struct(*inputs.values()), F.struct(*order)).alias("__last")
     )
     across = Window.partitionBy(*keys).orderBy(CHUNK)
-    carried = last.select(*keys, CHUNK, F.lag("__last").over(across).alias("__carried"))
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    out = rows.join(carried, [*keys, CHUNK]).withColumn(
-        "__before", F.lag(F.struct(*columns.values())).over(inside)
-    )
-    pick = F.coalesce("__before", "__carried")
-    return out.select(
-        *df.columns, *[pick.getField(source).alias(name) for name, source in columns.items()]
+    heads = last.select(*keys, CHUNK, F.lag("__last").over(across).alias("__before")).select(
+        *keys, CHUNK, *[F.col("__before").getField(i).alias(i) for i in inputs.values()]
     )
+    both = _with_heads(rows, heads, list(inputs.values()))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(HEAD, *order)
+    return both.select(
+        *df.columns, HEAD, *[F.lag(inputs[source]).over(inside).alias(name) for name, source in columns.items()]
+    ).where(F.col(HEAD) == 1).drop(HEAD)
 
 
 def numbered(

@@ -67,3 +67,13 @@ def test_hot_key_is_spread_over_tasks(spark):
     out = running(df, ["k"], ["o"], {"n": ("count", F.lit(1), True)}, size=10)
     per_chunk = out.groupBy(F.floor(F.col("o") / 10).alias("c")).agg(F.max("n").alias("top"))
     assert {r.c: r.top for r in per_chunk.collect()} == {c: (c + 1) * 10 for c in range(100)}
+
+
+def test_null_keys_and_null_order_values_are_kept(spark):
+    data = [(None, 1, 5), (None, 2, 7), ("a", None, 1), ("a", 3, 2), ("a", 30, 4), (None, 40, 1)]
+    df = spark.createDataFrame(data, "k string, o bigint, v bigint")
+    scans = {"s": ("sum", F.col("v"), True), "n": ("count", F.lit(1), False)}
+    got = {(r.k, r.o): (r.s, r.n) for r in running(df, ["k"], ["o"], scans, size=7).collect()}
+    assert got == {(None, 1): (5, 0), (None, 2): (12, 1), (None, 40): (13, 2), ("a", None): (1, 0), ("a", 3): (3, 1), ("a", 30): (7, 2)}
+    before = {(r.k, r.o): r.b for r in previous(df, ["k"], ["o"], {"b": "v"}, size=7).collect()}
+    assert before == {(None, 1): None, (None, 2): 5, (None, 40): 7, ("a", None): None, ("a", 3): 1, ("a", 30): 2}
