@@ -79,12 +79,12 @@ def parse_capabilities(spark, sf_dir):
     return capabilities(spark, sf_dir)
 
 
-@register("u1_merged_names", sql_over([], f"WITH {CAPS_SQL} SELECT DISTINCT section, name FROM caps WHERE host % 5 = 0 OR host % 7 = 0"))
+@register("u1_merged_names", sql_over([], f"WITH {CAPS_SQL} SELECT DISTINCT section, name FROM caps"))
 def merged_names(spark, sf_dir):
     caps = capabilities(spark, sf_dir)
     return ops.merged_names(
-        caps.filter("host % 5 = 0").select("section", "name"),
-        caps.filter("host % 7 = 0").select("section", "name"),
+        caps.filter("host % 2 = 0").select("section", "name"),
+        caps.filter("host % 2 = 1").select("section", "name"),
     )
 
 
@@ -155,11 +155,11 @@ def usable_formats(spark, sf_dir):
 
 @register(
     "u4_common_formats",
-    sql_over([], f"WITH {OUTPUTS_SQL} SELECT output FROM outs WHERE host = 1 INTERSECT SELECT output FROM outs WHERE host = 2"),
+    sql_over([], f"WITH {OUTPUTS_SQL} SELECT output FROM outs WHERE host % 2 = 0 INTERSECT SELECT output FROM outs WHERE host % 2 = 1"),
 )
 def common_formats(spark, sf_dir):
     found = outputs(spark, sf_dir)
-    return ops.common_formats(found.filter("host = 1"), found.filter("host = 2"))
+    return ops.common_formats(found.filter("host % 2 = 0"), found.filter("host % 2 = 1"))
 
 
 @register(

@@ -62,7 +62,7 @@ def expired_jobs(spark, sf_dir):
 FINISHED = Derived(
     ["events"],
     """SELECT event_id, user_id AS job_id, ts AS created_at, event_id * 17 AS size_bytes, CASE event_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 30 WHEN 2 THEN 45 ELSE 60 END AS minutes,
-  'clip ' || CAST(event_id AS STRING) || '_comp.mp4' AS download_name FROM {events}""",
+  CASE event_id % 3 WHEN 0 THEN 'clip ' || CAST(event_id AS STRING) || '_comp.mp4' WHEN 1 THEN 'café ' || CAST(event_id AS STRING) || '*~+.mp4' ELSE 'a<' || CAST(event_id AS STRING) || '>.mp4 .' END AS download_name FROM {events}""",
 )
 
 
@@ -70,10 +70,13 @@ FINISHED = Derived(
     "k1_write_results",
     sql_over(
         [],
-        f"""WITH r AS ({FINISHED.sql()})
-SELECT CAST(created_at AS DATE) AS created_date, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes,
+        f"""WITH r AS ({FINISHED.sql()}),
+h AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'clip ' || event_id || '_comp.mp4' WHEN 1 THEN 'caf_ ' || event_id || '_~+.mp4' ELSE 'a_' || event_id || '_.mp4' END AS plain,
+  CASE event_id % 3 WHEN 0 THEN 'clip%20' || event_id || '_comp.mp4' WHEN 1 THEN 'caf%C3%A9%20' || event_id || '_~%2B.mp4' ELSE 'a_' || event_id || '_.mp4' END AS encoded FROM r),
+t AS (SELECT *, 'attachment; filename="' || plain || '"; filename*=UTF-8' || chr(39) || chr(39) || encoded AS header FROM h)
+SELECT CAST(created_at AS DATE) AS created_date, event_id % 3 AS name_kind, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes,
   CAST(sum(CASE WHEN minutes IN (10, 30, 60) THEN minutes ELSE 30 END) AS BIGINT) AS ttl_minutes,
-  count(*) FILTER (content_disposition_ok) AS headers FROM (SELECT *, true AS content_disposition_ok FROM r) GROUP BY ALL""",
+  count(DISTINCT header) AS headers, min(header) AS first_header, max(header) AS last_header FROM t GROUP BY ALL""",
     ),
 )
 def write_results(spark, sf_dir):
@@ -82,29 +85,35 @@ def write_results(spark, sf_dir):
     sinks.write_results(finished, path, F.col("minutes"))
     written = spark.read.parquet(path)
     ttl = F.timestamp_diff("MINUTE", F.col("created_at"), F.col("expires_at"))
-    return written.groupBy("created_date").agg(
+    header = F.col("content_disposition")
+    return written.groupBy("created_date", (F.col("event_id") % 3).alias("name_kind")).agg(
         F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"),
-        F.sum(ttl).alias("ttl_minutes"),
-        F.count_if(F.startswith(F.col("content_disposition"), F.lit("attachment; filename=\"clip"))).alias("headers"),
+        F.sum(ttl).alias("ttl_minutes"), F.count_distinct(header).alias("headers"),
+        F.min(header).alias("first_header"), F.max(header).alias("last_header"),
     )
 
 
 HASHES = Derived(
     ["encode_attempts"],
-    """SELECT file_id, CAST(tie_a AS STRING) AS before_hash, CASE WHEN tie_b % 10 = 0 THEN CAST(tie_a + 1 AS STRING) ELSE CAST(tie_a AS STRING) END AS after_hash, tie_b % 11 <> 0 AS kept, file_id % 50 <> 0 AS has_input FROM {encode_attempts}""",
+    """SELECT file_id, CAST(tie_a AS STRING) AS before_hash, CASE WHEN tie_b % 10 = 0 THEN CAST(tie_a + 1 AS STRING) ELSE CAST(tie_a AS STRING) END AS after_hash, tie_b % 11 <> 0 AS kept, file_id % 50 <> 0 AS has_input, tie_a % 6 AS dirt FROM {encode_attempts}""",
 )
 HASH_SQL = f"""
 h AS ({HASHES.sql()}),
-b AS (SELECT file_id, before_hash AS hash, count(*) AS n FROM h WHERE has_input GROUP BY ALL),
-a AS (SELECT file_id, after_hash AS hash, count(*) AS n FROM h WHERE kept GROUP BY ALL),
+b AS (SELECT file_id, before_hash AS hash, count(*) AS n FROM h WHERE has_input AND dirt <> 1 GROUP BY ALL),
+a AS (SELECT file_id, after_hash AS hash, count(*) AS n FROM h WHERE kept AND dirt <> 2 GROUP BY ALL),
 j AS (SELECT coalesce(b.file_id, a.file_id) AS file_id, coalesce(b.hash, a.hash) AS hash, coalesce(b.n, 0) AS nb, coalesce(a.n, 0) AS na FROM b FULL JOIN a ON a.file_id = b.file_id AND a.hash = b.hash)"""
 
 
 def hash_sides(spark, sf_dir):
     rows = HASHES.frame(spark, sf_dir)
-    before = rows.filter("has_input").select("file_id", F.col("before_hash").alias("hash"))
-    after = rows.filter("kept").select("file_id", F.col("after_hash").alias("hash"))
-    return before, after
+    dirt = F.col("dirt")  # comments and blank lines, and blanks around a hash
+    before, after = F.col("before_hash"), F.col("after_hash")
+    left = F.when(dirt == 1, F.concat(F.lit(" # "), before)).when(dirt == 3, F.concat(F.lit("  "), before)).otherwise(before)
+    right = F.when(dirt == 2, F.lit("   ")).when(dirt == 4, F.concat(after, F.lit(" "))).otherwise(after)
+    return (
+        rows.filter("has_input").select("file_id", left.alias("hash")),
+        rows.filter("kept").select("file_id", right.alias("hash")),
+    )
 
 
 @register(
@@ -132,20 +141,6 @@ def stream_differences(spark, sf_dir):
     return ops.stream_differences(*hash_sides(spark, sf_dir))
 
 
-@register(
-    "j8_label_verification",
-    sql_over(
-        ["verification"],
-        """SELECT quality_ok, metadata_ok, count(*) AS files FROM verification GROUP BY ALL""",
-    ),
-)
-def label_verification(spark, sf_dir):
-    from ..sources.adapters import view
-
-    rows = view(spark, sf_dir, "verification")
-    return rows.groupBy("quality_ok", "metadata_ok").agg(F.count(F.lit(1)).alias("files"))
-
-
 OUTPUTS = Derived(
     ["media_files"],
     """SELECT file_id, kind, CASE WHEN kind = 'video' THEN CASE file_id % 4 WHEN 0 THEN 'mp4' WHEN 1 THEN 'mov' WHEN 2 THEN 'webm' ELSE 'mkv' END
@@ -313,19 +308,22 @@ def removal_totals(spark, sf_dir):
     return ops.removal_totals(ops.removal_counts(streams, files), files)
 
 
+#: All known codes, one unknown and none at all, dealt over the events.
+CODE_LIST = (*sorted(dims.ERROR_STATUS), "BAD_REQUEST", None)
+CODE_CASES = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODE_LIST) if c)
 ERRORS = Derived(
     ["events"],
-    """SELECT event_id, CASE event_id % 11 WHEN 0 THEN 'UNSUPPORTED_MEDIA' WHEN 1 THEN 'INVALID_FILE' WHEN 2 THEN 'CORRUPTED_MEDIA' WHEN 3 THEN 'PROCESSING_TIMEOUT' WHEN 4 THEN 'TARGET_SIZE_UNREACHABLE'
-  WHEN 5 THEN 'INSUFFICIENT_STORAGE' WHEN 6 THEN 'FFMPEG_EXECUTION_FAILED' WHEN 7 THEN 'OUTPUT_VALIDATION_FAILED' WHEN 8 THEN 'BAD_REQUEST' ELSE 'NOT_FOUND' END AS code FROM {events} WHERE event_type = 'error'""",
+    f"""SELECT event_id, CASE event_id % {len(CODE_LIST)} {CODE_CASES} END AS code FROM {{events}} WHERE event_type IN ('error', 'view')""",
 )
+STATUS_ROWS = ", ".join(f"('{c}', {n})" for c, n in sorted(dims.ERROR_STATUS.items()))
 
 
 @register(
     "j16_classify_errors",
     sql_over(
         [],
-        f"""WITH e AS ({ERRORS.sql()}), c(code, http_status, retryable) AS (VALUES {', '.join(f"('{c}', {s}, {str(r).lower()})" for c, s, r in dims.ERROR_CLASSES)})
-SELECT e.code, coalesce(c.http_status, 400) AS http_status, coalesce(c.retryable, false) AS retryable, c.code IS NOT NULL AS classified, count(*) AS errors FROM e LEFT JOIN c ON c.code = e.code GROUP BY ALL""",
+        f"""WITH e AS ({ERRORS.sql()}), c(code, http_status) AS (VALUES {STATUS_ROWS})
+SELECT e.code, coalesce(c.http_status, 400) AS http_status, coalesce(e.code IN ('PROCESSING_TIMEOUT', 'INSUFFICIENT_STORAGE'), false) AS retryable, c.code IS NOT NULL AS classified, count(*) AS errors FROM e LEFT JOIN c ON c.code = e.code GROUP BY ALL""",
     ),
 )
 def classify_errors(spark, sf_dir):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions import labels
+from ..functions.numbers import bytes_in_unit, size_in_bytes
 from ..operators import intake as ops
 from ..operators import naming
 from ..operators import settings as settings_ops
@@ -15,7 +17,7 @@ from . import register
 
 TRIAGE = Derived(
     ["media_files"],
-    """SELECT file_id, kind, CASE WHEN file_id % 101 = 0 THEN 0 ELSE size_bytes END AS size_bytes, file_id % 97 = 0 AS executable,
+    """SELECT file_id, CASE WHEN file_id % 29 = 0 THEN 'unknown' ELSE kind END AS kind, CASE WHEN file_id % 101 = 0 THEN 0 ELSE size_bytes END AS size_bytes, file_id % 97 = 0 AS executable,
   width * CASE WHEN file_id % 23 = 0 THEN 8 ELSE 1 END AS width, height * CASE WHEN file_id % 46 = 0 THEN 8 ELSE 1 END AS height,
   CASE WHEN file_id % 13 = 0 THEN 1 + file_id % 200 ELSE 1 END AS pages, kind = 'image' AND file_id % 17 = 0 AS svg, file_id % 34 = 0 AS unsafe_svg,
   CASE WHEN file_id % 19 = 0 THEN 'video' ELSE kind END AS signature_kind, duration_s * CASE WHEN file_id % 3 = 0 THEN 2 ELSE 1 END AS duration_s
@@ -24,7 +26,7 @@ FROM {media_files}""",
 
 TRIAGE_SQL = f"""
 t AS ({TRIAGE.sql()}),
-c AS (SELECT *, CASE WHEN size_bytes = 0 THEN 'EMPTY_FILE' WHEN size_bytes > 262144000 THEN 'FILE_TOO_LARGE' WHEN executable THEN 'EXECUTABLE_REJECTED'
+c AS (SELECT *, CASE WHEN size_bytes = 0 THEN 'EMPTY_FILE' WHEN size_bytes > 262144000 THEN 'FILE_TOO_LARGE' WHEN executable THEN 'EXECUTABLE_REJECTED' WHEN kind = 'unknown' THEN 'UNSUPPORTED_TYPE'
   WHEN kind = 'image' AND (width > 16384 OR height > 16384 OR CAST(width AS BIGINT) * height > 40000000) THEN 'IMAGE_DIMENSIONS_TOO_LARGE'
   WHEN kind = 'image' AND (pages > 120 OR CAST(width AS BIGINT) * height * pages > 80000000) THEN 'ANIMATION_TOO_LARGE'
   WHEN kind = 'image' AND svg AND size_bytes > 2097152 THEN 'SVG_TOO_LARGE' WHEN kind = 'image' AND svg AND unsafe_svg THEN 'UNSAFE_SVG'
@@ -43,7 +45,7 @@ def triage_intake(spark, sf_dir):
     sql_over(
         ["media_files"],
         f"""WITH {TRIAGE_SQL.strip()} SELECT kind, code, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes,
-  CASE code WHEN 'EMPTY_FILE' THEN 400 WHEN 'ACCEPTED' THEN 200 WHEN 'EXECUTABLE_REJECTED' THEN 415 WHEN 'UNSAFE_SVG' THEN 415 WHEN 'TYPE_MISMATCH' THEN 415 ELSE 413 END AS http_status
+  CASE code WHEN 'EMPTY_FILE' THEN 400 WHEN 'ACCEPTED' THEN 200 WHEN 'EXECUTABLE_REJECTED' THEN 415 WHEN 'UNSAFE_SVG' THEN 415 WHEN 'TYPE_MISMATCH' THEN 415 WHEN 'UNSUPPORTED_TYPE' THEN 415 ELSE 413 END AS http_status
 FROM c GROUP BY kind, code""",
     ),
 )
@@ -428,6 +430,60 @@ def flow_matrix(spark, sf_dir):
     return settings_ops.flow_matrix(settings_ops.container_flow(FLOW.frame(spark, sf_dir)))
 
 
+COPIES = Derived(
+    ["media_files"],
+    """SELECT file_id, kind, CASE WHEN kind = 'audio' THEN CASE file_id % 8 WHEN 0 THEN 'mp3' WHEN 1 THEN 'mov,mp4,m4a' WHEN 2 THEN 'aac' WHEN 3 THEN 'ogg' WHEN 4 THEN 'opus' WHEN 5 THEN 'flac' WHEN 6 THEN 'wav' ELSE 'avi' END
+    ELSE CASE file_id % 7 WHEN 0 THEN 'matroska,webm' WHEN 1 THEN 'Matroska' WHEN 2 THEN 'mov, mp4' WHEN 3 THEN 'avi' WHEN 4 THEN 'mpegts' WHEN 5 THEN 'ogg' ELSE 'flv' END END AS format_name,
+  CASE file_id % 5 WHEN 0 THEN 'mp3' WHEN 1 THEN 'aac' WHEN 2 THEN 'opus' WHEN 3 THEN 'vorbis' ELSE CASE WHEN file_id % 2 = 0 THEN 'flac' ELSE 'pcm_s16le' END END AS codec,
+  'clip.' || CASE file_id % 6 WHEN 0 THEN 'OGG' WHEN 1 THEN 'mp4' WHEN 2 THEN 'webm' WHEN 3 THEN 'dat' WHEN 4 THEN 'm2ts' ELSE 'x' END AS name FROM {media_files}""",
+)
+
+
+@register(
+    "p6_copy_formats",
+    sql_over(
+        ["media_files"],
+        f"""WITH c AS ({COPIES.sql()})
+SELECT file_id, CASE WHEN kind <> 'audio' THEN NULL WHEN format_name = 'mp3' AND codec = 'mp3' THEN 'mp3' WHEN format_name LIKE 'mov%' AND codec = 'aac' THEN 'm4a' WHEN format_name = 'aac' AND codec = 'aac' THEN 'aac'
+  WHEN format_name IN ('opus', 'ogg') AND codec = 'opus' THEN CASE WHEN name = 'clip.OGG' THEN 'ogg' ELSE 'opus' END WHEN format_name = 'ogg' AND codec = 'vorbis' THEN 'ogg'
+  WHEN format_name = 'flac' AND codec = 'flac' THEN 'flac' WHEN format_name = 'wav' AND codec LIKE 'pcm%' THEN 'wav' END AS audio_format,
+  CASE WHEN kind <> 'video' THEN NULL WHEN file_id % 6 = 1 THEN 'mp4' WHEN file_id % 6 = 2 THEN 'webm' WHEN file_id % 6 = 4 THEN 'm2ts'
+  ELSE CASE file_id % 7 WHEN 0 THEN 'webm' WHEN 1 THEN 'mkv' WHEN 2 THEN 'mp4' WHEN 3 THEN 'avi' WHEN 4 THEN 'ts' WHEN 5 THEN 'ogv' ELSE 'mkv' END END AS strict_container FROM c""",
+    ),
+)
+def copy_formats(spark, sf_dir):
+    return settings_ops.copy_formats(COPIES.frame(spark, sf_dir)).select("file_id", "audio_format", "strict_container")
+
+
+@register(
+    "f1_units_and_labels",
+    sql_over(
+        [],
+        """WITH v AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN -1.5e0 WHEN p_partkey % 7 = 1 THEN 0.0e0 WHEN p_partkey % 7 = 2 THEN 1.0e10 ELSE CAST(p_partkey AS DOUBLE) / 8 END AS value,
+    CASE p_partkey % 4 WHEN 0 THEN 'KB' WHEN 1 THEN 'MB' WHEN 2 THEN 'GB' ELSE 'TB' END AS unit, p_partkey * 37 AS seconds FROM part),
+b AS (SELECT *, value * CASE unit WHEN 'KB' THEN 1024 WHEN 'MB' THEN 1048576 WHEN 'GB' THEN 1073741824 END AS exact FROM v),
+w AS (SELECT *, CASE WHEN value > 0 AND exact <= 9007199254740991 AND floor(exact + 0.5e0) > 0 THEN CAST(floor(exact + 0.5e0) AS BIGINT) END AS bytes FROM b)
+SELECT id, bytes, CASE WHEN bytes IS NOT NULL THEN CAST(bytes AS DOUBLE) / CASE unit WHEN 'KB' THEN 1024 WHEN 'MB' THEN 1048576 WHEN 'GB' THEN 1073741824 END END AS back,
+  CASE WHEN bytes < 1024 THEN printf('%d B', bytes) WHEN bytes < 1048576 THEN printf('%.1f KB', floor(CAST(bytes AS DOUBLE) / 1024 * 10 + 0.5e0) / 10)
+    WHEN bytes < 1073741824 THEN printf('%.2f MB', floor(CAST(bytes AS DOUBLE) / 1048576 * 100 + 0.5e0) / 100) WHEN bytes IS NOT NULL THEN printf('%.2f GB', floor(CAST(bytes AS DOUBLE) / 1073741824 * 100 + 0.5e0) / 100) END AS size_label,
+  CASE WHEN seconds >= 3600 THEN printf('%dh %dm %ds', seconds // 3600, seconds % 3600 // 60, seconds % 60) WHEN seconds >= 60 THEN printf('%dm %ds', seconds // 60, seconds % 60) ELSE printf('%ds', seconds) END AS elapsed_label,
+  CASE WHEN seconds >= 3600 THEN printf('%d:%02d:%02d', seconds // 3600, seconds % 3600 // 60, seconds % 60) ELSE printf('%d:%02d', seconds // 60, seconds % 60) END AS time_label FROM w""",
+    ),
+)
+def units_and_labels(spark, sf_dir):
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        key.alias("id"),
+        F.when(key % 7 == 0, -1.5).when(key % 7 == 1, 0.0).when(key % 7 == 2, 1.0e10).otherwise(key.cast("double") / 8).alias("value"),
+        F.when(key % 4 == 0, "KB").when(key % 4 == 1, "MB").when(key % 4 == 2, "GB").otherwise("TB").alias("unit"),
+        (key * 37).alias("seconds"),
+    ).withColumn("bytes", size_in_bytes(F.col("value"), F.col("unit")))
+    return rows.select(
+        "id", "bytes", bytes_in_unit(F.col("bytes"), F.col("unit")).alias("back"), labels.byte_label(F.col("bytes")).alias("size_label"),
+        labels.elapsed_label(F.col("seconds")).alias("elapsed_label"), labels.media_time_label(F.col("seconds")).alias("time_label"),
+    )
+
+
 def probe_documents(spark, sf_dir):
     """Probe JSON of every timed file, with gaps, attached pictures and broken documents."""
     c = F.col
@@ -551,16 +607,16 @@ def parse_target_probes(spark, sf_dir):
     sql_over(
         ["media_files"],
         f"""WITH {PROBE_SQL.strip()}
-SELECT file_id, kind, duration_s, size_bytes, CAST(greatest(1, floor(coalesce(f_bits, v_bits, a_bits) / 1000 + 0.5e0)) AS BIGINT) AS total_kbps,
+SELECT file_id, kind, duration_s, size_bytes, CASE WHEN coalesce(f_bits, v_bits, a_bits) IS NOT NULL THEN CAST(greatest(1, floor(coalesce(f_bits, v_bits, a_bits) / 1000 + 0.5e0)) AS BIGINT) END AS total_kbps,
   CASE WHEN v_bits IS NOT NULL THEN CAST(greatest(1, floor(v_bits / 1000 + 0.5e0)) AS BIGINT) END AS video_kbps,
   CASE WHEN a_bits IS NOT NULL THEN CAST(greatest(1, floor(a_bits / 1000 + 0.5e0)) AS BIGINT) END AS audio_kbps, CAST(CASE WHEN is_video THEN height END AS INTEGER) AS height, rate AS fps,
   array_to_string(list_transform(generate_series(1, CAST(audio_track_count AS BIGINT)), lambda i: CASE WHEN i % 2 = 1 THEN 'aac' ELSE 'opus' END), ',') AS audio_codecs, CAST(audio_track_count AS INTEGER) AS audio_track_count
-FROM p WHERE NOT broken AND file_id % 31 <> 0 AND (is_video OR audio_track_count > 0) AND coalesce(f_bits, v_bits, a_bits) IS NOT NULL""",
+FROM p WHERE NOT broken AND file_id % 31 <> 0 AND (is_video OR audio_track_count > 0)""",
     ),
 )
 def target_probe_from_inspection(spark, sf_dir):
     documents = probe_documents(spark, sf_dir)
-    parsed = probes.parse_probes(documents.drop("size_bytes")).filter("reject_reason IS NULL AND bitrate IS NOT NULL")
+    parsed = probes.parse_probes(documents.drop("size_bytes")).filter("reject_reason IS NULL")
     sized = parsed.join(documents.select("file_id", "size_bytes"), "file_id")
     return probes.target_probe_from_inspection(sized).select(
         "file_id", "kind", "duration_s", "size_bytes", "total_kbps", "video_kbps", "audio_kbps",

@@ -22,8 +22,11 @@ def files(spark, sf_dir):
 
 def half_targets(spark, sf_dir):
     asked = files(spark, sf_dir).withColumn("target_ratio", F.lit(0.5))
+    key = F.col("file_id")
     return bitrate.accepted(bitrate.resolve_targets(asked)).select(
-        "file_id", "size_bytes", "requested_bytes"
+        "file_id", "size_bytes", "requested_bytes",
+        F.when(key % 3 == 0, "jpeg").when(key % 3 == 1, "webp").otherwise("avif").alias("output_format"),
+        F.when(key % 11 == 0, 70).alias("quality_floor"),
     )
 
 
@@ -84,6 +87,26 @@ def select_quality(spark, sf_dir):
     return ops.select_quality(attempts(spark, sf_dir), files(spark, sf_dir))
 
 
+@register(
+    "t2_thresholds_per_file",
+    sql_over(
+        ["encode_attempts"],
+        """WITH c AS (SELECT *, CASE WHEN file_id % 4 = 0 THEN 90.0e0 WHEN file_id % 4 = 1 THEN 97.0e0 ELSE 95.0e0 END AS mt, CASE WHEN file_id % 5 = 0 THEN 60.0e0 ELSE 80.0e0 END AS ft FROM encode_attempts)
+SELECT file_id, count(*) FILTER (decoded AND vmaf_mean >= mt AND vmaf_min >= ft) AS qualified, count(*) FILTER (NOT decoded) AS unavailable, count(*) AS candidates FROM c GROUP BY file_id""",
+    ),
+)
+def thresholds_per_file(spark, sf_dir):
+    key = F.col("file_id")
+    own = attempts(spark, sf_dir).withColumns({
+        "mean_threshold": F.when(key % 4 == 0, 90.0).when(key % 4 == 1, 97.0), "frame_threshold": F.when(key % 5 == 0, 60.0),
+    })
+    state = F.col("gate")
+    return ops.gate(own).groupBy("file_id").agg(
+        F.count_if(state == "qualified").alias("qualified"), F.count_if(state == "unavailable").alias("unavailable"),
+        F.count(F.lit(1)).alias("candidates"),
+    )
+
+
 @register(
     "a11_candidate_tally",
     sql_over(
@@ -127,12 +150,13 @@ def savings_rollup(spark, sf_dir):
 
 
 TARGET_SQL = """
-targets AS (SELECT file_id, size_bytes, CAST(greatest(1, floor(CAST(size_bytes AS DOUBLE) * 0.5e0)) AS BIGINT) AS requested_bytes
+targets AS (SELECT file_id, size_bytes, CAST(greatest(1, floor(CAST(size_bytes AS DOUBLE) * 0.5e0)) AS BIGINT) AS requested_bytes,
+    CASE WHEN file_id % 11 = 0 THEN 70 WHEN file_id % 3 = 0 THEN 60 WHEN file_id % 3 = 1 THEN 55 ELSE 45 END AS floor_quality
   FROM media_files WHERE size_bytes > 0),
 usable AS (SELECT a.*, t.size_bytes, t.requested_bytes, a.output_bytes <= t.requested_bytes AND a.output_bytes < t.size_bytes AS fits
-  FROM encode_attempts a JOIN targets t USING (file_id) WHERE decoded AND quality >= 60),
+  FROM encode_attempts a JOIN targets t USING (file_id) WHERE decoded AND quality >= floor_quality),
 best AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY quality DESC, output_bytes, ordinal, tie_a, tie_b, codec) AS rn FROM usable WHERE fits),
-low AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY quality, output_bytes, ordinal, tie_a, tie_b, codec) AS rn FROM usable),
+low AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY quality, output_bytes, ordinal, tie_a, tie_b, codec) AS rn FROM usable JOIN (SELECT file_id AS floor_file, floor_quality FROM targets) ON file_id = floor_file WHERE quality = floor_quality),
 tally AS (SELECT file_id, count(*) AS attempts, min(CASE WHEN output_bytes < size_bytes THEN output_bytes END) AS smallest FROM usable GROUP BY file_id),
 joined AS (SELECT t.file_id, t.size_bytes, t.requested_bytes, t.requested_bytes >= t.size_bytes AS no_work, b.file_id IS NOT NULL AS has_best,
     coalesce(l.output_bytes < t.size_bytes, false) AS low_kept, b.output_bytes AS bb, b.quality AS bq, b.codec AS bc, l.output_bytes AS lb, l.quality AS lq, l.codec AS lc,

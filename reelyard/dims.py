@@ -259,20 +259,98 @@ STATUS_PATTERNS = (
     ("finalizing", "出力|検証|プレビュー|ダウンロード|完了"),
 )
 
-# --- fixed values: error classes -------------------------------------------------
-# code, http status, retryable
-ERROR_CLASSES = (
-    ("UNSUPPORTED_MEDIA", 415, False),
-    ("INVALID_FILE", 400, False),
-    ("CORRUPTED_MEDIA", 422, False),
-    ("PROCESSING_TIMEOUT", 408, True),
-    ("TARGET_SIZE_UNREACHABLE", 422, False),
-    ("INSUFFICIENT_STORAGE", 507, True),
-    ("FFMPEG_EXECUTION_FAILED", 422, False),
-    ("OUTPUT_VALIDATION_FAILED", 422, False),
-)
+# --- fixed values: status of each error code --------------------------------------
+_CODES_BY_STATUS = {
+    400: (
+        "AUDIO_ENHANCEMENT_UNSUPPORTED EMPTY_FILE FILE_REQUIRED INVALID_AI_OPTIONS INVALID_AUDIO_OPTIONS "
+        "INVALID_BITRATE INVALID_ENCODING INVALID_ENHANCEMENTS INVALID_FILE INVALID_IMAGE_RESOLUTION "
+        "INVALID_JOB_ID INVALID_JPEG_BACKGROUND INVALID_LOSSLESS_OPTIONS INVALID_OPTIMIZATION_MODE "
+        "INVALID_OUTPUT_FORMAT INVALID_PROCESSING_MODE INVALID_QUALITY INVALID_QUALITY_SEARCH "
+        "INVALID_SETTINGS INVALID_SPEED_PRESET INVALID_STREAM_SELECTION INVALID_TARGET_SIZE "
+        "INVALID_TARGET_SIZE_OPTIONS INVALID_VIDEO_CODEC INVALID_VIDEO_OPTIONS JPEG_BACKGROUND_REQUIRED "
+        "LOSSLESS_AUDIO_OUTPUT_REQUIRED LOSSLESS_OUTPUT_REQUIRED LOSSLESS_SETTINGS_CONFLICT "
+        "TARGET_SIZE_REQUIRED UPLOAD_ID_REQUIRED UPSCALE_NOT_ALLOWED"
+    ),
+    404: (
+        "FILE_EXPIRED NOT_FOUND PREVIEW_NOT_FOUND RESULT_NOT_READY UPLOAD_EXPIRED"
+    ),
+    408: (
+        "AI_TIMEOUT AI_VIDEO_TIMEOUT AUDIO_TIMEOUT DECODE_TIMEOUT MEDIA_PROBE_TIMEOUT PREVIEW_TIMEOUT "
+        "PROCESSING_TIMEOUT PROCESS_TIMEOUT TARGET_SIZE_TIMEOUT VIDEO_OPTIMIZATION_TIMEOUT"
+    ),
+    413: (
+        "AI_IMAGE_TOO_LARGE AI_OUTPUT_TOO_LARGE AI_VIDEO_OUTPUT_TOO_LARGE AI_VIDEO_RESOLUTION_TOO_LARGE "
+        "AI_VIDEO_TOO_LARGE AI_VIDEO_TOO_LONG ANIMATION_TOO_LARGE FILE_TOO_LARGE "
+        "IMAGE_DIMENSIONS_TOO_LARGE MEDIA_DURATION_TOO_LONG SVG_TOO_LARGE VIDEO_DIMENSIONS_TOO_LARGE"
+    ),
+    415: (
+        "AUDIO_REQUIRED DECODER_UNAVAILABLE EXECUTABLE_REJECTED IMAGE_REQUIRED TYPE_MISMATCH UNSAFE_SVG "
+        "UNSUPPORTED_MEDIA UNSUPPORTED_TYPE VIDEO_REQUIRED"
+    ),
+    422: (
+        "AI_ANIMATION_UNSUPPORTED AI_VIDEO_FFMPEG_FAILED AI_WORKER_EXITED ANIMATED_OUTPUT_UNSUPPORTED "
+        "AUDIO_COPY_UNSUPPORTED AUDIO_ENCODER_UNAVAILABLE AUDIO_OUTPUT_INVALID AUDIO_OUTPUT_UNAVAILABLE "
+        "AUDIO_PROCESS_FAILED CORRUPTED_MEDIA EMPTY_OUTPUT FFMPEG_EXECUTION_FAILED "
+        "IMAGE_OUTPUT_UNAVAILABLE IMAGE_PROCESS_FAILED INCOMPATIBLE_AUDIO_OUTPUT INCOMPATIBLE_STREAM_COPY "
+        "INCOMPATIBLE_VIDEO_OUTPUT INVALID_SAMPLE_DATA LOSSLESS_IMAGE_FORMAT_UNSUPPORTED "
+        "MEDIA_INFO_INCOMPLETE MEDIA_PROBE_FAILED MEDIA_PROBE_OUTPUT_TOO_LARGE METADATA_ONLY_UNSUPPORTED "
+        "OUTPUT_CODEC_MISMATCH OUTPUT_FORMAT_MISMATCH OUTPUT_VALIDATION_FAILED REAL_ESRGAN_FAILED "
+        "STREAM_REQUIRED TARGET_OUTPUT_INVALID TARGET_SIZE_ANIMATION_UNSUPPORTED TARGET_SIZE_PROBE_FAILED "
+        "TARGET_SIZE_PROCESS_FAILED TARGET_SIZE_UNREACHABLE VIDEO_ENCODER_UNAVAILABLE "
+        "VIDEO_INFO_INCOMPLETE VIDEO_OPTIMIZATION_FAILED VIDEO_OPTIMIZATION_INFO_INCOMPLETE "
+        "VIDEO_OPTIMIZATION_PROBE_FAILED VIDEO_OUTPUT_UNAVAILABLE VIDEO_PREVIEW_FAILED "
+        "VIDEO_PROCESS_FAILED VMAF_RESULT_INVALID ZERO_DURATION"
+    ),
+    499: (
+        "CANCELLED"
+    ),
+    500: (
+        "FFPROBE_NOT_FOUND INTERNAL_ERROR INVALID_OUTPUT_PATH"
+    ),
+    503: (
+        "AAC_UNAVAILABLE AI_WORKER_FAILED ENCODER_UNAVAILABLE FFMPEG_NOT_FOUND FFMPEG_UNAVAILABLE "
+        "FFPROBE_UNAVAILABLE GFPGAN_UNAVAILABLE REAL_ESRGAN_UNAVAILABLE TARGET_VIDEO_ENCODER_UNAVAILABLE "
+        "TARGET_VIDEO_OUTPUT_UNAVAILABLE"
+    ),
+    507: (
+        "INSUFFICIENT_STORAGE"
+    ),
+}
+ERROR_STATUS = {code: status for status, codes in _CODES_BY_STATUS.items() for code in codes.split()}
+RETRYABLE_ERRORS = ("PROCESSING_TIMEOUT", "INSUFFICIENT_STORAGE")
 DEFAULT_ERROR_STATUS = 400
 
+# --- fixed values: containers of copies ------------------------------------------
+# probe formats, codec, end of the file name, container
+SOURCE_CONTAINERS = (
+    (("webm",), "", "", "webm"),
+    (("matroska",), "", ".webm", "webm"),
+    (("matroska",), "", "", "mkv"),
+    (("mov", "mp4"), "", ".mov", "mov"),
+    (("mov", "mp4"), "", "", "mp4"),
+)
+AUDIO_COPY_FORMATS = (
+    (("mp3",), "mp3", "", "mp3"),
+    (("mov", "mp4", "m4a"), "aac", "", "m4a"),
+    (("aac",), "aac", "", "aac"),
+    (("opus", "ogg"), "opus", ".ogg", "ogg"),
+    (("opus", "ogg"), "opus", "", "opus"),
+    (("ogg",), "vorbis", "", "ogg"),
+    (("flac",), "flac", "", "flac"),
+    (("wav",), "pcm_", "", "wav"),
+)
+STRICT_EXTENSIONS = ("mp4", "mov", "mkv", "webm", "avi", "ts", "m2ts", "ogv")
+STRICT_CONTAINERS = (
+    (("webm",), "", "", "webm"),
+    (("matroska",), "", "", "mkv"),
+    (("mov", "mp4"), "", "", "mp4"),
+    (("avi",), "", "", "avi"),
+    (("mpegts",), "", "", "ts"),
+    (("ogg",), "", "", "ogv"),
+)
+# --- fixed values: units of sizes --------------------------------------------------
+SIZE_UNITS = {"KB": 1024, "MB": 1024**2, "GB": 1024**3}
+
 # --- fixed values: log allowlist -------------------------------------------------
 LOG_LABEL_FIELDS = ("encoder", "processingMode")
 LOG_METRIC_FIELDS = (

@@ -30,12 +30,11 @@ def _compose(names: pd.Series) -> pd.Series:
 
 
 def normalize_names(df: DataFrame, column: str) -> DataFrame:
-    """NFC form of a name column. Only non-ASCII names leave the JVM."""
+    """NFC form of a name column, in one pass. Only non-ASCII names leave the JVM as text."""
     # more bytes than characters
-    foreign = F.coalesce(F.octet_length(column) != F.length(column), F.lit(False))
-    plain = df.filter(~foreign)
-    composed = df.filter(foreign).withColumn(column, _compose(F.col(column)))
-    return plain.unionByName(composed)
+    foreign = F.octet_length(column) != F.length(column)
+    composed = _compose(F.when(foreign, F.col(column)))
+    return df.withColumn(column, F.coalesce(composed, F.col(column)))
 
 
 def clean(name: Column) -> Column:

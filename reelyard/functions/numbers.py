@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import dims
+
 SAFE_INTEGER = 2**53 - 1
 
 
@@ -48,3 +50,17 @@ def exact_sum(x: Column) -> Column:
 def exact_mean(x: Column, digits: int = 3) -> Column:
     """Order-independent mean, rounded."""
     return fixed(share(exact_sum(x), F.count(x)), digits)
+
+
+def size_in_bytes(value: Column, unit: Column) -> Column:
+    """A size in KB, MB or GB as whole bytes; null if it isn't positive, finite and exact."""
+    amount = value.cast("double")
+    base = dims.lookup(unit, dims.SIZE_UNITS)
+    whole = F.floor(amount * base + 0.5)
+    fits = (amount > 0) & ~F.isnan(amount) & (amount * base <= SAFE_INTEGER) & (whole > 0)
+    return F.when(fits, whole.cast("bigint"))
+
+
+def bytes_in_unit(size: Column, unit: Column) -> Column:
+    """A number of bytes in KB, MB or GB; null if negative."""
+    return F.when(size >= 0, size.cast("double") / dims.lookup(unit, dims.SIZE_UNITS))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed, share
+from ..session import materialize
 from .running import CHUNK_ROWS, running
 
 
@@ -56,27 +57,31 @@ def stage_summary(
     are never gathered: equal values are counted, counts are scanned in value buckets, and
     the first value whose running count reaches the rank is the percentile.
     """
-    totals = log.groupBy("stage").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if("failed").alias("errors"),
-        F.count("elapsed_us").alias("measured"),
-        F.sum("elapsed_us").alias("elapsed_us"),
+    # one pass over the log; everything else reads one row per stage and value
+    values = materialize(
+        log.groupBy("stage", "elapsed_us").agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failures")),
+        "stage-values",
     )
-    counts = log.filter(F.col("elapsed_us").isNotNull()).groupBy("stage", "elapsed_us").agg(
-        F.count(F.lit(1)).alias("n")
+    totals = values.groupBy("stage").agg(
+        F.sum("n").alias("rows"),
+        F.sum("failures").alias("errors"),
+        F.coalesce(F.sum(F.when(F.col("elapsed_us").isNotNull(), F.col("n"))), F.lit(0)).alias("measured"),
+        F.sum(F.col("elapsed_us") * F.col("n")).alias("elapsed_us"),
     )
+    counts = values.filter(F.col("elapsed_us").isNotNull()).select("stage", "elapsed_us", "n")
     ranked = running(
         counts, ["stage"], ["elapsed_us"], {"reached": ("sum", F.col("n"), True)},
         chunk=F.floor(F.col("elapsed_us") / bucket_us), size=size,
     )
     needed = F.floor((F.col("measured") * percent + 99) / 100)
+    goals = totals.select(F.col("stage").alias("__of"), needed.alias("__needed"))
     tail = (
-        ranked.join(totals.select("stage", "measured"), "stage")
-        .filter(F.col("reached") >= needed)
-        .groupBy("stage")
+        ranked.join(goals, F.col("stage").eqNullSafe(F.col("__of")))
+        .filter(F.col("reached") >= F.col("__needed"))
+        .groupBy("__of")
         .agg(F.min("elapsed_us").alias("__value"))
     )
-    return totals.join(tail, "stage", "left").select(
+    return totals.join(tail, F.col("stage").eqNullSafe(F.col("__of")), "left").select(
         "stage", "rows", "errors",
         fixed(share(F.col("elapsed_us"), F.col("measured")) / 1000, 3).alias("mean_ms"),
         fixed(F.col("__value") / 1000, 3).alias(f"p{percent}_ms"),

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import dims
 
+# --- fixed values: lines of tool listings -----------------------------------------
 FORMAT_LINE = r"^\s([D ])([E ])\s+([^\s]+)"
-CODEC_LINE = r"^\s*[VASvas][A-Za-z.]{5}\s+([^\s]+)"
+CODEC_LINE = r"(?i)^\s*[VAS][A-Z.]{5}\s+([^\s]+)"
 FILTER_LINE = r"^\s*[T.][S.][C.]\s+([^\s]+)"
 HWACCEL_LINE = "(?i)^[a-z0-9_]+$"
 
@@ -67,7 +68,7 @@ def supported_outputs(capabilities: DataFrame, requirements: DataFrame) -> DataF
         .agg(F.count_distinct("need").alias("met"))
     )
     return (
-        met.join(F.broadcast(needed), ["category", "output"])
+        met.join(needed, ["category", "output"])
         .filter(F.col("met") == F.col("needed"))
         .select("host", "category", "output")
     )

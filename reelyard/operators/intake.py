@@ -17,15 +17,6 @@ UNSAFE_SVG = (
     ("event-handler", r"(?i)\son[a-z]+\s*="),
     ("external-reference", r"""(?i)(?:href|xlink:href)\s*=\s*["']\s*(?:https?:|ftp:|file:)"""),
 )
-# --- fixed values: triage codes with their HTTP status ---------------------------
-TRIAGE_STATUS = {
-    "EMPTY_FILE": 400, "FILE_TOO_LARGE": 413, "EXECUTABLE_REJECTED": 415,
-    "IMAGE_DIMENSIONS_TOO_LARGE": 413, "ANIMATION_TOO_LARGE": 413, "SVG_TOO_LARGE": 413,
-    "UNSAFE_SVG": 415, "TYPE_MISMATCH": 415, "MEDIA_DURATION_TOO_LONG": 413,
-    "VIDEO_DIMENSIONS_TOO_LARGE": 413, "ACCEPTED": 200,
-}
-
-
 def is_executable(content: Column) -> Column:
     """First-bytes test for Windows, ELF, Mach-O and script files."""
     head = F.hex(F.substring(content, 1, 4))
@@ -84,7 +75,8 @@ def duplicate_content(files: DataFrame) -> DataFrame:
 
 
 def triage_intake(files: DataFrame) -> DataFrame:
-    """Code of the first rule a file fails, or ACCEPTED.
+    """Code of the first rule a file fails, or ACCEPTED. A file of unknown or null kind is one
+    that nothing can decode.
 
     ``files``: kind, size_bytes, executable, width, height, pages, svg, unsafe_svg,
     signature_kind, duration_s.
@@ -97,6 +89,7 @@ def triage_intake(files: DataFrame) -> DataFrame:
         F.when(size == 0, "EMPTY_FILE")
         .when(size > dims.MAX_VIDEO_BYTES, "FILE_TOO_LARGE")
         .when(F.col("executable"), "EXECUTABLE_REJECTED")
+        .when(F.coalesce("kind", F.lit("unknown")) == "unknown", "UNSUPPORTED_TYPE")
         .when(image & (edges | (pixels > dims.MAX_IMAGE_PIXELS)), "IMAGE_DIMENSIONS_TOO_LARGE")
         .when(
             image
@@ -123,7 +116,7 @@ def triage_intake(files: DataFrame) -> DataFrame:
 def triage_counts(triaged: DataFrame) -> DataFrame:
     return triaged.groupBy("kind", "code").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes")
-    ).withColumn("http_status", dims.lookup(F.col("code"), TRIAGE_STATUS))
+    ).withColumn("http_status", dims.lookup(F.col("code"), dims.ERROR_STATUS | {"ACCEPTED": 200}))
 
 
 def kind_of(mime: Column, name: Column) -> Column:

@@ -142,6 +142,7 @@ def encoder_summary(metrics: DataFrame) -> DataFrame:
     )
 
 
+# --- fixed values: lines of tool logs ---------------------------------------------
 BENCH_LINE = r"bench:\s+\d+ user\s+\d+ sys\s+(\d+) real (\S+)"
 VALUE_LINE = r"^([A-Za-z_]+)=([0-9.]+)(x|kbits/s)?$"
 
@@ -214,6 +215,7 @@ def allowlist_logs(raw: DataFrame) -> DataFrame:
     )
 
 
+# --- fixed values: what is redacted, and by what ----------------------------------
 DRIVE_PATH = r"""(?:[A-Za-z]:\\|\\\\)[^\s"']+"""
 TEMP_PATH = r"""/(?:tmp|private/tmp|var/tmp)/[^\s"']+"""
 DRIVE_MARK, TEMP_MARK = "[内部パス]", "[一時ファイル]"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions.names import extension, normalize_names, with_compressed_stem
 from ..functions.numbers import fixed, half_up, saved_percent
 from ..functions.parsing import trailing_sequence
 from ..functions.staging import settle
@@ -522,22 +523,23 @@ def assemble_results(manifests: DataFrame, latest: DataFrame) -> DataFrame:
     ``manifests``: job_id, output_name, original_name?, download_name?, output_size.
     ``latest``: job_id, file_name?, kind?, original_size?, output_format?, elapsed_s?.
     """
-    joined = manifests.join(latest, "job_id", "left")
-    name = F.coalesce("file_name", "original_name", "output_name")
-    extension = F.substring_index("output_name", ".", -1)
-    stem = F.when(
-        F.instr(name, ".") > 0,
-        F.regexp_replace(name, r"\.[^.]*$", ""),
-    ).otherwise(name)
+    joined = manifests.join(latest, "job_id", "left").withColumn(
+        "__name", F.coalesce("file_name", "original_name", "output_name")
+    )
+    joined = joined.withColumn("__plain", F.col("__name"))
+    named = with_compressed_stem(normalize_names(joined, "__name"), "__name", "__stem")
+    # a leading dot begins a name, not an extension
+    dotted = F.instr(F.substring("output_name", 2, 1 << 20), ".") > 0
+    ext = F.when(dotted, F.substring_index("output_name", ".", -1)).otherwise("")
     original = F.coalesce("original_size", "output_size")
-    return joined.select(
+    return named.select(
         "job_id",
         F.coalesce("kind", F.lit("image")).alias("kind"),
-        name.alias("file_name"),
-        F.coalesce("download_name", F.concat(stem, F.lit("_comp."), F.lower(extension))).alias(
+        F.col("__plain").alias("file_name"),
+        F.coalesce("download_name", F.concat(F.col("__stem"), F.lit("."), extension(ext))).alias(
             "download_name"
         ),
-        F.coalesce("output_format", F.lower(extension)).alias("output_format"),
+        F.coalesce("output_format", F.lower(ext)).alias("output_format"),
         original.alias("original_size"),
         "output_size",
         (original - F.col("output_size")).alias("saved_bytes"),

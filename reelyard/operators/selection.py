@@ -7,7 +7,7 @@ smaller ordinal; the remaining columns make the order total.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -50,12 +50,20 @@ def select_lossless(candidates: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def _or_default(df: DataFrame, column: str, default) -> Column:
+    """A per-row option where the table has it, the default where it is missing or null."""
+    return F.coalesce(F.col(column), F.lit(default)) if column in df.columns else F.lit(default)
+
+
 def gate(
     candidates: DataFrame,
     mean_threshold: float = dims.VMAF_THRESHOLD,
     frame_threshold: float = dims.FRAME_THRESHOLD,
 ) -> DataFrame:
-    """Add ``gate``: qualified, rejected or unavailable (no size or no score)."""
+    """Add ``gate``: qualified, rejected or unavailable (no size or no score).
+
+    Columns ``mean_threshold`` and ``frame_threshold`` of a candidate go before the defaults.
+    """
     scored = (
         F.col("output_bytes").isNotNull()
         & F.col("vmaf_mean").isNotNull()
@@ -63,7 +71,9 @@ def gate(
     )
     if "decoded" in candidates.columns:
         scored = scored & F.col("decoded")
-    passes = (F.col("vmaf_mean") >= mean_threshold) & (F.col("vmaf_min") >= frame_threshold)
+    passes = (F.col("vmaf_mean") >= _or_default(candidates, "mean_threshold", mean_threshold)) & (
+        F.col("vmaf_min") >= _or_default(candidates, "frame_threshold", frame_threshold)
+    )
     return candidates.withColumn(
         "gate", F.when(~scored, "unavailable").when(passes, "qualified").otherwise("rejected")
     )
@@ -130,18 +140,18 @@ def decision_tally(decisions: DataFrame) -> DataFrame:
     )
 
 
-def select_for_target(
-    attempts: DataFrame, files: DataFrame, quality_floor: int = dims.QUALITY_FLOOR["jpeg"]
-) -> DataFrame:
+def select_for_target(attempts: DataFrame, files: DataFrame) -> DataFrame:
     """Highest quality whose bytes fit the target and beat the original.
 
     ``attempts``: file_id, quality, output_bytes, decoded, codec, ordinal.
-    ``files``: file_id, size_bytes, requested_bytes. Attempts are first reduced to the
-    smallest one per (file, quality), at most a hundred rows per file, then joined.
-    Bulk argmax over the measured attempts: the true best, not a bisection's result.
+    ``files``: file_id, size_bytes, requested_bytes, and where known quality_floor or
+    output_format; the floor of a file is its own, its format's, or that of jpeg. Where
+    nothing fits, the attempt at the floor is kept if it beats the original. Attempts are
+    first reduced to the smallest one per (file, quality), at most a hundred rows per file,
+    then joined. Bulk argmax over the measured attempts: the true best, not a bisection's.
     """
     ladder = (
-        attempts.filter(F.col("decoded") & (F.col("quality") >= quality_floor))
+        attempts.filter(F.col("decoded"))
         .groupBy("file_id", "quality")
         .agg(
             F.min(F.struct("output_bytes", *_tie(attempts), "codec")).alias("a"),
@@ -149,18 +159,24 @@ def select_for_target(
         )
     )
     # Files keep their row without attempts; one join, then a fold on the same key.
-    sizes = files.select("file_id", "size_bytes", "requested_bytes")
+    floor = F.lit(dims.QUALITY_FLOOR["jpeg"])
+    if "output_format" in files.columns:
+        floor = F.coalesce(dims.lookup(F.col("output_format"), dims.QUALITY_FLOOR), floor)
+    if "quality_floor" in files.columns:
+        floor = F.coalesce(F.col("quality_floor"), floor)
+    sizes = files.select("file_id", "size_bytes", "requested_bytes", floor.alias("__floor"))
     joined = sizes.join(ladder, "file_id", "left")
-    size = F.col("a.output_bytes")
+    above = F.col("quality") >= F.col("__floor")
+    size = F.when(above, F.col("a.output_bytes"))
     fits = (size <= F.col("requested_bytes")) & (size < F.col("size_bytes"))
     pick = F.struct("quality", "a")
     rows = joined.groupBy("file_id").agg(
         F.max("size_bytes").alias("size_bytes"),
         F.max("requested_bytes").alias("requested_bytes"),
         F.max_by(F.when(fits, pick), F.when(fits, F.col("quality"))).alias("best"),
-        F.min_by(F.when(size.isNotNull(), pick), F.col("quality")).alias("lowest"),
+        F.max_by(pick, F.when(F.col("quality") == F.col("__floor"), F.lit(1))).alias("lowest"),
         F.min(F.when(size < F.col("size_bytes"), size)).alias("smallest_bytes"),
-        F.sum("measured").alias("attempts"),
+        F.sum(F.when(above, F.col("measured"))).alias("attempts"),
     )
     original, target = F.col("size_bytes"), F.col("requested_bytes")
     no_work = target >= original

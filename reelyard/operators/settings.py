@@ -176,25 +176,27 @@ def route_counts(routed: DataFrame) -> DataFrame:
     )
 
 
-def _names(format_name: Column) -> Column:
-    return F.split(F.lower(format_name), ",")
+def _first_match(rules, default: str | None, format_name: Column, name: Column, codec: Column | None = None) -> Column:
+    """Result of the first rule that fits a file, out of a table of fixed values.
+
+    A rule names probe formats (any of them), a start of the codec, an end of the file name
+    (empty: any) and its result.
+    """
+    names, lower = F.transform(F.split(F.lower(format_name), ","), F.trim), F.lower(name)
+    found = F.when(F.lit(False), F.lit(default))
+    for formats, start, end, result in rules:
+        fits = F.arrays_overlap(names, F.array(*[F.lit(f) for f in formats]))
+        if start:
+            fits = fits & (F.startswith(codec, F.lit(start)) if start.endswith("_") else codec == start)
+        if end:
+            fits = fits & F.endswith(lower, F.lit(end))
+        found = found.when(fits, result)
+    return found.otherwise(F.lit(default)) if default else found
 
 
 def source_container(format_name: Column, name: Column) -> Column:
     """Container of a source video from its probe names and file name."""
-    names, lower = _names(format_name), F.lower(name)
-    return (
-        F.when(F.array_contains(names, "webm"), "webm")
-        .when(F.array_contains(names, "matroska") & F.endswith(lower, F.lit(".webm")), "webm")
-        .when(F.array_contains(names, "matroska"), "mkv")
-        .when(
-            F.arrays_overlap(names, F.array(F.lit("mov"), F.lit("mp4")))
-            & F.endswith(lower, F.lit(".mov")),
-            "mov",
-        )
-        .when(F.arrays_overlap(names, F.array(F.lit("mov"), F.lit("mp4"))), "mp4")
-        .otherwise("mkv")
-    )
+    return _first_match(dims.SOURCE_CONTAINERS, "mkv", format_name, name)
 
 
 def output_container(selected: Column, reencode: Column, codec: Column, source: Column) -> Column:
@@ -219,45 +221,25 @@ def copyable_audio(codec: Column, container: Column) -> Column:
 
 def audio_copy_format(format_name: Column, codec: Column, name: Column) -> Column:
     """Output format an audio source can be copied to, or null."""
-    names = _names(format_name)
-
-    def has(*wanted: str) -> Column:
-        return F.arrays_overlap(names, F.array(*[F.lit(w) for w in wanted]))
-
-    return (
-        F.when(has("mp3") & (codec == "mp3"), "mp3")
-        .when(has("mov", "mp4", "m4a") & (codec == "aac"), "m4a")
-        .when(has("aac") & (codec == "aac"), "aac")
-        .when(has("opus", "ogg") & (codec == "opus") & F.endswith(F.lower(name), F.lit(".ogg")), "ogg")
-        .when(has("opus", "ogg") & (codec == "opus"), "opus")
-        .when(has("ogg") & (codec == "vorbis"), "ogg")
-        .when(has("flac") & (codec == "flac"), "flac")
-        .when(has("wav") & F.startswith(codec, F.lit("pcm_")), "wav")
-    )
-
-
-# --- fixed values: containers a lossless copy may keep ---------------------------
-STRICT_EXTENSIONS = ("mp4", "mov", "mkv", "webm", "avi", "ts", "m2ts", "ogv")
+    return _first_match(dims.AUDIO_COPY_FORMATS, None, format_name, name, codec)
 
 
 def strict_container(format_name: Column, name: Column) -> Column:
     """Container of a lossless stream copy: the file's own extension if it is a known one."""
-    names = F.transform(_names(format_name), F.trim)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    return F.when(ext.isin(*dims.STRICT_EXTENSIONS), ext).otherwise(
+        _first_match(dims.STRICT_CONTAINERS, "mkv", format_name, name)
+    )
 
-    def has(*wanted: str) -> Column:
-        return F.arrays_overlap(names, F.array(*[F.lit(w) for w in wanted]))
 
-    return (
-        F.when(ext.isin(*STRICT_EXTENSIONS), ext)
-        .when(has("webm"), "webm")
-        .when(has("matroska"), "mkv")
-        .when(has("mov", "mp4"), "mp4")
-        .when(has("avi"), "avi")
-        .when(has("mpegts"), "ts")
-        .when(has("ogg"), "ogv")
-        .otherwise("mkv")
-    )
+def copy_formats(files: DataFrame) -> DataFrame:
+    """What a stream copy of each file can go to: ``audio_format`` (null: none) of audio files,
+    ``strict_container`` of videos. ``files``: file_id, kind, name, format_name, codec."""
+    c = F.col
+    return files.withColumns({
+        "audio_format": F.when(c("kind") == "audio", audio_copy_format(c("format_name"), c("codec"), c("name"))),
+        "strict_container": F.when(c("kind") == "video", strict_container(c("format_name"), c("name"))),
+    })
 
 
 def container_flow(files: DataFrame) -> DataFrame:

@@ -8,22 +8,31 @@ from pyspark.sql import functions as F
 from .. import dims
 
 
-def verify_streams(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Whether input and output have the same, non-empty multiset of stream hashes.
+def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Stream hashes of each file with their number on either side.
 
-    ``file_id, hash`` on both sides. Hashes are counted per file first, so the join sees
-    one row per distinct hash.
+    Hashes are trimmed; blank ones and comments (``#``) don't count. They are counted per
+    file first, so the join sees one row per distinct hash.
     """
-    counted = [
+    sides = [
         side.filter((F.trim("hash") != "") & ~F.startswith(F.trim("hash"), F.lit("#")))
         .groupBy("file_id", F.trim("hash").alias("hash"))
         .agg(F.count(F.lit(1)).alias(n))
         for side, n in ((before, "n_before"), (after, "n_after"))
     ]
     zero = F.lit(0).cast("bigint")
-    both = counted[0].join(counted[1], ["file_id", "hash"], "full_outer")
-    a, b = F.coalesce("n_before", zero), F.coalesce("n_after", zero)
-    return both.groupBy("file_id").agg(
+    return sides[0].join(sides[1], ["file_id", "hash"], "full_outer").select(
+        "file_id", "hash", F.coalesce("n_before", zero).alias("a"), F.coalesce("n_after", zero).alias("b")
+    )
+
+
+def verify_streams(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Whether input and output have the same, non-empty multiset of stream hashes.
+
+    ``file_id, hash`` on both sides.
+    """
+    a, b, zero = F.col("a"), F.col("b"), F.lit(0)
+    return _counted(before, after).groupBy("file_id").agg(
         F.sum(a).alias("input_streams"),
         F.sum(b).alias("output_streams"),
         F.sum(F.greatest(a - b, zero)).alias("missing_streams"),
@@ -33,12 +42,12 @@ def verify_streams(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def stream_differences(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Hashes on one side only, with multiplicity, as rows."""
-    gone = before.select("file_id", "hash").exceptAll(after.select("file_id", "hash"))
-    extra = after.select("file_id", "hash").exceptAll(before.select("file_id", "hash"))
-    return gone.withColumn("side", F.lit("missing")).unionByName(
-        extra.withColumn("side", F.lit("extra"))
+    """Hashes on one side only, with multiplicity, as rows; the same hashes count as above."""
+    surplus = _counted(before, after).filter("a <> b").select(
+        "file_id", "hash", F.when(F.col("a") > F.col("b"), "missing").otherwise("extra").alias("side"),
+        F.abs(F.col("a") - F.col("b")).alias("times"),
     )
+    return surplus.select("file_id", "hash", "side", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).drop("col")
 
 
 def _allowed_names(kind: Column, requested: Column) -> Column:
@@ -194,15 +203,13 @@ def removal_totals(counts: DataFrame, files: DataFrame) -> DataFrame:
 
 def classify_errors(errors: DataFrame) -> DataFrame:
     """HTTP status and retry flag of each error row (``code``)."""
-    status = {code: s for code, s, _ in dims.ERROR_CLASSES}
-    retry = {code: r for code, _, r in dims.ERROR_CLASSES}
     return errors.withColumns(
         {
             "http_status": F.coalesce(
-                dims.lookup(F.col("code"), status), F.lit(dims.DEFAULT_ERROR_STATUS)
+                dims.lookup(F.col("code"), dims.ERROR_STATUS), F.lit(dims.DEFAULT_ERROR_STATUS)
             ),
-            "retryable": F.coalesce(dims.lookup(F.col("code"), retry), F.lit(False)),
-            "classified": F.col("code").isin(*status),
+            "retryable": F.coalesce(F.col("code").isin(*dims.RETRYABLE_ERRORS), F.lit(False)),
+            "classified": F.coalesce(F.col("code").isin(*dims.ERROR_STATUS), F.lit(False)),
         }
     )
 

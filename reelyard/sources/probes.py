@@ -23,15 +23,24 @@ PROBE_SCHEMA = (
     " format:struct<format_name:string, duration:string, size:string, bit_rate:string,"
     " tags:map<string,string>>>"
 )
+#: What planning reads of a document; fields that are not named are not built.
+TARGET_STREAM_SCHEMA = (
+    "array<struct<codec_type:string, codec_name:string, width:double, height:double, bit_rate:string,"
+    " avg_frame_rate:string, r_frame_rate:string>>"
+)
+TARGET_SCHEMA = (
+    f"struct<streams:{TARGET_STREAM_SCHEMA},"
+    " format:struct<format_name:string, duration:string, size:string, bit_rate:string>>"
+)
 STREAM_TYPES = ("video", "audio", "subtitle", "attachment", "data")
 
 
-def _streams() -> Column:
-    return F.coalesce("doc.streams", F.array().cast(STREAM_SCHEMA))
+def _streams(schema: str = STREAM_SCHEMA) -> Column:
+    return F.coalesce("doc.streams", F.array().cast(schema))
 
 
-def _first(condition) -> Column:
-    return F.get(F.filter(_streams(), condition), F.lit(0))
+def _first(condition, schema: str = STREAM_SCHEMA) -> Column:
+    return F.get(F.filter(_streams(schema), condition), F.lit(0))
 
 
 def _hdr(video: Column) -> Column:
@@ -141,12 +150,12 @@ def _kbps(bits: Column) -> Column:
 
 def parse_target_probes(raw: DataFrame) -> DataFrame:
     """Planning rows from probe documents ``file_id, raw``: summed audio rate, codec list."""
-    parsed = settle(raw.select("file_id", "raw"), {"doc": F.from_json("raw", PROBE_SCHEMA)})
+    parsed = settle(raw.select("file_id", "raw"), {"doc": F.from_json("raw", TARGET_SCHEMA)})
     picked = settle(
         parsed,
         {
-            "video": _first(lambda s: s["codec_type"] == "video"),
-            "tracks": F.filter(_streams(), lambda s: s["codec_type"] == "audio"),
+            "video": _first(lambda s: s["codec_type"] == "video", TARGET_STREAM_SCHEMA),
+            "tracks": F.filter(_streams(TARGET_STREAM_SCHEMA), lambda s: s["codec_type"] == "audio"),
         },
     )
     video, tracks = F.col("video"), F.col("tracks")

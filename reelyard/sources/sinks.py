@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import attachment_header
+from ..functions.names import attachment_header, normalize_names
 from ..operators.logs import allowlist_logs
 from ..operators.retention import with_expiry
 
@@ -18,6 +18,7 @@ def write_results(results: DataFrame, path: str, minutes: Column, mode: str = "a
     """
     rows = with_expiry(results, minutes)
     if "download_name" in results.columns:
+        rows = normalize_names(rows, "download_name")
         rows = rows.withColumn("content_disposition", attachment_header(F.col("download_name")))
     rows.hint("rebalance", "created_date").write.mode(mode).partitionBy("created_date").parquet(path)
 
