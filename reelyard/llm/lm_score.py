@@ -9,9 +9,8 @@ Three relations, all partitioned by hash:
 * ``totals``: for each block and bucket the corpus counts of its n-grams, in hash order,
   joined to the block, where every document sums the logarithms of its words' scores.
 
-Columns of a block travel as packed arrays; an n-gram that stands in all documents is one
-entry for each block, so no key is larger than the number of blocks. Whole documents are
-counted, and what is counted grows with the corpus.
+Columns of a block travel as packed arrays (see ``blocks``). Whole documents are counted, and
+what is counted grows with the corpus.
 """
 
 from __future__ import annotations
@@ -20,80 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import BUCKET_WORDS, Block, from_planes, make_blocks, pack_sorted, planes, range_slices, unpack_sorted, word_total
 from .tables import stored, text_of
-from .texts import U, Words, mix, pieces
+from .texts import U, mix
 
 ORDER = 2
 BACKOFF = 0.4
-BLOCK_PIECES = 6
-#: Words whose n-grams share a count table, on average.
-BUCKET_WORDS = 2_000_000
+#: Bits of an n-gram's key beyond those that number the corpus: an n-gram shares its key with
+#: another one with a probability of about 2 ** -KEY_BITS.
+KEY_BITS = 24
 
-BLOCKS = "block long, doc_ids array<long>, sizes array<int>, vocabulary binary, words binary"
-
-
-def planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side: high bytes are mostly zero and pack well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
-
-
-def from_planes(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    return planes(np.diff(x, prepend=U(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(data, np.uint64), dtype=U)
-
-
-def make_blocks(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held = TaskContext.get().partitionId(), 0, []
-
-        def block() -> pa.RecordBatch:
-            ids = pa.concat_arrays([h[0] for h in held])
-            sizes = np.concatenate([h[1] for h in held]).astype(np.int32)
-            vocabulary, words = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([(part << 32) + number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(sizes)),
-                    pa.array([pack_sorted(vocabulary)], pa.binary()), pa.array([planes(words.astype(np.uint32))], pa.binary()),
-                ],
-                ["block", "doc_ids", "sizes", "vocabulary", "words"],
-            )
-
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                words = Words(piece.column("text"))
-                held.append((piece.column("doc_id"), np.diff(words.first), words.hashes))
-                if len(held) == BLOCK_PIECES:
-                    yield block()
-                    number, held = number + 1, []
-        if held:
-            yield block()
-
-    return docs.mapInArrow(run, BLOCKS)
-
-
-class Block:
-    """The n-grams of a block, by order."""
-
-    def __init__(self, row: dict):
-        self.doc_ids = row["doc_ids"]
-        self.sizes = np.array(row["sizes"], np.int64)
-        self.words = unpack_sorted(row["vocabulary"])[from_planes(row["words"], np.uint32)]
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+class LmBlock(Block):
+    def grams_and_ends(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of ``order`` words in a document, and the place of their last word."""
         last = np.arange(order - 1, len(self.words))
         last = last[self.doc[last] == self.doc[last - order + 1]]
@@ -103,16 +43,14 @@ class Block:
         return h, last
 
 
-def _bucket_rows(row: dict, order: int, buckets: int) -> Iterator[dict]:
-    block = Block(row)
+def _bucket_rows(row: dict, order: int, buckets: int, bits: int) -> Iterator[dict]:
+    block = LmBlock(row)
     for k in range(1, order + 1):
-        grams, counts = np.unique(block.grams(k)[0], return_counts=True)
-        bucket = (grams % U(buckets)).astype(np.int64)
-        for b in np.unique(bucket):
-            of = bucket == b
+        grams, counts = np.unique(block.grams_and_ends(k)[0] >> U(64 - bits), return_counts=True)
+        for b, at in range_slices(grams, buckets, bits):
             yield {
-                "block": row["block"], "size": k, "bucket": int(b), "grams": pack_sorted(grams[of]),
-                "counts": planes(counts[of].astype(np.uint32)),
+                "block": row["block"], "size": k, "bucket": b, "grams": pack_sorted(grams[at]),
+                "counts": planes(counts[at].astype(np.uint32)),
             }
 
 
@@ -134,19 +72,16 @@ def count_bucket(table: pa.Table) -> pa.Table:
     )
 
 
-def score_block(row: dict, totals: list[dict], order: int, buckets: int, corpus: int, backoff: float) -> list[dict]:
+def score_block(row: dict, totals: list[dict], order: int, bits: int, corpus: int, backoff: float) -> list[dict]:
     """Scores of the documents of a block, their own words not counted."""
-    block = Block(row)
+    block = LmBlock(row)
     n = len(block.words)
     others: dict[int, np.ndarray] = {}
     for k in range(1, order + 1):
-        grams, last = block.grams(k)
-        unique, at = np.unique(grams, return_inverse=True)
-        total = np.zeros(len(unique), np.int64)
-        bucket = (unique % U(buckets)).astype(np.int64)
-        for t in totals:
-            if t["size"] == k:
-                total[bucket == t["bucket"]] = from_planes(t["totals"], np.uint64)
+        grams, last = block.grams_and_ends(k)
+        unique, at = np.unique(grams >> U(64 - bits), return_inverse=True)
+        parts = sorted((t for t in totals if t["size"] == k), key=lambda t: t["bucket"])  # ranges, in order
+        total = np.concatenate([from_planes(t["totals"], np.uint64) for t in parts] or [np.zeros(0, U)]).astype(np.int64)
         pair = block.doc[last] * (len(unique) + 1) + at
         _, own, times = np.unique(pair, return_inverse=True, return_counts=True)
         others[k] = np.zeros(n, np.int64)
@@ -169,7 +104,7 @@ def score_block(row: dict, totals: list[dict], order: int, buckets: int, corpus:
     off = np.bincount(block.doc, weights=backed, minlength=docs)
     return [
         {"doc_id": d, "n_words": int(s), "n_backed_off": int(o), "log_score": float(x)}
-        for d, s, o, x in zip(block.doc_ids, block.sizes, off, sums)
+        for d, s, o, x in zip(row["doc_id"], block.sizes, off, sums)
     ]
 
 
@@ -185,22 +120,24 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     and no mean. Other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    blocks = stored(make_blocks(base), "lm-blocks")
-    corpus = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    blocks = stored(make_blocks(base, ["doc_id"]), "lm-blocks")
+    corpus = word_total(blocks)
     buckets = int(corpus // BUCKET_WORDS) + 1
+    bits = min(64, max(32, corpus.bit_length() + KEY_BITS))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                for row in _bucket_rows(batch.slice(i, 1).to_pylist()[0], order, buckets):
+                for row in _bucket_rows(batch.slice(i, 1).to_pylist()[0], order, buckets, bits):
                     yield pa.RecordBatch.from_pylist([row], schema=GRAMS)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        return pa.Table.from_pylist(score_block(row, right.to_pylist(), order, buckets, corpus, backoff), schema=SCORES)
+        return pa.Table.from_pylist(score_block(row, right.to_pylist(), order, bits, corpus, backoff), schema=SCORES)
 
     grams = blocks.mapInArrow(explode, "block long, size int, bucket int, grams binary, counts binary")
     totals = grams.groupBy("size", "bucket").applyInArrow(count_bucket, "block long, size int, bucket int, totals binary")
+    totals = stored(totals, "lm-totals")
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
         score, "doc_id long, n_words long, n_backed_off long, log_score double"
     )

@@ -32,9 +32,26 @@ def on_row(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
 
 
+#: Spark then removes the shuffle files of a query when the query ends, not some time later.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a table to the shared folder of the session and read it back."""
-    return materialize(df, f"llm-{purpose}")
+    """Write a table to the shared folder of the session and read it back.
+
+    What the write shuffled is of no further use and goes at once, so a job of many such
+    steps never holds the shuffles of more than one.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return materialize(df, f"llm-{purpose}")
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
 
 
 def packed(docs: DataFrame, *more: Column) -> DataFrame:

@@ -107,25 +107,34 @@ class Words:
         self.hashes = RollingHash(self.data).of(self.starts, self.ends)
 
     def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of runs of ``size`` words and their row offsets.
-
-        A text with fewer words, but at least one, has all its words as its only run.
-        """
-        count = np.diff(self.first)
-        runs = np.where(count >= size, count - size + 1, np.minimum(count, 1))
-        first = np.concatenate([np.zeros(1, np.int64), np.cumsum(runs)])
-        at = np.arange(first[-1]) - np.repeat(first[:-1] - self.first[:-1], runs)
-        length = np.repeat(np.minimum(count, size), runs)
-        out = np.zeros(len(at), dtype=U)
-        for k in range(size):
-            use = length > k
-            out[use] = mix(out[use] * U(3) + self.hashes[at[use] + k] + U(k + 1))
-        return out, first
+        return runs_of_words(self.hashes, self.first, size)
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def runs_of_words(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of ``size`` words and their row offsets.
+
+    A text with fewer words, but at least one, has all its words as its only run.
+    """
+    count = np.diff(first)
+    runs = np.where(count >= size, count - size + 1, np.minimum(count, 1))
+    begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(runs)])
+    at = np.arange(begin[-1]) - np.repeat(begin[:-1] - first[:-1], runs)
+    length = np.repeat(np.minimum(count, size), runs)
+    out = np.zeros(len(at), dtype=U)
+    for k in range(size):
+        use = length > k
+        out[use] = mix(out[use] * U(3) + hashes[at[use] + k] + U(k + 1))
+    return out, begin
+
+
+def distinct_in_rows(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct values of each row."""
+    out = []
+    for a, b in zip(first[:-1], first[1:]):
+        s = np.sort(values[a:b])
+        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s)
+    return out
 
 
-def replaced(batch: pa.RecordBatch, names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(columns, names=names)
+def signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
