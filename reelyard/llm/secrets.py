@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .tables import stored, text_of
 
-#: Long runs of key characters with a digit and a letter, password values, private keys.
+#: Long runs of key characters with a digit, password values, private keys.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}"
+    r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
     r"|(?<=(?:password|passwd|pwd)[\"' ]{0,2}[=:][\"' ]{0,2})[^\s\"'=:]{8,}"
     r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 )
