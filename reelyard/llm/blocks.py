@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .texts import U, Words, pieces, runs_of_words
 
 #: Pieces of about a megabyte of text in a block.
-BLOCK_PIECES = 4
+BLOCK_PIECES = 3
 #: Words whose n-grams share a bucket, on average.
-BUCKET_WORDS = 2_000_000
+BUCKET_WORDS = 1_000_000
 
 
 def planes(x: np.ndarray) -> bytes:
