@@ -2,8 +2,8 @@
 
 Two sets of sizes ``n`` with ``100 * |A & B| >= 90 * |A | B|`` share a shingle among the first
 ``n - ceil(0.9 n) + 1`` of each, in any order of shingles that holds for all documents. The
-order used is by rarity: counts of shingle buckets over the whole corpus, then the hash. It
-only decides how long the lists of the index get, never what is found.
+order used is by the number of documents that hold a shingle, then by hash. Shingles of one
+document only come first, and need no place in the index, since nothing shares them.
 
 1. Documents with equal sets are one *class*; classes with the same prefix and size are one
    *group*, which enters the index once.
@@ -26,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import BUCKET_WORDS, Block, from_planes, make_blocks, pack_sorted, planes, range_slices, unpack_sorted, word_total
 from .components import components
-from .tables import on_row, stored, text_key, text_of
-from .texts import Words, pieces, signed
+from .tables import on_row, packed, stored, text_key, text_of, unpacked
+from .texts import U, Words, distinct_in_rows, pieces, signed
 
 SHINGLE = 3
 #: Similarity as a fraction of whole numbers.
 SIMILARITY = (90, 100)
-#: Buckets of the shingle counts, as a power of two: a fixed 2 MB whatever the corpus.
-COUNT_BITS = 18
 SKETCH_BITS = 512
+#: Counts of documents are told apart up to here; the order stays one for all documents.
+MOST_COUNT = 255
 
 PROFILE = (
     "doc_id long, text_key long, n int, class_key binary, group_key binary, "
@@ -45,68 +46,87 @@ PROFILE = (
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    grams, first = Words(texts).grams(size)
-    out = []
-    for a, b in zip(first[:-1], first[1:]):
-        s = np.sort(grams[a:b])
-        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s)
-    return out
-
-
-def bucket_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """How many shingles of the corpus fall into each of ``2 ** COUNT_BITS`` hash buckets."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                grams, _ = Words(piece.column("text")).grams(size)
-                total += np.bincount((grams >> np.uint64(64 - COUNT_BITS)).view(np.int64), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
+    return distinct_in_rows(*Words(texts).grams(size))
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    held = rows.toArrow()  # at most 2 ** COUNT_BITS rows
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    counts[held["bucket"].to_numpy()] = held["n"].to_numpy()
-    return counts
 
+class ShingleBlock(Block):
+    """The shingle sets of a block's documents, and their distinct count keys in order.
 
-def profiles(docs: DataFrame, counts: np.ndarray, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """Set size, class, group, prefix and parity sketch of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    A count key is the leading ``bits`` of a shingle hash. Keys are dealt out to buckets by
+    range, so a bucket's keys lie side by side.
+    """
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        num, den = similarity
+    def __init__(self, row: dict, size: int, bits: int):
+        super().__init__(row)
+        self.sets = distinct_in_rows(*self.grams(size))
+        keys = np.concatenate([*self.sets, np.zeros(0, U)]) >> U(64 - bits)
+        self.keys, self.at, self.counts = np.unique(keys, return_inverse=True, return_counts=True)
+
+
+KEYS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+COUNTS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("held", pa.binary())])
+PROFILES = pa.schema([
+    ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("class_key", pa.binary()),
+    ("group_key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())),
+])
+
+
+def count_documents(table: pa.Table) -> pa.Table:
+    """Documents that hold each key of a bucket, for every block's keys."""
+    parts = [unpack_sorted(x) for x in table["keys"].to_pylist()]
+    counts = np.concatenate([from_planes(x, np.uint32) for x in table["counts"].to_pylist()])
+    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.minimum(np.bincount(at, weights=counts, minlength=len(keys)), MOST_COUNT).astype(np.uint8)[at]
+    cuts = np.cumsum([len(p) for p in parts])[:-1]
+    held = pa.array([x.tobytes() for x in np.split(total, cuts)], pa.binary())
+    return pa.Table.from_arrays([table["block"], table["bucket"], held], schema=COUNTS)
+
+
+def profile_block(row: dict, counted: list[dict], size: int, bits: int, similarity: tuple[int, int]) -> pa.Table:
+    """Set size, class, group, shared prefix shingles and parity sketch of a block's documents."""
+    num, den = similarity
+    block = ShingleBlock(row, size, bits)
+    order = sorted(counted, key=lambda r: r["bucket"])
+    held = np.frombuffer(b"".join(r["held"] for r in order), np.uint8)[block.at]
+    cuts = np.cumsum([len(s) for s in block.sets])[:-1]
+    out = {name: [] for name in PROFILES.names}
+    for s, h in zip(block.sets, np.split(held, cuts)):
+        keep = len(s) + num * len(s) // -den + 1 if len(s) else 0
+        rare = np.argsort(h, kind="stable")[:keep]
+        odd = np.bincount((s & U(SKETCH_BITS - 1)).view(np.int64), minlength=SKETCH_BITS) & 1
+        out["n"].append(len(s))
+        out["class_key"].append(blake2b(s.tobytes(), digest_size=16).digest())
+        out["group_key"].append(blake2b(s[rare].tobytes() + len(s).to_bytes(8, "big"), digest_size=16).digest())
+        out["prefix"].append(signed(s[rare[h[rare] > 1]]))
+        out["sketch"].append(np.packbits(odd.astype(bool)).view(np.int64))
+    out["doc_id"], out["text_key"] = row["doc_id"], row["text_key"]
+    return pa.Table.from_pydict(out, schema=PROFILES)
+
+
+def profiles(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """The profile of every document, in the order of shingles of the whole corpus."""
+    blocks = stored(make_blocks(docs, ["doc_id", "text_key"]), "shingle-blocks")
+    words = word_total(blocks)
+    buckets = int(words // BUCKET_WORDS) + 1
+    bits = min(64, max(32, words.bit_length() + 10))  # few shingles share a count
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                sets = shingle_sets(piece.column("text"), size)
-                prefixes, sketches, classes, groups = [], [], [], []
-                for s in sets:
-                    keep = len(s) + num * len(s) // -den + 1 if len(s) else 0
-                    rare = np.argsort(shared.value[(s >> np.uint64(64 - COUNT_BITS)).view(np.int64)], kind="stable")
-                    prefixes.append(s[rare[:keep]])
-                    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).view(np.int64), minlength=SKETCH_BITS) & 1
-                    sketches.append(np.packbits(odd.astype(bool)).view(np.int64))
-                    classes.append(blake2b(s.tobytes(), digest_size=16).digest())
-                    groups.append(blake2b(prefixes[-1].tobytes() + len(s).to_bytes(8, "big"), digest_size=16).digest())
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)),
-                    pa.array(signed(np.concatenate(prefixes))),
-                )
-                words = SKETCH_BITS // 64
-                bits = pa.ListArray.from_arrays(
-                    pa.array((np.arange(len(sets) + 1) * words).astype(np.int32)), pa.array(np.concatenate(sketches))
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("doc_id"), piece.column("text_key"),
-                        pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array(classes, pa.binary()), pa.array(groups, pa.binary()), lists, bits,
-                    ],
-                    ["doc_id", "text_key", "n", "class_key", "group_key", "prefix", "sketch"],
-                )
-
-    return docs.mapInArrow(profile, PROFILE)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                block = ShingleBlock(row, size, bits)
+                rows = [
+                    {"block": row["block"], "bucket": b, "keys": pack_sorted(block.keys[at]), "counts": planes(block.counts[at].astype(np.uint32))}
+                    for b, at in range_slices(block.keys, buckets, bits)
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=KEYS)
+
+    def profile(left: pa.Table, right: pa.Table) -> pa.Table:
+        return profile_block(left.to_pylist()[0], right.to_pylist(), size, bits, similarity)
+
+    keys = blocks.mapInArrow(explode, "block long, bucket int, keys binary, counts binary")
+    counted = keys.groupBy("bucket").applyInArrow(count_documents, "block long, bucket int, held binary")
+    return blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(profile, PROFILE)
 
 
 def similar_sizes(a: Column, b: Column, similarity: tuple[int, int]) -> Column:
@@ -136,8 +156,10 @@ def could_link(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]
     )
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs of classes that are linked, judged on their whole shingle sets."""
+def verified(
+    pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity: tuple[int, int]
+) -> DataFrame:
+    """The pairs of classes that are linked, judged on the whole texts of one row of each."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         num, den = similarity
         for batch in batches:
@@ -151,6 +173,12 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: tuple[in
                         ok.append(common > 0 and den * common >= num * (len(both) - common))
                     yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    pairs = stored(pairs, "shingle-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    reps = classes.join(wanted, "c", "left_semi").select(
+        "c", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key")
+    )
+    texts = stored(docs.join(reps, on_row(docs, reps)).select("c", docs["text"]), "class-texts")
     left = texts.select(F.col("c").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("c").alias("b"), F.col("text").alias("tb"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
@@ -169,35 +197,29 @@ def near_duplicates(
     of null ids only has a null component. Other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("text"))
-    rows = stored(profiles(base, bucket_counts(base, size), size, similarity), "shingle-profiles")
+    rows = stored(profiles(base, size, similarity), "shingle-profiles")
 
-    classes = rows.where("n > 0").groupBy("class_key").agg(
+    full = rows.where("n > 0")
+    classes = full.groupBy("class_key").agg(
         F.min("doc_id").alias("first_id"), F.max(F.struct("doc_id", "text_key")).alias("rep"),
-        F.first("n").alias("n"), F.first("group_key").alias("group_key"),
-        F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"),
+        F.first("n").alias("n"), F.first("group_key").alias("group_key"), F.first("sketch").alias("sketch"),
     )
     # numbers are fixed once the table is written
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "shingle-classes")
-    groups = classes.groupBy("group_key").agg(
-        F.min("c").alias("g"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
-    )
-    groups = stored(groups, "shingle-groups")  # a group's number g is its smallest class
+    # a group's number g is that of its smallest class
+    groups = classes.groupBy("group_key").agg(F.min("c").alias("g"), F.count("*").alias("members"))
+    heads = full.groupBy("group_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    groups = stored(groups.join(heads, "group_key"), "shingle-groups")
     member = classes.join(groups.select("group_key", "g"), "group_key").select("c", "g", "n")
 
     index = groups.select(F.explode("prefix").alias("token"), "g", "n", "members")
     lists = index.groupBy("token").agg(F.sum("members").alias("held"), F.min("g").alias("leader")).where("held > 1")
     lists = stored(index.select("token", "g", "n").join(lists.select("token", "leader"), "token"), "shingle-lists")
 
-    wanted = member.join(lists.select("g").distinct(), "g", "left_semi").select("c")
-    reps = classes.join(wanted, "c", "left_semi").select(
-        "c", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key")
-    )
-    texts = stored(base.join(reps, on_row(base, reps)).select("c", base["text"]).dropDuplicates(["c"]), "class-texts")
-
     stars = lists.select(F.col("g").alias("a"), F.col("leader").alias("b")).unionByName(
         member.select(F.col("c").alias("a"), F.col("g").alias("b"))
     )
-    first = stored(verified(could_link(stars, classes, similarity), texts, size, similarity), "shingle-links")
+    first = stored(verified(could_link(stars, classes, similarity), classes, base, size, similarity), "shingle-links")
 
     labels = components(first)
     placed = member.join(labels, F.col("c") == F.col("node"), "left").select(
@@ -220,7 +242,7 @@ def near_duplicates(
     ).join(
         ends.select(F.col("c").alias("b"), F.col("g").alias("gb"), F.col("cluster").alias("kb")), ["gb", "kb"]
     )
-    second = verified(could_link(pairs.select("a", "b"), classes, similarity), texts, size, similarity)
+    second = verified(could_link(pairs.select("a", "b"), classes, similarity), classes, base, size, similarity)
     labels = components(first.unionByName(second))
 
     smallest = labels.join(classes.select(F.col("c").alias("node"), "first_id"), "node")
@@ -246,9 +268,9 @@ def one_per_group(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, i
     kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(
         F.struct("doc_id", "text_key").alias("_row")
     ).distinct()
-    names = docs.columns
-    keyed = docs.withColumn("_row", F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key")))
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*[F.col(c) for c in names])
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"))
+    keyed = packed(docs, own.alias("_row")).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    return keyed.select(*unpacked(docs.columns))
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
