@@ -29,10 +29,12 @@ COSINE = 0.95
 #: Vectors of the sample that the centres are fitted on, at most.
 SAMPLE = 20_000
 #: Classes that a cell holds on average, until there are ``MOST_CELLS`` cells.
-CELL = 1_000
+CELL = 4_000
 MOST_CELLS = 2_048
-BLOCK = 1_024
-REACH = 5.0
+BLOCK = 4_096
+#: Rows of a block that are multiplied at a time.
+STRIP = 512
+REACH = 4.0
 ROUNDS = 8
 
 
@@ -110,17 +112,28 @@ def _link(row: dict, cosine: float) -> list[dict]:
     ids_a, n_a, x = (np.frombuffer(row[c], t) for c, t in (("ids_a", np.int64), ("n_a", np.int64), ("x_a", np.float64)))
     ids_b, n_b, y = (np.frombuffer(row[c], t) for c, t in (("ids_b", np.int64), ("n_b", np.int64), ("x_b", np.float64)))
     x, y = x.reshape(len(ids_a), -1), y.reshape(len(ids_b), -1)
-    hit = x @ y.T >= cosine
     same = row["block_a"] == row["block_b"] and row["home_b"]
-    if same:
-        np.fill_diagonal(hit, False)
-    out = [{"node": int(i), "n": int(n), "other": None} for i, n in zip(ids_a, hit @ n_b) if n]
+    links_a, links_b = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+    ends_a, ends_b = [], []
+    for at in range(0, len(x), STRIP):
+        hit = x[at : at + STRIP] @ y.T >= cosine
+        if same:
+            hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
+        links_a[at : at + STRIP] = hit @ n_b
+        links_b += n_a[at : at + STRIP] @ hit
+        a, b = np.nonzero(hit)
+        if len(a):  # a forest of the strip holds its links in fewer pairs than it has rows
+            nodes, place = np.unique(np.concatenate([ids_a[at + a], ids_b[b]]), return_inverse=True)
+            tree = np.array(forest(len(nodes), place[: len(a)], place[len(a) :]))
+            ends_a.append(nodes[tree[:, 0]])
+            ends_b.append(nodes[tree[:, 1]])
+    out = [{"node": int(i), "n": int(n), "other": None} for i, n in zip(ids_a, links_a) if n]
     if row["home_b"] and not same:
-        out += [{"node": int(i), "n": int(n), "other": None} for i, n in zip(ids_b, n_a @ hit) if n]
-    a, b = np.nonzero(hit)
-    if len(a):
-        nodes, at = np.unique(np.concatenate([ids_a[a], ids_b[b]]), return_inverse=True)
-        out += [{"node": int(nodes[i]), "n": 0, "other": int(nodes[j])} for i, j in forest(len(nodes), at[: len(a)], at[len(a) :])]
+        out += [{"node": int(i), "n": int(n), "other": None} for i, n in zip(ids_b, links_b) if n]
+    if ends_a:
+        nodes, place = np.unique(np.concatenate(ends_a + ends_b), return_inverse=True)
+        half = len(place) // 2
+        out += [{"node": int(nodes[i]), "n": 0, "other": int(nodes[j])} for i, j in forest(len(nodes), place[:half], place[half:])]
     return out
 
 
@@ -209,14 +222,10 @@ def _links_of(classes: DataFrame, total: int, cosine: float, reach: float | None
     b = packed.select("cell", F.col("block").alias("block_b"), F.col("home").alias("home_b"), F.col("ids").alias("ids_b"), F.col("ns").alias("n_b"), F.col("xs").alias("x_b"))
     pairs = a.join(b, "cell").where("not home_b or block_a <= block_b")
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield pa.RecordBatch.from_pylist(_link(batch.slice(i, 1).to_pylist()[0], cosine), schema=LINKS)
-
-    # a pair of blocks is one row, so pairs of a large cell go to many tasks
-    pairs = pairs.repartition(F.xxhash64("cell", "block_a", "block_b", "home_b"))
-    return pairs.mapInArrow(link, "node long, n long, other long")
+    # a pair of blocks is one group: pairs of a large cell go to many tasks, one at a time
+    return pairs.groupBy("cell", "block_a", "home_b", "block_b").applyInArrow(
+        lambda table: link_block(table, cosine), "node long, n long, other long"
+    )
 
 
 PACKED = pa.schema([
