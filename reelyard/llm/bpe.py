@@ -46,17 +46,10 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def unassigned() -> str:
-    """Ranges of the characters without a category in this Python, for a character class."""
-    ranges, start = [], None
-    for code in range(0x80, 0x110001):
-        free = code < 0x110000 and not 0xD800 <= code < 0xE000 and unicodedata.category(chr(code)) == "Cn"
-        if free and start is None:
-            start = code
-        elif not free and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{code - 1:08x}")
-            start = None
-    return "".join(ranges)
+def unassigned() -> np.ndarray:
+    """For every code point, whether this Python's Unicode tables have no category for it."""
+    codes = range(0x110000)
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in codes), bool, len(codes))
 
 
 class WordBpe:
@@ -95,7 +88,7 @@ class WordBpe:
         suffix = model["end_of_word_suffix"]
         chars = byte_characters()
         self._byte = {c: b for b, c in enumerate(chars)}
-        self._unknown = regex.compile(f"[{unassigned()}]")
+        self._unknown = unassigned()
         # the same file without its tokens
         self._frame = json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}})
         self._inner = np.array([vocab[c] for c in chars], np.int64)
@@ -129,7 +122,8 @@ class WordBpe:
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
             return self._ascii.findall(text.lower())
-        if self._unknown.search(text):
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        if self._unknown[codes].any():
             return self._library_split(text)
         # lower case by character: a final sigma has no form of its own here
         return self._pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
