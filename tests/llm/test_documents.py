@@ -85,6 +85,11 @@ def test_one_per_group_keeps_all_columns_and_one_row(docs, rows):
     assert not kept.where("text_key != 'clash'").count()
 
 
+def test_counts_over_several_buckets_and_blocks(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET_WORDS", 1500)
+    assert listed(jaccard_join.digest(spark, docs.repartition(7))) == plain.near_duplicates(rows)
+
+
 @pytest.mark.parametrize("order", range(3))
 def test_families_of_near_copies(spark, order):
     rng = random.Random(order)

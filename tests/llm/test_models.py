@@ -79,7 +79,8 @@ def vector_rows(seed=0, dim=16):
 
 
 @pytest.mark.parametrize("reach,cell,block", [(5.0, 1000, 1024), (None, 20, 8), (6.0, 20, 16)])
-def test_vectors(spark, reach, cell, block):
+def test_vectors(spark, reach, cell, block, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "STRIP", 5)
     rows = vector_rows()
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, x int").repartition(4)
     got = embedding_dedup.linked_vectors(df, reach=reach, cell=cell, block=block).collect()
