@@ -43,6 +43,6 @@ def test_ids_of_the_inventory_are_registered():
         [f"s{i}" for i in range(1, 13)] + ["k1", "k2", "k3"] + [f"p{i}" for i in range(1, 13)]
         + [f"j{i}" for i in range(1, 17)] + [f"a{i}" for i in range(1, 14)] + [f"w{i}" for i in range(1, 14)]
         + [f"t{i}" for i in range(1, 8)] + [f"u{i}" for i in range(1, 5)] + [f"b{i}" for i in range(1, 11)]
-        + ["x1", "x2", "x5", "x6", "x7"]
+        + ["x1", "x2", "x3", "x4", "x5", "x6", "x7", "f1"]
     )
     assert sorted(set(wanted) - ids) == []
