@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .texts import U, Words, pieces, runs_of_words
 
-#: Pieces of about a megabyte of text in a block.
-BLOCK_PIECES = 3
+#: Pieces of text (see ``texts``) in a block.
+BLOCK_PIECES = 8
 #: Words whose n-grams share a bucket, on average.
 BUCKET_WORDS = 1_000_000
 
