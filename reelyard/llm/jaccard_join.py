@@ -12,8 +12,9 @@ document only come first, and need no place in the index, since nothing shares t
 3. Lists that still hold several clusters are expanded into the pairs of groups of different
    clusters, then to their member classes. So a family of thousands of copies costs a star of
    comparisons, and no link between clusters is missed.
-4. Pairs pass a size filter and a parity filter (the Hamming distance of two parity sketches
-   never exceeds the size of the symmetric difference) and are verified on the whole texts.
+4. Pairs pass filters by size, by the place of the shared shingle and by parity (the Hamming
+   distance of two parity sketches never exceeds the size of the symmetric difference) and are
+   verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ MOST_COUNT = 255
 
 PROFILE = (
     "doc_id long, text_key long, n int, class_key binary, group_key binary, "
-    "prefix array<long>, sketch array<long>"
+    "prefix array<long>, places array<int>, sketch array<long>"
 )
 
 
@@ -67,7 +68,7 @@ KEYS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.bin
 COUNTS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("held", pa.binary())])
 PROFILES = pa.schema([
     ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("class_key", pa.binary()),
-    ("group_key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())),
+    ("group_key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("sketch", pa.list_(pa.int64())),
 ])
 
 
@@ -83,7 +84,8 @@ def count_documents(table: pa.Table) -> pa.Table:
 
 
 def profile_block(row: dict, counted: list[dict], size: int, bits: int, similarity: tuple[int, int]) -> pa.Table:
-    """Set size, class, group, shared prefix shingles and parity sketch of a block's documents."""
+    """Set size, class, group, shared prefix shingles with their places, and parity sketch of a
+    block's documents."""
     num, den = similarity
     block = ShingleBlock(row, size, bits)
     order = sorted(counted, key=lambda r: r["bucket"])
@@ -97,7 +99,9 @@ def profile_block(row: dict, counted: list[dict], size: int, bits: int, similari
         out["n"].append(len(s))
         out["class_key"].append(blake2b(s.tobytes(), digest_size=16).digest())
         out["group_key"].append(blake2b(s[rare].tobytes() + len(s).to_bytes(8, "big"), digest_size=16).digest())
-        out["prefix"].append(signed(s[rare[h[rare] > 1]]))
+        shared = np.flatnonzero(h[rare] > 1)
+        out["prefix"].append(signed(s[rare[shared]]))
+        out["places"].append(shared.astype(np.int32))
         out["sketch"].append(np.packbits(odd.astype(bool)).view(np.int64))
     out["doc_id"], out["text_key"] = row["doc_id"], row["text_key"]
     return pa.Table.from_pydict(out, schema=PROFILES)
@@ -207,14 +211,18 @@ def near_duplicates(
     # numbers are fixed once the table is written
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "shingle-classes")
     # a group's number g is that of its smallest class
-    groups = classes.groupBy("group_key").agg(F.min("c").alias("g"), F.count("*").alias("members"))
-    heads = full.groupBy("group_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    groups = classes.groupBy("group_key").agg(
+        F.min("c").alias("g"), F.count("*").alias("members"), F.first("sketch").alias("sketch")
+    )
+    heads = full.groupBy("group_key").agg(
+        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("places").alias("places")
+    )
     groups = stored(groups.join(heads, "group_key"), "shingle-groups")
     member = classes.join(groups.select("group_key", "g"), "group_key").select("c", "g", "n")
 
-    index = groups.select(F.explode("prefix").alias("token"), "g", "n", "members")
+    index = groups.select("g", "n", "members", F.inline(F.arrays_zip(F.col("prefix").alias("token"), F.col("places").alias("place"))))
     lists = index.groupBy("token").agg(F.sum("members").alias("held"), F.min("g").alias("leader")).where("held > 1")
-    lists = stored(index.select("token", "g", "n").join(lists.select("token", "leader"), "token"), "shingle-lists")
+    lists = stored(index.select("token", "g", "n", "place").join(lists.select("token", "leader"), "token"), "shingle-lists")
 
     stars = lists.select(F.col("g").alias("a"), F.col("leader").alias("b")).unionByName(
         member.select(F.col("c").alias("a"), F.col("g").alias("b"))
@@ -226,14 +234,32 @@ def near_duplicates(
         "c", "g", F.coalesce("label", "c").alias("cluster")
     )
     placed = stored(placed, "class-clusters")
-    entries = lists.select("token", "g", "n").join(placed.select("g", "cluster").distinct(), "g")
+    entries = lists.select("token", "g", "n", "place").join(placed.select("g", "cluster").distinct(), "g")
     mixed = entries.groupBy("token").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x != y")
-    entries = stored(entries.join(mixed.select("token"), "token", "left_semi"), "mixed-lists")
-    left = entries.select("token", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("cluster").alias("ka"))
-    right = entries.select("token", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("cluster").alias("kb"))
+    entries = entries.join(mixed.select("token"), "token", "left_semi")
+    # a group of one class has its sketch; what several classes share is tested class by class
+    alone = F.when(F.col("members") == 1, F.col("sketch"))
+    words = SKETCH_BITS // 64
+    entries = stored(
+        entries.join(groups.select("g", *[F.get(alone, F.lit(i)).alias(f"s{i}") for i in range(words)]), "g"), "mixed-lists"
+    )
+
+    def side(x: str) -> DataFrame:
+        renamed = {"g": f"g{x}", "n": f"n{x}", "cluster": f"k{x}", "place": f"i{x}"}
+        return entries.select(
+            "token", *[F.col(old).alias(new) for old, new in renamed.items()], *[F.col(f"s{i}").alias(f"s{i}{x}") for i in range(words)]
+        )
+
+    num, den = similarity
+    both = F.col("na") + F.col("nb")
+    apart = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(words)), F.lit(0))
+    # At the first shingle that two sets share, at places i and j, at most the rest of either
+    # set is shared. A linked pair passes at that shingle; elsewhere it need not.
     across = (
-        left.join(right, "token").where("ka < kb")
+        side("a").join(side("b"), "token").where("ka < kb")
         .where(similar_sizes(F.col("na"), F.col("nb"), similarity))
+        .where(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (num + den) >= both * num)
+        .where(F.coalesce(apart * (den + num) <= both * (den - num), F.lit(True)))
         .select("ga", "ka", "gb", "kb").distinct()
     )
     ends = placed.select("c", "g", "cluster")
