@@ -2,15 +2,18 @@
 
 Vectors are scaled to length one; equal vectors are one *class* that counts its copies.
 Spherical k-means on a bounded sample gives the cell centres; every class lives in the cell
-of its nearest centre and also *visits* the cells whose boundary is so near that a vector of
-cosine ``cosine`` may lie behind it. Cells are cut into blocks, pairs of blocks are
-multiplied, and every class counts its links in its own cell, where all of its neighbours
-live or visit. A block hands on a spanning forest of its links, never all of them.
-
-How far a vector visits is set by ``reach``: a neighbour's offset at right angles, seen along
-the line between two centres, behaves like a normal variable of deviation
-``sqrt((1 - cosine ** 2) / (d - 1))``, and ``reach`` deviations are covered. ``reach=None``
-covers every possible neighbour; then cells of spread-out vectors visit nearly all others.
+of its nearest centre and also *visits* the later cells in which a vector of cosine ``cosine``
+may live. Cells are cut into blocks, pairs of blocks are multiplied, and a link between two
+cells is found once, in the later one, and counted for both ends. A block hands on a spanning
+forest of its links, never all of them.
+
+``reach=None``, as registered, rules a cell out only by bounds that hold for all vectors: the
+boundary between the two centres is farther than the angle of ``cosine``, or so are all
+distances from the centre that members of the cell have. So every link is found, however the
+vectors lie; cells of spread-out vectors visit nearly all others. With a number, visits to all
+cells end at that many deviations ``sqrt((1 - cosine ** 2) / (d - 1))`` of an offset that is
+spread evenly over all dimensions; links of vectors that vary in few directions are then lost,
+and each end counts what it finds in its own cell.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ MOST_CELLS = 2_048
 BLOCK = 4_096
 #: Rows of a block that are multiplied at a time.
 STRIP = 512
-REACH = 4.0
+REACH = None
 ROUNDS = 8
 
 
@@ -68,14 +71,34 @@ def fit_centres(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndar
     return centres
 
 
-def place(vectors: np.ndarray, centres: np.ndarray, cosine: float, reach: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, cell and "lives there" of every vector and every cell it lives in or visits."""
+def spans(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest angle between each centre and the vectors that live in its cell.
+
+    A vector at the same distance from several centres, up to rounding, counts for all.
+    """
+    dots = vectors @ centres.T
+    lives = dots >= dots.max(axis=1, keepdims=True) - 1e-9
+    angle = np.arccos(np.clip(dots, -1, 1))
+    return np.where(lives, angle, np.inf).min(axis=0), np.where(lives, angle, -np.inf).max(axis=0)
+
+
+def place(
+    vectors: np.ndarray, centres: np.ndarray, cosine: float, reach: float | None, within: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, cell and "lives there" of every vector and every cell it lives in or visits.
+
+    ``within`` has the ``spans`` of all vectors; with them fewer cells are visited.
+    """
     dots = vectors @ centres.T
     home = dots.argmax(axis=1)
     gap = dots[np.arange(len(dots)), home][:, None] - dots
     apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T)[home], 0))
     if reach is None:
-        near = gap <= apart * np.sqrt(2 - 2 * cosine) + 1e-9
+        far = np.sqrt(1 - cosine**2) if cosine > 0 else np.sqrt(2 - 2 * cosine)
+        near = gap <= apart * far + 1e-9
+        if within is not None:
+            angle, turn = np.arccos(np.clip(dots, -1, 1)), np.arccos(cosine) + 1e-6  # arccos loses half the digits
+            near &= (angle >= within[0] - turn) & (angle <= within[1] + turn)
     else:
         spread = np.sqrt((1 - cosine**2) / max(vectors.shape[1] - 1, 1))
         near = gap * cosine <= apart * min(reach * spread, np.sqrt(2 - 2 * cosine)) + 1e-9
@@ -99,16 +122,19 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(i, int(label[i])) for i in np.flatnonzero(label != parent)]
 
 
-def link_block(table: pa.Table, cosine: float) -> pa.Table:
-    """Links between two blocks of a cell, or inside one: counts by class, and a forest."""
+def link_block(table: pa.Table, cosine: float, once: bool) -> pa.Table:
+    """Links between two blocks of a cell, or inside one: counts by class, and a forest.
+
+    ``once`` says that visitors meet the block nowhere else, so they count their links here.
+    """
     row = table.slice(0, 1).to_pylist()[0]
-    return pa.Table.from_pylist(_link(row, cosine), schema=LINKS)
+    return pa.Table.from_pylist(_link(row, cosine, once), schema=LINKS)
 
 
 LINKS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
 
 
-def _link(row: dict, cosine: float) -> list[dict]:
+def _link(row: dict, cosine: float, once: bool) -> list[dict]:
     ids_a, n_a, x = (np.frombuffer(row[c], t) for c, t in (("ids_a", np.int64), ("n_a", np.int64), ("x_a", np.float64)))
     ids_b, n_b, y = (np.frombuffer(row[c], t) for c, t in (("ids_b", np.int64), ("n_b", np.int64), ("x_b", np.float64)))
     x, y = x.reshape(len(ids_a), -1), y.reshape(len(ids_b), -1)
@@ -128,7 +154,7 @@ def _link(row: dict, cosine: float) -> list[dict]:
             ends_a.append(nodes[tree[:, 0]])
             ends_b.append(nodes[tree[:, 1]])
     out = [{"node": int(i), "n": int(n), "other": None} for i, n in zip(ids_a, links_a) if n]
-    if row["home_b"] and not same:
+    if (row["home_b"] or once) and not same:
         out += [{"node": int(i), "n": int(n), "other": None} for i, n in zip(ids_b, links_b) if n]
     if ends_a:
         nodes, place = np.unique(np.concatenate(ends_a + ends_b), return_inverse=True)
@@ -145,8 +171,8 @@ def linked_vectors(
     Vectors that are null, empty, zero or hold a null or non-finite part link with nothing,
     and so do vectors of different lengths. Cosines are computed in double precision. Rows
     that repeat a vector are linked with each other. Null ids are never the smallest of a
-    component. Links are found with a probability set by ``reach`` (see above; all of them
-    with ``reach=None``), none below ``cosine``.
+    component. All links are found with ``reach=None``; a number loses some (see above), none
+    below ``cosine`` is ever made.
     """
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
@@ -189,12 +215,30 @@ def _links_of(classes: DataFrame, total: int, cosine: float, reach: float | None
         centres = unit(matrix(classes.select("x").limit(1).toArrow()["x"]))
     shared = spark.sparkContext.broadcast(centres)
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                low, high = spans(unit(matrix(batch.slice(at, 1024).column("x"))), shared.value)
+                lived = np.flatnonzero(high >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(lived.astype(np.int32)), pa.array(low[lived]), pa.array(high[lived])], ["cell", "low", "high"])
+
+    once, within = reach is None, None
+    if once and len(centres) > 1:
+        rows = classes.select("x").mapInArrow(measure, "cell int, low double, high double")
+        rows = rows.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow()  # one row per cell
+        within = np.full(len(centres), np.inf), np.full(len(centres), -np.inf)
+        within[0][rows["cell"].to_numpy()] = rows["low"].to_numpy()
+        within[1][rows["cell"].to_numpy()] = rows["high"].to_numpy()
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 piece = batch.slice(at, 1024)
                 x = unit(matrix(piece.column("x")))
-                row, where, home = place(x, shared.value, cosine, reach)
+                row, where, home = place(x, shared.value, cosine, reach, within)
+                if once:  # of two cells the later one is visited
+                    later = where >= where[home][row]
+                    row, where, home = row[later], where[later], home[later]
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -224,7 +268,7 @@ def _links_of(classes: DataFrame, total: int, cosine: float, reach: float | None
 
     # a pair of blocks is one group: pairs of a large cell go to many tasks, one at a time
     return pairs.groupBy("cell", "block_a", "home_b", "block_b").applyInArrow(
-        lambda table: link_block(table, cosine), "node long, n long, other long"
+        lambda table: link_block(table, cosine, once), "node long, n long, other long"
     )
 
 

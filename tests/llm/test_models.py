@@ -110,6 +110,26 @@ def test_recall_of_cells():
     assert met[np.arange(len(base)), home].mean() > 0.999
 
 
+def low_rank(rng, n, dim, rank, noise=0.01):
+    """Vectors around a few centres that vary mainly in ``rank`` of ``dim`` directions."""
+    axes = np.linalg.qr(rng.normal(size=(dim, rank)))[0].T
+    return embedding_dedup.unit(rng.normal(size=(n, rank)) @ axes + rng.normal(size=(n, dim)) * noise), axes
+
+
+@pytest.mark.parametrize("dim,rank,cells", [(64, 8, 20), (384, 16, 20)])
+def test_no_link_of_low_rank_vectors_is_lost(dim, rank, cells):
+    rng = np.random.default_rng(5)
+    base, axes = low_rank(rng, 4000, dim, rank, 0.0)
+    near = rng.normal(size=(len(base), rank)) @ axes
+    near -= (near * base).sum(1, keepdims=True) * base
+    other = embedding_dedup.unit(base * 0.951 + embedding_dedup.unit(near) * np.sqrt(1 - 0.951**2))
+    centres = embedding_dedup.fit_centres(base, cells)
+    row, cell, _ = embedding_dedup.place(base, centres, 0.95, embedding_dedup.REACH)
+    met = np.zeros((len(base), cells), bool)
+    met[row, cell] = True
+    assert met[np.arange(len(base)), (other @ centres.T).argmax(1)].all()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
