@@ -130,6 +130,20 @@ def test_no_link_of_low_rank_vectors_is_lost(dim, rank, cells):
     assert met[np.arange(len(base)), (other @ centres.T).argmax(1)].all()
 
 
+def test_registered_reach_over_several_cells(spark):
+    """The defaults of the query, but for cells so small that low-rank vectors fill twelve."""
+    rng = np.random.default_rng(9)
+    base, axes = low_rank(rng, 360, 64, 6)
+    turned = rng.normal(size=(240, 6)) @ axes
+    turned -= (turned * base[:240]).sum(1, keepdims=True) * base[:240]
+    other = base[:240] * 0.956 + embedding_dedup.unit(turned) * np.sqrt(1 - 0.956**2)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, other]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = embedding_dedup.linked_vectors(df, cell=50, block=64).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == plain.vector_links(rows)
+    assert sum(r.n_links for r in got) > 400
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
