@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are strings that look like keys, values assigned to a password name, and heads of
-private keys. A forest judges them by length, changes between kinds of characters, share of
+Candidates are strings that look like keys, all values assigned to a credential name, passwords
+in URLs, and heads of private keys. A forest judges them by length, changes between kinds of characters, share of
 dictionary words, path marks and neighbouring words. It is trained on labelled findings; the
 registered query labels the clear cases by their surroundings and lets the forest judge all.
 Everything runs on built-in expressions and the library's own forest.
@@ -17,17 +17,32 @@ from pyspark.sql import functions as F
 
 from .tables import stored, text_of
 
-#: Long runs of key characters with a digit, password values, private keys.
+#: A place after a credential name, with up to 24 more characters of the name, and an assignment.
+#: The short tests before the long one let all other places of a text go at once.
+ASSIGNED = (
+    r"(?<=[=:>\s\"'`])(?=[^\s\"'`=:>])(?<=[=:]>?[ \t]{0,8}(?:(?i:bearer|basic|token)[ \t]{1,2})?\\?[\"'`]?)"
+    r"(?<=(?i:api[_ -]?key|key|token|secret|pass|pwd|credential|auth|bearer|private)[A-Za-z0-9_.-]{0,24}"
+    r"[\\\"'`)\] \t]{0,6}[=:]{1,2}>?[ \t]{0,8}(?:(?i:bearer|basic|token)[ \t]{1,2})?\\?[\"'`]?)"
+    r"(?!(?i:bearer|basic|token)[ \t]{1,2}[^\s])"
+)
+#: Its value: up to the closing quote, else up to white space, a quote, closing marks or the next assignment.
+VALUE = (
+    r"(?:(?<=\\[\"'])[^\\\"'\r\n]++(?=\\[\"'])"
+    r"|(?<=\")(?:[^\"\\\r\n]++|\\.)++(?=\")|(?<=')(?:[^'\\\r\n]++|\\.)++(?=')|(?<=`)[^`\r\n]++(?=`)"
+    r"|(?:(?![&,;][A-Za-z_][A-Za-z0-9_.-]{0,40}[=:]|[,;)}\]>]{1,8}(?:[\s\"'`]|\z))[^\s\"'`])++)"
+)
+#: Values of credential names, passwords in URLs, long runs of key characters with a digit, private keys.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
-    r"|(?<=(?:password|passwd|pwd)[\"' ]{0,2}[=:][\"' ]{0,2})[^\s\"'=:]{8,}"
+    ASSIGNED + VALUE
+    + r"|(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/\"'`<>]+(?=@[^\s@])"
+    + r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
     r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 )
 MARK = "\x01"
 #: Characters of the surroundings that are looked at on either side.
 AROUND = 64
 #: Names that credentials are assigned to, and words of harmless neighbourhoods.
-CREDENTIAL = r"(?i)(api[_ -]?key|key|token|secret|passw|pwd|credential|auth|bearer|private)"
+CREDENTIAL = r"(?i)(api[_ -]?key|key|token|secret|passw(?:or)?d?|pwd|credential|auth|bearer|private)"
 HARMLESS = r"(?i)(example|sample|test|dummy|placeholder|sha\d*|hash|commit|checksum|uuid|version|order|number|image|file)"
 #: Words that generated keys don't contain.
 DICTIONARY = (
@@ -102,9 +117,10 @@ def features(found: DataFrame) -> DataFrame:
 
 
 def clear_cases(found: DataFrame) -> DataFrame:
-    """``found`` with ``label``: 1 for quoted values assigned to a credential name and for
-    known key forms, 0 for values without assignment or credential name nearby, else null."""
-    sure = (F.col("f_assigned") + F.col("f_quoted") + F.col("f_credential") == 3) | (F.col("f_known_form") == 1)
+    """``found`` with ``label``: 1 for long quoted values with a digit that are assigned to a
+    credential name and for known key forms, 0 for values without assignment or credential name nearby, else null."""
+    key_like = (F.col("f_length") >= 16) & (F.col("f_digits") > 0)  # short or plain values are left to the forest
+    sure = (F.col("f_assigned") + F.col("f_quoted") + F.col("f_credential") == 3) & key_like | (F.col("f_known_form") == 1)
     harmless = (F.col("f_assigned") == 0) & (F.col("f_credential_near") == 0) & (F.col("f_known_form") == 0)
     return found.withColumn("label", F.when(sure, 1.0).when(harmless, 0.0))
 

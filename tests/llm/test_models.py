@@ -236,6 +236,23 @@ def test_secret_scan_on_held_out_rows(spark):
     assert all(texts[r.doc_id][r.start : r.start + r.length] == r.value for r in got)
 
 
+@pytest.mark.parametrize("text,value", [
+    ('PASSWORD="hunter2hunter"', "hunter2hunter"), ("DB_PASSWORD=s3cr3tpass", "s3cr3tpass"), ("Password: hunter2hunter", "hunter2hunter"),
+    ('api_key = "abc123def456"', "abc123def456"), ('secret: "correcthorsebatterystaple"', "correcthorsebatterystaple"),
+    ("password = 'a=b:c'", "a=b:c"), ('{"client_secret": "x y z"}', "x y z"), ("pwd=abc;", "abc"), ("my_api_key_number_12=q", "q"),
+    ("see postgres://me:s3cr@t@db.example/x", "s3cr@t"), ("redis://:pw1@h", "pw1"), ("Authorization: Bearer abc.def", "abc.def"),
+    ('"token" => "t.u-v"', "t.u-v"), ("(token=abc)", "abc"), ("secret='" + "a b" * 5000 + "'", "a b" * 5000),
+])
+def test_no_credential_value_is_left_out(spark, text, value):
+    rows = spark.createDataFrame([(1, f"before {text} after")], "doc_id long, text string")
+    assert (7 + text.rindex(value), value) in [(r.start, r.value) for r in secrets.candidates(rows).collect()]
+
+
+def test_two_values_in_one_query_string(spark):
+    rows = spark.createDataFrame([(1, "x?token=abc&password=def&x=1")], "doc_id long, text string")
+    assert [r.value for r in secrets.candidates(rows).collect()] == ["abc", "def"]
+
+
 def test_secret_scan_on_awkward_rows(spark):
     key = "AKIA" + "ABCDEFGH12345678"
     rows = [(1, None), (2, ""), (3, "nothing here"), (4, f"\x01{key}\x01 é {key}"), (4, f"\x01{key}\x01 é {key}"), (None, f"key {key}"), (5, "password = 'hunter2hunter'"), (6, "-----BEGIN RSA PRIVATE KEY-----")]
