@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,8 +160,8 @@ def share_of_good(keys: DataFrame, labels: DataFrame, labelled: int = LABELLED)
     held-out rows of each kind at most. Without bad rows nothing is rejected.
     """
     marks = labels.where("doc_id is not null and quality is not null").where(held_out()).groupBy("doc_id").agg(F.min("quality").alias("good"))
-    order = F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    marks = marks.where("good in (0, 1)").withColumn("place", order).where(F.col("place") <= labelled)
+    kinds = [marks.where(F.col("good") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled) for x in (0, 1)]
+    marks = kinds[0].unionByName(kinds[1])
     rows = keys.join(F.broadcast(marks), "doc_id").select("log_ratio", "good").toArrow()  # bounded by ``labelled``
     score, good = rows["log_ratio"].to_numpy(), rows["good"].to_numpy() == 1
     if good.all() or not good.any():

@@ -197,6 +197,22 @@ def test_quality_draws_k_and_bears_empty_tables(spark):
     assert quality.selected(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_cut_takes_the_smallest_hashes_without_a_window(spark, monkeypatch):
+    """``labelled`` held-out rows of each kind, none of them ranked in one task for its kind."""
+    rng = random.Random(1)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    keys = spark.createDataFrame([(i, rng.gauss(i % 2, 1.0)) for i in range(400)], "doc_id long, log_ratio double")
+    held = labels.where(quality.held_out()).select("doc_id", "quality", F.xxhash64("doc_id").alias("h")).collect()
+    score = {r.doc_id: r.log_ratio for r in keys.collect()}
+    rows = [(score[r.doc_id], r.quality) for x in (0, 1) for r in sorted((r for r in held if r.quality == x), key=lambda r: r.h)[:30]]
+    errors = [(sum(g and s < c for s, g in rows) + sum(not g and s >= c for s, g in rows), c) for c in sorted(s for s, _ in rows)]
+    plans = []
+    collected = type(keys).toArrow
+    monkeypatch.setattr(type(keys), "toArrow", lambda self: (plans.append(self._jdf.queryExecution().optimizedPlan().toString()), collected(self))[1])
+    assert quality.share_of_good(keys, labels, 30) == min(errors)[1]
+    assert plans and not any("Window" in p for p in plans)
+
+
 @pytest.mark.parametrize("k", [1, 7, 500, 999, 1000, 5000])
 def test_kth_largest(spark, k):
     values = [float(x) for x in np.random.default_rng(1).normal(size=700)] + [3.5] * 300
