@@ -28,9 +28,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     tune(spark)
-    return jaccard_join.one_per_group(docs)
+    return jaccard_join.one_per_group(docs, size=5, similarity=(80, 100))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

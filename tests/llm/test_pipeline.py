@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import pytest
@@ -71,5 +72,27 @@ def test_stages(spark):
     assert last == {r.doc_id: len(tok.encode(r.text, add_special_tokens=False).ids) for r in fourth.collect()}
 
 
+def test_near_duplicates_by_five_words(spark):
+    """Pairs with a five-word similarity of 0.80 to 0.85 and others just below."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        edited = list(words)
+        for at in range(4 if i % 2 else 5):  # five shingles go with each word
+            edited[20 + at * 40] = f"x{i}x{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    sets = [plain.shingles(t, 5) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i)]
+    alike = {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) for p in pairs}
+    links = [p for p in pairs if alike[p] >= 0.8]
+    assert len(links) == 6 and all(0.8 <= alike[p] <= 0.85 for p in links) and any(0.7 < x < 0.8 for x in alike.values())
+    three = [plain.shingles(t, 3) for _, t in rows]
+    assert all(len(three[i] & three[j]) / len(three[i] | three[j]) < 0.9 for i, j in links)
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()}
+    assert kept == {min(g) for g in plain.groups(len(rows), links)}
+
+
 def test_run_gives_the_rows_of_the_stages(spark):
     assert corpus_pipeline.run(spark, SF_DIR).columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"]
