@@ -40,11 +40,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document."""
+    """The token ids of every document, and a digest of the text that they decode to."""
     tune(spark)
-    done = bpe.encode(docs.select("doc_id", "text", "lang", "source"))
+    done = bpe.encode(docs.select("doc_id", "text", "lang", "source"), decoded=True)
     return done.select(
-        "doc_id", "lang", "source", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids"
+        "doc_id", "lang", "source", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
@@ -61,8 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder, each written and read again."""
+    """All stages over the documents of a folder, each written and read again.
+
+    The digest of the decoded texts stays in the table of the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return docs.drop("decoded_sha256")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from hashlib import sha256
 from pathlib import Path
 
 import pytest
@@ -94,5 +95,14 @@ def test_near_duplicates_by_five_words(spark):
     assert kept == {min(g) for g in plain.groups(len(rows), links)}
 
 
+def test_last_stage_decodes(spark):
+    tok = pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.vocabulary_path())
+    texts = ["Hello, World's  they'll", "", None, "naïve 日本語"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for r in corpus_pipeline.encode(spark, docs, SF_DIR).collect():
+        ids = tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.decoded_sha256 == sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_run_gives_the_rows_of_the_stages(spark):
     assert corpus_pipeline.run(spark, SF_DIR).columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"]
