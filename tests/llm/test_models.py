@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from reelyard.llm import bpe, components, embedding_dedup, quality, secrets
+from reelyard.llm import bpe, components, embedding_dedup, lm_score, quality, secrets
 
 from . import plain
 
@@ -276,3 +277,28 @@ def test_secret_scan_on_awkward_rows(spark):
     got = sorted((str(r.doc_id), r.start, r.value) for r in secrets.scan(docs).collect())
     assert got == sorted([("4", 1, key), ("4", 25, key)] * 2 + [("None", 4, key), ("5", 12, "hunter2hunter"), ("6", 0, rows[-1][1])])
     assert secrets.scan(docs.limit(0)).collect() == []
+
+
+def test_scores_of_order_three(spark):
+    """Two levels of backoff against brute force."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(12)))) for i in range(40)]
+    docs = [plain.words(t) for _, t in rows]
+    runs = lambda ws: Counter(tuple(ws[i : i + k]) for k in (1, 2, 3) for i in range(len(ws) - k + 1))
+    every = sum((runs(ws) for ws in docs), Counter())
+    want = {}
+    for (d, _), ws in zip(rows, docs):
+        own, total, off = runs(ws), 0.0, 0
+        c = lambda run: every[run] - own[run]
+        for i in range(len(ws)):
+            k = longest = min(3, i + 1)
+            while k > 1 and not (c(tuple(ws[i - k + 1 : i + 1])) > 0 and c(tuple(ws[i - k + 1 : i])) > 0):
+                k -= 1
+            run = tuple(ws[i - k + 1 : i + 1])
+            p = c(run) / c(run[:-1]) if k > 1 else (c(run) + 1) / (sum(map(len, docs)) - len(ws) + 1)
+            total += np.log(p) + (longest - k) * np.log(0.4)
+            off += k < longest
+        want[d] = (len(ws), off, round(float(total), 6))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_backed_off, round(r.log_score, 6)) for r in lm_score.lm_scores(df, order=3).collect()}
+    assert got == want
