@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bpe, embedding_dedup, fingerprints, jaccard_join, line_dedup, lm_score, mixing, quality, secrets, suffix_dedup
+from . import (
+    bpe, embedding_dedup, fingerprints, jaccard_join, line_dedup, lm_score, mixing, quality, secrets, spelling, suffix_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +75,7 @@ def queries() -> dict[str, Query]:
         "op8_mix_sources": over("documents", mixing.digest),
         "op9_lm_score": over("documents", lm_score.digest),
         "op10_suffix_dedup": over("documents", suffix_dedup.digest),
+        "op13_spelling_variants": over("documents", spelling.digest),
     }
 
 

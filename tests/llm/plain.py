@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from hashlib import sha256
+from zlib import crc32
 
 import numpy as np
 
@@ -124,3 +125,43 @@ def backoff_scores(rows, backoff=0.4):
                 off += 1
         out.append((d, len(ws), off, round(float(score), 6)))
     return sorted(out, key=str)
+
+
+def spelling_variants(rows, noise=31, shortest=7, least=2, ratio=10):
+    """(word, form, root, n, near words, n of the form) of rows (doc_id, text)."""
+    counts = Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = run.translate(LOWER)
+            h = crc32(f"{'' if d is None else d}:{run}".encode())
+            if noise and h % noise == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            if len(run) >= shortest:
+                counts[run] += 1
+    n = {w: c for w, c in counts.items() if c >= least}
+    masked, shorter, near = {}, {}, {w: set() for w in n}
+    for w in n:
+        for i in range(len(w)):
+            masked.setdefault(w[:i] + "\0" + w[i + 1 :], set()).add(w)
+            shorter.setdefault(w[:i] + w[i + 1 :], set()).add(w)
+    for group in masked.values():
+        for w in group:
+            near[w] |= group - {w}
+    for w, longer in shorter.items():
+        if w in n:
+            near[w] |= longer
+            for x in longer:
+                near[x].add(w)
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        if best and n[best] >= ratio * n[w]:
+            form[w] = best
+    out = []
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
+    return sorted(out, key=str)
