@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
 from . import (
-    bpe, embedding_dedup, fingerprints, jaccard_join, line_dedup, lm_score, mixing, quality, secrets, spelling, suffix_dedup,
+    bpe, collocations, embedding_dedup, fingerprints, jaccard_join, line_dedup, lm_score, mixing, quality, secrets, spelling,
+    suffix_dedup,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,40 @@ FROM rows
 """
 
 
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+runs AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase
+  FROM worded, range(1, 6) AS sizes(m) WHERE len(w) >= m),
+often AS (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+phrases AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM often WHERE m > 1),
+halves AS (
+  SELECT lang, m, phrase, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : m], ' ') AS tail
+  FROM phrases, range(1, 5) AS cuts(k) WHERE k < m),
+scored AS (
+  SELECT h.lang, h.phrase, h.a, h.k, x.f AS l, y.f AS r, t.n,
+         CAST(CAST(1000 AS HUGEINT) * h.a * t.n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM halves h JOIN often x ON x.lang = h.lang AND x.phrase = h.head
+  JOIN often y ON y.lang = h.lang AND y.phrase = h.tail JOIN totals t ON t.lang = h.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_runs AS (
+  SELECT lang, a, unnest(list_transform(range(1, m - s + 2), lambda i: array_to_string(w[i : i + s - 1], ' '))) AS phrase
+  FROM phrases, range(2, 5) AS sizes(s) WHERE s < m),
+longer AS (SELECT lang, phrase, max(a) AS f FROM inner_runs GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM lowest c LEFT JOIN longer o ON o.lang = c.lang AND o.phrase = c.phrase
+  WHERE o.f IS NULL OR 100 * o.f < 100 * c.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": over("documents", line_dedup.digest),
@@ -75,9 +110,10 @@ def queries() -> dict[str, Query]:
         "op8_mix_sources": over("documents", mixing.digest),
         "op9_lm_score": over("documents", lm_score.digest),
         "op10_suffix_dedup": over("documents", suffix_dedup.digest),
+        "op12_collocations": over("documents", collocations.digest),
         "op13_spelling_variants": over("documents", spelling.digest),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op8_mix_sources": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op8_mix_sources": OP8_SQL, "op12_collocations": OP12_SQL}

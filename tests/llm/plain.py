@@ -165,3 +165,34 @@ def spelling_variants(rows, noise=31, shortest=7, least=2, ratio=10):
             root = form[root]
         out.append((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
     return sorted(out, key=str)
+
+
+def phrase_scores(rows, longest=5, least=100, top=2000, inside=100):
+    """(lang, rank, phrase, a, l, r, n, score) of rows (text, lang)."""
+    count, total = {}, Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for m in range(1, longest + 1):
+                for i in range(len(w) - m + 1):
+                    count.setdefault(lang, Counter())[tuple(w[i : i + m])] += 1
+    out = []
+    for lang, f in count.items():
+        often = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        longer = Counter()
+        for p, a in often.items():
+            for m in range(2, len(p)):
+                for i in range(len(p) - m + 1):
+                    longer[p[i : i + m]] = max(longer[p[i : i + m]], a)
+        found = []
+        for p, a in often.items():
+            if 100 * longer[p] >= inside * a:
+                continue
+            score, k = min((1000 * a * total[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        found.sort()
+        for rank, (score, a, phrase, left, right) in enumerate(found[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, total[lang], -score))
+    return sorted(out, key=str)
