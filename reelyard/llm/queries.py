@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import tune
 from . import (
     bpe, collocations, embedding_dedup, fingerprints, jaccard_join, line_dedup, lm_score, mixing, quality, secrets, spelling,
-    suffix_dedup,
+    suffix_dedup, wrappers,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,7 @@ def queries() -> dict[str, Query]:
         "op8_mix_sources": over("documents", mixing.digest),
         "op9_lm_score": over("documents", lm_score.digest),
         "op10_suffix_dedup": over("documents", suffix_dedup.digest),
+        "op11_main_text": over("pages", wrappers.digest),
         "op12_collocations": over("documents", collocations.digest),
         "op13_spelling_variants": over("documents", spelling.digest),
     }
