@@ -16,6 +16,7 @@ the phrases that are frequent.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -39,6 +40,7 @@ MERGE_KEYS = 1_000_000
 #: Distinct keys of a container before it bursts, and keys of a trie before it spills.
 CONTAINER_KEYS = 1 << 15
 TRIE_KEYS = 1 << 21
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bits of a trie digit.
 DIGIT = 6
 #: A prefix is dealt to up to ``2 ** SPREAD`` partitions, by the first digit of its last word.
@@ -72,7 +74,24 @@ def piece_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def pack(x: np.ndarray) -> bytes:
-    return planes(np.ascontiguousarray(x))
+    """Numbers in as many bytes as the largest needs, four or eight, said by the first byte."""
+    kind = np.uint64 if x.max(initial=0) >> U(32) else np.uint32
+    return bytes([kind().itemsize]) + planes(np.ascontiguousarray(x.astype(kind)))
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return from_planes(memoryview(data)[1:], f"u{data[0]}").astype(U)
+
+
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = 2) -> Iterator[None]:
+    """Arrow batches of a few rows, for tables whose rows are whole blocks."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
 
 
 class HatTrie:
@@ -197,7 +216,7 @@ def word_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
                 [
                     pa.array([(part << 32) + number]), one(langs.dictionary.cast(pa.string())), one(pa.array(totals, pa.int64())),
                     one(words.dictionary.cast(pa.string()).take(pa.array(pairs % size))), one(pa.array((pairs // size).astype(np.int32))),
-                    one(pa.array(n, pa.int64())), pa.array([pack(stream)], pa.binary()),
+                    one(pa.array(n, pa.int64())), pa.array([pack(stream.astype(U))], pa.binary()),
                 ],
                 ["block", "langs", "totals", "words", "lang", "n", "stream"],
             )
@@ -236,7 +255,7 @@ def translate(block: pa.Table, ids: pa.Table) -> pa.Table:
     """The stream of a block in numbers of frequent words; 0 is a break or any other word."""
     out = []
     for row in block.to_pylist():
-        stream = from_planes(row["stream"], np.uint32)
+        stream = unpack(row["stream"])
         known = np.zeros(int(stream.max(initial=0)) + 1, np.uint64)
         known[np.asarray(ids["place"]).astype(np.int64)] = np.asarray(ids["id"]).astype(np.uint64)
         out.append(state_of(row["block"], known[stream], known[stream], 1))
@@ -277,7 +296,7 @@ MERGED_SCHEMA = pa.schema([
 
 def candidates(row: dict, size: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words and numbers of a block's state, where phrases of ``size`` words may begin, their keys."""
-    words, grams = from_planes(row["words"], np.uint64), from_planes(row["grams"], np.uint64)
+    words, grams = unpack(row["words"]), unpack(row["grams"])
     at = np.flatnonzero((grams[:-1] > 0) & (grams[1:] > 0))
     return words, grams, at, (grams[at] << U(bits)) | words[at + size - 1]
 
@@ -290,7 +309,7 @@ def parts_of(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
 def merge_part(table: pa.Table, least: int) -> pa.Table:
     """Totals of a prefix partition: the frequent keys, numbered from 1, and each block's answers."""
     runs = [unpack_sorted(x) for x in table["keys"].to_pylist()]
-    counts = [from_planes(x, np.uint32).astype(np.int64) for x in table["counts"].to_pylist()]
+    counts = [unpack(x).astype(np.int64) for x in table["counts"].to_pylist()]
     keys, totals = merged(list(zip(runs, counts)))
     often = totals >= least
     number = np.where(often, np.cumsum(often), 0)
@@ -324,12 +343,12 @@ def grow(state: DataFrame, size: int, bits: int, least: int, merge_keys: int) ->
                 cuts = np.flatnonzero(np.diff(part)) + 1
                 for p, k, c in zip(part[np.concatenate([[0], cuts])], np.split(keys, cuts), np.split(counts, cuts)):
                     yield pa.RecordBatch.from_pylist(
-                        [{"block": row["block"], "part": int(p), "keys": pack_sorted(k), "counts": pack(c.astype(np.uint32))}],
+                        [{"block": row["block"], "part": int(p), "keys": pack_sorted(k), "counts": pack(c.astype(U))}],
                         schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]),
                     )
 
     def answer(block: pa.Table, ids: pa.Table) -> pa.Table:
-        parts_found = {r["part"]: (r["base"], from_planes(r["ids"], np.uint64)) for r in ids.to_pylist()}
+        parts_found = {r["part"]: (r["base"], unpack(r["ids"])) for r in ids.to_pylist()}
         out = []
         for row in block.to_pylist():
             words, grams, at, keys = candidates(row, size, bits)
@@ -344,7 +363,8 @@ def grow(state: DataFrame, size: int, bits: int, least: int, merge_keys: int) ->
         return pa.Table.from_pylist(out, schema=STATE_SCHEMA)
 
     runs = state.where("live > 0").select("block", "words", "grams").mapInArrow(count, RUNS)
-    merges = stored(runs.groupBy("part").applyInArrow(lambda t: merge_part(t, least), MERGED), "phrase-merges")
+    with few_rows(state.sparkSession):
+        merges = stored(runs.groupBy("part").applyInArrow(lambda t: merge_part(t, least), MERGED), "phrase-merges")
     found = merges.where("found is not null").select("part", "keys", "counts", "found")
     before = F.sum("found").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = stored(found.select("part", F.coalesce(before, F.lit(0)).alias("base"), "found"), "phrase-bases")
@@ -358,7 +378,9 @@ def grow(state: DataFrame, size: int, bits: int, least: int, merge_keys: int) ->
     )
     answers = merges.where("found is null").select("block", "part", "ids").join(base.select("part", "base"), "part")
     after = state.where("live > 0").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, STATE)
-    return stored(phrases, "phrases"), stored(after, "phrase-state")
+    with few_rows(state.sparkSession):
+        after = stored(after, "phrase-state")
+    return stored(phrases, "phrases"), after
 
 
 def frequent_phrases(
