@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import from_planes, pack_sorted, planes, unpack_sorted
+from ..session import forget
 from .tables import stored, text_of
 from .texts import _LOWER, U, flat, mix, pieces
 
@@ -35,6 +36,8 @@ LEAST = 100
 TOP = 2000
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 4 << 20
+#: Frequent words are broadcast to where the blocks' words are looked up if they take no more bytes.
+BROADCAST_BYTES = 16 << 20
 #: Keys that a merging task gets, on average.
 MERGE_KEYS = 1_000_000
 #: Distinct keys of a container before it bursts, and keys of a trie before it spills.
@@ -380,7 +383,9 @@ def grow(state: DataFrame, size: int, bits: int, least: int, merge_keys: int) ->
     after = state.where("live > 0").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, STATE)
     with few_rows(state.sparkSession):
         after = stored(after, "phrase-state")
-    return stored(phrases, "phrases"), after
+    phrases = stored(phrases, "phrases")
+    forget(state, merges, base)
+    return phrases, after
 
 
 def frequent_phrases(
@@ -392,17 +397,23 @@ def frequent_phrases(
     totals = blocks.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(
         F.sum("x.totals").alias("n")
     )
+    totals = stored(totals, "phrase-totals")
     places = blocks.select("block", "langs", F.posexplode(F.arrays_zip("words", "lang", "n")).alias("pos", "x")).select(
         "block", (F.col("pos") + 1).alias("place"), F.col("langs")[F.col("x.lang")].alias("lang"), F.col("x.words").alias("phrase"),
         F.col("x.n").alias("n"),
     )
     words = places.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     words = stored(numbered(words, ["lang", "phrase"]), "phrase-words")
-    bits = max(1, (words.agg(F.max("id")).first()[0] or 0).bit_length(), SPREAD)
-    ids = places.drop("n").join(words.drop("f"), ["lang", "phrase"]).select(F.col("block").alias("owner"), "place", "id")
+    most, size = words.agg(F.max("id"), F.sum(F.octet_length("phrase") + F.octet_length("lang") + 16)).first()
+    bits = max(SPREAD, (most or 0).bit_length())
+    lookup = words.drop("f")
+    lookup = F.broadcast(lookup) if (size or 0) <= BROADCAST_BYTES else lookup
+    ids = places.drop("n").join(lookup, ["lang", "phrase"]).select(F.col("block").alias("owner"), "place", "id")
+    words_in = blocks.select("block", "stream")
     state = stored(
-        blocks.select("block", "stream").groupBy("block").cogroup(ids.groupBy("owner")).applyInArrow(translate, STATE), "phrase-state"
+        words_in.groupBy("block").cogroup(ids.groupBy("owner")).applyInArrow(translate, STATE), "phrase-state"
     )
+    forget(blocks)
     found = [words.select("lang", "phrase", F.lit(1).alias("size"), "f", "id")]
     ends = words.select(F.col("id").alias("last"), F.col("phrase").alias("word"))
     for size in range(2, longest + 1):
@@ -410,6 +421,8 @@ def frequent_phrases(
         heads = found[-1].select("lang", F.col("phrase").alias("start"), F.col("id").alias("head"))
         named = phrases.join(ends, "last").join(heads, "head")
         found.append(stored(named.select("lang", F.concat_ws(" ", "start", "word").alias("phrase"), F.lit(size).alias("size"), "f", "id"), "phrases"))
+        forget(phrases)
+    forget(state)
     return reduce(DataFrame.unionByName, found).drop("id"), totals
 
 
