@@ -286,24 +286,18 @@ def stream_progress(spark, sf_dir):
 
 @register("x7_stream_blocks", sql_over(["progress_events"], f"WITH {BLOCK_SQL.strip()} SELECT * FROM k"))
 def stream_blocks(spark, sf_dir):
-    """Log lines cut into three pieces in the middle of blocks; a last line lets time pass, so
-    that the open tails come out."""
+    """Log lines cut into three pieces in the middle of blocks; the last brings the end of each log."""
     home = shared_dir(spark, "blocks")
     lines = log_lines(spark, sf_dir)
     cut = F.col("line_no")
-    wait = spark.range(1).select(
-        F.lit(TICK_JOB).cast("bigint").alias("job_id"), F.lit(0).cast("bigint").alias("line_no"), F.lit("progress=end").alias("line")
-    )
-    parts = [
-        lines.filter(cut < 325), lines.filter((cut >= 325) & (cut < 700)), lines.filter(cut >= 700),
-        wait.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in lines.schema.fields]),
-    ]
+    last = lines.filter(cut >= 700).unionByName(blocks.end_of_logs(lines))
+    parts = [lines.filter(cut < 325), lines.filter((cut >= 325) & (cut < 700)), last]
     feed(
         parts, f"{home}/in",
         lambda stream: tables.append_table(
-            blocks.stream_blocks(stream, tail_ms=1), f"{home}/out", f"{home}/checkpoint"
+            blocks.stream_blocks(stream), f"{home}/out", f"{home}/checkpoint"
         ),
     )
-    return spark.read.parquet(f"{home}/out").filter(F.col("job_id") != TICK_JOB).drop(
+    return spark.read.parquet(f"{home}/out").drop(
         "duplicate_frames", "dropped_frames"
     )

@@ -17,16 +17,20 @@ PROGRESS_KEYS = (
 )
 
 
-def progress_pairs(lines: DataFrame) -> DataFrame:
-    """``key=value`` lines as key and value; lines without a key are dropped."""
+def progress_pairs(lines: DataFrame, ends: bool = False) -> DataFrame:
+    """``key=value`` lines as key and value; lines without a key are dropped.
+
+    With ``ends`` null lines, which mark the end of a log, stay, without key and value.
+    """
     line = F.regexp_replace("line", r"\r$", "")
     at = F.instr(line, "=")
-    return lines.filter(at > 1).withColumns(
+    end = F.col("line").isNull() if ends else F.lit(False)
+    return lines.filter(end | (at > 1)).withColumns(
         {
             "key": F.trim(F.substring(line, F.lit(1), at - 1)),
             "value": F.trim(F.substring(line, at + 1, F.length(line))),
         }
-    ).filter(F.col("key") != "").drop("line")
+    ).filter(end | (F.col("key") != "")).drop("line")
 
 
 def _typed(key: Column, value: Column) -> Column:

@@ -5,97 +5,135 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.logs import PROGRESS_KEYS, metrics_of, progress_pairs
-from .events import use_rocksdb
+from .events import BATCH_BYTES, use_rocksdb
 
 # Python workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _BLOCK_SCHEMA = "job_id BIGINT, block BIGINT, " + ", ".join(f"`{k}` STRING" for k in PROGRESS_KEYS)
 _KEYS = tuple(PROGRESS_KEYS)
+_PROGRESS = _KEYS.index("progress")
+#: Codes of a line without a known key, and of the end of a log.
+_OTHER, _END = len(_KEYS), len(_KEYS) + 1
 
-#: Silence after which an open block counts as the tail of its log.
-TAIL_MS = 60 * 1000
-#: Silence after which the block number of a log is forgotten.
+#: Silence after which the block number of a log that has ended is forgotten.
 MEMORY_MS = 30 * 24 * 60 * 60 * 1000
 
 
 class BlockAssembler(StatefulProcessor):
     """Holds the open block of a job: the last value of each key, and the block's number.
 
-    A closed block leaves no values behind. An open one is emitted as the tail of the log
-    when the job has been silent for ``tail_ms`` of processing time.
+    The end of a log closes its open block and leaves only the block number, for ``memory_ms``.
+    With ``tail_ms`` a block also closes when its job is silent for so long (processing time),
+    for writers that may die without saying so.
     """
 
-    def __init__(self, tail_ms: int, memory_ms: int):
+    def __init__(self, tail_ms: int | None, memory_ms: int):
         self.tail_ms, self.memory_ms = tail_ms, memory_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(f"`{k}` STRING" for k in _KEYS)
         self.handle = handle
-        self.open = handle.getValueState("open", fields)
-        self.count = handle.getValueState("count", "block BIGINT", self.memory_ms)
+        self.open = handle.getValueState("open", "block BIGINT, " + ", ".join(f"`{k}` STRING" for k in _KEYS))
+        self.ended = handle.getValueState("ended", "block BIGINT", self.memory_ms)
 
-    def _load(self) -> tuple[int, dict]:
-        block = self.count.get()[0] if self.count.exists() else 0
-        held = self.open.get() if self.open.exists() else ()
-        return block, {k: v for k, v in zip(_KEYS, held) if v is not None}
+    @staticmethod
+    def _frame(key, blocks: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+        frame = pd.DataFrame(values, columns=list(_KEYS), dtype=object)
+        frame.insert(0, "block", blocks.astype(np.int64))
+        frame.insert(0, "job_id", pd.array([key] * len(blocks), dtype="Int64"))
+        return frame
 
-    def _store(self, block: int, values: dict) -> None:
+    def _alarm(self, at_ms: int | None) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.count.update((block,))
-        if values:
-            self.open.update(tuple(values.get(k) for k in _KEYS))
-        else:
-            self.open.clear()
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["job_id", "block", *_KEYS]).astype(
-            {"job_id": "Int64", "block": "int64", **{k: "object" for k in _KEYS}}
-        )
+        if at_ms is not None:
+            self.handle.registerTimer(at_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        block, values = self._load()
+        held = self.open.get()
+        first, values = (held[0], held[1:]) if held else ((self.ended.get() or (0,))[0], (None,) * len(_KEYS))
         # One micro-batch of one job, bounded by the source's byte limit.
         batch = pd.concat(list(rows)).sort_values("line_no", kind="stable")
-        done = []
-        for line in batch.itertuples(index=False):
-            if line.key in _KEYS:
-                values[line.key] = line.value
-            if line.key == "progress":
-                done.append((key[0], block, *(values.get(k) for k in _KEYS)))
-                block, values = block + 1, {}
-        self._store(block, values)
-        if values:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.tail_ms)
-        yield self._frame(done)
+        code = batch["code"].to_numpy(np.int64)
+        closing = (code == _PROGRESS) | (code == _END)
+        block = np.cumsum(closing) - closing
+        known = code < len(_KEYS)
+        # the last value of each key of each block: later lines overwrite earlier ones
+        table = np.full((int(closing.sum()) + 1, len(_KEYS)), None, object)
+        table[0] = values
+        table[block[known], code[known]] = batch["value"].to_numpy(object)[known]
+        filled = (table != None).any(axis=1)  # noqa: E711
+        closed = filled.copy()
+        closed[-1] = False
+        number = first + np.cumsum(closed) - closed
+        after = first + int(closed.sum())
+        if filled[-1]:
+            self.open.update((after, *table[-1]))
+        else:
+            # nothing is open: an ended log leaves its number for a while, a running one keeps it
+            ended = len(code) > 0 and code[-1] == _END
+            if ended:
+                self.open.clear()
+                self.ended.update((after,))
+            else:
+                self.open.update((after, *(None,) * len(_KEYS)))
+        if self.tail_ms is not None:
+            self._alarm(timerValues.getCurrentProcessingTimeInMs() + self.tail_ms if filled[-1] else None)
+        yield self._frame(key[0], number[closed], table[closed])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        block, values = self._load()
-        done = [(key[0], block, *(values.get(k) for k in _KEYS))] if values else []
-        self._store(block + len(done), {})
-        yield self._frame(done)
+        held = self.open.get()
+        tail = np.array([held[1:]] if held and any(v is not None for v in held[1:]) else [], object).reshape(-1, len(_KEYS))
+        if held:
+            self.ended.update((held[0] + len(tail),))
+            self.open.clear()
+        yield self._frame(key[0], np.array([held[0]] * len(tail)), tail)
 
     def close(self) -> None:
         pass
 
 
-def stream_blocks(lines: DataFrame, tail_ms: int = TAIL_MS, memory_ms: int = MEMORY_MS) -> DataFrame:
+def end_of_logs(lines: DataFrame) -> DataFrame:
+    """The end markers of logs that are whole: a null line after the last one of each job."""
+    last = F.max("line_no")
+    names = {"line_no": (last + 1).alias("line_no"), "line": F.lit(None).cast("string").alias("line")}
+    ends = lines.groupBy("job_id").agg(names["line_no"], names["line"])
+    return ends.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in lines.schema.fields if f.name in ends.columns])
+
+
+def read_closed_logs(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Stream of ``job_id, line_no, line`` of logs that are written once, one file per job, each
+    followed by its end marker. The file name without its ending is the job's number; a
+    log has to fit a string."""
+    files = spark.readStream.option("wholetext", "true").option("maxBytesPerTrigger", batch_bytes).text(path)
+    text = F.regexp_replace("value", r"\n\z", "")
+    lines = F.concat(F.split(text, "\n", -1), F.array(F.lit(None).cast("string")))
+    job = F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]+)(?:\.[^./]*)?$", 1).cast("bigint")
+    return files.select(job.alias("job_id"), F.posexplode(lines).alias("line_no", "line"))
+
+
+def stream_blocks(lines: DataFrame, tail_ms: int | None = None, memory_ms: int = MEMORY_MS) -> DataFrame:
     """Typed metrics of each block: ``job_id, line_no, line`` lines in, any chunking.
 
-    Splitting lines and typing values stay in the JVM; Python only holds the open block.
+    A null line is the end of its job's log (see ``end_of_logs``, ``read_closed_logs``): it
+    closes the open block, so nothing is left when finite input ends. Splitting lines and
+    typing values stay in the JVM; Python only folds the values of a job, as arrays.
     """
     use_rocksdb(lines.sparkSession)
+    keys = F.array(*[F.lit(k) for k in _KEYS])
+    known = F.array_position(keys, F.col("key")).cast("int")
+    code = F.when(F.col("key").isNull(), _END).when(known > 0, known - 1).otherwise(_OTHER)
     blocks = (
-        progress_pairs(lines)
+        progress_pairs(lines, ends=True)
+        .select("job_id", "line_no", "value", code.alias("code"))
         .groupBy("job_id")
         .transformWithStateInPandas(
             statefulProcessor=BlockAssembler(tail_ms, memory_ms),

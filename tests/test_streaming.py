@@ -82,16 +82,43 @@ def test_progress_lines_and_duplicates(spark, tmp_path):
     assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == sorted([lines[4], lines[6]])
 
 
-def test_open_block_is_held_between_batches_and_the_tail_comes_out(spark, tmp_path):
-    lines = [
-        [(1, 1, "frame=1"), (1, 2, "progress=continue"), (1, 3, "frame=2")],
-        [(1, 4, "fps=5"), (1, 5, "progress=end"), (1, 6, "frame=3")],
-        [(2, 1, "progress=end")],
-    ]
-    parts = [spark.createDataFrame(rows, "job_id bigint, line_no bigint, line string") for rows in lines]
-    feed(parts, f"{tmp_path}/in", lambda s: tables.append_table(blocks.stream_blocks(s, tail_ms=1), f"{tmp_path}/out", f"{tmp_path}/cp"))
-    got = sorted((r.block, r.frame, r.fps, r.state) for r in spark.read.parquet(f"{tmp_path}/out").where("job_id = 1").collect())
-    assert got == [(0, 1.0, None, "continue"), (1, 2.0, 5.0, "end"), (2, 3.0, None, None)]
+LINE = "job_id bigint, line_no bigint, line string"
+
+
+def block_rows(spark, home, slices, **options):
+    parts = [spark.createDataFrame(rows, LINE) for rows in slices]
+    feed(parts, f"{home}/in", lambda s: tables.append_table(blocks.stream_blocks(s, **options), f"{home}/out", f"{home}/cp"))
+    return sorted((r.job_id, r.block, r.frame, r.fps, r.state) for r in spark.read.parquet(f"{home}/out").collect())
+
+
+def test_open_block_is_held_between_batches_and_ends_with_its_log(spark, tmp_path):
+    got = block_rows(spark, tmp_path, [
+        [(1, 1, "frame=1"), (1, 2, "progress=continue"), (1, 3, "frame=2"), (2, 1, "frame=9"), (2, 2, None), (3, 1, None)],
+        [(1, 4, "fps=5"), (1, 5, "progress=end"), (1, 6, "frame=3"), (1, 7, "frame=4"), (1, 8, "noise"), (1, 9, "other=1"), (1, 10, None)],
+    ])
+    assert got == [(1, 0, 1.0, None, "continue"), (1, 1, 2.0, 5.0, "end"), (1, 2, 4.0, None, None), (2, 0, 9.0, None, None)]
+
+
+def test_a_log_that_goes_on_after_its_end_keeps_its_numbers(spark, tmp_path):
+    got = block_rows(spark, tmp_path, [
+        [(1, 1, "frame=1"), (1, 2, None)], [(1, 3, "fps=2"), (1, 4, "progress=continue"), (1, 5, "fps=3")], [(1, 6, None), (1, 7, "frame=8")],
+    ])
+    assert got == [(1, 0, 1.0, None, None), (1, 1, None, 2.0, "continue"), (1, 2, None, 3.0, None)]
+
+
+def test_silent_writers_may_be_timed_out(spark, tmp_path):
+    got = block_rows(spark, tmp_path, [[(1, 1, "frame=1")], [(2, 1, "progress=end")], [(1, 2, "fps=2"), (1, 3, None)]], tail_ms=1)
+    assert [r for r in got if r[0] == 1] == [(1, 0, 1.0, None, None), (1, 1, None, 2.0, None)]
+
+
+def test_whole_log_files_need_no_later_row(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "7.log").write_text("frame=1\nfps=3\nprogress=continue\nframe=2\n")
+    (tmp_path / "logs" / "8.log").write_text("frame=5\r\nprogress=end\r\n")
+    stream = blocks.stream_blocks(blocks.read_closed_logs(spark, str(tmp_path / "logs")))
+    tables.append_table(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = sorted((r.job_id, r.block, r.frame, r.fps, r.state) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(7, 0, 1.0, 3.0, "continue"), (7, 1, 2.0, None, None), (8, 0, 5.0, None, "end")]
 
 
 def test_latest_state_survives_a_repeated_batch(spark, tmp_path):
