@@ -260,10 +260,7 @@ def stream_overall(spark, sf_dir):
             f"{home}/table", f"{home}/checkpoint", 2,
         ),
     )
-    runs = spark.read.parquet(f"{home}/table/overall")
-    # the newest run holds the progress of all batches
-    newest = runs.agg(F.max("run").alias("run"))
-    return runs.join(F.broadcast(newest), "run").drop("run")
+    return tables.live_overall(spark, f"{home}/table")
 
 
 @register(

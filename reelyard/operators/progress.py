@@ -53,7 +53,7 @@ def overall_progress(files: DataFrame) -> DataFrame:
     totals = files.groupBy("batch_id").agg(
         F.count_if(done).alias("completed_files"),
         F.count(F.lit(1)).alias("total_files"),
-        F.sum(tenths).alias("__tenths"),
+        F.sum(tenths).alias("tenths"),
         F.coalesce(F.sum(F.when(sized, F.greatest(zero, F.col("original_size")))), zero).alias(
             "original_bytes"
         ),
@@ -61,9 +61,14 @@ def overall_progress(files: DataFrame) -> DataFrame:
             "output_bytes"
         ),
     )
+    return overall_of_totals(totals)
+
+
+def overall_of_totals(totals: DataFrame) -> DataFrame:
+    """Mean progress and saved bytes out of the sums of each batch."""
     return totals.select(
         "batch_id", "completed_files", "total_files",
-        fixed(F.col("__tenths") / F.lit(10.0) / F.col("total_files"), 1).alias("progress"),
+        fixed(F.col("tenths") / F.lit(10.0) / F.col("total_files"), 1).alias("progress"),
         "original_bytes", "output_bytes",
         (F.col("original_bytes") - F.col("output_bytes")).alias("saved_bytes"),
     )

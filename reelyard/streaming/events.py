@@ -6,6 +6,7 @@ import math
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -122,12 +123,10 @@ def ingest(events: DataFrame, memory_ms: int = MEMORY_MS) -> DataFrame:
 
 TRACK_SCHEMA = (
     "job_id BIGINT, kind STRING, sequence BIGINT, ts TIMESTAMP, status STRING, progress BIGINT,"
-    " remaining_s BIGINT, output_size BIGINT, estimated_output_size BIGINT"
+    " remaining_s BIGINT, output_size BIGINT, estimated_output_size BIGINT,"
+    " progress_delta BIGINT, first BOOLEAN"
 )
-_COLUMNS = [
-    "job_id", "kind", "sequence", "ts", "status", "progress", "remaining_s", "output_size",
-    "estimated_output_size",
-]
+_COLUMNS = [c.split()[0] for c in TRACK_SCHEMA.split(",")]
 _STATE_SCHEMA = (
     "sequence BIGINT, progress BIGINT, status STRING, ts_ms BIGINT, first_ms BIGINT, seen_ms BIGINT,"
     " told BOOLEAN, remaining BIGINT, output_size BIGINT, estimated BIGINT, eta_p DOUBLE,"
@@ -140,26 +139,40 @@ _FIELDS = [
 _TERMINAL = ("completed", "failed", "cancelled")
 
 
-def _remaining(state: dict, tenths: int, elapsed_cs: int) -> int | None:
-    """Feed one observation to the smoothed estimate; the shown value or None."""
+def _remaining(state: dict, tenths: np.ndarray, elapsed_cs: np.ndarray) -> list[int | None]:
+    """Feed observations to the smoothed estimate; the value that each shows, or None.
+
+    Only observations ahead of all before them in both progress and time are folded; the
+    arrays tell which could be.
+    """
+    shown: list[int | None] = [None] * len(tenths)
     p, t = tenths / 10.0, elapsed_cs / 100.0
-    if not (0 < p < 100 and t > 0):
-        return None
-    if state["eta_p"] is None or (p > state["eta_p"] and t > state["eta_t"]):
-        state["eta_p"], state["eta_t"] = p, t
-        state["recent"] = (state["recent"] + [t / p * (100.0 - p)])[-ETA_SAMPLES:]
-        n = len(state["recent"])
-        if n < ETA_MINIMUM or p < 1 or t < 2:
-            return None
-        total = 0.0
-        for weight, value in enumerate(state["recent"], 1):
-            total += value * weight
-        mean = total / (n * (n + 1) / 2)
-        old = state["smooth"]
-        state["smooth"] = mean if old is None else old * 0.65 + mean * 0.35
-    if state["smooth"] is None:
-        return None
-    return max(0, math.floor(state["smooth"] + 0.5))
+    for i in np.flatnonzero((p > 0) & (p < 100) & (t > 0)):
+        at_p, at_t = float(p[i]), float(t[i])
+        if state["eta_p"] is None or (at_p > state["eta_p"] and at_t > state["eta_t"]):
+            state["eta_p"], state["eta_t"] = at_p, at_t
+            state["recent"] = (state["recent"] + [at_t / at_p * (100.0 - at_p)])[-ETA_SAMPLES:]
+            n = len(state["recent"])
+            if n < ETA_MINIMUM or at_p < 1 or at_t < 2:
+                continue
+            total = 0.0
+            for weight, value in enumerate(state["recent"], 1):
+                total += value * weight
+            mean = total / (n * (n + 1) / 2)
+            old = state["smooth"]
+            state["smooth"] = mean if old is None else old * 0.65 + mean * 0.35
+        if state["smooth"] is not None:
+            shown[i] = max(0, math.floor(state["smooth"] + 0.5))
+    return shown
+
+
+def _carried(values: list, before) -> list:
+    """Each value, or where it is None the one before it."""
+    out = []
+    for value in values:
+        before = before if value is None else value
+        out.append(before)
+    return out
 
 
 class JobTracker(StatefulProcessor):
@@ -169,7 +182,9 @@ class JobTracker(StatefulProcessor):
     or that follows a terminal event, is ``late`` and changes nothing; one without job,
     sequence or status is ``rejected``. Timers run on processing time: a job that is silent
     or runs for too long is ``stalled`` once; a finished or stalled job leaves only its last
-    sequence and status when its retention has passed, and that for ``memory_ms``.
+    sequence, status and progress when its retention has passed, and that for ``memory_ms``.
+    ``progress_delta`` is what an event adds to the job's progress and ``first`` whether it is
+    the job's first, so that totals over jobs can be kept by adding up rows.
     """
 
     def __init__(self, stall_ms: int, run_ms: int, retention_ms: int, memory_ms: int):
@@ -179,7 +194,7 @@ class JobTracker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("job", _STATE_SCHEMA)
-        self.gone = handle.getValueState("gone", "sequence BIGINT, status STRING", self.memory_ms)
+        self.gone = handle.getValueState("gone", "sequence BIGINT, status STRING, progress BIGINT", self.memory_ms)
 
     def _load(self) -> dict | None:
         if not self.state.exists():
@@ -192,59 +207,77 @@ class JobTracker(StatefulProcessor):
         state = dict.fromkeys(_FIELDS)
         state.update(progress=0, first_ms=now, recent=[])
         if self.gone.exists():
-            state["sequence"], state["status"] = self.gone.get()
+            state["sequence"], state["status"], state["progress"] = self.gone.get()
         return state
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
+        batch = _in_order(rows).reset_index(drop=True)
         state = self._load()
-        changed = False
-        out = []
-        for event in _in_order(rows).itertuples(index=False):
-            ts = None if pd.isna(event.ts) else event.ts
-            if pd.isna(key[0]) or pd.isna(event.sequence) or pd.isna(event.status):
-                sequence = None if pd.isna(event.sequence) else int(event.sequence)
-                status = None if pd.isna(event.status) else event.status
-                out.append((key[0], "rejected", sequence, ts, status, None, None, None, None))
-                continue
-            if state is None:
-                state = self._fresh(now)
-            last = state["sequence"]
-            if (last is not None and event.sequence <= last) or state["status"] in _TERMINAL:
-                out.append((key[0], "late", int(event.sequence), ts, event.status, None, None, None, None))
-                continue
-            self._advance(state, event, ts)
-            changed = True
-            out.append(
-                (key[0], "event", state["sequence"], ts, state["status"], state["progress"],
-                 state["remaining"], state["output_size"], state["estimated"])
-            )
-        if changed:
-            state["seen_ms"], state["told"] = now, False
-            self.state.update(tuple(state[f] for f in _FIELDS))
-            self.gone.clear()
-            limit = min(now + self.stall_ms, max(state["first_ms"] + self.run_ms, now + 1))
-            self._alarm(now + self.retention_ms if state["status"] in _TERMINAL else limit)
-        yield self._frame(out)
+        usable = (batch["sequence"].notna() & batch["status"].notna() & (not pd.isna(key[0]))).to_numpy()
+        kind = np.where(usable, "late", "rejected").astype(object)
+        out = pd.DataFrame(
+            {"job_id": pd.array([key[0]] * len(batch), "Int64"), "kind": kind, "sequence": batch["sequence"].astype("Int64"),
+             "ts": pd.to_datetime(batch["ts"]), "status": batch["status"]}
+        )
+        for column in _COLUMNS[5:-1]:
+            out[column] = pd.array([None] * len(batch), "Int64")
+        out["first"] = pd.array([None] * len(batch), "boolean")
+        if usable.any():
+            state = state or self._fresh(now)
+            at = self._new_events(state, batch, usable)
+            if len(at):
+                self._advance(state, batch.iloc[at], out, at)
+                state["seen_ms"], state["told"] = now, False
+                self.state.update(tuple(state[f] for f in _FIELDS))
+                self.gone.clear()
+                limit = min(now + self.stall_ms, max(state["first_ms"] + self.run_ms, now + 1))
+                self._alarm(now + self.retention_ms if state["status"] in _TERMINAL else limit)
+        yield out[_COLUMNS]
+
+    @staticmethod
+    def _new_events(state: dict, batch: pd.DataFrame, usable: np.ndarray) -> np.ndarray:
+        """Places of the events above all sequences before them, up to the first terminal one."""
+        if state["status"] in _TERMINAL:
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero(usable)  # in the order of their sequences
+        sequence = batch["sequence"].to_numpy()[at].astype(np.int64)
+        first = np.concatenate([[True], sequence[1:] != sequence[:-1]])
+        at = at[first & (sequence > (-math.inf if state["sequence"] is None else state["sequence"]))]
+        ends = np.flatnonzero(batch["status"].iloc[at].isin(_TERMINAL).to_numpy())
+        return at[: ends[0] + 1] if len(ends) else at
 
-    def _advance(self, state: dict, event, ts) -> None:
-        done = event.status == "completed"
-        told = 0 if pd.isna(event.progress_tenths) else int(event.progress_tenths)
-        wanted = max(state["progress"], min(990, max(0, told)))
-        state["progress"] = 1000 if done else wanted
-        state["sequence"], state["status"] = int(event.sequence), event.status
-        if ts is not None:
-            state["ts_ms"] = int(ts.timestamp() * 1000)
-        shown = None if pd.isna(event.elapsed_cs) else _remaining(state, state["progress"], int(event.elapsed_cs))
-        if done:
-            state["remaining"] = 0
-        elif shown is not None:
-            state["remaining"] = shown
-        if not pd.isna(event.output_size):
-            state["output_size"] = int(event.output_size)
-        if state["output_size"] is not None and state["progress"] > 0:
-            whole = state["output_size"] / (state["progress"] / 1000)
-            state["estimated"] = max(state["output_size"], math.floor(whole + 0.5))
+    @staticmethod
+    def _advance(state: dict, events: pd.DataFrame, out: pd.DataFrame, at: np.ndarray) -> None:
+        """Feed new events to the state and fill their rows of ``out``."""
+        done = (events["status"] == "completed").to_numpy()
+        told = events["progress_tenths"].fillna(0).to_numpy(np.int64).clip(0, 990)
+        before = state["progress"]
+        progress = np.where(done, 1000, np.maximum(np.maximum.accumulate(told), before))
+        elapsed = events["elapsed_cs"].to_numpy(float, na_value=np.nan)
+        remaining = _remaining(state, progress, elapsed)
+        remaining = _carried([0 if d else r for d, r in zip(done, remaining)], state["remaining"])
+        sizes = _carried([None if pd.isna(x) else int(x) for x in events["output_size"]], state["output_size"])
+        whole = [
+            max(x, math.floor(x / (p / 1000) + 0.5)) if x is not None and p > 0 else None for x, p in zip(sizes, progress.tolist())
+        ]
+        estimated = _carried(whole, state["estimated"])
+        fresh = state["sequence"] is None
+        for column, values in (
+            ("kind", "event"), ("progress", progress), ("remaining_s", remaining), ("output_size", sizes),
+            ("estimated_output_size", estimated), ("progress_delta", np.diff(progress, prepend=before)),
+            ("first", [fresh] + [False] * (len(at) - 1)),
+        ):
+            values = values if isinstance(values, str) else pd.array(values, "boolean" if column == "first" else "Int64")
+            out.loc[at, column] = values
+        last = events.iloc[-1]
+        state.update(
+            progress=int(progress[-1]), sequence=int(last["sequence"]), status=last["status"], remaining=remaining[-1],
+            output_size=sizes[-1], estimated=estimated[-1],
+        )
+        times = events["ts"].dropna()
+        if len(times):
+            state["ts_ms"] = int(times.iloc[-1].timestamp() * 1000)
 
     def _alarm(self, at_ms: int) -> None:
         for timer in list(self.handle.listTimers()):
@@ -255,13 +288,13 @@ class JobTracker(StatefulProcessor):
         state = self._load()
         out = []
         if state is not None and (state["status"] in _TERMINAL or state["told"]):
-            self.gone.update((state["sequence"], state["status"]))
+            self.gone.update((state["sequence"], state["status"], state["progress"]))
             self.state.clear()
         elif state is not None:
             ts = None if state["ts_ms"] is None else pd.Timestamp(state["ts_ms"], unit="ms")
             out.append(
                 (key[0], "stalled", state["sequence"], ts, state["status"], state["progress"],
-                 state["remaining"], state["output_size"], state["estimated"])
+                 state["remaining"], state["output_size"], state["estimated"], None, None)
             )
             state["told"] = True
             self.state.update(tuple(state[f] for f in _FIELDS))
@@ -271,9 +304,10 @@ class JobTracker(StatefulProcessor):
     @staticmethod
     def _frame(rows: list[tuple]) -> pd.DataFrame:
         frame = pd.DataFrame(rows, columns=_COLUMNS)
-        for column in ("sequence", "progress", "remaining_s", "output_size", "estimated_output_size", "job_id"):
+        for column in ("sequence", "progress", "remaining_s", "output_size", "estimated_output_size", "job_id", "progress_delta"):
             frame[column] = frame[column].astype("Int64")
         frame["ts"] = pd.to_datetime(frame["ts"])
+        frame["first"] = frame["first"].astype("boolean")
         return frame
 
     def close(self) -> None:

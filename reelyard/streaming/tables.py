@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from ..operators.progress import latest_events, overall_progress
+from ..operators.progress import latest_events, overall_of_totals
+from .generations import Generations
 
 ALL_THERE = {"availableNow": True}
 NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
@@ -28,47 +29,14 @@ def _start(writer: DataStreamWriter, spark: SparkSession, trigger: dict | None)
         spark.conf.set(NO_DATA_BATCHES, before)
 
 
-def _newest_snapshot(spark: SparkSession, path: str) -> int | None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshots")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    done = [
-        int(s.getPath().getName().split("=")[1])
-        for s in fs.listStatus(folder)
-        if s.isDirectory()
-        and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    return max(done) if done else None
+def latest_table(spark: SparkSession, path: str, schema: str, compact_every: int = 50) -> Generations:
+    """The table of the latest row of each job."""
+    return Generations(spark, path, schema, latest_events, compact_every)
 
 
 def latest_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per job: the newest snapshot and all later batches, newest row kept."""
-    newest = _newest_snapshot(spark, path)
-    changes = spark.read.schema(f"{schema}, batch BIGINT").parquet(f"{path}/batches")
-    if newest is None:
-        return latest_events(changes.drop("batch"))
-    snapshot = spark.read.schema(schema).parquet(f"{path}/snapshots/upto={newest}")
-    later = changes.filter(F.col("batch") > newest).drop("batch")
-    return latest_events(snapshot.unionByName(later))
-
-
-def write_batch(batch: DataFrame, batch_id: int, path: str, schema: str, compact_every: int) -> None:
-    """Add a micro-batch to the latest-state table.
-
-    The batch is reduced to one row per job first. Its folder is named after the batch id
-    and overwritten, so a batch that is run again after a failure leaves the same table.
-    Every ``compact_every`` batches a snapshot bounds what readers have to resolve.
-    """
-    names = [c.split()[0] for c in schema.split(",")]
-    latest_events(batch.select(*[n.strip() for n in names])).write.mode("overwrite").parquet(
-        f"{path}/batches/batch={batch_id}"
-    )
-    if compact_every and (batch_id + 1) % compact_every == 0:
-        spark = batch.sparkSession
-        latest_state(spark, path, schema).write.mode("overwrite").parquet(
-            f"{path}/snapshots/upto={batch_id}"
-        )
+    """One row per job; readers that take long use ``latest_table(...).pinned()``."""
+    return latest_table(spark, path, schema).read()
 
 
 def upsert_latest(
@@ -80,35 +48,56 @@ def upsert_latest(
     ``trigger``: arguments of the stream's trigger; all that is there by default.
     """
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, i: write_batch(df, i, path, schema, compact_every)
+        lambda df, i: latest_table(df.sparkSession, path, schema, compact_every).write(df, i)
     )
     return _start(writer, stream.sparkSession, trigger)
 
 
-LIVE_SCHEMA = (
-    "job_id BIGINT, sequence BIGINT, status STRING, progress BIGINT, batch_id BIGINT,"
-    " original_size BIGINT, output_size BIGINT"
+TOTALS_SCHEMA = (
+    "batch_id BIGINT, completed_files BIGINT, total_files BIGINT, tenths BIGINT, original_bytes BIGINT, output_bytes BIGINT"
 )
+_SUMS = [c.split()[0] for c in TOTALS_SCHEMA.split(", ")][1:]
+
+
+def add_totals(rows: DataFrame) -> DataFrame:
+    """Sums by batch; rows that are sums already may be added again."""
+    return rows.groupBy("batch_id").agg(*[F.sum(c).alias(c) for c in _SUMS])
+
+
+def changes_of(tracked: DataFrame) -> DataFrame:
+    """What each tracker row changes in the totals of its batch; late and rejected rows change nothing."""
+    done = F.col("status") == "completed"
+    sized = done & F.col("original_size").isNotNull() & F.col("output_size").isNotNull()
+    zero = F.lit(0).cast("bigint")
+    return tracked.filter("kind = 'event'").select(
+        "batch_id", done.cast("bigint").alias("completed_files"), F.col("first").cast("bigint").alias("total_files"),
+        F.col("progress_delta").alias("tenths"),
+        F.when(sized, F.greatest(zero, F.col("original_size"))).otherwise(zero).alias("original_bytes"),
+        F.when(sized, F.greatest(zero, F.col("output_size"))).otherwise(zero).alias("output_bytes"),
+    )
+
+
+def totals_table(spark: SparkSession, path: str, compact_every: int = 50) -> Generations:
+    return Generations(spark, path, TOTALS_SCHEMA, add_totals, compact_every)
+
+
+def live_overall(spark: SparkSession, path: str) -> DataFrame:
+    """Progress of every batch now, in the columns of ``overall_progress``."""
+    return overall_of_totals(totals_table(spark, path).read())
 
 
 def stream_overall(
     tracked: DataFrame, path: str, checkpoint: str, compact_every: int = 50, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Live progress per batch: after each micro-batch, over the latest state of all jobs.
+    """Live progress per batch, as signed changes: read it with ``live_overall``.
 
-    ``tracked``: tracker rows with a ``batch_id`` and the job's ``original_size``. Each result
-    is in ``overall/run=<id>``.
+    ``tracked``: tracker rows with a ``batch_id`` and the job's ``original_size``. A
+    micro-batch adds up what its rows change, one row per batch, and reads nothing; every
+    ``compact_every`` micro-batches the changes are added up, over all batches.
     """
-
-    def publish(df: DataFrame, run: int) -> None:
-        events = df.filter("kind = 'event'")
-        write_batch(events, run, path, LIVE_SCHEMA, compact_every)
-        files = latest_state(df.sparkSession, path, LIVE_SCHEMA).select(
-            "batch_id", (F.col("progress") / 10).alias("progress"), "status", "original_size", "output_size",
-        )
-        overall_progress(files).write.mode("overwrite").parquet(f"{path}/overall/run={run}")
-
-    writer = tracked.writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish)
+    writer = tracked.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda df, i: totals_table(df.sparkSession, path, compact_every).write(changes_of(df), i)
+    )
     return _start(writer, tracked.sparkSession, trigger)
 
 

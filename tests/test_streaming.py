@@ -121,14 +121,63 @@ def test_whole_log_files_need_no_later_row(spark, tmp_path):
     assert got == [(7, 0, 1.0, 3.0, "continue"), (7, 1, 2.0, None, None), (8, 0, 5.0, None, "end")]
 
 
+LATEST = "job_id BIGINT, sequence BIGINT, status STRING"
+
+
 def test_latest_state_survives_a_repeated_batch(spark, tmp_path):
-    schema = "job_id BIGINT, sequence BIGINT, status STRING"
-    path = str(tmp_path)
-    first = spark.createDataFrame([(1, 1, "queued"), (2, 1, "queued"), (1, 2, "processing")], schema)
-    second = spark.createDataFrame([(1, 3, "completed")], schema)
+    table = tables.latest_table(spark, str(tmp_path), LATEST, 2)
+    first = spark.createDataFrame([(1, 1, "queued"), (2, 1, "queued"), (1, 2, "processing")], LATEST)
+    second = spark.createDataFrame([(1, 3, "completed")], LATEST)
+    for _ in range(2):
+        table.write(first, 0)
     for _ in range(2):
-        tables.write_batch(first, 0, path, schema, 2)
-    tables.write_batch(second, 1, path, schema, 2)
-    tables.write_batch(spark.createDataFrame([(3, 1, "queued")], schema), 2, path, schema, 2)
-    got = sorted((r.job_id, r.sequence, r.status) for r in tables.latest_state(spark, path, schema).collect())
+        table.write(second, 1)
+    table.write(spark.createDataFrame([(3, 1, "queued")], LATEST), 2)
+    got = sorted((r.job_id, r.sequence, r.status) for r in tables.latest_state(spark, str(tmp_path), LATEST).collect())
     assert got == [(1, 3, "completed"), (2, 1, "queued"), (3, 1, "queued")]
+
+
+def test_folders_stay_bounded_and_a_pinned_reader_unharmed(spark, tmp_path):
+    table = tables.latest_table(spark, str(tmp_path), LATEST, 3)
+    count = lambda kind: len([p for p in (tmp_path / kind).iterdir() if p.is_dir()])
+    assert table.read().count() == 0
+    for i in range(8):
+        table.write(spark.createDataFrame([(i % 4, i, "s")], LATEST), i)
+    with table.pinned() as rows:
+        for i in range(8, 20):
+            table.write(spark.createDataFrame([(i % 4, i, "s")], LATEST), i)
+        assert sorted((r.job_id, r.sequence) for r in rows.collect()) == [(0, 4), (1, 5), (2, 6), (3, 7)]
+        assert count("batches") > 9
+    for i in range(20, 50):
+        table.write(spark.createDataFrame([(i % 4, i, "s")], LATEST), i)
+        assert count("batches") <= 15 and count("snapshots") <= 6
+    assert count("batches") <= 6 and count("snapshots") <= 2 and count("manifests") <= 2 and count("pins") == 0
+    assert sorted((r.job_id, r.sequence) for r in table.read().collect()) == [(0, 48), (1, 49), (2, 46), (3, 47)]
+
+
+def test_totals_are_added_up_from_changes(spark, tmp_path):
+    slices = [
+        [(1, 1, 1, at(0), "processing", 100, 100, 5), (2, 2, 1, at(0), "processing", 300, 100, 5)],
+        [(3, 1, 2, at(1), "encoding", 50, 200, 500), (4, 2, 2, at(1), "completed", 0, 300, 700), (5, 1, 1, at(2), "processing", 900, 1, 1)],
+        [(6, 1, 3, at(3), "encoding", 450, 300, 600), (7, 3, 1, at(3), "failed", 20, 1, None), (8, 2, 3, at(4), "processing", 10, 1, 1)],
+    ]
+    parts = [spark.createDataFrame(rows, COLUMNS) for rows in slices]
+    home = str(tmp_path)
+
+    def start(stream):
+        rows = events.track_jobs(stream, retention_ms=10**9).selectExpr("*", "job_id div 3 as batch_id", "1000 * job_id as original_size")
+        return tables.stream_overall(rows, f"{home}/t", f"{home}/cp", 2)
+
+    feed(parts, f"{home}/in", start)
+    got = sorted(tuple(r) for r in tables.live_overall(spark, f"{home}/t").collect())
+    assert got == [(0, 1, 2, 72.5, 2000, 700, 1300), (1, 0, 1, 2.0, 0, 0, 0)]
+
+
+def test_a_job_that_was_forgotten_is_not_counted_again(spark, tmp_path):
+    tick = lambda n: [(100 + n, 9, n, at(n), "processing", n, 100 * n, None)]
+    parts = [[(1, 1, 1, at(0), "processing", 300, 100, None)], tick(1), tick(2), tick(3), [(2, 1, 2, at(9), "encoding", 200, 300, None)]]
+    parts = [spark.createDataFrame(rows, COLUMNS) for rows in parts]
+    feed(parts, f"{tmp_path}/in", lambda s: tables.append_table(
+        events.track_jobs(s, stall_ms=1, run_ms=7_200_000, retention_ms=1), f"{tmp_path}/out", f"{tmp_path}/cp"))
+    rows = spark.read.schema(events.TRACK_SCHEMA).parquet(f"{tmp_path}/out").where("job_id = 1 and kind = 'event'").collect()
+    assert sorted((r.sequence, r.progress, r.progress_delta, r.first) for r in rows) == [(1, 300, 300, True), (2, 300, 0, False)]
