@@ -44,12 +44,17 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def range_slices(keys: np.ndarray, buckets: int, bits: int) -> Iterator[tuple[int, slice]]:
-    """Non-empty buckets of sorted keys below ``2 ** bits``, dealt out by equal ranges."""
-    bucket = (keys >> U(bits - 24)) * U(buckets) >> U(24)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
-        if i < j:
-            yield b, slice(i, j)
+    """Non-empty buckets of sorted keys below ``2 ** bits``, dealt out by equal ranges.
+
+    Takes time in proportion to the keys, whatever the number of buckets.
+    """
+    if not len(keys):
+        return
+    width = min(bits, 32)
+    bucket = ((keys >> U(bits - width)) * U(buckets) >> U(width)).astype(np.int64)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
+    for i, j in zip(first, [*first[1:], len(keys)]):
+        yield int(bucket[i]), slice(int(i), int(j))
 
 
 def make_blocks(docs: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +53,15 @@ def unassigned() -> np.ndarray:
 
 
 class WordBpe:
-    """A vocabulary file and the encoding that it defines.
+    """The encoding that a vocabulary file defines, given as its text.
 
     Supported are the parts such files have: NFC, white space and lower-case normalisation,
     a split pattern whose matches are kept, byte-level symbols and a suffix that marks the
     end of a word. Other settings raise ``ValueError``.
     """
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+    def __init__(self, text: str):
+        spec = json.loads(text)
         model = spec["model"]
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
         split, level = spec["pre_tokenizer"]["pretokenizers"]
@@ -234,6 +233,26 @@ class Encoder:
         self._size = np.concatenate([self._size, sizes])
 
 
+def shared_vocabulary(spark: SparkSession, path: str | None) -> Callable[[], WordBpe]:
+    """What gives tasks the vocabulary of a file on the driver.
+
+    The text of the file is broadcast, plain data that workers without this package can
+    read, and the broadcast dictionary keeps what a worker has made of it for its next task.
+    """
+    with open(path or vocabulary_path(), encoding="utf-8") as file:
+        text = file.read()
+    WordBpe(text)  # settings that the encoder doesn't know fail here, not in tasks
+    shared = spark.sparkContext.broadcast({"text": text})
+
+    def get() -> WordBpe:
+        held = shared.value
+        if "bpe" not in held:
+            held["bpe"] = WordBpe(held["text"])
+        return held["bpe"]
+
+    return get
+
+
 def _with_columns(docs: DataFrame, names: list[str]) -> T.StructType:
     kept = [f for f in docs.schema.fields if f.name not in names]
     kinds = {"token_ids": T.BinaryType(), "decoded": T.StringType()}
@@ -247,15 +266,14 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
     stand in a text become their ids; none is added. With ``decoded`` the ids are decoded
     again into a column of that name. Existing columns of these names are replaced.
     """
-    path = path or vocabulary_path()
     names = ["token_ids", *["decoded"] * decoded]
     schema = _with_columns(docs, names)
     kept = [f.name for f in schema.fields if f.name not in names]
 
-    shared = docs.sparkSession.sparkContext.broadcast(WordBpe(path))  # the size of the file
+    vocabulary = shared_vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = shared.value
+        bpe = vocabulary()
         encoder = Encoder(bpe)
         for batch in batches:
             for piece in pieces(batch, "text"):
@@ -270,14 +288,13 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` with ``decoded``, the text that ``token_ids`` stand for; null ids are none."""
-    path = path or vocabulary_path()
     schema = _with_columns(encoded, ["decoded"])
     kept = [f.name for f in schema.fields if f.name != "decoded"]
 
-    shared = encoded.sparkSession.sparkContext.broadcast(WordBpe(path))
+    vocabulary = shared_vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = shared.value
+        bpe = vocabulary()
         for batch in batches:
             for piece in pieces(batch, "token_ids"):
                 texts = [bpe.decode(np.frombuffer(x or b"", "<u4")) for x in piece.column("token_ids").to_pylist()]

@@ -23,9 +23,10 @@ SPACES = "\t\n\x0b\x0c\r "
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 KEY = ["h1", "h2"]
 MIN_CHARS = 10
-BATCHES = 3
 FANOUT = 2
-BUCKETS = 32
+#: Batches and buckets, and the lines from which there are more of them.
+BATCHES, BATCH_LINES = 3, 1 << 32
+BUCKETS, BUCKET_LINES = 32, 4_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -93,7 +94,7 @@ def batch_of(docs: DataFrame, batches: int) -> Column:
 
 
 def dropped_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT
+    docs: DataFrame, min_chars: int = MIN_CHARS, batches: int | None = None, fanout: int = FANOUT
 ) -> DataFrame:
     """Numbers (from 1) of the lines to drop, one row per document that loses any.
 
@@ -103,12 +104,14 @@ def dropped_lines(
     """
     spark = docs.sparkSession
     keys = F.posexplode(F.split(text_of(), "\n", -1)).alias("pos", "line")
-    lines = docs.select("doc_id", text_key().alias("text_key"), batch_of(docs, batches).alias("batch"), keys)
-    lines = lines.select("doc_id", "text_key", "batch", (F.col("pos") + 1).alias("pos"), line_key(F.col("line")).alias("key"))
+    lines = docs.select("doc_id", text_key().alias("text_key"), keys)
+    lines = lines.select("doc_id", "text_key", (F.col("pos") + 1).alias("pos"), line_key(F.col("line")).alias("key"))
     lines = lines.where(F.length("key") >= min_chars)
-    lines = lines.select("doc_id", "text_key", "batch", "pos", *wide_hash(F.col("key")))
-    lines = stored(lines, "lines")
-    runs = LineRuns(spark, fanout)
+    lines = stored(lines.select("doc_id", "text_key", "pos", *wide_hash(F.col("key"))), "lines")
+    total = lines.count()
+    batches = batches or max(BATCHES, -(-total // BATCH_LINES))
+    runs = LineRuns(spark, fanout, max(BUCKETS, -(-total // BUCKET_LINES)))
+    lines = lines.withColumn("batch", batch_of(docs, batches))
     parts = []
     for number in range(batches + 1):
         part = lines.where(F.col("batch") == number)
@@ -136,7 +139,7 @@ def dropped_lines(
 
 
 def dedup_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT
+    docs: DataFrame, min_chars: int = MIN_CHARS, batches: int | None = None, fanout: int = FANOUT
 ) -> DataFrame:
     """All rows and columns of ``docs`` with ``n_lines``, ``n_dropped`` and the text kept.
 

@@ -116,7 +116,10 @@ def mix(
     drawn = copies(docs.drop("copy", "position"), weights, size, seed).where("copies > 0")
     drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
     key = uniform(F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string"))
-    return drawn.withColumn("position", key).repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+    # positions are uniform, so equal ranges of them are equal parts and nothing is sampled or drawn twice
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = drawn.withColumn("position", key)
+    return placed.repartitionById(parts, F.floor(F.col("position") * parts).cast("int")).sortWithinPartitions("position", "doc_id", "copy")
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:

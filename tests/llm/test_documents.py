@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelyard.llm import fingerprints, jaccard_join, line_dedup, lm_score, mixing, suffix_dedup
+from reelyard.llm.blocks import range_slices
 
 from . import plain
 
@@ -267,3 +268,12 @@ def test_mixture_repeats_at_the_target_rate(spark):
 ])
 def test_empty_tables(spark, empty, run):
     assert run(spark, empty).collect() == []
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1000, 10**6])
+def test_bucket_slices_cover_sorted_keys(buckets):
+    keys = np.unique(np.random.default_rng(buckets).integers(0, 1 << 50, 3000).astype(np.uint64))
+    got = list(range_slices(keys, buckets, 50))
+    assert [b for b, _ in got] == sorted({(int(k) >> 18) * buckets >> 32 for k in keys})
+    assert np.concatenate([keys[at] for _, at in got]).tolist() == keys.tolist()
+    assert not list(range_slices(keys[:0], buckets, 50))

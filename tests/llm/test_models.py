@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 from hashlib import sha256
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -26,7 +30,7 @@ def known():
     return tok
 
 
-VOCABULARY = bpe.WordBpe(bpe.vocabulary_path())
+VOCABULARY = bpe.WordBpe(Path(bpe.vocabulary_path()).read_text(encoding="utf-8"))
 AWKWARD = [
     None, "", " \t\n", "Hello, World's  they'll I'D x'VE", "ΟΔΟΣ ΣΑΣ ς İstanbul ẞ", "é Å ﬁ", "a b c\x1cd\x85e",
     "<|startoftext|>Hi<|endoftext|><|endoftext|> <|not|> <|endoftext", "日本語テキスト 12٣½ ²", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 40,
@@ -302,3 +306,28 @@ def test_scores_of_order_three(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_words, r.n_backed_off, round(r.log_score, 6)) for r in lm_score.lm_scores(df, order=3).collect()}
     assert got == want
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, {root!r})  # the driver's path only
+from reelyard.llm import bpe, collocations, spelling, wrappers
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
+spark.conf.set("spark.sql.shuffle.partitions", 2)
+docs = spark.createDataFrame([(1, "Hello wörld", "en"), (2, None, None)], "doc_id long, text string, lang string")
+assert [r.n_tokens for r in bpe.digest(spark, docs).orderBy("doc_id").collect()] == [4, 0]
+assert collocations.collocations(docs, least=1).count() == 1
+assert spelling.variants(docs, least=1, shortest=5).count() == 2
+pages = spark.createDataFrame([(1, "http://a.b/", "<article>x")], "page_id long, url string, html string")
+assert [r.text for r in wrappers.digest(spark, pages).collect()] == ["x"]
+print("whole")
+"""
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    script = tmp_path / "run.py"
+    script.write_text(ELSEWHERE.format(root=str(Path(__file__).resolve().parents[2])))
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("whole"), done.stderr[-3000:]
