@@ -76,14 +76,23 @@ def piece_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, doc, first
 
 
+def squeeze(data: bytes) -> bytes:
+    """Packed bytes: their size and their zstd form, since word numbers are far from uniform."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def loosen(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def pack(x: np.ndarray) -> bytes:
     """Numbers in as many bytes as the largest needs, four or eight, said by the first byte."""
     kind = np.uint64 if x.max(initial=0) >> U(32) else np.uint32
-    return bytes([kind().itemsize]) + planes(np.ascontiguousarray(x.astype(kind)))
+    return bytes([kind().itemsize]) + squeeze(planes(np.ascontiguousarray(x.astype(kind))))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return from_planes(memoryview(data)[1:], f"u{data[0]}").astype(U)
+    return from_planes(loosen(data[1:]), f"u{data[0]}").astype(U)
 
 
 @contextmanager
@@ -261,7 +270,7 @@ def translate(block: pa.Table, ids: pa.Table) -> pa.Table:
         stream = unpack(row["stream"])
         known = np.zeros(int(stream.max(initial=0)) + 1, np.uint64)
         known[np.asarray(ids["place"]).astype(np.int64)] = np.asarray(ids["id"]).astype(np.uint64)
-        out.append(state_of(row["block"], known[stream], known[stream], 1))
+        out.append(state_of(row["block"], known[stream], known[stream], 1) | {"grams": None})  # they are the words
     return pa.Table.from_pylist(out, schema=STATE_SCHEMA)
 
 
@@ -299,7 +308,8 @@ MERGED_SCHEMA = pa.schema([
 
 def candidates(row: dict, size: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words and numbers of a block's state, where phrases of ``size`` words may begin, their keys."""
-    words, grams = unpack(row["words"]), unpack(row["grams"])
+    words = unpack(row["words"])
+    grams = words if row["grams"] is None else unpack(row["grams"])
     at = np.flatnonzero((grams[:-1] > 0) & (grams[1:] > 0))
     return words, grams, at, (grams[at] << U(bits)) | words[at + size - 1]
 
@@ -311,7 +321,7 @@ def parts_of(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
 
 def merge_part(table: pa.Table, least: int) -> pa.Table:
     """Totals of a prefix partition: the frequent keys, numbered from 1, and each block's answers."""
-    runs = [unpack_sorted(x) for x in table["keys"].to_pylist()]
+    runs = [unpack_sorted(loosen(x)) for x in table["keys"].to_pylist()]
     counts = [unpack(x).astype(np.int64) for x in table["counts"].to_pylist()]
     keys, totals = merged(list(zip(runs, counts)))
     often = totals >= least
@@ -346,7 +356,7 @@ def grow(state: DataFrame, size: int, bits: int, least: int, merge_keys: int) ->
                 cuts = np.flatnonzero(np.diff(part)) + 1
                 for p, k, c in zip(part[np.concatenate([[0], cuts])], np.split(keys, cuts), np.split(counts, cuts)):
                     yield pa.RecordBatch.from_pylist(
-                        [{"block": row["block"], "part": int(p), "keys": pack_sorted(k), "counts": pack(c.astype(U))}],
+                        [{"block": row["block"], "part": int(p), "keys": squeeze(pack_sorted(k)), "counts": pack(c.astype(U))}],
                         schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]),
                     )
 
