@@ -4,7 +4,7 @@ Three relations, all partitioned by hash:
 
 * ``blocks``: consecutive documents as one row, their words as numbers into the block's list
   of distinct word hashes;
-* ``grams``: the distinct n-grams of a block with their counts, exploded by hash bucket; the
+* ``grams``: the distinct n-grams of a block as whole 64-bit hashes with their counts, exploded by hash bucket; the
   count table of a bucket is their sum, which is joined back to every block's n-grams;
 * ``totals``: for each block and bucket the corpus counts of its n-grams, in hash order,
   joined to the block, where every document sums the logarithms of its words' scores.
@@ -28,9 +28,6 @@ from .texts import U, mix
 
 ORDER = 2
 BACKOFF = 0.4
-#: Bits of an n-gram's key beyond those that number the corpus: an n-gram shares its key with
-#: another one with a probability of about 2 ** -KEY_BITS.
-KEY_BITS = 24
 
 class LmBlock(Block):
     def grams_and_ends(self, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,11 +40,11 @@ class LmBlock(Block):
         return h, last
 
 
-def _bucket_rows(row: dict, order: int, buckets: int, bits: int) -> Iterator[dict]:
+def _bucket_rows(row: dict, order: int, buckets: int) -> Iterator[dict]:
     block = LmBlock(row)
     for k in range(1, order + 1):
-        grams, counts = np.unique(block.grams_and_ends(k)[0] >> U(64 - bits), return_counts=True)
-        for b, at in range_slices(grams, buckets, bits):
+        grams, counts = np.unique(block.grams_and_ends(k)[0], return_counts=True)
+        for b, at in range_slices(grams, buckets, 64):
             yield {
                 "block": row["block"], "size": k, "bucket": b, "grams": pack_sorted(grams[at]),
                 "counts": planes(counts[at].astype(np.uint32)),
@@ -72,14 +69,14 @@ def count_bucket(table: pa.Table) -> pa.Table:
     )
 
 
-def score_block(row: dict, totals: list[dict], order: int, bits: int, corpus: int, backoff: float) -> list[dict]:
+def score_block(row: dict, totals: list[dict], order: int, corpus: int, backoff: float) -> list[dict]:
     """Scores of the documents of a block, their own words not counted."""
     block = LmBlock(row)
     n = len(block.words)
     others: dict[int, np.ndarray] = {}
     for k in range(1, order + 1):
         grams, last = block.grams_and_ends(k)
-        unique, at = np.unique(grams >> U(64 - bits), return_inverse=True)
+        unique, at = np.unique(grams, return_inverse=True)
         parts = sorted((t for t in totals if t["size"] == k), key=lambda t: t["bucket"])  # ranges, in order
         total = np.concatenate([from_planes(t["totals"], np.uint64) for t in parts] or [np.zeros(0, U)]).astype(np.int64)
         pair = block.doc[last] * (len(unique) + 1) + at
@@ -123,17 +120,16 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     blocks = stored(make_blocks(base, ["doc_id"]), "lm-blocks")
     corpus = word_total(blocks)
     buckets = int(corpus // BUCKET_WORDS) + 1
-    bits = min(64, max(32, corpus.bit_length() + KEY_BITS))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                for row in _bucket_rows(batch.slice(i, 1).to_pylist()[0], order, buckets, bits):
+                for row in _bucket_rows(batch.slice(i, 1).to_pylist()[0], order, buckets):
                     yield pa.RecordBatch.from_pylist([row], schema=GRAMS)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        return pa.Table.from_pylist(score_block(row, right.to_pylist(), order, bits, corpus, backoff), schema=SCORES)
+        return pa.Table.from_pylist(score_block(row, right.to_pylist(), order, corpus, backoff), schema=SCORES)
 
     grams = blocks.mapInArrow(explode, "block long, size int, bucket int, grams binary, counts binary")
     totals = grams.groupBy("size", "bucket").applyInArrow(count_bucket, "block long, size int, bucket int, totals binary")
