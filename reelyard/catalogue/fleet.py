@@ -167,14 +167,21 @@ def common_formats(spark, sf_dir):
     sql_over(
         ["media_files"],
         f"""WITH {CAPS_SQL}, ladder(codec, crf) AS (VALUES {', '.join(f"('{c}', {r})" for c, r in dims.CRF_LADDER)}),
-f AS (SELECT file_id, file_id % 10 AS host FROM media_files WHERE kind = 'video'),
-x AS (SELECT f.*, codec, crf, codec = 'av1' AND EXISTS (SELECT 1 FROM caps c WHERE c.host = f.host AND c.name = 'libsvtav1' AND section = 'encoder') AS svt FROM f, ladder),
-e AS (SELECT *, CASE WHEN svt THEN 'libsvtav1' WHEN codec = 'av1' THEN 'libaom-av1' WHEN codec = 'h265' THEN 'libx265' ELSE 'libx264' END AS encoder FROM x)
-SELECT file_id, codec || '-crf-' || CAST(crf AS VARCHAR) AS candidate_id, codec, encoder, crf, EXISTS (SELECT 1 FROM caps c WHERE c.host = e.host AND c.section = 'encoder' AND c.name = e.encoder) AS available FROM e""",
+f AS (SELECT file_id, file_id % 10 AS host, file_id % 7 <> 0 AS av1, file_id % 5 <> 0 AS h265, file_id % 9 <> 0 AS h264, file_id % 8 <> 0 AS ffmpeg,
+  CASE file_id % 4 WHEN 0 THEN 'slow' WHEN 1 THEN 'slower' ELSE 'medium' END AS preset FROM media_files WHERE kind = 'video'),
+x AS (SELECT f.*, codec, crf, codec = 'av1' AND EXISTS (SELECT 1 FROM caps c WHERE c.host = f.host AND c.name = 'libsvtav1' AND section = 'encoder') AS svt FROM f, ladder
+  WHERE CASE codec WHEN 'av1' THEN av1 WHEN 'h265' THEN h265 ELSE h264 END),
+e AS (SELECT *, CASE WHEN svt THEN 'libsvtav1' WHEN codec = 'av1' THEN 'libaom-av1' WHEN codec = 'h265' THEN 'libx265' ELSE 'libx264' END AS encoder FROM x),
+a AS (SELECT *, ffmpeg AND EXISTS (SELECT 1 FROM caps c WHERE c.host = e.host AND c.section = 'encoder' AND c.name = e.encoder) AS available FROM e)
+SELECT file_id, codec || '-crf-' || CAST(crf AS VARCHAR) AS candidate_id, CASE codec WHEN 'av1' THEN 'AV1' WHEN 'h265' THEN 'H.265' ELSE 'H.264 高品質' END || ' CRF ' || CAST(crf AS VARCHAR) AS label,
+  codec, encoder, crf, preset, available, CASE WHEN NOT available THEN encoder || 'エンコーダーをこのFFmpegで利用できません。' END AS unavailable_reason FROM a""",
     ),
 )
 def enumerate_candidates(spark, sf_dir):
+    key = F.col("file_id")
     videos = view(spark, sf_dir, "media_files").filter("kind = 'video'").select(
-        "file_id", (F.col("file_id") % 10).alias("host")
+        "file_id", (key % 10).alias("host"), (key % 7 != 0).alias("include_av1"), (key % 5 != 0).alias("include_h265"),
+        F.when(key % 9 == 0, False).alias("include_h264"), (key % 8 != 0).alias("ffmpeg_available"),
+        F.when(key % 4 == 0, "slow").when(key % 4 == 1, "slower").when(key % 4 == 2, "ultrafast;delete").alias("preset"),
     )
     return selection.enumerate_candidates(videos, capabilities(spark, sf_dir))

@@ -167,7 +167,9 @@ def unknown_share(spark, sf_dir):
 
 IDENTITY = Derived(
     ["media_files"],
-    """SELECT batch_id, file_id AS ord, kind || '-' || CAST(file_id % 3 AS STRING) AS name, coalesce(height, 0) AS size_bytes, priority AS modified, status, file_id FROM {media_files}""",
+    """SELECT batch_id, file_id AS ord, kind || '-' || CAST(file_id % 3 AS STRING) AS name, priority AS modified,
+  CASE WHEN file_id % 17 = 0 THEN 0 WHEN file_id % 19 = 0 THEN 262144001 WHEN file_id % 23 = 0 THEN NULL ELSE coalesce(height, 100) END AS size_bytes,
+  CASE WHEN file_id % 13 = 0 THEN 'application/X-MSDownload' WHEN file_id % 3 = 0 THEN 'image/png' END AS mime FROM {media_files}""",
 )
 
 
@@ -176,9 +178,11 @@ IDENTITY = Derived(
     sql_over(
         ["media_files"],
         f"""WITH i AS ({IDENTITY.sql()}),
-f AS (SELECT *, row_number() OVER (PARTITION BY batch_id, name, size_bytes, modified ORDER BY ord) AS dup FROM i),
-r AS (SELECT *, row_number() OVER (PARTITION BY batch_id, dup = 1 ORDER BY ord) AS rank FROM f)
-SELECT batch_id, ord, CASE WHEN dup > 1 THEN 'duplicate' WHEN rank <= 10 THEN 'admitted' ELSE 'over-limit' END AS outcome FROM r""",
+r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ord) AS rank, CASE WHEN coalesce(size_bytes, 0) <= 0 THEN 'empty' WHEN size_bytes > 262144000 THEN 'oversized'
+  WHEN regexp_matches(mime, '(?i)x-msdownload|x-executable|x-dosexec') THEN 'executable' END AS fault FROM i),
+d AS (SELECT *, row_number() OVER (PARTITION BY batch_id, name, size_bytes, modified ORDER BY ord) AS dup FROM r WHERE rank <= 10 AND fault IS NULL)
+SELECT batch_id, ord, CASE WHEN dup > 1 THEN 'duplicate' ELSE 'admitted' END AS outcome FROM d
+UNION ALL SELECT batch_id, ord, CASE WHEN rank > 10 THEN 'over-limit' ELSE fault END FROM r WHERE rank > 10 OR fault IS NOT NULL""",
     ),
 )
 def admit(spark, sf_dir):
@@ -334,6 +338,50 @@ def audit_settings(spark, sf_dir):
     return settings_ops.audit_settings(SETTINGS.frame(spark, sf_dir))
 
 
+TARGET_OPTIONS = Derived(
+    ["media_files"],
+    """SELECT file_id, file_id % 47 <> 0 OR NULL AS target_enabled, CASE file_id % 9 WHEN 0 THEN 'email' WHEN 1 THEN 'social' WHEN 2 THEN 'website' WHEN 3 THEN 'smartphone' WHEN 4 THEN 'cloud'
+    WHEN 5 THEN 'half' WHEN 6 THEN 'under-100mb' WHEN 7 THEN 'custom' ELSE 'fax' END AS target_preset,
+  CASE WHEN file_id % 2 = 0 THEN CASE WHEN file_id % 26 = 0 THEN 0 WHEN file_id % 34 = 0 THEN 9007199254740992 ELSE size_bytes END END AS target_bytes,
+  CASE WHEN file_id % 2 = 1 OR file_id % 38 = 0 THEN CASE WHEN file_id % 21 = 0 THEN 1.5e0 ELSE 0.5e0 END END AS target_ratio,
+  CASE file_id % 5 WHEN 0 THEN 'KB' WHEN 1 THEN 'MB' WHEN 2 THEN 'GB' WHEN 3 THEN 'MB' END AS target_unit,
+  CASE file_id % 6 WHEN 0 THEN 'auto' WHEN 1 THEN '320' WHEN 2 THEN '64' WHEN 3 THEN 'remove' WHEN 4 THEN '128' ELSE '48' END AS target_audio,
+  CASE WHEN file_id % 31 <> 0 THEN file_id % 2 = 0 END AS allow_resolution_change, CASE WHEN file_id % 37 <> 0 THEN file_id % 3 = 0 END AS allow_lossy_png,
+  CASE file_id % 4 WHEN 0 THEN '#FFfF00' WHEN 1 THEN '#fff' END AS target_background, CAST(file_id % 104 AS INT) AS floor_jpeg, CAST(file_id % 101 AS INT) AS floor_webp,
+  CASE WHEN file_id % 29 <> 0 THEN 45 END AS floor_avif, CASE file_id % 3 WHEN 0 THEN 480 WHEN 1 THEN 2160 ELSE 360 END AS floor_height,
+  CASE file_id % 4 WHEN 0 THEN 64 WHEN 1 THEN 320 WHEN 2 THEN 48 ELSE 128 END AS floor_kbps, CASE file_id % 7 WHEN 0 THEN 'fast' WHEN 1 THEN 'turbo' WHEN 2 THEN 'maximum-compression' END AS target_speed
+FROM {media_files}""",
+)
+TARGET_RULES_SQL = {
+    "enabled": "target_enabled IS NULL",
+    "preset": "target_preset = 'fax'",
+    "bytes": "target_bytes <= 0 OR target_bytes > 9007199254740991",
+    "ratio": "target_ratio <= 0 OR target_ratio > 1",
+    "one-target": "(target_bytes IS NULL) = (target_ratio IS NULL)",
+    "unit": "target_unit IS NULL",
+    "audio": "target_audio NOT IN ('auto', '320', '256', '192', '128', '96', '64', 'remove')",
+    "resolution-change": "allow_resolution_change IS NULL",
+    "lossy-png": "allow_lossy_png IS NULL",
+    "background": "NOT regexp_matches(target_background, '(?i)^#[0-9a-f]{6}$')",
+    "floor-jpeg": "floor_jpeg NOT BETWEEN 1 AND 100",
+    "floor-webp": "floor_webp NOT BETWEEN 1 AND 100",
+    "floor-avif": "floor_avif IS NULL",
+    "floor-height": "floor_height NOT IN (480, 720, 1080, 1440, 2160)",
+    "floor-kbps": "floor_kbps NOT IN (64, 96, 128, 192, 256, 320)",
+    "speed": "target_speed NOT IN ('fast', 'balanced', 'maximum-compression')",
+}
+_BROKEN = ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in TARGET_RULES_SQL.items())
+
+
+@register(
+    "p2_target_options",
+    sql_over(["media_files"], f"WITH o AS ({TARGET_OPTIONS.sql()}) SELECT file_id, concat_ws(',', {_BROKEN}) AS broken FROM o"),
+)
+def target_options(spark, sf_dir):
+    checked = settings_ops.audit_target_options(TARGET_OPTIONS.frame(spark, sf_dir))
+    return checked.select("file_id", F.array_join("broken", ",").alias("broken"))
+
+
 CONFLICTS = Derived(
     ["media_files"],
     """SELECT file_id, kind, CASE file_id % 3 WHEN 0 THEN 'lossless' WHEN 1 THEN 'strict-lossless' ELSE 'reduce-size' END AS processing_mode, file_id % 7 = 0 AS enhanced, file_id % 11 = 0 AS ai,

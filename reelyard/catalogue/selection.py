@@ -119,6 +119,23 @@ def candidate_tally(spark, sf_dir):
     return ops.candidate_tally(attempts(spark, sf_dir))
 
 
+@register(
+    "a11_report_tally",
+    sql_over(
+        ["media_files", "encode_attempts"],
+        f"""WITH {QUALITY_SQL.strip()},
+m AS (SELECT *, CASE file_id % 4 WHEN 0 THEN 'strict-lossless' WHEN 1 THEN 'high-quality-optimization' WHEN 2 THEN 'size-priority' ELSE 'archive' END AS mode FROM decided),
+c AS (SELECT m.mode, a.codec, a.output_bytes, CASE WHEN NOT a.decoded THEN 'unavailable' WHEN a.vmaf_mean >= 95 AND a.vmaf_min >= 80 THEN 'qualified' ELSE 'rejected' END AS gate,
+    m.better AND a.decoded AND row_number() OVER (PARTITION BY a.file_id, a.decoded AND a.vmaf_mean >= 95 AND a.vmaf_min >= 80 ORDER BY a.output_bytes, a.ordinal, a.tie_a, a.tie_b, a.codec) = 1 AS first
+  FROM encode_attempts a LEFT JOIN m USING (file_id))
+SELECT mode, codec, CASE WHEN gate = 'qualified' AND first THEN 'selected' ELSE gate END AS status, count(*) AS candidates, CAST(coalesce(sum(output_bytes), 0) AS BIGINT) AS output_bytes FROM c GROUP BY ALL""",
+    ),
+)
+def report_tally(spark, sf_dir):
+    modes = F.element_at(F.array(*[F.lit(m) for m in dims.OPTIMIZATION_MODES]), (F.col("file_id") % 4 + 1).cast("int"))
+    return ops.report_tally(attempts(spark, sf_dir), files(spark, sf_dir).withColumn("mode", modes))
+
+
 @register(
     "a11_decision_tally",
     sql_over(

@@ -25,6 +25,8 @@ MAX_DURATION_S = 30 * 60
 MAX_VIDEO_WIDTH = 7_680
 MAX_VIDEO_HEIGHT = 4_320
 MAX_FILES_PER_BATCH = 10
+MAX_UPLOAD_BYTES = 250 * MB
+EXECUTABLE_MIME = "(?i)x-msdownload|x-executable|x-dosexec"
 MAX_EVENT_HISTORY = 400
 MAX_LOG_LINES = 80
 MAX_HISTORY = 60
@@ -56,6 +58,9 @@ TARGET_PRESETS = (
     ("under-100mb", 100 * MB, None),
     ("custom", 25 * MB, None),
 )
+TARGET_UNITS = ("KB", "MB", "GB")
+TARGET_AUDIO_MODES = ("auto", "320", "256", "192", "128", "96", "64", "remove")
+TARGET_SPEEDS = ("fast", "balanced", "maximum-compression")
 
 # --- fixed values: use-case presets ----------------------------------------------
 # id, low %, high %, s per MB, photo format, transparent format, encoding, long edge,
@@ -105,6 +110,10 @@ CRF_LADDER = (
     ("h265", 18), ("h265", 21), ("h265", 24), ("h265", 27),
     ("h264", 16), ("h264", 18), ("h264", 20),
 )
+CODEC_LABELS = {"av1": "AV1", "h265": "H.265", "h264": "H.264 高品質"}
+OPTIMIZATION_MODES = ("strict-lossless", "high-quality-optimization", "size-priority", "archive")
+SEARCH_PRESETS = ("medium", "slow", "slower")
+ENCODER_MISSING = "エンコーダーをこのFFmpegで利用できません。"
 
 # --- fixed values: output formats ------------------------------------------------
 # value, category, video codecs, audio codecs, muxers, encoders, transparency, lossless

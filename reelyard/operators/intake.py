@@ -152,30 +152,40 @@ def new_files(incoming: DataFrame, known: DataFrame) -> DataFrame:
     return incoming.join(known, ["name", "size_bytes", "modified"], "left_anti")
 
 
-def admit(files: DataFrame, limit: int = dims.MAX_FILES_PER_BATCH) -> DataFrame:
-    """Admission of each batch: first of each (name, size, modified), first ``limit``.
-
-    ``files``: batch_id, ord (unique within the batch), name, size_bytes, modified. The
-    admitted rows are found with partial aggregates and a per-batch top-n, then marked by
-    an equi-join on (batch_id, ord), which no batch can skew.
+def admit(files: DataFrame, limit: int = dims.MAX_FILES_PER_BATCH, most_bytes: int = dims.MAX_UPLOAD_BYTES) -> DataFrame:
+    """Admission of each batch, with the reason of every rejection in ``outcome``.
+
+    ``files``: batch_id, ord (unique within the batch), name, size_bytes, modified and, where
+    known, mime. Files after the first ``limit`` of a batch are ``over-limit``, whatever they
+    hold. Of the first ones those without bytes are ``empty`` (so is an unknown size), larger
+    ones ``oversized``, programs by their type ``executable``; of the rest the first of each
+    (name, size, modified) is ``admitted``, others are ``duplicate``. Nulls equal each other.
+
+    Only ``limit`` rows of a batch are ever judged: a top-n with partial limits leaves them in
+    one partition per batch. Their outcome goes back by an equi-join on (batch_id, ord), which
+    no batch can skew.
     """
-    firsts = files.groupBy("batch_id", "name", "size_bytes", "modified").agg(
-        F.min("ord").alias("ord")
-    ).select("batch_id", "ord")
+    size, mime = F.col("size_bytes"), F.col("mime") if "mime" in files.columns else F.lit(None)
+    fault = (
+        F.when(F.coalesce(size, F.lit(0)) <= 0, "empty")
+        .when(size > most_bytes, "oversized")
+        .when(F.coalesce(mime.rlike(dims.EXECUTABLE_MIME), F.lit(False)), "executable")
+    )
     order = Window.partitionBy("batch_id").orderBy("ord")
-    admitted = (
-        firsts.withColumn("__rank", F.row_number().over(order))
+    same = Window.partitionBy("batch_id", "name", "size_bytes", "modified", F.col("__fault").isNull()).orderBy("ord")
+    judged = (
+        files.select("batch_id", "ord", "name", "size_bytes", "modified", fault.alias("__fault"))
+        .withColumn("__rank", F.row_number().over(order))
         .filter(F.col("__rank") <= limit)
-        .select("batch_id", "ord", F.lit(True).alias("__admitted"))
-    )
-    marks = firsts.join(admitted, ["batch_id", "ord"], "left").withColumn("__first", F.lit(True))
-    rows = files.join(marks, ["batch_id", "ord"], "left")
-    outcome = (
-        F.when(F.col("__admitted"), "admitted")
-        .when(F.col("__first"), "over-limit")
-        .otherwise("duplicate")
+        .withColumn("__again", F.row_number().over(same) > 1)
+        .select(
+            "batch_id", "ord",
+            F.coalesce("__fault", F.when(F.col("__again"), "duplicate").otherwise("admitted")).alias("outcome"),
+        )
     )
-    return rows.withColumn("outcome", outcome).drop("__admitted", "__first")
+    kept = [c for c in files.columns if c != "outcome"]
+    rows = files.select(*kept).join(judged, ["batch_id", "ord"], "left")
+    return rows.select(*kept, F.coalesce("outcome", F.lit("over-limit")).alias("outcome"))
 
 
 def recommendations(files: DataFrame) -> DataFrame:

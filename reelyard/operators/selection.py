@@ -127,6 +127,41 @@ def candidate_tally(
     )
 
 
+def report_tally(
+    candidates: DataFrame,
+    files: DataFrame,
+    mean_threshold: float = dims.VMAF_THRESHOLD,
+    frame_threshold: float = dims.FRAME_THRESHOLD,
+) -> DataFrame:
+    """Candidates by mode, codec and final status, ``selected`` for the one that a file keeps.
+
+    ``files`` as for ``select_quality``, with ``mode``. Candidates are first counted per file,
+    codec and gate; the file's choice then leaves ``qualified`` for ``selected``, so attempts
+    are neither joined nor marked one by one. Candidates of unknown files have no mode.
+    """
+    counted = gate(candidates, mean_threshold, frame_threshold).groupBy("file_id", "codec", "gate").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("output_bytes"), F.lit(0).cast("bigint")).alias("bytes")
+    )
+    chosen = select_quality(candidates, files, mean_threshold, frame_threshold).select(
+        "file_id", F.when(~F.col("kept_original"), F.lit("qualified")).alias("__gate"),
+        F.col("selected_codec").alias("__codec"), F.col("output_bytes").alias("__bytes"),
+    )
+    rows = counted.join(files.select("file_id", "mode"), "file_id", "left").join(chosen, "file_id", "left")
+    holds = (F.col("gate") == F.col("__gate")) & F.col("codec").eqNullSafe(F.col("__codec"))
+    one = F.when(holds, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    size = F.when(holds, F.col("__bytes")).otherwise(F.lit(0)).cast("bigint")
+    parts = F.array(
+        F.struct(F.col("gate").alias("status"), (F.col("n") - one).alias("n"), (F.col("bytes") - size).alias("bytes")),
+        F.struct(F.lit("selected").alias("status"), one.alias("n"), size.alias("bytes")),
+    )
+    return (
+        rows.select("mode", "codec", F.inline(parts))
+        .filter(F.col("n") > 0)
+        .groupBy("mode", "codec", "status")
+        .agg(F.sum("n").alias("candidates"), F.sum("bytes").alias("output_bytes"))
+    )
+
+
 def decision_tally(decisions: DataFrame) -> DataFrame:
     """Decisions by reason with the share of files that kept their original."""
     counts = decisions.groupBy("decision").agg(
@@ -341,10 +376,12 @@ def codec_allowed(items: DataFrame, formats: DataFrame) -> DataFrame:
 
 
 def enumerate_candidates(files: DataFrame, capabilities: DataFrame) -> DataFrame:
-    """Every codec and CRF step for every file, with encoder availability on its host.
+    """Every enabled codec and CRF step for every file, with encoder availability on its host.
 
-    ``files``: file_id, host. ``capabilities``: host, section, name. The host's encoders
-    are folded to three flags first; the ladder is a constant array.
+    ``files``: file_id, host and, where known, include_av1, include_h265, include_h264 (null
+    or missing: enabled), preset (an unknown one is ``medium``) and ffmpeg_available (null or
+    missing: available). ``capabilities``: host, section, name. The host's encoders are folded
+    to four flags first; the ladder is a constant array.
     """
     name = F.col("name")
     flags = (
@@ -358,8 +395,17 @@ def enumerate_candidates(files: DataFrame, capabilities: DataFrame) -> DataFrame
         )
     )
     ladder = dims.struct_array(dims.CRF_LADDER, (("codec", "string"), ("crf", "int")))
-    rows = files.join(flags, "host", "left").select("*", F.inline(ladder))
+    asked = files.select(
+        "file_id", "host",
+        *[_or_default(files, f"include_{c}", True).alias(f"__{c}") for c in dims.CODEC_LABELS],
+        _or_default(files, "preset", dims.SEARCH_PRESETS[0]).alias("preset"),
+        _or_default(files, "ffmpeg_available", True).alias("__ffmpeg"),
+    )
+    rows = asked.join(flags, "host", "left").select("*", F.inline(ladder))
     codec = F.col("codec")
+    rows = rows.filter(
+        F.when(codec == "av1", F.col("__av1")).when(codec == "h265", F.col("__h265")).otherwise(F.col("__h264"))
+    )
     encoder = (
         F.when((codec == "av1") & F.col("svt"), "libsvtav1")
         .when(codec == "av1", "libaom-av1")
@@ -372,9 +418,13 @@ def enumerate_candidates(files: DataFrame, capabilities: DataFrame) -> DataFrame
         .when(codec == "h265", F.col("x265"))
         .otherwise(F.col("x264"))
     )
+    usable = F.col("__ffmpeg") & F.coalesce(available, F.lit(False))
     return rows.select(
         "file_id",
         F.concat(codec, F.lit("-crf-"), F.col("crf")).alias("candidate_id"),
+        F.concat(dims.lookup(codec, dims.CODEC_LABELS), F.lit(" CRF "), F.col("crf")).alias("label"),
         "codec", encoder.alias("encoder"), "crf",
-        F.coalesce(available, F.lit(False)).alias("available"),
+        F.when(F.col("preset").isin(*dims.SEARCH_PRESETS), F.col("preset")).otherwise(dims.SEARCH_PRESETS[0]).alias("preset"),
+        usable.alias("available"),
+        F.when(~usable, F.concat(encoder, F.lit(dims.ENCODER_MISSING))).alias("unavailable_reason"),
     )

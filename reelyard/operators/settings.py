@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +30,46 @@ def _container_takes(container: Column, codec: Column) -> Column:
     return ok
 
 
-def settings_rules() -> dict[str, Column]:
-    """Rule name to the condition that breaks it, for one active item."""
+def target_rules() -> dict[str, Column]:
+    """Field of the target options to the condition that breaks its rule; unknown values do.
+
+    Columns: target_enabled, target_preset, target_bytes, target_ratio, target_unit,
+    target_audio, allow_resolution_change, allow_lossy_png, target_background, floor_jpeg,
+    floor_webp, floor_avif, floor_height, floor_kbps, target_speed. Bytes, ratio, background
+    and speed may be null, but exactly one of bytes and ratio is given.
+    """
+    c = F.col
+    size, ratio = c("target_bytes"), c("target_ratio")
+    valid = {
+        "enabled": c("target_enabled").isNotNull(),
+        "preset": c("target_preset").isin(*[p for p, *_ in dims.TARGET_PRESETS]),
+        "bytes": size.isNull() | ((size > 0) & (size < 2**53)),
+        "ratio": ratio.isNull() | ((ratio > 0) & (ratio <= 1)),
+        "one-target": size.isNotNull() != ratio.isNotNull(),
+        "unit": c("target_unit").isin(*dims.TARGET_UNITS),
+        "audio": c("target_audio").isin(*dims.TARGET_AUDIO_MODES),
+        "resolution-change": c("allow_resolution_change").isNotNull(),
+        "lossy-png": c("allow_lossy_png").isNotNull(),
+        "background": c("target_background").isNull() | c("target_background").rlike(HEX_COLOUR),
+        **{f"floor-{f}": c(f"floor_{f}").between(1, 100) for f in dims.QUALITY_FLOOR},
+        "floor-height": c("floor_height").isin(*dims.HEIGHT_LADDER),
+        "floor-kbps": c("floor_kbps").isin(*dims.AUDIO_LADDER_KBPS),
+        "speed": c("target_speed").isNull() | c("target_speed").isin(*dims.TARGET_SPEEDS),
+    }
+    return {field: _not(ok) for field, ok in valid.items()}
+
+
+def audit_target_options(options: DataFrame) -> DataFrame:
+    """``options`` with ``broken``: the fields of the target options whose rule is broken, in order."""
+    broken = F.array_compact(F.array(*[F.when(cond, F.lit(n)) for n, cond in target_rules().items()]))
+    return options.withColumn("broken", broken)
+
+
+def settings_rules(whole_target: bool = False) -> dict[str, Column]:
+    """Rule name to the condition that breaks it, for one active item.
+
+    ``whole_target``: the item has all columns of ``target_rules``, which are then all checked.
+    """
     c = F.col
     kind, mode, wanted = c("kind"), c("processing_mode"), c("item_format")
     image, video, audio = kind == "image", kind == "video", kind == "audio"
@@ -53,8 +94,10 @@ def settings_rules() -> dict[str, Column]:
         & c("audio_format").isin(*_FORMATS["audio"])
         & c("audio_quality").isin(*dims.QUALITIES)
     )
+    whole = reduce(or_, target_rules().values()) if whole_target else F.lit(False)
     target_ok = (
         c("target_enabled")
+        & ~whole
         & (c("target_bytes").isNotNull() != c("target_ratio").isNotNull())
         & (c("target_bytes").isNull() | (c("target_bytes") > 0))
         & (c("target_ratio").isNull() | ((c("target_ratio") > 0) & (c("target_ratio") <= 1)))
@@ -116,7 +159,7 @@ def audit_settings(items: DataFrame) -> DataFrame:
     ``no-items``.
     """
     active = F.col("status").isin("queued", "error", "cancelled")
-    rules = settings_rules()
+    rules = settings_rules("target_preset" in items.columns)
     broken = F.array_compact(F.array(*[F.when(cond, F.lit(n)) for n, cond in rules.items()]))
     by_item = (
         items.filter(active)

@@ -280,3 +280,28 @@ def test_fleet(spark):
     pref = dims.frame(spark, dims.HARDWARE_PREFERENCE, "codec string, name string, rank int")
     assert fleet.pick_encoder(caps, pref).first().encoder == "h264_nvenc"
     assert fleet.vendors(caps).first().vendors == 2
+
+
+def test_admission_reasons(spark):
+    mb = 1024 * 1024
+    rows = [(1, 1, "a", 5, 1, "image/png"), (1, 2, "a", 5, 1, None), (1, 3, "b", 0, 1, None), (1, 4, "c", 250 * mb, 1, None), (1, 5, "d", 250 * mb + 1, 1, None),
+            (1, 6, "e", 5, 1, "application/X-DOSexec"), (1, 7, "g", None, None, None), (1, 8, "h", 1, None, ""), (1, 9, "h", 1, None, ""), (1, 10, "a", 0, 1, None),
+            (1, 11, "z", 0, 1, None), (1, 12, "a", 5, 1, None), (2, 1, "a", 5, 1, None)]
+    df = spark.createDataFrame(rows, "batch_id int, ord int, name string, size_bytes bigint, modified int, mime string")
+    got = {(r.batch_id, r.ord): r.outcome for r in intake.admit(df).collect()}
+    want = ["admitted", "duplicate", "empty", "admitted", "oversized", "executable", "empty", "admitted", "duplicate", "empty", "over-limit", "over-limit"]
+    assert got == {(1, i + 1): o for i, o in enumerate(want)} | {(2, 1): "admitted"}
+    assert {r.outcome for r in intake.admit(df.drop("mime").withColumn("outcome", F.lit(1))).collect()} == set(want) - {"executable"}
+    assert intake.admit(df.limit(0)).collect() == []
+
+
+def test_target_options_rules(spark):
+    good = dict(target_enabled=True, target_preset="email", target_bytes=10, target_ratio=None, target_unit="MB", target_audio="auto", allow_resolution_change=False,
+                allow_lossy_png=False, target_background=None, floor_jpeg=60, floor_webp=55, floor_avif=45, floor_height=720, floor_kbps=96, target_speed=None)
+    changes = [{}, {"target_preset": "x"}, {"target_bytes": None}, {"target_ratio": 0.5}, {"target_bytes": 2**53}, {"target_bytes": None, "target_ratio": 1.0},
+               {"floor_avif": 101, "floor_height": 360}, {"target_unit": None, "target_speed": "slow"}, {"target_background": "#12345g", "floor_kbps": None}]
+    schema = ("id int, target_enabled boolean, target_preset string, target_bytes bigint, target_ratio double, target_unit string, target_audio string, allow_resolution_change boolean,"
+              " allow_lossy_png boolean, target_background string, floor_jpeg int, floor_webp int, floor_avif int, floor_height int, floor_kbps int, target_speed string")
+    df = spark.createDataFrame([(i, *(good | c).values()) for i, c in enumerate(changes)], schema)
+    got = {r.id: r.broken for r in settings.audit_target_options(df).collect()}
+    assert got == {0: [], 1: ["preset"], 2: ["one-target"], 3: ["one-target"], 4: ["bytes"], 5: [], 6: ["floor-avif", "floor-height"], 7: ["unit", "speed"], 8: ["background", "floor-kbps"]}

@@ -81,6 +81,34 @@ def test_candidates_of_a_host(spark):
     assert not any(r.available for r in rows if r.file_id == 2)
 
 
+def test_candidates_follow_the_options(spark):
+    files = spark.createDataFrame(
+        [(1, 7, True, False, None, "slow", True), (2, 7, False, False, False, "slow", True), (3, 7, False, False, True, "ultrafast;delete", False)],
+        "file_id int, host int, include_av1 boolean, include_h265 boolean, include_h264 boolean, preset string, ffmpeg_available boolean")
+    caps = spark.createDataFrame([(7, "encoder", n) for n in ("libsvtav1", "libx265", "libx264")], "host int, section string, name string")
+    rows = selection.enumerate_candidates(files, caps).collect()
+    one = [r for r in rows if r.file_id == 1]
+    assert [(r.codec, r.crf) for r in one] == [("av1", c) for c in (18, 22, 26, 30)] + [("h264", c) for c in (16, 18, 20)]
+    assert all(r.available and r.preset == "slow" and r.unavailable_reason is None for r in one)
+    assert one[0].label == "AV1 CRF 18"
+    assert not [r for r in rows if r.file_id == 2]
+    three = [r for r in rows if r.file_id == 3]
+    assert {(r.codec, r.preset, r.available) for r in three} == {("h264", "medium", False)}
+    assert all(r.unavailable_reason.startswith("libx264") for r in three)
+
+
+def test_the_kept_candidate_is_selected(spark):
+    cands = spark.createDataFrame(
+        [(1, 1, "av1", 50, 96.0, 81.0), (1, 1, "av1", 50, 96.0, 81.0), (1, 2, "h264", 40, 96.0, 79.0), (2, 1, "av1", 150, 99.0, 99.0),
+         (3, 1, "av1", None, None, None), (9, 1, "av1", 5, 99.0, 99.0)],
+        "file_id int, ordinal int, codec string, output_bytes bigint, vmaf_mean double, vmaf_min double")
+    files = spark.createDataFrame([(i, 100, "archive") for i in (1, 2, 3, 4)], "file_id int, size_bytes bigint, mode string")
+    got = sorted(tuple(r) for r in selection.report_tally(cands, files).collect() if r.mode)
+    assert got == [("archive", "av1", "qualified", 2, 200), ("archive", "av1", "selected", 1, 50), ("archive", "av1", "unavailable", 1, 0), ("archive", "h264", "rejected", 1, 40)]
+    rest = [tuple(r) for r in selection.report_tally(cands, files).collect() if r.mode is None]
+    assert rest == [(None, "av1", "qualified", 1, 5)]
+
+
 def test_low_segments_golden(spark):
     df = spark.createDataFrame([(1, i, float(s)) for i, s in enumerate([98, 79, 75, 97, 0, 0, 78])], "candidate_id int, frame bigint, score double")
     df = df.filter("frame NOT IN (4, 5)")
