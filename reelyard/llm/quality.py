@@ -157,12 +157,14 @@ def share_of_good(keys: DataFrame, labels: DataFrame, labelled: int = LABELLED)
     """Log weight that parts good from bad best: the lowest one with the fewest errors.
 
     Errors are the shares of good and of bad documents on the wrong side, over ``labelled``
-    held-out rows of each kind at most. Without bad rows nothing is rejected.
+    held-out ids of each kind at most; an id of several rows counts once, with its lowest weight.
+    Without bad rows nothing is rejected.
     """
     marks = labels.where("doc_id is not null and quality is not null").where(held_out()).groupBy("doc_id").agg(F.min("quality").alias("good"))
     kinds = [marks.where(F.col("good") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled) for x in (0, 1)]
     marks = kinds[0].unionByName(kinds[1])
-    rows = keys.join(F.broadcast(marks), "doc_id").select("log_ratio", "good").toArrow()  # bounded by ``labelled``
+    rows = keys.join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min("log_ratio").alias("log_ratio"), F.min("good").alias("good"))
+    rows = rows.select("log_ratio", "good").toArrow()  # one row per id, bounded by ``labelled``
     score, good = rows["log_ratio"].to_numpy(), rows["good"].to_numpy() == 1
     if good.all() or not good.any():
         return -np.inf

@@ -11,12 +11,14 @@ from hashlib import sha256
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from reelyard.llm import bpe, components, embedding_dedup, lm_score, quality, secrets
+from reelyard.llm.texts import Words, mix
 
 from . import plain
 
@@ -202,6 +204,48 @@ def test_quality_draws_k_and_bears_empty_tables(spark):
     assert quality.selected(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def plain_buckets(text):
+    """Buckets of a text's n-grams, one word after the other."""
+    wide = lambda x: int(mix(np.array([x % 2**64], np.uint64))[0]) >> (64 - quality.BITS)
+    words = plain.words(text)
+    h = [int(Words(pa.array([w])).hashes[0]) for w in words]
+    kind = lambda b: 0 if 97 <= b <= 122 else 1 if 48 <= b <= 57 else 3 if b > 127 else 2
+    shapes = []
+    for i, w in enumerate(words):
+        b = w.encode()
+        shapes.append((kind(b[0]) * 4 + kind(b[-1])) * 16 + min(len(b), 15) + 256 * (i > 0 and words[i - 1] == w))
+    found = [wide(x + 1) for x in h] + [wide(a * 3 + b + 2) for a, b in zip(h, h[1:])]
+    for size in range(1, 5):
+        for i in range(len(shapes) - size + 1):
+            run = 0
+            for s in shapes[i : i + size]:
+                run = run * 1024 + s
+            found.append(wide(run + (size << 56)))
+    return found
+
+
+def test_weights_against_brute_force(spark):
+    """Both models and the weight of every document, counted one n-gram after the other."""
+    rng = random.Random(3)
+    pool = ["one", "Two", "élan", "x9", "9", "***", "the", "the", "a-very-long-word-indeed", "ß"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(40)))) for i in range(30)] + [(30, None), (31, ""), (32, "one"), (3, "one one")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i == 7)) for i in range(30)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    chosen = {r.doc_id for r in labels.where(~quality.held_out()).where("quality = 1 and toxic = 0").collect()}
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        raw.update(plain_buckets(text))
+        if i in chosen:
+            target.update(plain_buckets(text))
+    size = 2**quality.BITS
+    smooth, pseudo = sum(raw.values()) + 0.5 * size, quality.SHRINK * size
+    ratio = {b: np.log((target[b] + pseudo * (n + 0.5) / smooth) / (sum(target.values()) + pseudo)) - np.log((n + 0.5) / smooth) for b, n in raw.items()}
+    want = sorted((i, round(sum(ratio[b] for b in plain_buckets(t)), 9)) for i, t in rows)
+    assert target and sorted((r.doc_id, round(r.log_ratio, 9)) for r in quality.scored(docs, quality.fit(docs, labels)).collect()) == want
+    drawn = sorted(((r.key, r.doc_id) for r in quality.scored(docs, quality.fit(docs, labels)).withColumn("key", quality.gumbel_key()).collect()), reverse=True)
+    assert sorted(r.doc_id for r in quality.sample(docs, labels, k=12).collect()) == sorted(d for _, d in drawn[:12])
+
+
 def test_cut_takes_the_smallest_hashes_without_a_window(spark, monkeypatch):
     """``labelled`` held-out rows of each kind, none of them ranked in one task for its kind."""
     rng = random.Random(1)
