@@ -365,6 +365,25 @@ def low_segments(spark, sf_dir):
     return quality_ops.low_segments(view(spark, sf_dir, "frame_scores"), 47.0, 24.0)
 
 
+@register(
+    "w5_low_segments_by_file",
+    sql_over(
+        ["frame_scores"],
+        f"""WITH t AS (SELECT *, CASE candidate_id % 5 WHEN 0 THEN NULL ELSE 44.0e0 + candidate_id % 5 END AS threshold, CASE WHEN candidate_id % 3 = 0 THEN 0.0e0 ELSE 25.0e0 END AS fps FROM frame_scores),
+low AS (SELECT *, CASE WHEN fps > 0 THEN fps ELSE 1.0e0 END AS rate, frame - row_number() OVER (PARTITION BY candidate_id ORDER BY frame) AS island FROM t WHERE score < threshold)
+SELECT candidate_id, min(frame) AS first_frame, max(frame) AS last_frame, {sql_fixed('(CAST(min(frame) AS DOUBLE) / max(rate))', 3)} AS start_s,
+  {sql_fixed('(CAST(max(frame) + 1 AS DOUBLE) / max(rate))', 3)} AS end_s, {sql_fixed('min(score)', 3)} AS score FROM low GROUP BY candidate_id, island""",
+    ),
+)
+def low_segments_by_file(spark, sf_dir):
+    """Threshold and frame rate of each file; one in five has no threshold."""
+    kind = F.col("candidate_id") % 5
+    return quality_ops.low_segments(
+        view(spark, sf_dir, "frame_scores"), F.when(kind != 0, kind.cast("double") + 44.0),
+        F.when(F.col("candidate_id") % 3 == 0, 0.0).otherwise(25.0),
+    )
+
+
 @register(
     "a9_pixel_error",
     sql_over(

@@ -9,6 +9,7 @@ from .. import dims
 from ..functions.numbers import clamp, exact_mean, exact_sum, fixed, half_up, share
 from ..functions.parsing import clock_seconds, number, with_suffix
 from ..functions.staging import settle
+from ..session import materialize
 from .running import CHUNK_ROWS, running
 
 PROGRESS_KEYS = (
@@ -70,9 +71,14 @@ def assemble_blocks(
     wins; an open block at the end of the log is kept.
     """
     pairs = progress_pairs(lines).withColumn("number", _typed(F.col("key"), F.col("value")))
+    # Both passes of the scan read the typed pairs; the texts are parsed once.
+    narrow = {"job_id": F.col("job_id"), order: F.col(order), "key": F.col("key"), "number": F.col("number")}
+    if chunk is not None:
+        narrow["__chunk_of"], chunk = chunk, F.col("__chunk_of")
+    pairs = materialize(pairs.select(*[c.alias(name) for name, c in narrow.items()]), "log-pairs")
     ends = F.when(F.col("key") == "progress", F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     numbered = running(
-        pairs.drop("value"), ["job_id"], [order], {"__closed": ("sum", ends, False)},
+        pairs, ["job_id"], [order], {"__closed": ("sum", ends, False)},
         chunk=chunk, size=size,
     )
     block = numbered.withColumn("block", F.coalesce("__closed", F.lit(0).cast("bigint")))

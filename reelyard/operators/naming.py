@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import extension, normalize_names, with_compressed_stem
+from ..session import materialize
 from .running import CHUNK_ROWS, numbered
 
 
@@ -21,7 +22,8 @@ def unique_names(files: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     named = with_compressed_stem(
         normalize_names(files, "original_name"), "original_name", "__stem"
     ).withColumn("__ext", F.concat(F.lit("."), extension(F.col("output_ext"))))
-    keyed = named.withColumn("__key", F.lower(F.concat("__stem", "__ext")))
+    # Names are cleaned once; both passes of the scan read the result.
+    keyed = materialize(named.withColumn("__key", F.lower(F.concat("__stem", "__ext"))), "clean-names")
     ranked = numbered(keyed, ["batch_id", "__key"], ["ord"], "__rank", size=size)
     number = F.when(F.col("__rank") > 1, F.concat(F.lit("_"), F.col("__rank").cast("string")))
     name = F.concat("__stem", F.coalesce(number, F.lit("")), "__ext")

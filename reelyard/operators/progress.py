@@ -14,7 +14,8 @@ from ..functions.names import extension, normalize_names, with_compressed_stem
 from ..functions.numbers import fixed, half_up, saved_percent
 from ..functions.parsing import trailing_sequence
 from ..functions.staging import settle
-from .running import CHUNK_ROWS, previous, running
+from ..session import materialize
+from .running import CHUNK_ROWS, chunk_of, previous, running
 
 
 def is_terminal(status: Column) -> Column:
@@ -223,6 +224,10 @@ def stage_index_of(progress: Column, stages: int) -> Column:
     return F.least(F.lit(stages - 1), F.floor(safe / 100 * stages)).cast("int")
 
 
+#: Room for stage indexes below one reset number.
+LEVELS = 1000
+
+
 def infer_stage(
     events: DataFrame, labels: tuple[str, ...], size: int = CHUNK_ROWS
 ) -> DataFrame:
@@ -231,7 +236,8 @@ def infer_stage(
     A label match sets the index. A pattern match raises it. Otherwise progress of 99 %
     sets the last stage and anything else carries the index on. Only label and 99 % rows
     can lower it, so: number those resets, then take the running maximum of
-    (reset number, index) as one integer.
+    (reset number, index) as one integer. Both run inside chunks, so a hot job is scanned by
+    many tasks; a chunk hands on one number.
     """
     stage, last = F.col("stage"), len(labels) - 1
     exact = None
@@ -248,15 +254,27 @@ def infer_stage(
         F.when(F.col("__pattern").isNull() & (F.col("progress") >= 99), F.lit(last)),
     )
     rows = rows.withColumn("__jump", jump)
-    rows = running(
-        rows, ["job_id"], ["sequence"],
-        {"__resets": ("sum", F.col("__jump").isNotNull().cast("bigint"), True)}, size=size,
-    )
-    level = F.col("__resets") * 1000 + F.coalesce("__jump", "__pattern", F.lit(0))
-    rows = running(rows, ["job_id"], ["sequence"], {"__level": ("max", level, True)}, size=size)
-    return rows.withColumn("stage_index", (F.col("__level") % 1000).cast("int")).drop(
-        "__exact", "__pattern", "__jump", "__resets", "__level"
-    )
+    rows = rows.withColumn("__chunk", chunk_of(F.col("sequence"), size))
+    inside = Window.partitionBy("job_id", "__chunk").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__resets", F.sum(F.col("__jump").isNotNull().cast("bigint")).over(inside))
+    level = F.col("__resets") * LEVELS + F.coalesce("__jump", "__pattern", F.lit(0))
+    rows = rows.withColumn("__level", F.max(level).over(inside))
+    # Stored, since the summary of the chunks and the rows both read it: texts are matched once.
+    rows = materialize(rows.select(*events.columns, "__chunk", "__level"), "stage-levels")
+    # A chunk's last level holds its resets and the index since the last of them, which is
+    # all that the chunks after it need; one row per chunk.
+    last = rows.groupBy("job_id", "__chunk").agg(F.max("__level").alias("__last"))
+    earlier = Window.partitionBy("job_id").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    resets = F.coalesce(F.sum(F.floor(F.col("__last") / LEVELS)).over(earlier), F.lit(0).cast("bigint"))
+    before = last.select("job_id", "__chunk", "__last", resets.alias("__before"))
+    carried = before.select(
+        F.col("job_id").alias("__job"), F.col("__chunk").alias("__head"), "__before",
+        F.max(F.col("__before") * LEVELS + F.col("__last")).over(earlier).alias("__carried"),
+    )
+    # null jobs and sequences stay rows of their own chunk
+    same = rows["job_id"].eqNullSafe(F.col("__job")) & rows["__chunk"].eqNullSafe(F.col("__head"))
+    final = F.greatest(F.col("__before") * LEVELS + F.col("__level"), F.col("__carried"))
+    return rows.join(carried, same).select(*events.columns, (final % LEVELS).cast("int").alias("stage_index"))
 
 
 def stage_timeline(events: DataFrame, labels: tuple[str, ...]) -> DataFrame:

@@ -32,16 +32,17 @@ def pool_scores(frames: DataFrame, pooled: DataFrame | None = None) -> DataFrame
 
 
 def low_segments(
-    frames: DataFrame, threshold: float, fps: Column | float = 1.0, size: int = CHUNK_ROWS
+    frames: DataFrame, threshold: Column | float, fps: Column | float = 1.0, size: int = CHUNK_ROWS
 ) -> DataFrame:
     """Runs of consecutive frames below the threshold: start, end, lowest score.
 
-    Gaps and islands on frame numbers. The rank is a chunked running count, so one long
+    The threshold and the frame rate may be columns, such as options of each file; without a
+    threshold (null) nothing is low. Gaps and islands on frame numbers. The rank is a chunked running count, so one long
     recording is scanned by many tasks.
     """
     rate = fps if isinstance(fps, Column) else F.lit(float(fps))
     rate = F.when(rate > 0, rate).otherwise(F.lit(1.0))
-    low = frames.filter(F.col("score") < threshold).select(
+    low = frames.filter(F.col("score") < (threshold if isinstance(threshold, Column) else F.lit(float(threshold)))).select(
         "candidate_id", "frame", "score", rate.alias("__fps")
     )
     ranked = numbered(low, ["candidate_id"], ["frame"], "__rank", size=size)

@@ -1,8 +1,8 @@
 """Choosing among measured candidates and reporting the choice.
 
-Candidates are reduced per file with ``min``/``max`` of structs, which combine map-side:
-a file with a third of all attempts sends one partial row per task. Ties go to the
-smaller ordinal; the remaining columns make the order total.
+Candidates are reduced per file with ``min``/``max`` of fixed-width numbers or structs, which
+combine map-side: a file with a third of all attempts sends one partial row per task. Ties go
+to the smaller ordinal; the remaining columns make the order total.
 """
 
 from __future__ import annotations
@@ -18,6 +18,29 @@ def _tie(df: DataFrame) -> list[str]:
     return [c for c in ("ordinal", "tie_a", "tie_b") if c in df.columns]
 
 
+#: One more than the largest ordinal that ``_packed`` takes.
+_ORDINALS = 1 << 31
+
+
+def _packed(size: str, ordinal: str) -> Column:
+    """Size and ordinal (0 to 2^31 - 1) as one decimal of the same order.
+
+    A decimal has a buffer of fixed width, so its minimum hashes where that of a struct sorts.
+    A larger or negative ordinal is an error, never a wrong choice.
+    """
+    place = F.col(ordinal).cast("bigint")
+    checked = F.when((place >= 0) & (place < _ORDINALS), place).otherwise(
+        F.raise_error(F.concat(F.lit("ordinal out of range: "), F.coalesce(place.cast("string"), F.lit("null")))).cast("bigint")
+    )
+    return (F.col(size).cast("decimal(19,0)") * F.lit(_ORDINALS).cast("decimal(10,0)") + checked).cast("decimal(31,0)")
+
+
+def _unpacked(packed: str, size: str, ordinal: str) -> dict[str, Column]:
+    whole = F.floor(F.col(packed) / F.lit(_ORDINALS).cast("decimal(10,0)"))
+    rest = F.pmod(F.col(packed), F.lit(_ORDINALS).cast("decimal(10,0)"))
+    return {size: whole.cast("bigint"), ordinal: rest.cast("int")}
+
+
 def select_lossless(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """Smallest eligible, verified candidate if smaller than the original.
 
@@ -26,12 +49,11 @@ def select_lossless(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """
     usable = candidates.filter(F.col("eligible") & F.col("verified") & F.col("output_bytes").isNotNull())
     best = usable.groupBy("file_id").agg(
-        F.min(F.struct("output_bytes", *_tie(candidates))).alias("best"),
-        F.count(F.lit(1)).alias("verified_candidates"),
+        F.min(_packed("output_bytes", "ordinal")).alias("best"), F.count(F.lit(1)).alias("verified_candidates")
     )
-    rows = files.join(best, "file_id", "left")
+    rows = files.join(best, "file_id", "left").withColumns(_unpacked("best", "best_bytes", "best_ordinal"))
     satisfied = ~F.col("strip_privacy") | ~F.col("has_privacy")
-    better = F.coalesce(F.col("best.output_bytes") < F.col("size_bytes"), F.lit(False))
+    better = F.coalesce(F.col("best_bytes") < F.col("size_bytes"), F.lit(False))
     reason = (
         F.when(better & satisfied, "smaller-verified")
         .when(better, "smaller-verified-privacy")
@@ -39,10 +61,10 @@ def select_lossless(candidates: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("verified_candidates") > 0, "verified-not-smaller")
         .otherwise("no-verified-candidate")
     )
-    output = F.when(better, F.col("best.output_bytes")).otherwise(F.col("size_bytes"))
+    output = F.when(better, F.col("best_bytes")).otherwise(F.col("size_bytes"))
     return rows.select(
         "file_id",
-        F.when(better, F.col("best.ordinal")).alias("selected_ordinal"),
+        F.when(better, F.col("best_ordinal")).alias("selected_ordinal"),
         output.alias("output_bytes"),
         (~better).alias("kept_original"),
         reason.alias("reason"),
@@ -245,6 +267,10 @@ def select_for_target(attempts: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+#: Formats of a PNG source in the order of ``format_rank``.
+PNG_FORMATS = ("png", "webp", "avif")
+
+
 def select_png(attempts: DataFrame, files: DataFrame, allow_lossy: bool = False) -> DataFrame:
     """Lossless-first choice for PNG sources.
 
@@ -252,22 +278,21 @@ def select_png(attempts: DataFrame, files: DataFrame, allow_lossy: bool = False)
     The first format within the target wins. Without one, lossy search goes on if it is
     allowed; else the smallest lossless output is kept, not achieved.
     """
+    # one size per format: fixed-width buffers, hashed and combined map-side
     formats = (
         attempts.filter(F.col("decoded"))
-        .groupBy("file_id", "format_rank")
-        .agg(F.min("output_bytes").alias("output_bytes"))
-    )
-    sizes = files.select("file_id", "size_bytes", "requested_bytes")
-    joined = sizes.join(formats, "file_id", "left")
-    size = F.col("output_bytes")
-    smaller = size < F.col("size_bytes")
-    fits = smaller & (size <= F.col("requested_bytes"))
-    rows = joined.groupBy("file_id").agg(
-        F.max("size_bytes").alias("size_bytes"),
-        F.max("requested_bytes").alias("requested_bytes"),
-        F.min(F.when(fits, F.struct("format_rank", "output_bytes"))).alias("first_fit"),
-        F.min(F.when(smaller, F.struct("output_bytes", "format_rank"))).alias("smallest"),
-    )
+        .groupBy("file_id")
+        .agg(*[F.min(F.when(F.col("format_rank") == i, F.col("output_bytes"))).alias(f"__{i}") for i in range(len(PNG_FORMATS))])
+    )
+    rows = files.select("file_id", "size_bytes", "requested_bytes").join(formats, "file_id", "left")
+    sizes = [F.when(F.col(f"__{i}") < F.col("size_bytes"), F.col(f"__{i}")) for i in range(len(PNG_FORMATS))]
+    first_fit = F.coalesce(
+        *[F.when(size <= F.col("requested_bytes"), F.struct(F.lit(i).alias("format_rank"), size.alias("output_bytes"))) for i, size in enumerate(sizes)]
+    )
+    smallest = F.array_min(F.array(
+        *[F.when(size.isNotNull(), F.struct(size.alias("output_bytes"), F.lit(i).alias("format_rank"))) for i, size in enumerate(sizes)]
+    ))
+    rows = rows.withColumns({"first_fit": first_fit, "smallest": smallest})
     original, target = F.col("size_bytes"), F.col("requested_bytes")
     no_work = target >= original
     outcome = (
@@ -288,9 +313,7 @@ def select_png(attempts: DataFrame, files: DataFrame, allow_lossy: bool = False)
     return rows.select(
         "file_id",
         "outcome",
-        F.when(pick_rank == 0, "png").when(pick_rank == 1, "webp").when(pick_rank == 2, "avif").alias(
-            "selected_format"
-        ),
+        F.get(F.array(*[F.lit(name) for name in PNG_FORMATS]), pick_rank).alias("selected_format"),
         actual.alias("actual_bytes"),
         (actual <= target).alias("achieved"),
     )

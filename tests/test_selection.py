@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelyard import dims
@@ -151,3 +152,28 @@ def test_codec_whitelist(spark):
     items = spark.createDataFrame([("mp4", "video", "vp9"), ("mp4", "video", "av1"), ("mov", "audio", "pcm")], "container string, stream string, codec string")
     bad = selection.codec_violations(items, dims.format_codecs(spark)).collect()
     assert [tuple(r) for r in bad] == [("mp4", "video", "vp9")]
+
+
+def test_lossless_choice_hashes_and_breaks_ties_by_ordinal(spark):
+    big = 9_007_199_254_740_991
+    cands = spark.createDataFrame(
+        [(1, 7, big, True, True), (1, 2, big, True, True), (1, 2_147_483_647, big - 1, True, False), (2, 0, 5, True, True)],
+        "file_id long, ordinal int, output_bytes long, eligible boolean, verified boolean",
+    )
+    files = spark.createDataFrame([(1, big + 1, False, False), (2, 5, False, False)], "file_id long, size_bytes long, strip_privacy boolean, has_privacy boolean")
+    chosen = selection.select_lossless(cands, files)
+    got = {r.file_id: (r.selected_ordinal, r.output_bytes) for r in chosen.collect()}
+    assert got == {1: (2, big), 2: (None, 5)}
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    with pytest.raises(Exception, match="ordinal out of range"):
+        selection.select_lossless(cands.withColumn("ordinal", F.lit(-1)), files).collect()
+
+
+def test_segments_with_a_threshold_of_each_file(spark):
+    frames = spark.createDataFrame(
+        [(c, f, float(50 + f)) for c in ("a", "b", "c") for f in range(5)], "candidate_id string, frame long, score double"
+    )
+    limit = F.when(F.col("candidate_id") == "a", 52.0).when(F.col("candidate_id") == "b", 54.0)
+    got = sorted((r.candidate_id, r.first_frame, r.last_frame) for r in quality.low_segments(frames, limit).collect())
+    assert got == [("a", 0, 1), ("b", 0, 3)]
