@@ -10,9 +10,11 @@ from ..functions.numbers import bytes_in_unit, size_in_bytes
 from ..operators import intake as ops
 from ..operators import naming
 from ..operators import settings as settings_ops
+from ..session import shared_dir
 from ..sources import files as file_sources
 from ..sources import probes
 from ..sources.adapters import Derived, sql_fixed, sql_over, table, view
+from ..sources.heads import open_root
 from . import register
 
 TRIAGE = Derived(
@@ -59,15 +61,8 @@ HEADERS = Derived(
 )
 
 
-@register(
-    "s9_classify_headers",
-    sql_over(
-        [],
-        """SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS path, CAST(strlen(text) + CASE doc_id % 9 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 4 ELSE 0 END AS BIGINT) AS size_bytes,
-  doc_id % 9 < 4 OR text LIKE 'MZ%' OR text LIKE '#!%' AS executable FROM documents""",
-    ),
-)
-def classify_headers(spark, sf_dir):
+def _headed(spark, sf_dir):
+    """``doc_id, path, content``: documents, some behind the first bytes of an executable."""
     lead = F.col("lead")
     magic = (
         F.when(lead == 0, F.unhex(F.lit("4D5A")))
@@ -77,10 +72,55 @@ def classify_headers(spark, sf_dir):
         .otherwise(F.unhex(F.lit("")))
     )
     content = F.concat(magic, F.encode("text", "UTF-8"))
-    raw = HEADERS.frame(spark, sf_dir).select(
-        F.concat(F.lit("doc-"), "doc_id").alias("path"), content.alias("content")
+    return HEADERS.frame(spark, sf_dir).select(
+        "doc_id", F.concat(F.lit("doc-"), "doc_id").alias("path"), content.alias("content")
+    )
+
+
+@register(
+    "s9_classify_headers",
+    sql_over(
+        [],
+        """SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS path, CAST(strlen(text) + CASE doc_id % 9 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 4 ELSE 0 END AS BIGINT) AS size_bytes,
+  doc_id % 9 < 4 OR text LIKE 'MZ%' OR text LIKE '#!%' AS executable FROM documents""",
+    ),
+)
+def classify_headers(spark, sf_dir):
+    return ops.classify_headers(_headed(spark, sf_dir).withColumn("length", F.octet_length("content").cast("bigint")))
+
+
+def _write_files(rows, root):
+    """One file ``<folder>/<name>`` per row below ``root``; a task that runs again writes the same."""
+
+    def write(batches):
+        for batch in batches:
+            system, base, _ = open_root(root)
+            for folder, name, content in zip(*(batch[c].to_pylist() for c in ("folder", "name", "content")), strict=True):
+                system.create_dir(f"{base}/{folder}")
+                with system.open_output_stream(f"{base}/{folder}/{name}") as file:
+                    file.write(content)
+            yield batch.select(["name"])
+
+    rows.select("folder", "name", "content").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
+@register(
+    "s9_scan_folder",
+    sql_over(
+        [],
+        """SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE CAST(strlen(text) + CASE doc_id % 9 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 4 ELSE 0 END AS BIGINT) END AS size_bytes,
+  doc_id % 11 <> 0 AND (doc_id % 9 < 4 OR text LIKE 'MZ%' OR text LIKE '#!%') AS executable FROM documents""",
+    ),
+)
+def scan_folder(spark, sf_dir):
+    """Every document as a file in one of twenty folders, one in eleven empty; then the scan of them all."""
+    root = shared_dir(spark, "intake-files")
+    content = F.when(F.col("doc_id") % 11 == 0, F.unhex(F.lit(""))).otherwise(F.col("content"))
+    rows = _headed(spark, sf_dir).select(
+        F.concat(F.lit("n"), F.col("doc_id") % 20).alias("folder"), F.col("path").alias("name"), content.alias("content")
     )
-    return ops.classify_headers(raw.withColumn("length", F.octet_length("content").cast("bigint")))
+    _write_files(rows, root)
+    return file_sources.scan_intake(spark, root).select(F.substring_index("path", "/", -1).alias("name"), "size_bytes", "executable")
 
 
 SVG_REASONS_SQL = """

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.parsing import valid_job_id
 from ..functions.staging import settle
 from ..operators.intake import classify_headers
+from .heads import list_files, open_root, with_bytes
+
+#: What the header rules look at.
+HEAD_BYTES = 4
 
 BENCHMARK_SCHEMA = (
     "benchmark STRING, type STRING, caseId STRING, stage STRING, elapsedMs DOUBLE, status STRING,"
@@ -45,12 +49,14 @@ NAME_FIELDS = (
 
 
 def read_document_texts(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """``path, document`` of every job directory's document of a kind."""
+    """``path, document`` of every job directory's document of a kind.
+
+    Job folders are walked by tasks; only files of that name are opened.
+    """
     file_name, _ = DOCUMENT_KINDS[kind]
-    return (
-        spark.read.text(f"{root.rstrip('/')}/*/{file_name}", wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
-    )
+    below = F.array_size(F.split("path", "/")) - F.lit(open_root(root)[1].count("/") + open_root(root)[2].count("/"))
+    named = list_files(spark, root).filter((F.substring_index("path", "/", -1) == file_name) & (below == 3))
+    return with_bytes(named, root, None).select("path", F.col("content").cast("string").alias("document"))
 
 
 def job_documents(texts: DataFrame, kind: str) -> DataFrame:
@@ -97,11 +103,12 @@ def read_progress_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_intake(spark: SparkSession, path: str) -> DataFrame:
-    """Raw files as ``path, size_bytes, executable``.
+    """Raw files as ``path, size_bytes, executable``; four bytes of each are read.
 
-    Spark's file sources skip empty files; the upload table has to name those.
+    Empty files are listed with size 0 and are not executable.
     """
-    return classify_headers(spark.read.format("binaryFile").load(path))
+    heads = with_bytes(list_files(spark, path), path, HEAD_BYTES)
+    return classify_headers(heads.withColumnRenamed("size_bytes", "length"))
 
 
 def quarantine(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:

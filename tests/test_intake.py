@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reelyard.functions import names
 from reelyard.functions.parsing import clock_seconds, frame_rate, trailing_sequence, with_suffix
 from reelyard.operators import benchlog, fleet, intake, logs, naming, retention, settings, verification
-from reelyard.sources import files, probes, sinks
+from reelyard.sources import files, heads, probes, sinks
 
 
 def one(spark, *columns):
@@ -142,8 +142,30 @@ def test_intake_scan_of_files(spark, tmp_path):
     (tmp_path / "e.jpg").write_bytes(b"\xff\xd8\xff\xe0")
     (tmp_path / "f.empty").write_bytes(b"")
     clean, held = files.quarantine(files.scan_intake(spark, str(tmp_path)))
-    assert {r.path[-5:] for r in clean.collect()} == {"e.jpg"}  # Spark lists no empty files
+    assert {(r.path.rsplit("/", 1)[1], r.size_bytes) for r in clean.collect()} == {("e.jpg", 4), ("f.empty", 0)}
     assert held.count() == 4
+    assert all(r.path.startswith("file:///") for r in held.collect())
+
+
+def test_folders_are_walked_and_big_files_cost_their_head(spark, tmp_path):
+    deep = tmp_path / "a" / "b" / "é c"
+    deep.mkdir(parents=True)
+    (tmp_path / "empty").mkdir()
+    (deep / ".hidden").write_bytes(b"MZ")
+    for i in range(40):
+        (deep / f"{i}.bin").write_bytes(bytes([i]) * i)
+    with open(tmp_path / "huge.exe", "wb") as file:  # two gigabytes, without any on disk
+        file.write(b"MZxx")
+        file.truncate(2 << 30)
+    want = {f"file://{p}": p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()}
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}/"):
+        assert {r.path: r.size_bytes for r in heads.list_files(spark, root).collect()} == want
+    got = files.scan_intake(spark, str(tmp_path))
+    assert {r.path: r.size_bytes for r in got.collect()} == want
+    assert {r.path.rsplit("/", 1)[1] for r in got.filter("executable").collect()} == {".hidden", "huge.exe"}
+    read = heads.with_bytes(heads.list_files(spark, str(deep)), str(deep), None).collect()
+    assert {r.path.rsplit("/", 1)[1]: r.content for r in read} == {f"{i}.bin": bytes([i]) * i for i in range(40)} | {".hidden": b"MZ"}
+    assert heads.list_files(spark, str(tmp_path / "empty")).collect() == []
 
 
 def test_svg_scan(spark):
