@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import progress as progress_ops
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 from ..sources.adapters import sql_over, view
 from ..streaming import blocks, events, tables
 from . import register
-from .logs import BLOCK_SQL, log_lines
+from .logs import BLOCK_SQL, stored_lines
 from .progress import NORMAL_SQL, REMAINING_SQL
 
 # Time bounds of the slices the event table is fed in.
@@ -65,12 +65,16 @@ def deliveries(spark, sf_dir) -> list[DataFrame]:
         base = base + (F.col("ts") >= F.lit(end).cast("timestamp")).cast("int")
     last = F.lit(len(SLICE_ENDS) - 1)
     after = F.least(base + 1, last)
-    sent = [
-        rows.withColumn("slice", F.when(F.col("event_id") % 7 == 3, after).otherwise(base)),
-        rows.filter("event_id % 5 = 0").withColumn("slice", after),
-        rows.filter("event_id % 11 = 0").withColumn("slice", base).withColumn("sequence", F.lit(None).cast("bigint")),
-    ]
-    both = sent[0].unionByName(sent[1]).unionByName(sent[2])
+    sequence, event = F.col("sequence"), F.col("event_id")
+    sent = lambda at, number: F.struct(at.alias("slice"), number.alias("sequence"))
+    times = F.array_compact(F.array(
+        sent(F.when(event % 7 == 3, after).otherwise(base), sequence),
+        F.when(event % 5 == 0, sent(after, sequence)),
+        F.when(event % 11 == 0, sent(base, F.lit(None).cast("bigint"))),
+    ))
+    kept = [c for c in rows.columns if c != "sequence"]
+    # The events are numbered once; every slice reads the table.
+    both = materialize(rows.select(*kept, F.inline(times)), "deliveries").select("slice", *rows.columns)
     return [both.filter(F.col("slice") == i).drop("slice") for i in range(len(SLICE_ENDS))]
 
 
@@ -285,7 +289,7 @@ def stream_progress(spark, sf_dir):
 def stream_blocks(spark, sf_dir):
     """Log lines cut into three pieces in the middle of blocks; the last brings the end of each log."""
     home = shared_dir(spark, "blocks")
-    lines = log_lines(spark, sf_dir)
+    lines = stored_lines(spark, sf_dir)
     cut = F.col("line_no")
     last = lines.filter(cut >= 700).unionByName(blocks.end_of_logs(lines))
     parts = [lines.filter(cut < 325), lines.filter((cut >= 325) & (cut < 700)), last]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .buckets import Alarms, Cells, by_bucket, first_rows, in_order, numbered
+
 # Python workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -52,6 +55,10 @@ def _usable(e: str) -> F.Column:
     )
 
 
+def _usable_rows(batch: pd.DataFrame) -> np.ndarray:
+    return (batch["job_id"].notna() & batch["sequence"].notna() & batch["status"].notna()).to_numpy()
+
+
 def stream_progress(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Usable events from newline-delimited JSON files; blank lines are dropped.
 
@@ -72,35 +79,34 @@ INGEST_SCHEMA = (
 _INGEST = [c.split()[0] for c in INGEST_SCHEMA.split(",")]
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """What one micro-batch brings for one job, bounded by the source's byte limit."""
-    return pd.concat(list(rows)).sort_values(["sequence", "event_id"], kind="stable", na_position="first")
-
-
 class SequenceFilter(StatefulProcessor):
-    """Marks the events of a job whose sequence is above all before it; state: one number."""
+    """Marks the events of each job of a bucket whose sequence is above all before it; state: one number a job."""
 
     def __init__(self, memory_ms: int):
         self.memory_ms = memory_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "sequence BIGINT", self.memory_ms)
+        self.last = Cells(handle, "last", "sequence BIGINT", self.memory_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        batch = _in_order(rows)
-        usable = batch["sequence"].notna() & batch["status"].notna() & (not pd.isna(key[0]))
-        sequence = batch["sequence"].where(usable)
-        before = sequence.cummax().shift()
-        if last is not None:
-            before = before.fillna(last).clip(lower=last)
-        new = usable & ~(sequence <= before.ffill())
-        batch["kind"] = "late"
-        batch.loc[new, "kind"] = "event"
-        batch.loc[~usable, "kind"] = "rejected"
-        if usable.any():
-            top = int(sequence.max())
-            self.last.update((top if last is None else max(last, top),))
+        batch = in_order(rows, "sequence", "event_id")
+        usable = _usable_rows(batch)
+        at = np.flatnonzero(usable)
+        kind = np.where(usable, "late", "rejected").astype(object)
+        if len(at):
+            job, sequence = (batch[c].to_numpy()[at].astype(np.int64) for c in ("job_id", "sequence"))
+            first = first_rows(job)
+            jobs, tops = job[first].tolist(), sequence[np.append(first[1:], len(at)) - 1].tolist()
+            now = timerValues.getCurrentProcessingTimeInMs()
+            known = self.last.load(jobs, now)
+            held = [known.get(j) for j in jobs]
+            new = np.concatenate([[True], sequence[1:] != sequence[:-1]])
+            new[first] = True
+            seen, last = np.array([h is not None for h in held]), np.array([h[1] if h else 0 for h in held], np.int64)
+            of = numbered(first, len(at))
+            kind[at[new & (~seen[of] | (sequence > last[of]))]] = "event"
+            self.last.store(known, {j: (max(top, h[1]) if h else top,) for j, top, h in zip(jobs, tops, held)}, now)
+        batch["kind"] = kind
         yield batch[_INGEST]
 
     def close(self) -> None:
@@ -115,7 +121,7 @@ def ingest(events: DataFrame, memory_ms: int = MEMORY_MS) -> DataFrame:
     ``memory_ms`` is forgotten.
     """
     use_rocksdb(events.sparkSession)
-    return events.groupBy("job_id").transformWithStateInPandas(
+    return by_bucket(events).transformWithStateInPandas(
         statefulProcessor=SequenceFilter(memory_ms), outputStructType=INGEST_SCHEMA,
         outputMode="Append", timeMode="ProcessingTime",
     )
@@ -128,14 +134,11 @@ TRACK_SCHEMA = (
 )
 _COLUMNS = [c.split()[0] for c in TRACK_SCHEMA.split(",")]
 _STATE_SCHEMA = (
-    "sequence BIGINT, progress BIGINT, status STRING, ts_ms BIGINT, first_ms BIGINT, seen_ms BIGINT,"
+    "sequence BIGINT, progress BIGINT, status STRING, ts_ms BIGINT, first_ms BIGINT, due_ms BIGINT,"
     " told BOOLEAN, remaining BIGINT, output_size BIGINT, estimated BIGINT, eta_p DOUBLE,"
     " eta_t DOUBLE, smooth DOUBLE, recent ARRAY<DOUBLE>"
 )
-_FIELDS = [
-    "sequence", "progress", "status", "ts_ms", "first_ms", "seen_ms", "told", "remaining",
-    "output_size", "estimated", "eta_p", "eta_t", "smooth", "recent",
-]
+_FIELDS = [c.split()[0] for c in _STATE_SCHEMA.split(",")]
 _TERMINAL = ("completed", "failed", "cancelled")
 
 
@@ -166,17 +169,20 @@ def _remaining(state: dict, tenths: np.ndarray, elapsed_cs: np.ndarray) -> list[
     return shown
 
 
-def _carried(values: list, before) -> list:
-    """Each value, or where it is None the one before it."""
-    out = []
-    for value in values:
-        before = before if value is None else value
-        out.append(before)
-    return out
+def _carried(values: np.ndarray, known: np.ndarray, first: np.ndarray, before: list) -> tuple[np.ndarray, np.ndarray]:
+    """Each value, or where it is not known the one before it of the same job, and whether there is one.
+
+    ``first``: where the rows of each job begin. ``before``: what each job had, or None.
+    """
+    of = numbered(first, len(values))
+    place = np.maximum.accumulate(np.where(known, np.arange(len(values)), -1))
+    inside = place >= first[of]
+    held, had = np.array([b or 0 for b in before], np.int64), np.array([b is not None for b in before], bool)
+    return np.where(inside, values[place], held[of]), inside | had[of]
 
 
 class JobTracker(StatefulProcessor):
-    """State of one job: last sequence, progress, estimate, sizes, timers.
+    """State of each job of a bucket: last sequence, progress, estimate, sizes, deadline.
 
     Every input row gives one output row. An event whose sequence is not above the last one,
     or that follows a terminal event, is ``late`` and changes nothing; one without job,
@@ -192,113 +198,143 @@ class JobTracker(StatefulProcessor):
         self.retention_ms, self.memory_ms = retention_ms, memory_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("job", _STATE_SCHEMA)
-        self.gone = handle.getValueState("gone", "sequence BIGINT, status STRING, progress BIGINT", self.memory_ms)
-
-    def _load(self) -> dict | None:
-        if not self.state.exists():
-            return None
-        state = dict(zip(_FIELDS, self.state.get()))
-        state["recent"] = list(state["recent"] or [])
-        return state
+        self.jobs = Cells(handle, "jobs", _STATE_SCHEMA)
+        self.alarms = Alarms(handle)
 
-    def _fresh(self, now: int) -> dict:
-        state = dict.fromkeys(_FIELDS)
-        state.update(progress=0, first_ms=now, recent=[])
-        if self.gone.exists():
-            state["sequence"], state["status"], state["progress"] = self.gone.get()
+    @staticmethod
+    def _state(held: tuple | None) -> dict:
+        """A job's state; one that is new, or only remembered, has no ``first_ms``."""
+        if held is None:
+            return dict.fromkeys(_FIELDS) | {"progress": 0, "recent": []}
+        state = dict(zip(_FIELDS, held[1:]))
+        state["recent"] = list(state["recent"] or [])
         return state
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
-        batch = _in_order(rows).reset_index(drop=True)
-        state = self._load()
-        usable = (batch["sequence"].notna() & batch["status"].notna() & (not pd.isna(key[0]))).to_numpy()
+        batch = in_order(rows, "sequence", "event_id")
+        usable = _usable_rows(batch)
+        at = np.flatnonzero(usable)
+        job = batch["job_id"].to_numpy()[at].astype(np.int64)
+        jobs = job[first_rows(job)].tolist()
+        held = self.jobs.load(jobs, now)
+        states = [self._state(held.get(j)) for j in jobs]
+        at, of = self._new_events(states, batch, at, numbered(first_rows(job), len(job)))
         kind = np.where(usable, "late", "rejected").astype(object)
+        kind[at] = "event"
         out = pd.DataFrame(
-            {"job_id": pd.array([key[0]] * len(batch), "Int64"), "kind": kind, "sequence": batch["sequence"].astype("Int64"),
+            {"job_id": batch["job_id"].astype("Int64"), "kind": kind, "sequence": batch["sequence"].astype("Int64"),
              "ts": pd.to_datetime(batch["ts"]), "status": batch["status"]}
         )
-        for column in _COLUMNS[5:-1]:
-            out[column] = pd.array([None] * len(batch), "Int64")
-        out["first"] = pd.array([None] * len(batch), "boolean")
-        if usable.any():
-            state = state or self._fresh(now)
-            at = self._new_events(state, batch, usable)
-            if len(at):
-                self._advance(state, batch.iloc[at], out, at)
-                state["seen_ms"], state["told"] = now, False
-                self.state.update(tuple(state[f] for f in _FIELDS))
-                self.gone.clear()
-                limit = min(now + self.stall_ms, max(state["first_ms"] + self.run_ms, now + 1))
-                self._alarm(now + self.retention_ms if state["status"] in _TERMINAL else limit)
+        begun = of[first_rows(of)].tolist()
+        self._advance([states[i] for i in begun], batch.iloc[at], out, at, first_rows(of))
+        due, stored = defaultdict(list), {}
+        for i in begun:
+            state, before = states[i], states[i]["due_ms"]
+            state["told"] = False
+            if state["first_ms"] is None:
+                state["first_ms"] = now
+            limit = min(now + self.stall_ms, max(state["first_ms"] + self.run_ms, now + 1))
+            state["due_ms"] = now + self.retention_ms if state["status"] in _TERMINAL else limit
+            if state["due_ms"] != before:
+                due[state["due_ms"]].append(jobs[i])
+            stored[jobs[i]] = tuple(state[f] for f in _FIELDS)
+        self.jobs.store(held, stored, now)
+        self.alarms.add(due)
         yield out[_COLUMNS]
 
     @staticmethod
-    def _new_events(state: dict, batch: pd.DataFrame, usable: np.ndarray) -> np.ndarray:
-        """Places of the events above all sequences before them, up to the first terminal one."""
-        if state["status"] in _TERMINAL:
-            return np.zeros(0, np.int64)
-        at = np.flatnonzero(usable)  # in the order of their sequences
-        sequence = batch["sequence"].to_numpy()[at].astype(np.int64)
-        first = np.concatenate([[True], sequence[1:] != sequence[:-1]])
-        at = at[first & (sequence > (-math.inf if state["sequence"] is None else state["sequence"]))]
-        ends = np.flatnonzero(batch["status"].iloc[at].isin(_TERMINAL).to_numpy())
-        return at[: ends[0] + 1] if len(ends) else at
+    def _new_events(states: list[dict], batch: pd.DataFrame, at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the events above all sequences of their job before them, up to its first
+        terminal one, and the numbers of their jobs."""
+        sequence = batch["sequence"].to_numpy()[at].astype(np.int64)  # ascending in each job
+        fresh = np.array([s["sequence"] is None for s in states], bool)
+        last = np.array([s["sequence"] or 0 for s in states], np.int64)
+        live = np.array([s["status"] not in _TERMINAL for s in states], bool)
+        new = np.ones(len(at), bool)
+        new[1:] = (sequence[1:] != sequence[:-1]) | (of[1:] != of[:-1])
+        new &= live[of] & (fresh[of] | (sequence > last[of]))
+        at, of = at[new], of[new]
+        ends = batch["status"].iloc[at].isin(_TERMINAL).to_numpy()
+        before = np.cumsum(ends) - ends
+        first = first_rows(of)
+        kept = before == before[first][numbered(first, len(of))]
+        return at[kept], of[kept]
 
     @staticmethod
-    def _advance(state: dict, events: pd.DataFrame, out: pd.DataFrame, at: np.ndarray) -> None:
-        """Feed new events to the state and fill their rows of ``out``."""
+    def _advance(states: list[dict], events: pd.DataFrame, out: pd.DataFrame, at: np.ndarray, first: np.ndarray) -> None:
+        """Feed new events to the states of their jobs and fill their rows of ``out``.
+
+        ``first``: where the events of each job begin.
+        """
+        of, ends = numbered(first, len(at)), np.append(first[1:], len(at))
         done = (events["status"] == "completed").to_numpy()
-        told = events["progress_tenths"].fillna(0).to_numpy(np.int64).clip(0, 990)
-        before = state["progress"]
-        progress = np.where(done, 1000, np.maximum(np.maximum.accumulate(told), before))
+        told = events["progress_tenths"]
+        told = told.where(told.notna(), 0).to_numpy(np.int64).clip(0, 990)
+        before = np.array([s["progress"] for s in states], np.int64)
+        highest = pd.Series(told).groupby(of).cummax().to_numpy(np.int64)
+        progress = np.where(done, 1000, np.maximum(highest, before[of]))
+        previous = np.roll(progress, 1)
+        previous[first] = before
         elapsed = events["elapsed_cs"].to_numpy(float, na_value=np.nan)
-        remaining = _remaining(state, progress, elapsed)
-        remaining = _carried([0 if d else r for d, r in zip(done, remaining)], state["remaining"])
-        sizes = _carried([None if pd.isna(x) else int(x) for x in events["output_size"]], state["output_size"])
-        whole = [
-            max(x, math.floor(x / (p / 1000) + 0.5)) if x is not None and p > 0 else None for x, p in zip(sizes, progress.tolist())
-        ]
-        estimated = _carried(whole, state["estimated"])
-        fresh = state["sequence"] is None
-        for column, values in (
-            ("kind", "event"), ("progress", progress), ("remaining_s", remaining), ("output_size", sizes),
-            ("estimated_output_size", estimated), ("progress_delta", np.diff(progress, prepend=before)),
-            ("first", [fresh] + [False] * (len(at) - 1)),
+        shown = []
+        for state, lo, hi in zip(states, first.tolist(), ends.tolist()):
+            shown += _remaining(state, progress[lo:hi], elapsed[lo:hi])
+        seconds = np.where(done, 0, np.array([-1 if r is None else r for r in shown], np.int64))
+        held = lambda field: [s[field] for s in states]
+        remaining, has_remaining = _carried(seconds, seconds >= 0, first, held("remaining"))
+        known = events["output_size"].notna().to_numpy()
+        sizes, sized = _carried(events["output_size"].where(known, 0).to_numpy(np.int64), known, first, held("output_size"))
+        share = np.where(progress > 0, progress, 1000) / 1000
+        whole = np.maximum(sizes, np.floor(sizes / share + 0.5).astype(np.int64))
+        estimated, has_estimate = _carried(whole, sized & (progress > 0), first, held("estimated"))
+        for column, values, there in (
+            ("progress", progress, None), ("remaining_s", remaining, has_remaining), ("output_size", sizes, sized),
+            ("estimated_output_size", estimated, has_estimate), ("progress_delta", progress - previous, None),
         ):
-            values = values if isinstance(values, str) else pd.array(values, "boolean" if column == "first" else "Int64")
-            out.loc[at, column] = values
-        last = events.iloc[-1]
-        state.update(
-            progress=int(progress[-1]), sequence=int(last["sequence"]), status=last["status"], remaining=remaining[-1],
-            output_size=sizes[-1], estimated=estimated[-1],
-        )
-        times = events["ts"].dropna()
-        if len(times):
-            state["ts_ms"] = int(times.iloc[-1].timestamp() * 1000)
-
-    def _alarm(self, at_ms: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(at_ms)
+            full, missing = np.zeros(len(out), np.int64), np.ones(len(out), bool)
+            full[at], missing[at] = values, False if there is None else ~there
+            out[column] = pd.arrays.IntegerArray(full, missing)
+        begins, missing = np.zeros(len(out), bool), np.ones(len(out), bool)
+        begins[at[first]], missing[at] = [s["sequence"] is None for s in states], False
+        out["first"] = pd.arrays.BooleanArray(begins, missing)
+        times = pd.to_datetime(events["ts"])
+        ms = times.to_numpy("datetime64[ms]").astype(np.int64)
+        ms, timed = _carried(ms, times.notna().to_numpy(), first, held("ts_ms"))
+        sequence, status = events["sequence"].to_numpy(), events["status"].to_numpy(object)
+        for state, i in zip(states, (ends - 1).tolist()):
+            state.update(
+                progress=int(progress[i]), sequence=int(sequence[i]), status=status[i],
+                remaining=int(remaining[i]) if has_remaining[i] else None, output_size=int(sizes[i]) if sized[i] else None,
+                estimated=int(estimated[i]) if has_estimate[i] else None, ts_ms=int(ms[i]) if timed[i] else None,
+            )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self._load()
-        out = []
-        if state is not None and (state["status"] in _TERMINAL or state["told"]):
-            self.gone.update((state["sequence"], state["status"], state["progress"]))
-            self.state.clear()
-        elif state is not None:
-            ts = None if state["ts_ms"] is None else pd.Timestamp(state["ts_ms"], unit="ms")
-            out.append(
-                (key[0], "stalled", state["sequence"], ts, state["status"], state["progress"],
-                 state["remaining"], state["output_size"], state["estimated"], None, None)
-            )
-            state["told"] = True
-            self.state.update(tuple(state[f] for f in _FIELDS))
-            self._alarm(timerValues.getCurrentProcessingTimeInMs() + self.retention_ms)
+        now, at_ms = timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        out, due, stored = [], defaultdict(list), {}
+        jobs = self.alarms.take(at_ms)
+        held = self.jobs.load(jobs, now)
+        for job in jobs:
+            state = self._state(held.get(job))
+            if state["due_ms"] != at_ms:
+                continue
+            if state["first_ms"] is None:
+                stored[job] = None
+                continue
+            if state["status"] in _TERMINAL or state["told"]:
+                left = {f: state[f] for f in ("sequence", "status", "progress")}
+                state = dict.fromkeys(_FIELDS) | left | {"due_ms": now + self.memory_ms}
+            else:
+                ts = None if state["ts_ms"] is None else pd.Timestamp(state["ts_ms"], unit="ms")
+                out.append(
+                    (job, "stalled", state["sequence"], ts, state["status"], state["progress"],
+                     state["remaining"], state["output_size"], state["estimated"], None, None)
+                )
+                state.update(told=True, due_ms=now + self.retention_ms)
+            due[state["due_ms"]].append(job)
+            stored[job] = tuple(state[f] for f in _FIELDS)
+        self.jobs.store(held, stored, now)
+        self.alarms.add(due)
         yield self._frame(out)
 
     @staticmethod
@@ -327,7 +363,7 @@ def track_jobs(
     any. Limits are in milliseconds of processing time.
     """
     use_rocksdb(events.sparkSession)
-    return events.groupBy("job_id").transformWithStateInPandas(
+    return by_bucket(events).transformWithStateInPandas(
         statefulProcessor=JobTracker(stall_ms, run_ms, retention_ms, memory_ms),
         outputStructType=TRACK_SCHEMA,
         outputMode="Append",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import pandas as pd
+
 
 from reelyard.catalogue.streams import feed
 from reelyard.streaming import blocks, events, tables
@@ -181,3 +183,89 @@ def test_a_job_that_was_forgotten_is_not_counted_again(spark, tmp_path):
         events.track_jobs(s, stall_ms=1, run_ms=7_200_000, retention_ms=1), f"{tmp_path}/out", f"{tmp_path}/cp"))
     rows = spark.read.schema(events.TRACK_SCHEMA).parquet(f"{tmp_path}/out").where("job_id = 1 and kind = 'event'").collect()
     assert sorted((r.sequence, r.progress, r.progress_delta, r.first) for r in rows) == [(1, 300, 300, True), (2, 300, 0, False)]
+
+
+class Calls:
+    """A state handle in memory that counts accesses."""
+
+    def __init__(self):
+        self.maps, self.timers, self.calls = {}, [], 0
+
+    def getMapState(self, name, *_):
+        outer, held = self, self.maps.setdefault(name, {})
+
+        class Map:
+            def getValue(self, key):
+                outer.calls += 1
+                return held.get(key)
+
+            def updateValue(self, key, value):
+                outer.calls += 1
+                held[key] = value
+
+            def removeKey(self, key):
+                outer.calls += 1
+                held.pop(key, None)
+
+        return Map()
+
+    def registerTimer(self, at_ms):
+        self.calls += 1
+        self.timers.append(at_ms)
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentProcessingTimeInMs
+
+
+def group(processor, rows, columns, now=0):
+    return next(processor.handleInputRows((0,), iter([pd.DataFrame(rows, columns=columns)]), Now(now)))
+
+
+EVENT_COLUMNS = [c.split()[0] for c in COLUMNS.split(", ")]
+
+
+def test_jobs_of_a_group_share_frames_and_state_calls():
+    jobs = 320
+    for make in (lambda: events.JobTracker(10, 1000, 10, 1000), lambda: events.SequenceFilter(1000)):
+        processor, handle = make(), Calls()
+        processor.init(handle)
+        for n in (1, 2):
+            sent = [(2 * j + n, j, s, at(n), "processing", 10 * s, 100 * s, None) for j in range(jobs) for s in (n, 1)]
+            out = group(processor, sent, EVENT_COLUMNS)
+            assert sorted(out.loc[out["kind"] == "event", ["job_id", "sequence"]].itertuples(index=False, name=None)) == [(j, n) for j in range(jobs)]
+            assert (out["kind"] == "late").sum() == jobs
+        assert handle.calls < jobs / 2
+
+
+def test_lines_of_many_logs_are_folded_at_once():
+    keys, jobs = list(blocks._KEYS), 320
+    lines = [(j, n, v, keys.index(k)) for j in range(jobs) for n, (k, v) in enumerate((("frame", str(j)), ("progress", "continue"), ("fps", "5")))]
+    processor, handle = blocks.BlockAssembler(None, 1000), Calls()
+    processor.init(handle)
+    columns = ["job_id", "line_no", "value", "code"]
+    out = group(processor, lines, columns)
+    assert list(zip(out["job_id"], out["block"], out["frame"])) == [(j, 0, str(j)) for j in range(jobs)]
+    out = group(processor, [(j, 9, None, blocks._END) for j in range(jobs)], columns)
+    assert list(zip(out["job_id"], out["block"], out["fps"])) == [(j, 1, "5") for j in range(jobs)]
+    assert handle.calls < jobs / 2 and not handle.maps["open"]
+
+
+def test_deadlines_of_neighbours_are_kept_apart():
+    processor, handle = events.JobTracker(10, 10_000, 5, 50), Calls()
+    processor.init(handle)
+    send = lambda job, n, status, now: group(processor, [(n, job, n, at(n), status, 10, 10, None)], EVENT_COLUMNS, now)
+    ring = lambda now: [(r.job_id, r.kind) for r in next(processor.handleExpiredTimer((0,), Now(now), Now(now))).itertuples()]
+    send(1, 1, "processing", 0)
+    send(2, 1, "completed", 0)
+    send(1, 2, "processing", 3)  # the deadline moves from 10 to 13
+    assert ring(5) == [] and ring(10) == [] and ring(13) == [(1, "stalled")]
+    assert list(send(2, 2, "processing", 14)["kind"]) == ["late"]  # only the end of job 2 is left
+    assert ring(55) == [] and list(send(2, 2, "processing", 56)["kind"]) == ["event"]
+    assert list(send(1, 2, "processing", 57)["kind"]) == ["late"]
