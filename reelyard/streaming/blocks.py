@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.logs import PROGRESS_KEYS, metrics_of, progress_pairs
+from .buckets import Alarms, Cells, by_bucket, in_order, numbered
 from .events import BATCH_BYTES, use_rocksdb
 
 # Python workers need not have this package installed.
@@ -29,7 +30,7 @@ MEMORY_MS = 30 * 24 * 60 * 60 * 1000
 
 
 class BlockAssembler(StatefulProcessor):
-    """Holds the open block of a job: the last value of each key, and the block's number.
+    """Holds the open block of each job of a bucket: the last value of each key, and the block's number.
 
     The end of a log closes its open block and leaves only the block number, for ``memory_ms``.
     With ``tail_ms`` a block also closes when its job is silent for so long (processing time),
@@ -40,62 +41,81 @@ class BlockAssembler(StatefulProcessor):
         self.tail_ms, self.memory_ms = tail_ms, memory_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "block BIGINT, " + ", ".join(f"`{k}` STRING" for k in _KEYS))
-        self.ended = handle.getValueState("ended", "block BIGINT", self.memory_ms)
+        self.open = Cells(handle, "open", "block BIGINT, due_ms BIGINT, " + ", ".join(f"`{k}` STRING" for k in _KEYS))
+        self.ended = Cells(handle, "ended", "block BIGINT", self.memory_ms)
+        self.alarms = Alarms(handle)
 
     @staticmethod
-    def _frame(key, blocks: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+    def _frame(jobs: list[int | None], blocks: np.ndarray, values: np.ndarray) -> pd.DataFrame:
         frame = pd.DataFrame(values, columns=list(_KEYS), dtype=object)
         frame.insert(0, "block", blocks.astype(np.int64))
-        frame.insert(0, "job_id", pd.array([key] * len(blocks), dtype="Int64"))
+        frame.insert(0, "job_id", pd.array(jobs, dtype="Int64"))
         return frame
 
-    def _alarm(self, at_ms: int | None) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if at_ms is not None:
-            self.handle.registerTimer(at_ms)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.open.get()
-        first, values = (held[0], held[1:]) if held else ((self.ended.get() or (0,))[0], (None,) * len(_KEYS))
-        # One micro-batch of one job, bounded by the source's byte limit.
-        batch = pd.concat(list(rows)).sort_values("line_no", kind="stable")
+        now = timerValues.getCurrentProcessingTimeInMs()
+        batch = in_order(rows, "line_no")
+        job = batch["job_id"].astype("Int64")
+        number, missing = job.fillna(0).to_numpy(np.int64), job.isna().to_numpy()
+        begins = np.ones(len(batch), bool)
+        begins[1:] = (number[1:] != number[:-1]) | (missing[1:] != missing[:-1])
+        first = np.flatnonzero(begins)
+        jobs = [None if missing[i] else int(number[i]) for i in first]
+        held = self.open.load(jobs, now)
+        known_ends = self.ended.load([j for j in jobs if j not in held], now)
         code = batch["code"].to_numpy(np.int64)
         closing = (code == _PROGRESS) | (code == _END)
-        block = np.cumsum(closing) - closing
-        known = code < len(_KEYS)
+        # a slot for each block that a job closes, and one for what is open after them
+        slot = np.cumsum(closing) - closing + numbered(first, len(batch))
+        table = np.full((int(closing.sum()) + len(jobs), len(_KEYS)), None, object)
+        start = slot[first]
+        end = np.append(start[1:], len(table)) - 1
+        block = np.zeros(len(jobs), np.int64)
+        for i, j in enumerate(jobs):
+            if j in held:
+                block[i], table[start[i]] = held[j][1], held[j][3:]
+            elif j in known_ends:
+                block[i] = known_ends[j][1]
         # the last value of each key of each block: later lines overwrite earlier ones
-        table = np.full((int(closing.sum()) + 1, len(_KEYS)), None, object)
-        table[0] = values
-        table[block[known], code[known]] = batch["value"].to_numpy(object)[known]
+        known = code < len(_KEYS)
+        table[slot[known], code[known]] = batch["value"].to_numpy(object)[known]
         filled = (table != None).any(axis=1)  # noqa: E711
         closed = filled.copy()
-        closed[-1] = False
-        number = first + np.cumsum(closed) - closed
-        after = first + int(closed.sum())
-        if filled[-1]:
-            self.open.update((after, *table[-1]))
-        else:
-            # nothing is open: an ended log leaves its number for a while, a running one keeps it
-            ended = len(code) > 0 and code[-1] == _END
-            if ended:
-                self.open.clear()
-                self.ended.update((after,))
+        closed[end] = False
+        count = np.cumsum(closed) - closed
+        owner = numbered(start, len(table))
+        numbers = (block - count[start])[owner] + count
+        last = np.append(first[1:], len(batch)) - 1
+        due, opened, ended = [], {}, {}
+        for j, at, line in zip(jobs, end.tolist(), last.tolist()):
+            if filled[at]:
+                due_ms = None if self.tail_ms is None else now + self.tail_ms
+                due += [j]
+                opened[j] = (int(numbers[at]), due_ms, *table[at])
+            elif code[line] == _END:
+                # an ended log leaves its number for a while, a running one keeps it
+                if j in held:
+                    opened[j] = None
+                ended[j] = (int(numbers[at]),)
             else:
-                self.open.update((after, *(None,) * len(_KEYS)))
-        if self.tail_ms is not None:
-            self._alarm(timerValues.getCurrentProcessingTimeInMs() + self.tail_ms if filled[-1] else None)
-        yield self._frame(key[0], number[closed], table[closed])
+                opened[j] = (int(numbers[at]), None, *(None,) * len(_KEYS))
+        self.open.store(held, opened, now)
+        if ended:
+            kept = known_ends | self.ended.load([j for j in ended if j in held], now)
+            self.ended.store(kept, ended, now)
+        if self.tail_ms is not None and due:
+            self.alarms.add({now + self.tail_ms: due})
+        yield self._frame([jobs[i] for i in owner[closed]], numbers[closed], table[closed])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.open.get()
-        tail = np.array([held[1:]] if held and any(v is not None for v in held[1:]) else [], object).reshape(-1, len(_KEYS))
-        if held:
-            self.ended.update((held[0] + len(tail),))
-            self.open.clear()
-        yield self._frame(key[0], np.array([held[0]] * len(tail)), tail)
+        now, at_ms = timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        jobs = self.alarms.take(at_ms)
+        held = self.open.load(jobs, now)
+        tails = {j: held[j] for j in jobs if j in held and held[j][2] == at_ms}
+        values = np.array([state[3:] for state in tails.values()], object).reshape(-1, len(_KEYS))
+        self.open.store(held, dict.fromkeys(tails), now)
+        self.ended.store(self.ended.load(list(tails), now), {j: (state[1] + 1,) for j, state in tails.items()}, now)
+        yield self._frame(list(tails), np.array([state[1] for state in tails.values()]), values)
 
     def close(self) -> None:
         pass
@@ -131,16 +151,14 @@ def stream_blocks(lines: DataFrame, tail_ms: int | None = None, memory_ms: int =
     keys = F.array(*[F.lit(k) for k in _KEYS])
     known = F.array_position(keys, F.col("key")).cast("int")
     code = F.when(F.col("key").isNull(), _END).when(known > 0, known - 1).otherwise(_OTHER)
-    blocks = (
-        progress_pairs(lines, ends=True)
-        .select("job_id", "line_no", "value", code.alias("code"))
-        .groupBy("job_id")
-        .transformWithStateInPandas(
-            statefulProcessor=BlockAssembler(tail_ms, memory_ms),
-            outputStructType=_BLOCK_SCHEMA,
-            outputMode="Append",
-            timeMode="ProcessingTime",
-        )
+    pairs = progress_pairs(lines, ends=True).select("job_id", "line_no", "value", code.alias("code"))
+    if tail_ms is None:  # other lines only show that a writer lives
+        pairs = pairs.filter(F.col("code") != _OTHER)
+    blocks = by_bucket(pairs).transformWithStateInPandas(
+        statefulProcessor=BlockAssembler(tail_ms, memory_ms),
+        outputStructType=_BLOCK_SCHEMA,
+        outputMode="Append",
+        timeMode="ProcessingTime",
     )
     values = blocks.select("job_id", "block", F.struct(*PROGRESS_KEYS).alias("v"))
     return values.select(
