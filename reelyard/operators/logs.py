@@ -23,15 +23,19 @@ def progress_pairs(lines: DataFrame, ends: bool = False) -> DataFrame:
 
     With ``ends`` null lines, which mark the end of a log, stay, without key and value.
     """
-    line = F.regexp_replace("line", r"\r$", "")
-    at = F.instr(line, "=")
     end = F.col("line").isNull() if ends else F.lit(False)
-    return lines.filter(end | (at > 1)).withColumns(
+    line = F.when(F.contains("line", F.lit("\r")), F.regexp_replace("line", r"\r$", "")).otherwise(F.col("line"))
+    # Filters, codes and values read these many times; each is worked out once.
+    rows = settle(lines.filter(end | (F.instr("line", "=") > 1)), {"__text": line})
+    text, at = F.col("__text"), F.instr("__text", "=")
+    rows = settle(
+        rows,
         {
-            "key": F.trim(F.substring(line, F.lit(1), at - 1)),
-            "value": F.trim(F.substring(line, at + 1, F.length(line))),
-        }
-    ).filter(end | (F.col("key") != "")).drop("line")
+            "key": F.trim(F.substring(text, F.lit(1), at - 1)),
+            "value": F.trim(F.substring(text, at + 1, F.length(text))),
+        },
+    )
+    return rows.filter(end | (F.col("key") != "")).drop("line", "__text")
 
 
 def _typed(key: Column, value: Column) -> Column:

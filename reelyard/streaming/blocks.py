@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.staging import settle
 from ..operators.logs import PROGRESS_KEYS, metrics_of, progress_pairs
 from .buckets import Alarms, Cells, by_bucket, in_order, numbered
 from .events import BATCH_BYTES, use_rocksdb
@@ -149,9 +150,10 @@ def stream_blocks(lines: DataFrame, tail_ms: int | None = None, memory_ms: int =
     """
     use_rocksdb(lines.sparkSession)
     keys = F.array(*[F.lit(k) for k in _KEYS])
-    known = F.array_position(keys, F.col("key")).cast("int")
-    code = F.when(F.col("key").isNull(), _END).when(known > 0, known - 1).otherwise(_OTHER)
-    pairs = progress_pairs(lines, ends=True).select("job_id", "line_no", "value", code.alias("code"))
+    codes = F.array(*[F.lit(c) for c in (_OTHER, *range(len(_KEYS)))])
+    place = F.array_position(keys, F.col("key")).cast("int")  # 0: not there
+    code = F.coalesce(F.element_at(codes, place + 1), F.lit(_END))
+    pairs = settle(progress_pairs(lines, ends=True), {"code": code}).select("job_id", "line_no", "value", "code")
     if tail_ms is None:  # other lines only show that a writer lives
         pairs = pairs.filter(F.col("code") != _OTHER)
     blocks = by_bucket(pairs).transformWithStateInPandas(
