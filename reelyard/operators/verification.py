@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 from .. import dims
 
 
+def _fine(rows: DataFrame) -> int:
+    """Partitions for rows that tasks keep in tables or sort: four for each usual one."""
+    return 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
     """Stream hashes of each file with their number on either side.
 
-    Hashes are trimmed; blank ones and comments (``#``) don't count. They are counted per
-    file first, so the join sees one row per distinct hash.
+    Hashes are trimmed; blank ones and comments (``#``) don't count. Both sides are counted in
+    one pass. Nearly all hashes differ, so rows are dealt out before they are counted: the
+    table of a task is bounded by its share of the shuffle, not by the split that it scans.
     """
+    file_id, zero, one = F.col("file_id"), F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     sides = [
-        side.filter((F.trim("hash") != "") & ~F.startswith(F.trim("hash"), F.lit("#")))
-        .groupBy("file_id", F.trim("hash").alias("hash"))
-        .agg(F.count(F.lit(1)).alias(n))
-        for side, n in ((before, "n_before"), (after, "n_after"))
+        # rows without a file have no counterpart
+        side.select("file_id", F.trim("hash").alias("hash"), F.when(file_id.isNull(), i).alias("__apart"), a.alias("a"), b.alias("b"))
+        for i, (side, a, b) in enumerate(((before, one, zero), (after, zero, one)))
     ]
-    zero = F.lit(0).cast("bigint")
-    return sides[0].join(sides[1], ["file_id", "hash"], "full_outer").select(
-        "file_id", "hash", F.coalesce("n_before", zero).alias("a"), F.coalesce("n_after", zero).alias("b")
-    )
+    rows = sides[0].unionByName(sides[1]).filter((F.col("hash") != "") & ~F.startswith("hash", F.lit("#")))
+    keys = ["file_id", "hash", "__apart"]
+    return rows.repartition(_fine(rows), "file_id", "hash").groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).drop("__apart")
 
 
 def verify_streams(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -241,9 +246,11 @@ def metadata_report(tags: DataFrame, detected: DataFrame) -> DataFrame:
     shown = first.withColumns(
         {"grp": grp.otherwise("EXIF"), "value": F.substring("value", 1, 180)}
     )
-    known = detected.select("file_id", "grp").distinct().withColumn("__known", F.lit(True))
+    # By file alone, as the tags already lie: they are shuffled once.
+    known = detected.groupBy("file_id").agg(F.collect_set("grp").alias("__known"))
+    rest = [c for c in shown.columns if c not in ("file_id", "grp")]
     return (
-        shown.join(known, ["file_id", "grp"], "left")
-        .filter((F.col("grp") == "GPS") | F.col("__known"))
-        .drop("__known")
+        shown.join(known, "file_id", "left")
+        .filter((F.col("grp") == "GPS") | F.array_contains("__known", F.col("grp")))
+        .select("file_id", "grp", *rest)
     )

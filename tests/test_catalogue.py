@@ -46,3 +46,26 @@ def test_ids_of_the_inventory_are_registered():
         + ["x1", "x2", "x3", "x4", "x5", "x6", "x7", "f1"]
     )
     assert sorted(set(wanted) - ids) == []
+
+
+def test_stream_hashes_are_counted_without_a_join(spark):
+    from reelyard.operators import verification
+
+    rows = [(1, "a"), (1, " a"), (1, "b"), (2, "c"), (None, "n"), (2, "# x"), (2, None)]
+    before = spark.createDataFrame(rows, "file_id bigint, hash string")
+    after = spark.createDataFrame([(1, "a"), (2, "c "), (None, "n")], "file_id bigint, hash string")
+    out = verification.verify_streams(before, after)
+    got = {r.file_id: (r.input_streams, r.output_streams, r.missing_streams, r.extra_streams, r.verified) for r in out.collect()}
+    assert got == {1: (3, 1, 2, 0, False), 2: (1, 1, 0, 0, True), None: (1, 1, 1, 1, False)}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reported_tags_keep_their_place_after_the_ranking(spark):
+    from reelyard.operators import verification
+
+    tags = spark.createDataFrame([(1, 0, "Make", "x"), (1, 1, "GPSLatitude", "y"), (2, 0, "Make", "z")], "file_id bigint, pos int, key string, value string")
+    detected = spark.createDataFrame([(1, "EXIF"), (1, "EXIF"), (1, "XMP")], "file_id bigint, grp string")
+    out = verification.metadata_report(tags, detected)
+    assert sorted((r.file_id, r.pos, r.grp) for r in out.collect()) == [(1, 0, "EXIF"), (1, 1, "GPS")]
+    plan = out.hint("merge")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter, (file_id" in plan and "grp" not in plan.split("Join LeftOuter, ")[1].splitlines()[0]
