@@ -12,6 +12,7 @@ from ..operators import progress as progress_ops
 from ..session import materialize, shared_dir
 from ..sources.adapters import sql_over, view
 from ..streaming import blocks, events, tables
+from ..streaming.buckets import cell_of
 from . import register
 from .logs import BLOCK_SQL, stored_lines
 from .progress import NORMAL_SQL, REMAINING_SQL
@@ -40,10 +41,11 @@ def feed(
     """Write one slice after another and let the stream over the folder catch up after each.
 
     What a slice holds of one job lies in one file, so the limit on the bytes of a
-    micro-batch never splits it.
+    micro-batch never splits it. So do jobs that share a cell of state: a slice of many
+    micro-batches still reads and writes each cell once.
     """
     for part in parts:
-        part.repartition("job_id").write.mode("append").parquet(path)
+        part.repartition(cell_of("job_id")).write.mode("append").parquet(path)
         stream = part.sparkSession.readStream.schema(part.schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
         start(stream).awaitTermination()
 

@@ -42,8 +42,8 @@ class BlockAssembler(StatefulProcessor):
         self.tail_ms, self.memory_ms = tail_ms, memory_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = Cells(handle, "open", "block BIGINT, due_ms BIGINT, " + ", ".join(f"`{k}` STRING" for k in _KEYS))
-        self.ended = Cells(handle, "ended", "block BIGINT", self.memory_ms)
+        self.open = Cells(handle, "open")
+        self.ended = Cells(handle, "ended", self.memory_ms)
         self.alarms = Alarms(handle)
 
     @staticmethod

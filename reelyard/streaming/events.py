@@ -72,6 +72,10 @@ def stream_rejects(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTE
     return _parsed_lines(spark, path, batch_bytes).filter(~_usable("e.")).select("value")
 
 
+def _times(values: pd.Series) -> pd.Series:
+    return values if pd.api.types.is_datetime64_any_dtype(values) else pd.to_datetime(values)
+
+
 INGEST_SCHEMA = (
     "job_id BIGINT, kind STRING, event_id BIGINT, sequence BIGINT, ts TIMESTAMP, status STRING,"
     " progress_tenths BIGINT, elapsed_cs BIGINT, output_size BIGINT"
@@ -86,7 +90,7 @@ class SequenceFilter(StatefulProcessor):
         self.memory_ms = memory_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = Cells(handle, "last", "sequence BIGINT", self.memory_ms)
+        self.last = Cells(handle, "last", self.memory_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = in_order(rows, "sequence", "event_id")
@@ -94,7 +98,7 @@ class SequenceFilter(StatefulProcessor):
         at = np.flatnonzero(usable)
         kind = np.where(usable, "late", "rejected").astype(object)
         if len(at):
-            job, sequence = (batch[c].to_numpy()[at].astype(np.int64) for c in ("job_id", "sequence"))
+            job, sequence = (batch[c].iloc[at].to_numpy(np.int64) for c in ("job_id", "sequence"))
             first = first_rows(job)
             jobs, tops = job[first].tolist(), sequence[np.append(first[1:], len(at)) - 1].tolist()
             now = timerValues.getCurrentProcessingTimeInMs()
@@ -133,12 +137,10 @@ TRACK_SCHEMA = (
     " progress_delta BIGINT, first BOOLEAN"
 )
 _COLUMNS = [c.split()[0] for c in TRACK_SCHEMA.split(",")]
-_STATE_SCHEMA = (
-    "sequence BIGINT, progress BIGINT, status STRING, ts_ms BIGINT, first_ms BIGINT, due_ms BIGINT,"
-    " told BOOLEAN, remaining BIGINT, output_size BIGINT, estimated BIGINT, eta_p DOUBLE,"
-    " eta_t DOUBLE, smooth DOUBLE, recent ARRAY<DOUBLE>"
+_FIELDS = (
+    "sequence", "progress", "status", "ts_ms", "first_ms", "due_ms", "told", "remaining", "output_size",
+    "estimated", "eta_p", "eta_t", "smooth", "recent",
 )
-_FIELDS = [c.split()[0] for c in _STATE_SCHEMA.split(",")]
 _TERMINAL = ("completed", "failed", "cancelled")
 
 
@@ -198,7 +200,7 @@ class JobTracker(StatefulProcessor):
         self.retention_ms, self.memory_ms = retention_ms, memory_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.jobs = Cells(handle, "jobs", _STATE_SCHEMA)
+        self.jobs = Cells(handle, "jobs")
         self.alarms = Alarms(handle)
 
     @staticmethod
@@ -215,7 +217,7 @@ class JobTracker(StatefulProcessor):
         batch = in_order(rows, "sequence", "event_id")
         usable = _usable_rows(batch)
         at = np.flatnonzero(usable)
-        job = batch["job_id"].to_numpy()[at].astype(np.int64)
+        job = batch["job_id"].iloc[at].to_numpy(np.int64)
         jobs = job[first_rows(job)].tolist()
         held = self.jobs.load(jobs, now)
         states = [self._state(held.get(j)) for j in jobs]
@@ -224,7 +226,7 @@ class JobTracker(StatefulProcessor):
         kind[at] = "event"
         out = pd.DataFrame(
             {"job_id": batch["job_id"].astype("Int64"), "kind": kind, "sequence": batch["sequence"].astype("Int64"),
-             "ts": pd.to_datetime(batch["ts"]), "status": batch["status"]}
+             "ts": _times(batch["ts"]), "status": batch["status"]}
         )
         begun = of[first_rows(of)].tolist()
         self._advance([states[i] for i in begun], batch.iloc[at], out, at, first_rows(of))
@@ -247,7 +249,7 @@ class JobTracker(StatefulProcessor):
     def _new_events(states: list[dict], batch: pd.DataFrame, at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the events above all sequences of their job before them, up to its first
         terminal one, and the numbers of their jobs."""
-        sequence = batch["sequence"].to_numpy()[at].astype(np.int64)  # ascending in each job
+        sequence = batch["sequence"].iloc[at].to_numpy(np.int64)  # ascending in each job
         fresh = np.array([s["sequence"] is None for s in states], bool)
         last = np.array([s["sequence"] or 0 for s in states], np.int64)
         live = np.array([s["status"] not in _TERMINAL for s in states], bool)
@@ -298,7 +300,7 @@ class JobTracker(StatefulProcessor):
         begins, missing = np.zeros(len(out), bool), np.ones(len(out), bool)
         begins[at[first]], missing[at] = [s["sequence"] is None for s in states], False
         out["first"] = pd.arrays.BooleanArray(begins, missing)
-        times = pd.to_datetime(events["ts"])
+        times = _times(events["ts"])
         ms = times.to_numpy("datetime64[ms]").astype(np.int64)
         ms, timed = _carried(ms, times.notna().to_numpy(), first, held("ts_ms"))
         sequence, status = events["sequence"].to_numpy(), events["status"].to_numpy(object)
@@ -325,7 +327,7 @@ class JobTracker(StatefulProcessor):
                 left = {f: state[f] for f in ("sequence", "status", "progress")}
                 state = dict.fromkeys(_FIELDS) | left | {"due_ms": now + self.memory_ms}
             else:
-                ts = None if state["ts_ms"] is None else pd.Timestamp(state["ts_ms"], unit="ms")
+                ts = None if state["ts_ms"] is None else pd.Timestamp(state["ts_ms"], unit="ms", tz="UTC")
                 out.append(
                     (job, "stalled", state["sequence"], ts, state["status"], state["progress"],
                      state["remaining"], state["output_size"], state["estimated"], None, None)

@@ -6,10 +6,11 @@ import json
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pyarrow as pa
 
 
 from reelyard.catalogue.streams import feed
-from reelyard.streaming import blocks, events, tables
+from reelyard.streaming import blocks, buckets, events, tables
 
 COLUMNS = "event_id bigint, job_id bigint, sequence bigint, ts timestamp, status string, progress_tenths bigint, elapsed_cs bigint, output_size bigint"
 
@@ -269,3 +270,54 @@ def test_deadlines_of_neighbours_are_kept_apart():
     assert list(send(2, 2, "processing", 14)["kind"]) == ["late"]  # only the end of job 2 is left
     assert ring(55) == [] and list(send(2, 2, "processing", 56)["kind"]) == ["event"]
     assert list(send(1, 2, "processing", 57)["kind"]) == ["late"]
+
+
+def test_whole_numbers_stay_exact_beside_missing_ones(spark, tmp_path):
+    big = 2**53 + 1
+    sent = [(big + 2 * i, 1, big + 2 * i, at(i), "processing", 1, 1, None) for i in range(3)] + [(7, 1, None, at(9), "processing", 1, 1, None)]
+    feed([spark.createDataFrame(sent, COLUMNS)], f"{tmp_path}/in", lambda s: tables.append_table(events.ingest(s), f"{tmp_path}/out", f"{tmp_path}/cp"))
+    got = spark.read.schema(events.INGEST_SCHEMA).parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.kind, r.event_id, r.sequence or 0) for r in got) == [*(("event", big + 2 * i, big + 2 * i) for i in range(3)), ("rejected", 7, 0)]
+    assert {r.ts for r in got} == {at(0), at(1), at(2), at(9)}
+
+
+def test_partitions_of_state_do_not_follow_those_of_the_session(spark, tmp_path):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "40")
+    try:
+        got = track(spark, tmp_path, [[(1, 1, 1, at(0), "processing", 100, 100, None)]])
+        assert spark.conf.get(key) == "40"
+    finally:
+        spark.conf.set(key, before)
+    assert got == [(1, "event", 1, "processing", 100)]
+    assert len([p for p in (tmp_path / "cp" / "state" / "0").iterdir() if p.name.isdigit()]) == tables.STATE_PARTITIONS
+
+
+class Done:
+    def awaitTermination(self):
+        pass
+
+
+def test_jobs_that_share_a_cell_are_fed_in_one_file(spark, tmp_path):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        feed([spark.createDataFrame([(j, j, 1, at(0), "queued", 0, 0, None) for j in range(64)], COLUMNS)], f"{tmp_path}/in", lambda _: Done())
+    finally:
+        spark.conf.set(key, before)
+    found = spark.read.parquet(f"{tmp_path}/in").selectExpr("job_id div 16 as cell", "_metadata.file_path as file").distinct().collect()
+    assert len(found) == 4 and len({r.file for r in found}) > 1
+
+
+def test_a_processor_gets_a_row_for_each_bucket():
+    rows = pa.table({
+        "job_id": pa.array([3, 1, None, 1], pa.int64()), "sequence": pa.array([1, 2, 5, 1], pa.int64()),
+        "status": ["a", "b", None, "c"], "__bucket": pa.array([9, 4, 4, 4], pa.int32()),
+    })
+    packs = pd.concat([b.to_pandas() for b in buckets._pack(iter(rows.to_batches(max_chunksize=3)))])
+    assert list(packs["__bucket"]) == [4, 9]
+    frames = [buckets.in_order(iter([packs[packs["__bucket"] == b]]), "sequence") for b in (4, 9)]
+    assert frames[0].astype(object).where(frames[0].notna(), None).values.tolist() == [[None, 5, None], [1, 1, "c"], [1, 2, "b"]]
+    assert frames[1].values.tolist() == [[3, 1, "a"]]
