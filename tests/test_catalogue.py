@@ -69,3 +69,17 @@ def test_reported_tags_keep_their_place_after_the_ranking(spark):
     assert sorted((r.file_id, r.pos, r.grp) for r in out.collect()) == [(1, 0, "EXIF"), (1, 1, "GPS")]
     plan = out.hint("merge")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftOuter, (file_id" in plan and "grp" not in plan.split("Join LeftOuter, ")[1].splitlines()[0]
+
+
+@pytest.mark.parametrize("name", [
+    "k2_upsert_latest",
+])
+def test_streams_run_where_the_session_sets_no_shuffle_partitions(spark, tables, name):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        test_query_matches_its_sql(spark, tables, name)
+        assert spark.conf.get(key, None) is None
+    finally:
+        spark.conf.set(key, before)
