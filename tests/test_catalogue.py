@@ -75,6 +75,7 @@ def test_reported_tags_keep_their_place_after_the_ranking(spark):
     "k2_upsert_latest",
     "s7_stream_progress",
     "x1_ingest",
+    "x2_track_jobs",
 ])
 def test_streams_run_where_the_session_sets_no_shuffle_partitions(spark, tables, name):
     key = "spark.sql.shuffle.partitions"
