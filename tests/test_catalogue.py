@@ -76,6 +76,7 @@ def test_reported_tags_keep_their_place_after_the_ranking(spark):
     "s7_stream_progress",
     "x1_ingest",
     "x2_track_jobs",
+    "x3_state_expiry",
 ])
 def test_streams_run_where_the_session_sets_no_shuffle_partitions(spark, tables, name):
     key = "spark.sql.shuffle.partitions"
