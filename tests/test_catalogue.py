@@ -79,6 +79,7 @@ def test_reported_tags_keep_their_place_after_the_ranking(spark):
     "x3_state_expiry",
     "x4_stream_stalled_jobs",
     "x5_stream_overall",
+    "x6_stream_late_events",
 ])
 def test_streams_run_where_the_session_sets_no_shuffle_partitions(spark, tables, name):
     key = "spark.sql.shuffle.partitions"
