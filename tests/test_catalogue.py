@@ -80,6 +80,7 @@ def test_reported_tags_keep_their_place_after_the_ranking(spark):
     "x4_stream_stalled_jobs",
     "x5_stream_overall",
     "x6_stream_late_events",
+    "x7_stream_blocks",
 ])
 def test_streams_run_where_the_session_sets_no_shuffle_partitions(spark, tables, name):
     key = "spark.sql.shuffle.partitions"
