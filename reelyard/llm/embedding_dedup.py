@@ -7,6 +7,11 @@ may live. Cells are cut into blocks, pairs of blocks are multiplied, and a link
 cells is found once, in the later one, and counted for both ends. A block hands on a spanning
 forest of its links, never all of them.
 
+A visit is no copy of the vector. Neighbouring blocks form *groups* of bounded size; a *tile* is
+two groups, holds each of their blocks once and multiplies those rows that visit. So a vector is
+shuffled once for each tile of its group, however many cells it visits, and a task holds two
+groups, however large the table is.
+
 ``reach=None``, as registered, rules a cell out only by bounds that hold for all vectors: the
 boundary between the two centres is farther than the angle of ``cosine``, or so are all
 distances from the centre that members of the cell have. So every link is found, however the
@@ -19,6 +24,7 @@ and each end counts what it finds in its own cell.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,10 @@ SAMPLE = 20_000
 CELL = 4_000
 MOST_CELLS = 2_048
 BLOCK = 4_096
+#: Bytes of the vectors of a group as shuffled, at most, if a block is no larger.
+GROUP_BYTES = 32 << 20
+#: Groups that a small table is cut into, so that there are tiles for many tasks.
+LEAST_GROUPS = 12
 #: Rows of a block that are multiplied at a time.
 STRIP = 512
 REACH = None
@@ -91,22 +101,39 @@ def place(
     """
     dots = vectors @ centres.T
     home = dots.argmax(axis=1)
-    gap = dots[np.arange(len(dots)), home][:, None] - dots
-    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T)[home], 0))
-    if reach is None:
-        far = np.sqrt(1 - cosine**2) if cosine > 0 else np.sqrt(2 - 2 * cosine)
-        near = gap <= apart * far + 1e-9
-        if within is not None:
-            angle, turn = np.arccos(np.clip(dots, -1, 1)), np.arccos(cosine) + 1e-6  # arccos loses half the digits
-            near &= (angle >= within[0] - turn) & (angle <= within[1] + turn)
-    else:
-        spread = np.sqrt((1 - cosine**2) / max(vectors.shape[1] - 1, 1))
-        near = gap * cosine <= apart * min(reach * spread, np.sqrt(2 - 2 * cosine)) + 1e-9
+    best = dots[np.arange(len(dots)), home]
+    near = may_visit(dots, best, between(centres)[home], cosine, reach, vectors.shape[1], within)
     near[np.arange(len(dots)), home] = True
     row, cell = np.nonzero(near)
     return row, cell, cell == home[row]
 
 
+def between(centres: np.ndarray) -> np.ndarray:
+    """Distances of the centres from each other."""
+    return np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))
+
+
+def may_visit(
+    dots: np.ndarray, best: np.ndarray, apart: np.ndarray | float, cosine: float, reach: float | None, d: int,
+    within: tuple[np.ndarray, np.ndarray] | None = None,
+) -> np.ndarray:
+    """Which cells (columns) each vector (row) visits.
+
+    ``dots``: cosines with the cells' centres, ``best``: with the vector's own; ``apart``: distances
+    of its own centre from the others.
+    """
+    gap = best[:, None] - dots
+    if reach is not None:
+        spread = np.sqrt((1 - cosine**2) / max(d - 1, 1))
+        return gap * cosine <= apart * min(reach * spread, np.sqrt(2 - 2 * cosine)) + 1e-9
+    far = np.sqrt(1 - cosine**2) if cosine > 0 else np.sqrt(2 - 2 * cosine)
+    near = gap <= apart * far + 1e-9
+    if within is not None:
+        angle, turn = np.arccos(np.clip(dots, -1, 1)), np.arccos(cosine) + 1e-6  # arccos loses half the digits
+        near &= (angle >= within[0] - turn) & (angle <= within[1] + turn)
+    return near
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links between ``n`` nodes."""
     parent = np.arange(n)
@@ -122,45 +149,111 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(i, int(label[i])) for i in np.flatnonzero(label != parent)]
 
 
-def link_block(table: pa.Table, cosine: float, once: bool) -> pa.Table:
-    """Links between two blocks of a cell, or inside one: counts by class, and a forest.
-
-    ``once`` says that visitors meet the block nowhere else, so they count their links here.
-    """
-    row = table.slice(0, 1).to_pylist()[0]
-    return pa.Table.from_pylist(_link(row, cosine, once), schema=LINKS)
+def link_tile(table: pa.Table, plan: Plan) -> pa.Table:
+    """Links between the blocks of two groups, or inside one: counts by class, and a forest of each pair of blocks."""
+    low, high = table["low"][0].as_py(), table["high"][0].as_py()
+    sides = {low: [], high: []}
+    for batch in table.to_batches():
+        for i in range(batch.num_rows):
+            sides[batch["group"][i].as_py()].append(Block.of({c: batch[c][i] for c in batch.schema.names}, plan.kind))
+    out = [NO_LINKS]
+    for at, a in enumerate(sides[low]):
+        for b in sides[low][at:] if low == high else sides[high]:
+            out += link_blocks(a, b, plan)
+    return pa.concat_tables(out)
+
+
+@dataclass
+class Block:
+    """Vectors of one cell."""
+
+    cell: int
+    number: int
+    ids: np.ndarray
+    ns: np.ndarray
+    x: np.ndarray
+    #: Cosines with the cell's own centre.
+    best: np.ndarray
+
+    @staticmethod
+    def of(row: dict, kind: str) -> Block:
+        read = lambda c, t: np.frombuffer(row[c].as_buffer(), t)
+        ids = read("ids", np.int64)
+        x = unit(read("xs", kind).astype(np.float64).reshape(len(ids), -1))
+        return Block(row["cell"].as_py(), row["block"].as_py(), ids, read("ns", np.int64), x, read("best", np.float64))
+
+    def visitors(self, cell: int, plan: Plan) -> Block | None:
+        """The vectors that visit a cell."""
+        if not plan.visits[self.cell, cell]:
+            return None
+        dots = self.x @ plan.centres[cell : cell + 1].T
+        within = None if plan.within is None else (plan.within[0][[cell]], plan.within[1][[cell]])
+        apart = between(plan.centres[[self.cell, cell]])[0, 1]
+        at = np.flatnonzero(may_visit(dots, self.best, apart, plan.cosine, plan.reach, self.x.shape[1], within)[:, 0])
+        if len(at) == len(self.x):
+            return self
+        return Block(self.cell, self.number, self.ids[at], self.ns[at], self.x[at], self.best[at]) if len(at) else None
+
+
+@dataclass
+class Plan:
+    """What all tiles of a table share; bounded by the number of cells."""
+
+    centres: np.ndarray
+    cosine: float
+    reach: float | None
+    within: tuple[np.ndarray, np.ndarray] | None
+    #: Whether any vector of a cell (row) visits another (column).
+    visits: np.ndarray
+    #: Type of the parts of the vectors as shuffled.
+    kind: str
+
+
+def link_blocks(a: Block, b: Block, plan: Plan) -> list[pa.Table]:
+    if a.cell == b.cell:
+        return _link(a, b, plan.cosine, same=a.number == b.number, both=True)
+    out = []
+    for home, guest in ((a, b), (b, a)):
+        seen = guest.visitors(home.cell, plan)
+        if seen is not None:
+            # with bounds that hold for all vectors a link is met in the later cell alone, so it counts for both ends
+            out += _link(home, seen, plan.cosine, same=False, both=plan.reach is None)
+    return out
 
 
 LINKS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
+NO_LINKS = LINKS.empty_table()
 
 
-def _link(row: dict, cosine: float, once: bool) -> list[dict]:
-    ids_a, n_a, x = (np.frombuffer(row[c], t) for c, t in (("ids_a", np.int64), ("n_a", np.int64), ("x_a", np.float64)))
-    ids_b, n_b, y = (np.frombuffer(row[c], t) for c, t in (("ids_b", np.int64), ("n_b", np.int64), ("x_b", np.float64)))
-    x, y = x.reshape(len(ids_a), -1), y.reshape(len(ids_b), -1)
-    same = row["block_a"] == row["block_b"] and row["home_b"]
-    links_a, links_b = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+def _link(a: Block, b: Block, cosine: float, same: bool, both: bool) -> list[pa.Table]:
+    links_a, links_b = np.zeros(len(a.x), np.int64), np.zeros(len(b.x), np.int64)
     ends_a, ends_b = [], []
-    for at in range(0, len(x), STRIP):
-        hit = x[at : at + STRIP] @ y.T >= cosine
+    for at in range(0, len(a.x), STRIP):
+        hit = a.x[at : at + STRIP] @ b.x.T >= cosine
         if same:
             hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
-        links_a[at : at + STRIP] = hit @ n_b
-        links_b += n_a[at : at + STRIP] @ hit
-        a, b = np.nonzero(hit)
-        if len(a):  # a forest of the strip holds its links in fewer pairs than it has rows
-            nodes, place = np.unique(np.concatenate([ids_a[at + a], ids_b[b]]), return_inverse=True)
-            tree = np.array(forest(len(nodes), place[: len(a)], place[len(a) :]))
-            ends_a.append(nodes[tree[:, 0]])
-            ends_b.append(nodes[tree[:, 1]])
-    out = [{"node": int(i), "n": int(n), "other": None} for i, n in zip(ids_a, links_a) if n]
-    if (row["home_b"] or once) and not same:
-        out += [{"node": int(i), "n": int(n), "other": None} for i, n in zip(ids_b, links_b) if n]
-    if ends_a:
-        nodes, place = np.unique(np.concatenate(ends_a + ends_b), return_inverse=True)
-        half = len(place) // 2
-        out += [{"node": int(nodes[i]), "n": 0, "other": int(nodes[j])} for i, j in forest(len(nodes), place[:half], place[half:])]
-    return out
+        i, j = np.nonzero(hit)
+        if not len(i):
+            continue
+        links_a[at : at + STRIP] = hit @ b.ns
+        links_b += a.ns[at : at + STRIP] @ hit
+        # a forest of the strip holds its links in fewer pairs than it has rows
+        nodes, place = np.unique(np.concatenate([a.ids[at + i], b.ids[j]]), return_inverse=True)
+        tree = np.array(forest(len(nodes), place[: len(i)], place[len(i) :]))
+        ends_a.append(nodes[tree[:, 0]])
+        ends_b.append(nodes[tree[:, 1]])
+    if not ends_a:
+        return []
+    nodes, place = np.unique(np.concatenate(ends_a + ends_b), return_inverse=True)
+    half = len(place) // 2
+    tree = nodes[np.array(forest(len(nodes), place[:half], place[half:]))]
+    out = [_counted(a.ids, links_a), pa.table([tree[:, 0], np.zeros(len(tree), np.int64), tree[:, 1]], schema=LINKS)]
+    return out + [_counted(b.ids, links_b)] if both and not same else out
+
+
+def _counted(ids: np.ndarray, links: np.ndarray) -> pa.Table:
+    at = np.flatnonzero(links)
+    return pa.table([ids[at], links[at], pa.nulls(len(at), pa.int64())], schema=LINKS)
 
 
 def linked_vectors(
@@ -180,9 +273,10 @@ def linked_vectors(
     )
     classes = rows.where("x is not null").groupBy("x").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
     classes = stored(classes.select("x", "first_id", "n", F.size("x").alias("d")).withColumn("c", F.monotonically_increasing_id()), "vector-classes")
+    kind = "float32" if dict(vectors.dtypes)["embedding"] == "array<float>" else "float64"
     found = None
     for d, total in classes.groupBy("d").count().orderBy("d").collect():  # vectors of one length: as a rule one turn
-        part = _links_of(classes.where(F.col("d") == d), total, cosine, reach, cell, block)
+        part = _links_of(classes.where(F.col("d") == d), total, d, kind, cosine, reach, cell, block)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -204,7 +298,9 @@ def linked_vectors(
     )
 
 
-def _links_of(classes: DataFrame, total: int, cosine: float, reach: float | None, cell: int, block: int) -> DataFrame:
+def _links_of(
+    classes: DataFrame, total: int, d: int, kind: str, cosine: float, reach: float | None, cell: int, block: int
+) -> DataFrame:
     spark = classes.sparkSession
     cells = max(1, min(MOST_CELLS, total // cell))
     share = max(1, total // SAMPLE)
@@ -234,46 +330,95 @@ def _links_of(classes: DataFrame, total: int, cosine: float, reach: float | None
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 piece = batch.slice(at, 1024)
-                x = unit(matrix(piece.column("x")))
-                row, where, home = place(x, shared.value, cosine, reach, within)
-                if once:  # of two cells the later one is visited
-                    later = where >= where[home][row]
-                    row, where, home = row[later], where[later], home[later]
-                rows = pa.array(row)
+                x = matrix(piece.column("x"))
+                dots = unit(x) @ shared.value.T
+                home = dots.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(where.astype(np.int32)), pa.array(home), piece.column("c").take(rows),
-                        piece.column("n").take(rows), pa.array([x[i].tobytes() for i in row], pa.binary()),
+                        pa.array(home.astype(np.int32)), piece.column("c"), piece.column("n"),
+                        pa.array(dots[np.arange(len(x)), home]), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()),
                     ],
-                    ["cell", "home", "c", "n", "x"],
+                    ["cell", "c", "n", "best", "x"],
                 )
 
-    dealt = classes.select("c", "n", "x").mapInArrow(deal, "cell int, home boolean, c long, n long, x binary")
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, apart = np.zeros((len(shared.value), len(shared.value)), bool), between(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
+                x = unit(np.frombuffer(b"".join(piece.column("x").to_pylist()), kind).astype(np.float64).reshape(piece.num_rows, -1))
+                home = piece.column("cell").to_numpy()
+                near = may_visit(x @ shared.value.T, piece.column("best").to_numpy(), apart[home], cosine, reach, x.shape[1], within)
+                for cell in np.unique(home):
+                    met[cell] |= near[home == cell].any(axis=0)
+        for cell in np.flatnonzero(met.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([np.flatnonzero(met[cell])], pa.list_(pa.int32()))], ["cell", "to"])
+
+    dealt = classes.select("c", "n", "x").mapInArrow(deal, "cell int, c long, n long, best double, x binary")
     dealt = stored(dealt, "vector-cells")
-    sizes = dealt.groupBy("cell", "home").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
-    dealt = dealt.join(sizes.select("cell", "home", "blocks"), ["cell", "home"]).withColumn(
-        "block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    )
+    visits = np.zeros((len(centres), len(centres)), bool)
+    if len(centres) > 1:
+        pairs = dealt.select("cell", "best", "x").mapInArrow(visit, "cell int, to array<int>")
+        pairs = pairs.select("cell", F.explode("to").alias("to")).distinct().groupBy("cell").agg(F.collect_list("to").alias("to"))
+        for row in pairs.toLocalIterator():  # one row per cell
+            visits[row["cell"], row["to"]] = True
+    if once:  # of two cells the later one is visited
+        visits = np.triu(visits)
+    np.fill_diagonal(visits, True)
+
+    sizes = np.zeros(len(centres), np.int64)
+    for row in dealt.groupBy("cell").count().collect():  # one row per cell
+        sizes[row["cell"]] = row["count"]
+    blocks = -(-sizes // block)
+    offset = np.cumsum(blocks) - blocks
+    rows = max(block, min(GROUP_BYTES // (np.dtype(kind).itemsize * d), -(-total // LEAST_GROUPS)))
+    group_of = grouped(sizes, blocks, rows)
+    tiles = spark.sparkContext.broadcast(tiles_of(group_of, np.repeat(np.arange(len(centres)), blocks), visits))
+    visited = spark.sparkContext.broadcast(visits)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, h = batch.column("cell").to_numpy(), batch.column("h").to_numpy()
+            at = (offset[cell] + np.mod(h, blocks[cell])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), *batch.select(["cell", "c", "n", "best", "x"]).columns], ["block", "cell", "c", "n", "best", "x"])
 
     def pack(table: pa.Table) -> pa.Table:
-        row = table.slice(0, 1).select(["cell", "home", "block"]).to_pylist()[0]
-        row |= {"ids": table["c"].to_numpy().tobytes(), "ns": table["n"].to_numpy().tobytes(), "xs": b"".join(table["x"].to_pylist())}
-        return pa.Table.from_pylist([row], schema=PACKED)
-
-    packed = dealt.groupBy("cell", "home", "block").applyInArrow(pack, "cell int, home boolean, block int, ids binary, ns binary, xs binary")
-    packed = stored(packed, "vector-blocks")
-    a = packed.where("home").select("cell", F.col("block").alias("block_a"), F.col("ids").alias("ids_a"), F.col("ns").alias("n_a"), F.col("xs").alias("x_a"))
-    b = packed.select("cell", F.col("block").alias("block_b"), F.col("home").alias("home_b"), F.col("ids").alias("ids_b"), F.col("ns").alias("n_b"), F.col("xs").alias("x_b"))
-    pairs = a.join(b, "cell").where("not home_b or block_a <= block_b")
-
-    # a pair of blocks is one group: pairs of a large cell go to many tasks, one at a time
-    return pairs.groupBy("cell", "block_a", "home_b", "block_b").applyInArrow(
-        lambda table: link_block(table, cosine, once), "node long, n long, other long"
+        at = table["block"][0].as_py()
+        group = int(group_of[at])
+        row = {"block": at, "cell": table["cell"][0].as_py(), "group": group, "others": np.flatnonzero(tiles.value[group]).tolist()}
+        row |= {c: table[name].to_numpy().tobytes() for c, name in (("ids", "c"), ("ns", "n"), ("best", "best"))}
+        return pa.Table.from_pylist([row | {"xs": b"".join(table["x"].to_pylist())}], schema=PACKED)
+
+    numbered = dealt.withColumn("h", F.xxhash64("c")).mapInArrow(number, "block int, cell int, c long, n long, best double, x binary")
+    packed = numbered.groupBy("block").applyInArrow(
+        pack, "block int, cell int, group int, others array<int>, ids binary, ns binary, best binary, xs binary"
+    )
+    # a tile is one group: a block goes to each tile of its group
+    held = packed.withColumn("other", F.explode("others")).select(
+        F.least("group", "other").alias("low"), F.greatest("group", "other").alias("high"), "group", "cell", "block", "ids", "ns", "best", "xs"
     )
+    return held.groupBy("low", "high").applyInArrow(
+        lambda table: link_tile(table, Plan(shared.value, cosine, reach, within, visited.value, kind)), "node long, n long, other long"
+    )
+
+
+def grouped(sizes: np.ndarray, blocks: np.ndarray, rows: int) -> np.ndarray:
+    """The group of each block: neighbours that hold about ``rows`` vectors together."""
+    held = np.repeat(sizes / np.maximum(blocks, 1), blocks)
+    groups = ((np.cumsum(held) - held / 2) // rows).astype(np.int64)
+    return np.unique(groups, return_inverse=True)[1]
+
+
+def tiles_of(group_of: np.ndarray, cell_of: np.ndarray, visits: np.ndarray) -> np.ndarray:
+    """Which groups have blocks to be multiplied with each other."""
+    cells = np.zeros((int(group_of.max()) + 1 if len(group_of) else 0, len(visits)), np.float32)
+    cells[group_of, cell_of] = 1
+    return cells @ (visits | visits.T).astype(np.float32) @ cells.T > 0
 
 
 PACKED = pa.schema([
-    ("cell", pa.int32()), ("home", pa.bool_()), ("block", pa.int32()), ("ids", pa.binary()), ("ns", pa.binary()), ("xs", pa.binary()),
+    ("block", pa.int32()), ("cell", pa.int32()), ("group", pa.int32()), ("others", pa.list_(pa.int32())),
+    ("ids", pa.binary()), ("ns", pa.binary()), ("best", pa.binary()), ("xs", pa.binary()),
 ])
 
 

@@ -152,6 +152,31 @@ def test_registered_reach_over_several_cells(spark):
     assert sum(r.n_links for r in got) > 400
 
 
+def test_a_visit_is_no_copy_and_groups_are_bounded(spark, monkeypatch):
+    """Spread-out vectors visit nearly all cells, yet each is dealt once, whatever their number."""
+    from reelyard.llm.tables import stored
+
+    dealt = {}
+    monkeypatch.setattr(embedding_dedup, "stored", lambda df, purpose: dealt.setdefault(purpose, stored(df, purpose)))
+    monkeypatch.setattr(embedding_dedup, "GROUP_BYTES", 40 * 16 * 8, raising=False)
+    rng = np.random.default_rng(12)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 16)))]
+    rows += [(300 + i, (np.array(rows[i][1]) + rng.normal(size=16) * 0.05).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = embedding_dedup.linked_vectors(df, cell=30, block=10).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == plain.vector_links(rows)
+    assert dealt["vector-cells"].count() == len(rows)
+    sizes = np.array([7, 0, 35, 1, 18, 20])
+    blocks = -(-sizes // 10)
+    group_of = embedding_dedup.grouped(sizes, blocks, 30)
+    held = np.bincount(group_of, np.repeat(sizes / np.maximum(blocks, 1), blocks))
+    assert held.sum() == sizes.sum() and held.max() <= 30 + 10 and (np.diff(group_of) >= 0).all()
+    visits = np.eye(6, dtype=bool)
+    visits[0, 5] = True
+    tiles = embedding_dedup.tiles_of(group_of, np.repeat(np.arange(6), blocks), visits)
+    assert tiles[group_of[0], group_of[-1]] and tiles[group_of[-1], group_of[0]] and tiles.diagonal().all()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
